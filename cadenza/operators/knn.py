@@ -80,13 +80,16 @@ def missing_seeds(requests: DataFrame, known: DataFrame, key: str = "artist_id",
 # ---------------------------------------------------------------- K3 single request
 
 def knn_single(vectors: DataFrame, centroid: DataFrame, k: int, key: str = "artist_id",
-               exclude: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+               exclude: DataFrame | None = None, candidates: DataFrame | None = None,
+               unit: bool = True, digits: int = RANK_DIGITS) -> DataFrame:
     """K3: top-``k`` candidates by cosine distance to one centroid ``(token, w)``.
 
     Every candidate is scored (a left join to the broadcast centroid gives 0 for
     candidates sharing no token, i.e. distance 1, as brute force does).
     ``exclude`` (ids) is removed *before* the top-k; ``candidates`` restricts
-    the pool (for example to recommendable artists).
+    the pool (for example to recommendable artists).  ``unit`` says candidate
+    rows are already L2-normalised; otherwise their norms are computed.
+    ``k=None`` returns every candidate ranked (used by windowed filters).
     """
     # the centroid is one request's handful of rows: its norm is a single number
     cn = centroid.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 0.0
@@ -96,13 +99,19 @@ def knn_single(vectors: DataFrame, centroid: DataFrame, k: int, key: str = "arti
         pool = pool.join(candidates.select(key), key, "left_semi")
     if exclude is not None:
         pool = pool.join(F.broadcast(exclude.select(key)), key, "left_anti")
-    dots = (pool.join(F.broadcast(cen), "token", "left")
-            .groupBy(key).agg(F.sum(F.coalesce(F.col("w") * F.col("cw"), F.lit(0.0))).alias("dot")))
-    dist = F.lit(1.0) - F.col("dot") / F.lit(cn) if cn > 0 else F.lit(1.0)
+    aggs = [F.sum(F.coalesce(F.col("w") * F.col("cw"), F.lit(0.0))).alias("dot")]
+    if not unit:
+        aggs.append(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vn"))
+    dots = pool.join(F.broadcast(cen), "token", "left").groupBy(key).agg(*aggs)
+    denom = F.lit(cn) if unit else F.lit(cn) * F.col("vn")
+    dist = F.when(denom > 0, F.lit(1.0) - F.col("dot") / denom).otherwise(F.lit(1.0)) \
+        if cn > 0 else F.lit(1.0)
     scored = dots.select(key, dist.alias("distance"))
-    top = scored.orderBy(F.round("distance", RANK_DIGITS), key).limit(k)
-    w = Window.orderBy(F.round("distance", RANK_DIGITS), key)
-    return top.withColumn("rank", F.row_number().over(w))
+    order = [F.round("distance", digits), F.col(key)]
+    if k is None:
+        return scored.withColumn("_rk", F.round("distance", digits))
+    top = scored.orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 # ---------------------------------------------------------------- K4 block grid
@@ -114,7 +123,7 @@ _OUT = T.StructType([
 ])
 
 
-def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS) -> pd.DataFrame:
     """Score one (query block, candidate block) cell and keep each query's top-n."""
     vec = qdf[qdf["kind"] == 0]
     if vec.empty or cdf.empty:
@@ -159,7 +168,7 @@ def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         dist[qi[ok], ci[ok]] = np.inf
     topn = vec.groupby("query_id")["top_n"].max().reindex(q_ids).to_numpy().astype(np.int64)
     kmax = int(min(topn.max(), len(c_ids)))
-    rd = np.round(dist, RANK_DIGITS)
+    rd = np.round(dist, digits)
     kth = np.partition(rd, kmax - 1, axis=1)[:, kmax - 1]
     r, c = np.nonzero(rd <= kth[:, None])
     order = np.lexsort((c_ids[c], rd[r, c], r))
@@ -177,7 +186,7 @@ def _blocks(n: int, target: int) -> int:
 
 
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,
-              target_block_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+              target_block_rows: int = TARGET_BLOCK_ROWS, digits: int = RANK_DIGITS) -> DataFrame:
     """K4: exact cosine top-n for a table of query vectors.
 
     queries     (query_id bigint, key string, w double, top_n int)
@@ -207,8 +216,8 @@ def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFram
                            F.col("key").cast("string"), F.col("w").cast("double"))
     cells = (qv.groupBy("qblk", "cblk")
              .cogroup(cv.groupBy("qblk", "cblk"))
-             .applyInPandas(lambda q, c: _score_cell(q, c), schema=_OUT))
+             .applyInPandas(lambda q, c: _score_cell(q, c, digits), schema=_OUT))
     topn = queries.groupBy("query_id").agg(F.max("top_n").alias("top_n"))
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", RANK_DIGITS), "cand_id")
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", digits), "cand_id")
     return (cells.withColumn("rank", F.row_number().over(w))
             .join(topn, "query_id").where(F.col("rank") <= F.col("top_n")).drop("top_n"))

@@ -84,3 +84,54 @@ def k1_vocab(spark, sf):
 def k1_vectors(spark, sf):
     _, _, vec = artist_model(spark, sf)
     return vec.select("artist_id", "token", F.round("w", 9).alias("w"))
+
+
+# ----------------------------------------------------------------- kNN
+from cadenza.operators.recommend import (build_artist_model, enrich_artists,  # noqa: E402
+                                         recommend_artists, recommend_artists_batch)
+from cadenza.plans.registry import BLACKLIST, SEEDS, TOP_N  # noqa: E402
+
+
+_MODELS: dict = {}
+
+
+def _model(spark, sf):
+    """The artist model is built once per session and data set, then served."""
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = build_artist_model(catalog(spark, sf), staging="checkpoint")
+    return _MODELS[key]
+
+
+@query("k3_artist_knn_single")
+def k3(spark, sf):
+    m = _model(spark, sf)
+    r = recommend_artists(m, catalog(spark, sf), SEEDS, TOP_N, BLACKLIST, filter_recommendable=False)
+    return r.select("rank", "artist_id", F.round("distance", 6).alias("distance"), "status")
+
+
+def every_artist_requests(model, top_n=TOP_N):
+    """One single-seed request per modelled artist (the whole table is scored)."""
+    return model.features.select(F.col("artist_id").alias("request_id"),
+                                 F.array(F.col("artist_id")).alias("seeds"),
+                                 F.array().cast("array<long>").alias("blacklist"),
+                                 F.lit(top_n).alias("top_n"))
+
+
+@query("k4_artist_knn_all")
+def k4(spark, sf):
+    m = _model(spark, sf)
+    r = recommend_artists_batch(m, catalog(spark, sf), every_artist_requests(m),
+                                filter_recommendable=False)
+    return r.select("request_id", "rank", "artist_id", F.round("distance", 6).alias("distance"))
+
+
+@query("q7_artist_recommendations")
+def q7(spark, sf):
+    cat = catalog(spark, sf)
+    m = _model(spark, sf)
+    r = recommend_artists(m, cat, SEEDS, TOP_N, BLACKLIST)
+    e = enrich_artists(cat, r)
+    return e.select("rank", "artist_id", "gid", "name", "genres",
+                    F.transform("urls", lambda u: u["url"]).alias("urls"), "official_site",
+                    F.round("distance", 6).alias("distance"), "status")

@@ -124,3 +124,49 @@ register("k1_artist_vocab", "WITH " + cte_q1() + ",\n" + CTE_TFIDF +
          " select token, df, round(idf, 9) idf from voc")
 register("k1_artist_vectors", "WITH " + cte_q1() + ",\n" + CTE_TFIDF +
          " select artist_id, token, round(w, 9) w from vec")
+
+# ----------------------------------------------------------------- artist kNN
+SEEDS_SQL, BL_SQL = "1, 2, 4", "33"
+
+
+def cte_single(seeds: str, excl: str, cand_filter: str = "") -> str:
+    return f"""seedv AS (select * from vec where artist_id in ({seeds})),
+cen AS (select token, sum(w) / (select count(distinct artist_id) from seedv) w from seedv group by token),
+cnorm AS (select sqrt(sum(w * w)) n from cen),
+dots AS (select v.artist_id, sum(v.w * coalesce(cen.w, 0)) dot from vec v left join cen using (token)
+         where v.artist_id not in ({excl}) {cand_filter} group by v.artist_id),
+ranked AS (select artist_id, 1 - dot / (select n from cnorm) distance,
+           row_number() over (order by round(1 - dot / (select n from cnorm), 9), artist_id) rank from dots)"""
+
+
+register("k3_artist_knn_single", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" +
+         cte_single(SEEDS_SQL, SEEDS_SQL + ", " + BL_SQL) + """
+select rank, artist_id, round(distance, 6) distance, 'ok' status from ranked where rank <= 5""")
+
+register("k4_artist_knn_all", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + """,
+ids AS (select distinct artist_id from vec),
+dots AS (select a.artist_id q, b.artist_id c, sum(a.w * b.w) dot from vec a join vec b using (token)
+         where a.artist_id <> b.artist_id group by a.artist_id, b.artist_id),
+pairs AS (select q.artist_id q, c.artist_id c, 1 - coalesce(d.dot, 0) distance
+          from ids q join ids c on q.artist_id <> c.artist_id left join dots d on d.q = q.artist_id and d.c = c.artist_id),
+ranked AS (select q, c, distance, row_number() over (partition by q order by round(distance, 9), c) rank from pairs)
+select q request_id, rank, c artist_id, round(distance, 6) distance from ranked where rank <= 5""")
+
+
+def cte_enrich_artists(src: str) -> str:
+    return f"""eg AS (select atg.artist id, list_sort(list(distinct upper(left(t.name, 1)) || lower(substr(t.name, 2)))) genres
+        from artist_tag atg join tag t on t.id = atg.tag join genre g on g.name = t.name
+        where atg.count >= 1 and atg.artist in (select artist_id from {src}) group by atg.artist),
+eu AS (select l.entity0 id, list(u.url order by u.url, lk.link_type) urls,
+        min(case when lk.link_type = 183 then u.url end) official_site
+        from (select distinct l.entity0, l.entity1, l.link from l_artist_url l where l.entity0 in (select artist_id from {src})) l
+        join url u on u.id = l.entity1 join link lk on lk.id = l.link group by l.entity0)"""
+
+
+register("q7_artist_recommendations", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" + CTE_RECOMMENDABLE + ",\n" +
+         cte_single(SEEDS_SQL, SEEDS_SQL + ", " + BL_SQL, "and v.artist_id in (select id from recable)") + """,
+top AS (select * from ranked where rank <= 5),
+""" + cte_enrich_artists("top") + """
+select top.rank, top.artist_id, a.gid, a.name, coalesce(eg.genres, []) genres, coalesce(eu.urls, []) urls,
+       eu.official_site, round(top.distance, 6) distance, 'ok' status
+from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id left join eu on eu.id = top.artist_id""")
