@@ -221,14 +221,14 @@ def rg_length(cat, rg_ids: DataFrame | None = None) -> DataFrame:
     release id) among editions with that track count."""
     first = original_edition(cat, rg_ids)
     rs = release_stats(cat, rg_ids)
-    orig = first.join(rs.select("release_id", F.col("tracks").alias("original_tracks")), "release_id") \
-        .select("release_group", "original_tracks")
-    return (orig.join(rs, (orig.release_group == rs.release_group) & (orig.original_tracks == rs.tracks))
-            .groupBy(orig.release_group, orig.original_tracks)
-            .agg(F.min_by(F.when(rs.length.isNotNull(), F.struct(rs.release_id, rs.length)),
-                          F.when(rs.length.isNotNull(), rs.release_id)).alias("_f"))
-            .select(orig.release_group.alias("release_group"),
-                    orig.original_tracks.alias("tracks"), F.col("_f.length").alias("length")))
+    orig = first.join(rs.select(F.col("release_id"), F.col("tracks").alias("original_tracks")),
+                      "release_id").select("release_group", "original_tracks")
+    cand = rs.select("release_group", F.col("tracks").alias("original_tracks"),
+                     F.col("release_id").alias("rid"), F.col("length").alias("len"))
+    return (orig.join(cand, ["release_group", "original_tracks"])
+            .groupBy("release_group", "original_tracks")
+            .agg(F.min_by(F.col("len"), F.when(F.col("len").isNotNull(), F.col("rid"))).alias("length"))
+            .select("release_group", F.col("original_tracks").alias("tracks"), "length"))
 
 
 def rg_artists(cat, rg_ids: DataFrame | None = None) -> DataFrame:
@@ -244,6 +244,13 @@ def rg_artists(cat, rg_ids: DataFrame | None = None) -> DataFrame:
         .select("release_group", "artist", "name").distinct()
 
 
+def rg_artist_names(ra: DataFrame) -> DataFrame:
+    """string_agg(distinct name, ', ' order by name); null when no name."""
+    s = F.array_sort(F.collect_set("name"))
+    return ra.groupBy("release_group").agg(
+        F.when(F.size(s) > 0, F.array_join(s, ", ")).alias("artist"))
+
+
 def enrich_albums(cat, ranked: DataFrame, key: str = "id") -> DataFrame:
     """Q8 enrichment: id, gid, title, artist, genres, tracks, length; keeps ``rank``.
 
@@ -252,8 +259,7 @@ def enrich_albums(cat, ranked: DataFrame, key: str = "id") -> DataFrame:
     first = original_edition(cat, ids)
     lens = rg_length(cat, ids)
     ra = rg_artists(cat, ids)
-    names = (ra.groupBy("release_group")
-             .agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("artist")))
+    names = rg_artist_names(ra)
     tag = cat["tag"].select(F.col("id").alias("tag"), F.col("name").alias("gname"))
     genre = cat["genre"].select(F.col("name").alias("gname"))
     gen = (ra.select("release_group", "artist").distinct()

@@ -170,3 +170,162 @@ top AS (select * from ranked where rank <= 5),
 select top.rank, top.artist_id, a.gid, a.name, coalesce(eg.genres, []) genres, coalesce(eu.urls, []) urls,
        eu.official_site, round(top.distance, 6) distance, 'ok' status
 from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id left join eu on eu.id = top.artist_id""")
+
+# ----------------------------------------------------------------- albums
+
+
+def mode_sql(col: str, src: str = "release", key: str = "release_group") -> str:
+    """A4 in plain SQL: most frequent non-null value, ties -> lowest."""
+    return f"""m_{col} AS (select {key}, {col} from (select {key}, {col}, row_number() over (partition by {key} order by count(*) desc, {col}) rn
+        from {src} where {col} is not null group by {key}, {col}) x where rn = 1)"""
+
+
+CTE_Q3 = ",\n".join([
+    """atl AS (select r.release_group, rt.tag tag_id from release r join release_tag rt on rt.release = r.id
+  union all select rgt.release_group, rgt.tag from release_group_tag rgt)""",
+    "tcl AS (select atl.release_group, atl.tag_id, g.id genre_id from atl join tag t on t.id = atl.tag_id left join genre g on g.name = t.name)",
+    """tb AS (select release_group, list_sort(array_agg(distinct cast(tag_id as int))) tag_ids from
+  (select release_group, tag_id, count(*) n from tcl where genre_id is null group by release_group, tag_id) x where n > 1 group by release_group)""",
+    """gb AS (select release_group, list_sort(array_agg(distinct cast(genre_id as int))) genre_ids from
+  (select release_group, genre_id, count(*) n from tcl where genre_id is not null group by release_group, genre_id) x where n > 0 group by release_group)""",
+    mode_sql("status"), mode_sql("language"), mode_sql("script"),
+    """st AS (select release_group, list_sort(array_agg(distinct cast(secondary_type as int))) secondary_type_ids
+  from release_group_secondary_type_join group by release_group)""",
+    """q3 AS (select rg.id, cast(rg.type as int) type, cast(rgm.first_release_date_year as int) AS year,
+  coalesce(tb.tag_ids, cast([] as int[])) tag_ids, coalesce(gb.genre_ids, cast([] as int[])) genre_ids,
+  cast(ms.status as int) status, cast(ml.language as int) language, cast(mc.script as int) script,
+  coalesce(st.secondary_type_ids, cast([] as int[])) secondary_type_ids
+  from release_group rg left join release_group_meta rgm on rgm.id = rg.id
+  left join tb on tb.release_group = rg.id left join gb on gb.release_group = rg.id
+  left join m_status ms on ms.release_group = rg.id left join m_language ml on ml.release_group = rg.id
+  left join m_script mc on mc.release_group = rg.id left join st on st.release_group = rg.id)"""])
+
+register("q3_rg_features", "WITH " + CTE_Q3 + " select * from q3")
+register("a4_release_modes", "WITH " + ",\n".join([mode_sql("status"), mode_sql("language"), mode_sql("script")]) + """,
+rgs AS (select distinct release_group from release)
+select rgs.release_group, ms.status, ml.language, mc.script from rgs left join m_status ms using (release_group)
+  left join m_language ml using (release_group) left join m_script mc using (release_group)""")
+register("a5_secondary_types", """select release_group, list_sort(array_agg(distinct cast(secondary_type as int))) secondary_type_ids
+  from release_group_secondary_type_join group by release_group""")
+
+EDITION_CASE = """case when lower(r.name) like '%super deluxe%' then 1 when lower(r.name) like '%deluxe%' then 1
+  when lower(r.name) like '%expanded%' then 1 when lower(r.name) like '%anniversary%' then 1
+  when lower(r.name) like '%bonus%' then 1 when lower(r.name) like '%collector%' then 1 else 0 end"""
+
+CTE_FIRST = f"""fr AS (select release_group, release_id from (select r.release_group, r.id release_id,
+  row_number() over (partition by r.release_group order by {EDITION_CASE},
+    coalesce(rc.date_year, ruc.date_year) nulls last, coalesce(rc.date_month, ruc.date_month) nulls last,
+    coalesce(rc.date_day, ruc.date_day) nulls last, r.id) rn
+  from release r left join release_country rc on rc.release = r.id
+  left join release_unknown_country ruc on ruc.release = r.id and rc.release is null) x where rn = 1)"""
+
+CTE_RS = """rs AS (select r.release_group, r.id release_id, count(t.id) tracks, cast(sum(t.length) as bigint) length
+  from release r join medium m on m.release = r.id join track t on t.medium = m.id group by r.release_group, r.id)"""
+
+CTE_LEN = CTE_FIRST + ",\n" + CTE_RS + """,
+ors AS (select fr.release_group, rs.tracks original_tracks from fr join rs on rs.release_id = fr.release_id),
+rts AS (select ors.release_group, ors.original_tracks tracks,
+  (list(rs.length order by rs.release_id) filter (where rs.length is not null))[1] length
+  from ors join rs on rs.release_group = ors.release_group and rs.tracks = ors.original_tracks
+  group by ors.release_group, ors.original_tracks)"""
+
+register("w1_original_edition", "WITH " + CTE_FIRST + " select release_group, release_id from fr")
+register("a7_release_stats", "WITH " + CTE_RS + " select * from rs")
+register("a8_rg_length", "WITH " + CTE_LEN + " select release_group, tracks, length from rts")
+
+CTE_RGART = """rgart AS (select distinct r.release_group, a.id artist, a.name from release r
+  join artist_credit ac on ac.id = r.artist_credit join artist_credit_name acn on acn.artist_credit = ac.id
+  join artist a on a.id = acn.artist)"""
+register("a9_rg_artists", "WITH " + CTE_RGART + """
+select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist from rgart group by release_group""")
+
+CTE_BACKFILL = """empty AS (select id from q3 where len(genre_ids) = 0),
+bl AS (select r.release_group id, atg.tag tag_id from empty e join release r on r.release_group = e.id
+  join artist_credit ac on ac.id = r.artist_credit join artist_credit_name acn on acn.artist_credit = ac.id
+  join artist_tag atg on atg.artist = acn.artist),
+btb AS (select id, list_sort(array_agg(distinct cast(tag_id as int))) tag_ids from (select id, tag_id, count(*) n from bl group by id, tag_id) x where n > 1 group by id),
+bgb AS (select bl.id, list_sort(array_agg(distinct cast(g.id as int))) genre_ids from bl join tag t on t.id = bl.tag_id join genre g on g.name = t.name group by bl.id),
+bf AS (select e.id, coalesce(btb.tag_ids, cast([] as int[])) tag_ids, coalesce(bgb.genre_ids, cast([] as int[])) genre_ids
+  from empty e left join btb on btb.id = e.id left join bgb on bgb.id = e.id),
+q3b AS (select q3.id, q3.type, q3.year,
+  case when len(q3.tag_ids) = 0 and bf.id is not null then bf.tag_ids else q3.tag_ids end tag_ids,
+  case when len(q3.genre_ids) = 0 and bf.id is not null then bf.genre_ids else q3.genre_ids end genre_ids,
+  q3.status, q3.language, q3.script, q3.secondary_type_ids from q3 left join bf on bf.id = q3.id)"""
+
+register("k7_backfill_genres", "WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + " select id, tag_ids, genre_ids from q3b")
+
+
+def cte_types(src: str, out: str) -> str:
+    return CTE_FIRST + f""",
+tmeta AS (select fr.release_group id, count(t.id) tn, sum(t.length) lm from fr join medium m on m.release = fr.release_id
+  join track t on t.medium = m.id where fr.release_group in (select id from {src} where type is null) group by fr.release_group),
+tcls AS (select id, case when tn is null or lm is null then null when tn > 8 or lm > 1800000 then 1
+  when tn = 1 and lm < 420000 then 2 else 3 end t from tmeta),
+{out} AS (select s.* replace (cast(coalesce(s.type, tcls.t) as int) as type) from {src} s left join tcls on tcls.id = s.id)"""
+
+
+register("k10_infer_types", "WITH " + CTE_Q3 + ",\n" + cte_types("q3", "q3t") + " select id, type from q3t")
+register("q5_album_model_data", "WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + ",\n" + cte_types("q3b", "q5") +
+         " select * from q5")
+
+CTE_STATS = """stats AS (select
+  (select type from (select type, count(*) c from {d} where type is not null group by type order by c desc, type limit 1)) type,
+  (select status from (select status, count(*) c from {d} where status is not null group by status order by c desc, status limit 1)) status,
+  (select language from (select language, count(*) c from {d} where language is not null group by language order by c desc, language limit 1)) language,
+  (select script from (select script, count(*) c from {d} where script is not null group by script order by c desc, script limit 1)) script,
+  (select cast(cast(avg(year) as float) as double) from {d}) AS year)"""
+
+register("k11_imputer_stats", "WITH " + CTE_Q3 + ",\n" + CTE_STATS.format(d="q3") + """
+select cast(type as double) type, cast(status as double) status, cast(language as double) language,
+       cast(script as double) script, year from stats""")
+
+
+def cte_album_knn(seeds: str, excl: str, top_n: int, genre_filter: str | None) -> str:
+    n_excl = len(set(seeds.split(",")) | set(excl.split(",")))
+    gf = f"and len(list_intersect(c.genre_ids, [{genre_filter}])) > 0" if genre_filter else ""
+    return CTE_STATS.format(d="q3") + f""",
+imp AS (select q3.id, cast(coalesce(cast(cast(q3.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q3.status as float) as double), stats.status) s1, coalesce(cast(cast(q3.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q3.script as float) as double), stats.script) s3, coalesce(cast(cast(q3.year as float) as double), stats.year) s4,
+  q3.tag_ids, q3.genre_ids, q3.secondary_type_ids from q3, stats),
+sd AS (select * from q3 where id in ({seeds})),
+prof AS (select
+  (select type from (select type, count(*) c from sd where type is not null group by type order by c desc, type limit 1)) type,
+  (select status from (select status, count(*) c from sd where status is not null group by status order by c desc, status limit 1)) status,
+  (select language from (select language, count(*) c from sd where language is not null group by language order by c desc, language limit 1)) language,
+  (select script from (select script, count(*) c from sd where script is not null group by script order by c desc, script limit 1)) script,
+  (select cast(round_even(avg(year), 0) as int) from sd) AS year,
+  (select list_sort(list_distinct(flatten(list(tag_ids)))) from sd) tag_ids,
+  (select list_sort(list_distinct(flatten(list(genre_ids)))) from sd) genre_ids,
+  (select list_sort(list_distinct(flatten(list(secondary_type_ids)))) from sd) secondary_type_ids),
+p AS (select coalesce(cast(cast(prof.type as float) as double), stats.type) s0, coalesce(cast(cast(prof.status as float) as double), stats.status) s1,
+  coalesce(cast(cast(prof.language as float) as double), stats.language) s2, coalesce(cast(cast(prof.script as float) as double), stats.script) s3,
+  coalesce(cast(cast(prof.year as float) as double), stats.year) s4, prof.tag_ids, prof.genre_ids, prof.secondary_type_ids from prof, stats),
+sc AS (select c.id, c.genre_ids,
+  c.s0 * p.s0 + c.s1 * p.s1 + c.s2 * p.s2 + c.s3 * p.s3 + c.s4 * p.s4 + len(list_intersect(c.tag_ids, p.tag_ids))
+    + len(list_intersect(c.genre_ids, p.genre_ids)) + len(list_intersect(c.secondary_type_ids, p.secondary_type_ids)) dot,
+  c.s0 * c.s0 + c.s1 * c.s1 + c.s2 * c.s2 + c.s3 * c.s3 + c.s4 * c.s4 + len(c.tag_ids) + len(c.genre_ids) + len(c.secondary_type_ids) nc,
+  p.s0 * p.s0 + p.s1 * p.s1 + p.s2 * p.s2 + p.s3 * p.s3 + p.s4 * p.s4 + len(p.tag_ids) + len(p.genre_ids) + len(p.secondary_type_ids) np
+  from imp c, p),
+dist AS (select id, genre_ids, case when nc > 0 and np > 0 then 1 - dot / (sqrt(np) * sqrt(nc)) else 1 end distance from sc),
+win AS (select * from dist order by round(distance, 12), id limit least((select count(*) from q3), {top_n} + {n_excl} + 200)),
+kept AS (select c.id, c.distance from win c where c.id not in ({excl}) {gf}),
+ranked AS (select id, distance, row_number() over (order by round(distance, 12), id) rank from kept)"""
+
+
+register("k5_album_knn", "WITH " + CTE_Q3 + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, None) +
+         " select rank, id, round(distance, 12) distance from ranked where rank <= 10")
+register("k5_album_knn_genre_filter", "WITH " + CTE_Q3 + ",\n" +
+         cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, ", ".join(str(i) for i in range(1, 21))) +
+         " select rank, id, round(distance, 12) distance from ranked where rank <= 10")
+register("q8_album_recommendations", "WITH " + CTE_Q3 + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, None) + """,
+top AS (select * from ranked where rank <= 10),
+""" + CTE_LEN + ",\n" + CTE_RGART + """,
+names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist from rgart group by release_group),
+gen AS (select x.release_group, list_sort(array_agg(distinct g.name)) genres from (select distinct release_group, artist from rgart) x
+  join artist_tag atg on atg.artist = x.artist join tag t on t.id = atg.tag join genre g on g.name = t.name group by x.release_group)
+select top.rank, top.id, rg.gid, rg.name title, names.artist, coalesce(gen.genres, cast([] as varchar[])) genres,
+  rts.tracks, rts.length, round(top.distance, 12) distance
+from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
+left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
+join names on names.release_group = top.id""")
