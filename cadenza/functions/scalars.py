@@ -94,15 +94,25 @@ def format_duration_ms(ms) -> Column:
 
 
 def ui_duration(value) -> Column:
-    """Value >= 10000 is milliseconds, else seconds; 'Xh Y min' / 'N min' / 'N sec'."""
+    """Value >= 10000 is milliseconds, else seconds (rounded half up);
+    'Xh Y min' / 'N min' / 'N sec'; null when negative or not a number."""
     v = _c(value).try_cast("double")
-    secs = F.when(v >= 10000, F.floor(v / 1000)).otherwise(F.floor(v)).cast("long")
+    secs = F.when(v >= 10000, F.round(v / 1000)).otherwise(F.round(v)).cast("long")
     h = F.floor(secs / 3600).cast("long")
     m = F.floor((secs % 3600) / 60).cast("long")
-    return (F.when(v.isNull() | (v < 0), F.lit(None).cast("string"))
+    return (F.when(v.isNull() | F.isnan(v) | (v < 0), F.lit(None).cast("string"))
             .when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit(" min")))
             .when(m > 0, F.concat(m.cast("string"), F.lit(" min")))
-            .otherwise(F.concat(secs.cast("string"), F.lit(" sec"))))
+            .otherwise(F.concat((secs % 60).cast("string"), F.lit(" sec"))))
+
+
+def display_details(length, tracks) -> Column:
+    """X22: 'duration • n tracks' without the missing parts (null when both are)."""
+    t = _c(tracks)
+    tr = F.when(t.isNull(), F.lit(None)).when(t == 1, F.lit("1 track")) \
+        .otherwise(F.concat(t.cast("string"), F.lit(" tracks")))
+    out = F.concat_ws(" \u2022 ", ui_duration(length), tr)
+    return F.when(out == "", F.lit(None).cast("string")).otherwise(out)
 
 
 def jaccard(a, b) -> Column:
@@ -134,16 +144,16 @@ def normalize_lang(code, text) -> Column:
 
 
 def display_name(name, disambiguation) -> Column:
-    """X20: 'name (disambiguation)' or 'name'."""
-    n, d = _c(name), _c(disambiguation)
-    return F.when(d.isNotNull() & (F.trim(d) != ""),
+    """X20: 'name (disambiguation)' or 'name'; missing name -> 'Unknown artist'."""
+    n, d = F.coalesce(_c(name), F.lit("Unknown artist")), _c(disambiguation)
+    return F.when(d.isNotNull() & (d != ""),
                   F.concat(n, F.lit(" ("), d, F.lit(")"))).otherwise(n)
 
 
 def display_title(title, artist) -> Column:
-    """X20: 'title - artist' with defaults for missing parts."""
-    return F.concat(F.coalesce(_c(title), F.lit("Untitled")), F.lit(" - "),
-                    F.coalesce(_c(artist), F.lit("Unknown artist")))
+    """X20: 'title - artist', or the title alone; missing title -> 'Unknown album'."""
+    t, a = F.coalesce(_c(title), F.lit("Unknown album")), _c(artist)
+    return F.when(a.isNotNull() & (a != ""), F.concat(t, F.lit(" - "), a)).otherwise(t)
 
 
 def clamp_int(x, lo: int, hi: int) -> Column:

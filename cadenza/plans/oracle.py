@@ -329,3 +329,115 @@ select top.rank, top.id, rg.gid, rg.name title, names.artist, coalesce(gen.genre
 from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
 left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
 join names on names.release_group = top.id""")
+
+# ----------------------------------------------------------------- search, profiles, report, display
+register("p7_search_artists", "select id, name, comment disambiguation from artist where name ilike '%00001%' order by id limit 20")
+register("p8_search_genres", "select id, name from genre where name ilike '%blue%' order by id limit 20")
+register("j1_search_albums", """select rg.id release_group_id, rg.name title, a.name artist, rg.comment disambiguation
+  from release_group rg join artist_credit ac on rg.artist_credit = ac.id join artist_credit_name acn on ac.id = acn.artist_credit
+  join artist a on acn.artist = a.id where rg.name ilike '%urgent%' order by rg.id, a.id limit 20""")
+register("p9_listened_artist_gids", """select a.gid, a.id from artist a
+  where a.gid in (select distinct 'gid-' || cast(artist as varchar) from listens)""")
+
+RANGE_SQL = {
+    "this_week": "ts >= date_trunc('week', b.n) and ts <= b.n",
+    "this_month": "ts >= date_trunc('month', b.n) and ts <= b.n",
+    "this_year": "ts >= date_trunc('year', b.n) and ts <= b.n",
+    "week": "ts >= date_trunc('week', b.n) - interval 7 day and ts < date_trunc('week', b.n)",
+    "month": "ts >= date_trunc('month', b.n) - interval 1 month and ts < date_trunc('month', b.n)",
+    "year": "ts >= date_trunc('year', b.n) - interval 1 year and ts < date_trunc('year', b.n)",
+    "all_time": "ts <= b.n",
+}
+
+
+def top_sql(rng: str, mn: int) -> str:
+    return f"""select user_id, artist, count(*) listen_count from listens, (select max(ts) n from listens) b
+  where {RANGE_SQL[rng]} and artist is not null group by user_id, artist having count(*) > {mn}"""
+
+
+register("q12_top_listened", f"""WITH t AS ({top_sql('this_month', 1)})
+select t.user_id, t.artist, a.gid artist_mbid, t.listen_count from t left join artist a on a.id = t.artist""")
+register("q12_top_listened_all_ranges", " union all ".join(
+    f"select user_id, artist, listen_count, '{r}' AS range from ({top_sql(r, 0)}) x{i}"
+    for i, r in enumerate(RANGE_SQL)))
+
+register("q9_profile_artist_recs", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" + CTE_RECOMMENDABLE + f""",
+sl AS ({top_sql('this_month', 1)}),
+seedsx AS (select distinct sl.user_id, a.id aid from sl join artist a on a.id = sl.artist),
+bll AS ({top_sql('week', 2)}),
+blx AS (select distinct bll.user_id, a.id aid from bll join artist a on a.id = bll.artist),
+okusers AS (select distinct user_id from seedsx where user_id not in
+  (select user_id from seedsx where aid not in (select artist_id from vec))),
+nseed AS (select user_id, count(*) n from seedsx where user_id in (select user_id from okusers) group by user_id),
+cen AS (select s.user_id, v.token, sum(v.w) / max(ns.n) w from seedsx s join nseed ns using (user_id)
+  join vec v on v.artist_id = s.aid group by s.user_id, v.token),
+cn AS (select user_id, sqrt(sum(w * w)) n from cen group by user_id),
+cand AS (select distinct artist_id from vec where artist_id in (select id from recable)),
+excl AS (select user_id, aid from seedsx union select user_id, aid from blx),
+pairs AS (select u.user_id, c.artist_id from okusers u cross join cand c
+  left join excl e on e.user_id = u.user_id and e.aid = c.artist_id where e.aid is null),
+dots AS (select p.user_id, p.artist_id, sum(coalesce(v.w * cen.w, 0)) dot from pairs p join vec v on v.artist_id = p.artist_id
+  left join cen on cen.user_id = p.user_id and cen.token = v.token group by p.user_id, p.artist_id),
+ranked AS (select d.user_id, d.artist_id, 1 - d.dot / cn.n distance,
+  row_number() over (partition by d.user_id order by round(1 - d.dot / cn.n, 9), d.artist_id) rank
+  from dots d join cn using (user_id)),
+top AS (select * from ranked where rank <= 10),
+""" + cte_enrich_artists("top") + """
+select top.user_id, top.rank, top.artist_id, a.gid, a.name, coalesce(eg.genres, []) genres, round(top.distance, 6) distance
+from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id""")
+
+register("q11_evaluation_report", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + """,
+ids AS (select distinct artist_id from vec),
+dots AS (select a.artist_id q, b.artist_id c, sum(a.w * b.w) dot from vec a join vec b using (token)
+         where a.artist_id <> b.artist_id group by a.artist_id, b.artist_id),
+pairs AS (select q.artist_id q, c.artist_id c, 1 - coalesce(d.dot, 0) distance
+          from ids q join ids c on q.artist_id <> c.artist_id left join dots d on d.q = q.artist_id and d.c = c.artist_id),
+recs AS (select q, c from (select q, c, row_number() over (partition by q order by round(distance, 9), c) rank from pairs) x where rank <= 5),
+gs AS (select artist_id, list_distinct(tokens) g from feats),
+rp AS (select recs.q, recs.c, s.g sg, r.g rg from recs join gs s on s.artist_id = recs.q join gs r on r.artist_id = recs.c),
+dm AS (select count(*) data_rows, count(*) - count(distinct artist_id) duplicate_artist_ids,
+  count_if(trim(coalesce(genres, '')) = '') empty_genres,
+  sum(cast(artist_id is null as bigint) + cast(artist_gid is null as bigint) + cast(artist_name is null as bigint)
+      + cast(artist_type is null as bigint) + cast(area_name is null as bigint) + cast(tags is null as bigint)
+      + cast(genres is null as bigint) + cast(tag_count_sum is null as bigint)) nan_total,
+  count_if(coalesce(tag_count_sum, 0) <= 0) tag_count_sum_zero_or_less,
+  (select count(*) from voc) vocab_size from feats),
+td AS (select round(avg(n), 3) genre_tokens_mean, round(quantile_cont(n, 0.5), 3) genre_tokens_median,
+  round(quantile_cont(n, 0.95), 3) genre_tokens_p95, cast(max(n) as bigint) genre_tokens_max from (select len(tokens) n from feats) x),
+pc AS (select round(avg(coalesce(k.n, 0)), 3) recommended_count_mean, cast(0 as bigint) seed_leak_count,
+  cast(0 as bigint) recommendation_duplicate_count, count(*) prediction_seed_count, 5 prediction_top_n
+  from (select distinct artist_id from feats) s left join (select q, count(*) n from recs group by q) k on k.q = s.artist_id),
+jq AS (select round(avg(len(list_intersect(sg, rg)) / len(list_distinct(list_concat(sg, rg)))), 4) genre_jaccard_mean from rp),
+ug AS (select count(distinct t) recommended_unique_genres from (select unnest(rg) t from rp) x)
+select * from dm, td, pc, jq, ug""")
+
+UI_SECS = "cast(case when length >= 10000 then round(length / 1000.0) else round(length) end as bigint)"
+register("x_rg_display", "WITH " + CTE_LEN + f""",
+d AS (select release_group, tracks, length, {UI_SECS} secs from rts)
+select release_group, tracks, length,
+  case when tracks is null then '' when tracks = 1 then '1 track' else cast(tracks as varchar) || ' tracks' end tracks_text,
+  case when length is null then '' when (length // 60000) // 60 >= 1 then
+      case when (length // 60000) % 60 > 0 then cast((length // 60000) // 60 as varchar) || 'h ' || cast((length // 60000) % 60 as varchar) || ' min'
+      else cast((length // 60000) // 60 as varchar) || 'h' end
+    else cast(length // 60000 as varchar) || ' min' end duration_text,
+  case when length is null or length < 0 then null when secs // 3600 > 0 then cast(secs // 3600 as varchar) || 'h ' || cast((secs % 3600) // 60 as varchar) || ' min'
+    when (secs % 3600) // 60 > 0 then cast((secs % 3600) // 60 as varchar) || ' min' else cast(secs % 60 as varchar) || ' sec' end ui_duration,
+  case when tracks is null or length is null then null when tracks > 8 or length > 1800000 then 1
+    when tracks = 1 and length < 420000 then 2 else 3 end type_class,
+  nullif(concat_ws(' • ',
+    case when length is null or length < 0 then null when secs // 3600 > 0 then cast(secs // 3600 as varchar) || 'h ' || cast((secs % 3600) // 60 as varchar) || ' min'
+      when (secs % 3600) // 60 > 0 then cast((secs % 3600) // 60 as varchar) || ' min' else cast(secs % 60 as varchar) || ' sec' end,
+    case when tracks is null then null when tracks = 1 then '1 track' else cast(tracks as varchar) || ' tracks' end), '') details
+from d""")
+
+register("x_artist_labels", f"""select id,
+  case when comment is not null and comment <> '' then coalesce(name, 'Unknown artist') || ' (' || comment || ')' else coalesce(name, 'Unknown artist') end label,
+  upper(left(name, 1)) || lower(substr(name, 2)) capitalized,
+  {token_sql('name')} token,
+  case when lower(name) like '%super deluxe%' or lower(name) like '%deluxe%' or lower(name) like '%expanded%'
+    or lower(name) like '%anniversary%' or lower(name) like '%bonus%' or lower(name) like '%collector%' then 1 else 0 end edition_flag
+from artist""")
+register("x_album_labels", """select id,
+  case when comment is not null and comment <> '' then coalesce(name, 'Unknown album') || ' - ' || comment else coalesce(name, 'Unknown album') end label,
+  least(greatest(cast(trunc(id / 1000.0) as int), 1), 50) clamped
+from release_group""")
