@@ -25,12 +25,19 @@ _CATALOGS: dict = {}
 
 
 def catalog(spark: SparkSession, sf_dir: str):
+    """Catalogue for a data directory: the FIXTURES.md views over the supplied
+    tables, unless a materialised catalogue was registered with ``use_catalog``."""
     key = (id(spark), sf_dir)
     if key not in _CATALOGS:
         _CATALOGS[key] = fixture_catalog(spark, sf_dir)
     return _CATALOGS[key]
 
 
+def use_catalog(spark: SparkSession, sf_dir: str, cat) -> None:
+    """Serve ``cat`` (for example ``load_catalog`` of written tables) for ``sf_dir``."""
+    _CATALOGS[(id(spark), sf_dir)] = cat
+
+
 def query(name: str):
     def deco(fn):
         QUERIES[name] = fn
