@@ -95,9 +95,14 @@ def artist_features_scoped(cat, min_tag_count: int = 1, max_artists: int | None
     if skip_extended:
         ext = None
     else:
-        scope = rows.select(F.col("artist_id").alias("id")).distinct() if max_artists else None
-        ext = genre_tokens(extended_genres(cat, n, scope), "id", "genre", "ext_tokens") \
-            .withColumnRenamed("id", "artist_id")
+        if max_artists:
+            # scoped artists: release/RG genres plus recording genres for everyone
+            scope = rows.select(F.col("artist_id").alias("id")).distinct()
+            pairs = extended_genres(cat, n, scope)
+        else:
+            # whole catalogue: primary genres, recording genres only as fallback
+            pairs = training_genres(cat, n)
+        ext = genre_tokens(pairs, "id", "genre", "ext_tokens").withColumnRenamed("id", "artist_id")
     if ext is not None:
         roll = roll.join(ext, "artist_id", "left")
         toks = F.concat("tag_tokens", F.coalesce("ext_tokens", F.array().cast("array<string>")))

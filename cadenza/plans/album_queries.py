@@ -106,3 +106,8 @@ def q8(spark, sf):
 def q5(spark, sf):
     m = album_model(spark, sf, backfill=True, language=False, types=True)
     return m.data
+
+
+@query("k12_label_vocabulary")
+def k12(spark, sf):
+    return albums.label_vocabulary(albums.rg_features(catalog(spark, sf)))

@@ -135,3 +135,18 @@ def q7(spark, sf):
     return e.select("rank", "artist_id", "gid", "name", "genres",
                     F.transform("urls", lambda u: u["url"]).alias("urls"), "official_site",
                     F.round("distance", 6).alias("distance"), "status")
+
+
+# ----------------------------------------------------------------- Q2, K14
+from cadenza.operators.artists import artist_features_scoped, weighted_tokens  # noqa: E402
+
+
+@query("q2_artist_features_with_tags")
+def q2(spark, sf):
+    return artist_features_scoped(catalog(spark, sf)).select(*Q1_COLS)
+
+
+@query("k14_weighted_capped_tokens")
+def k14(spark, sf):
+    """Source-weighted tf (artist 4, RG 3, release 2, recording 1), 30 tokens per artist."""
+    return weighted_tokens(catalog(spark, sf), weights=(4, 3, 2, 1), cap=30)

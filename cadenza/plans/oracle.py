@@ -441,3 +441,37 @@ register("x_album_labels", """select id,
   case when comment is not null and comment <> '' then coalesce(name, 'Unknown album') || ' - ' || comment else coalesce(name, 'Unknown album') end label,
   least(greatest(cast(trunc(id / 1000.0) as int), 1), 50) clamped
 from release_group""")
+
+# ----------------------------------------------------------------- Q2, K12, K14
+register("q2_artist_features_with_tags", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, cte_prim(1), cte_train(1)]) + f""",
+rowsx AS (select a.id artist_id, a.gid artist_gid, a.name artist_name, aty.name artist_type, ar.name area_name,
+  t.name tag, atg.count tag_count, g.name genre
+  from artist a left join artist_type aty on aty.id = a.type left join area ar on ar.id = a.area
+  left join artist_tag atg on atg.artist = a.id and atg.count >= 1 left join tag t on t.id = atg.tag
+  left join genre g on lower(g.name) = lower(t.name) where {ELIGIBLE_A}),
+sums AS (select artist_id, artist_gid, artist_name, artist_type, area_name,
+  cast(sum(greatest(coalesce(tag_count, 0), 0)) as bigint) tag_count_sum from rowsx
+  group by artist_id, artist_gid, artist_name, artist_type, area_name),
+tagk AS (select artist_id, min(trim(tag)) s from rowsx where tag is not null and trim(tag) <> '' group by artist_id, lower(trim(tag))),
+tagstr AS (select artist_id, array_to_string(list_sort(list(s)), ' ') tags from tagk group by artist_id),
+""" + cte_tokens("rowsx", "tgen", key="artist_id") + ",\n" + cte_tokens("train", "ext") + """
+select s.artist_id, s.artist_gid, s.artist_name, s.artist_type, s.area_name, coalesce(tagstr.tags, '') tags,
+  array_to_string(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, [])), ' ') genres, s.tag_count_sum
+from sums s left join tagstr using (artist_id) left join tgen on tgen.id = s.artist_id left join ext on ext.id = s.artist_id
+where len(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, []))) > 0""")
+
+register("k12_label_vocabulary", "WITH " + CTE_Q3 + """,
+lab AS (select distinct 'tag_ids' AS "column", unnest(tag_ids) label from q3
+  union select distinct 'genre_ids', unnest(genre_ids) from q3
+  union select distinct 'secondary_type_ids', unnest(secondary_type_ids) from q3)
+select "column", label, row_number() over (partition by "column" order by label) - 1 AS "index" from lab""")
+
+register("k14_weighted_capped_tokens", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, CTE_CREC_ALL]) + f""",
+parts AS (
+  select distinct atg.artist id, tg.genre, 4 w from artist_tag atg join tg on tg.tag = atg.tag where atg.count >= 1
+  union all select distinct crg.id, tg.genre, 3 from crg join release_group_tag t on t.release_group = crg.release_group_id and t.count >= 1 join tg on tg.tag = t.tag
+  union all select distinct crel.id, tg.genre, 2 from crel join release_tag t on t.release = crel.release_id and t.count >= 1 join tg on tg.tag = t.tag
+  union all select distinct crec.id, tg.genre, 1 from crec join recording_tag t on t.recording = crec.recording_id and t.count >= 1 join tg on tg.tag = t.tag),
+tf AS (select p.id, {token_sql('p.genre')} token, cast(sum(p.w) as double) tf from parts p
+  where p.id in (select a.id from artist a where {ELIGIBLE_A}) and {token_sql('p.genre')} <> '' group by all)
+select id, token, tf from (select *, row_number() over (partition by id order by token) r from tf) x where r <= 30""")
