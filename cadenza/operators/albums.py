@@ -98,13 +98,19 @@ class AlbumModel:
 
 
 def build_album_model(cat, features: DataFrame | None = None, staging: str = "checkpoint",
-                      backfill: bool = False, language: bool = False, types: bool = True) -> AlbumModel:
-    """Features -> optional stages -> imputers -> vectors, each stage staged."""
+                      backfill: bool = False, language: bool = False, types: bool = True,
+                      lang_model: DataFrame | None = None) -> AlbumModel:
+    """Features -> optional stages (K7 backfill, K8 language, K10 types) ->
+    imputers -> vectors; each stage is fitted once and its lineage cut."""
     from cadenza.operators.imputers import backfill_genres, infer_types
+    from cadenza.operators.langid import infer_language, train_langid
     df = features if features is not None else rg_features(cat)
     df = stage(df, staging)
     if backfill:
         df = stage(backfill_genres(df, cat), staging)
+    if language:
+        lm = lang_model if lang_model is not None else stage(train_langid(cat["documents"]), staging)
+        df = stage(infer_language(df, cat, lm), staging)
     if types:
         df = stage(infer_types(df, cat), staging)
     stats = fit_imputers(df).first()      # one row of five numbers

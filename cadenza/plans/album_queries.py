@@ -104,10 +104,52 @@ def q8(spark, sf):
 
 @query("q5_album_model_data")
 def q5(spark, sf):
-    m = album_model(spark, sf, backfill=True, language=False, types=True)
+    """Q5: the staged album model data (backfill, language, types all switched on)."""
+    m = album_model(spark, sf, backfill=True, language=True, types=True)
     return m.data
 
 
+@query("k6_album_neighbours_all")
+def k6(spark, sf):
+    """K6: for every release group its 5 nearest (itself removed -> at most 4 rows)."""
+    m = album_model(spark, sf, **PLAIN)
+    req = m.data.select(F.col("id").alias("query_id"), F.lit(5).alias("top_n"))
+    r = albums.album_neighbours(m, req)
+    return r.select("query_id", "rank", "id", F.round("distance", 12).alias("distance"))
+
+
 @query("k12_label_vocabulary")
 def k12(spark, sf):
     return albums.label_vocabulary(albums.rg_features(catalog(spark, sf)))
+
+
+# ----------------------------------------------------------------- K9, K8
+from cadenza.operators import langid  # noqa: E402
+
+
+@query("k9_detect_documents")
+def k9(spark, sf):
+    docs = catalog(spark, sf)["documents"]
+    model = langid.train_langid(docs)
+    return langid.detect_language(docs.select(F.col("doc_id").alias("id"), "text"), model) \
+        .withColumnRenamed("id", "doc_id")
+
+
+@query("k9_langid_accuracy")
+def k9_acc(spark, sf):
+    """Hold-out accuracy: train on ~80 % of the documents (hash split), test on the rest."""
+    docs = catalog(spark, sf)["documents"]
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = langid.train_langid(docs.where(~test))
+    t = docs.where(test)
+    det = langid.detect_language(t.select(F.col("doc_id").alias("id"), "text"), model)
+    j = t.select(F.col("doc_id").alias("id"), "lang").join(det.withColumnRenamed("lang", "pred"), "id")
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
+                                 F.count_if(F.col("pred") == F.col("lang")).alias("correct"))
+
+
+@query("k8_infer_language")
+def k8(spark, sf):
+    cat = catalog(spark, sf)
+    model = langid.train_langid(cat["documents"])
+    return langid.infer_language(albums.rg_features(cat), cat, model).select("id", "language", "script")

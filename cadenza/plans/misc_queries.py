@@ -99,3 +99,32 @@ def x_album_labels(spark, sf):
     rg = catalog(spark, sf)["release_group"]
     return rg.select("id", X.display_title("name", "comment").alias("label"),
                      X.clamp_int(F.col("id") / 1000, 1, 50).alias("clamped"))
+
+
+# ----------------------------------------------------------------- digests, slim data
+from cadenza.operators.artists import slim  # noqa: E402
+from cadenza.operators.digest import album_digest  # noqa: E402
+from cadenza.operators.recommend import artist_digest  # noqa: E402
+from cadenza.plans.album_queries import PLAIN, ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST, album_model  # noqa: E402
+
+
+@query("s9_profile_artist_digests")
+def s9(spark, sf):
+    """One markdown digest per user from the profile recommendations (Q9)."""
+    cat = catalog(spark, sf)
+    req = profile.profile_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
+                                   BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
+    e = enrich_artists(cat, recommend_artists_batch(_model(spark, sf), cat, req))
+    return artist_digest(e).withColumnRenamed("request_id", "user_id")
+
+
+@query("s10_album_digest")
+def s10(spark, sf):
+    cat = catalog(spark, sf)
+    r = albums.recommend_albums(album_model(spark, sf, **PLAIN), ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST)
+    return album_digest(albums.enrich_albums(cat, r))
+
+
+@query("p10_slim_artist_data")
+def p10(spark, sf):
+    return slim(_model(spark, sf).features).drop("tokens")
