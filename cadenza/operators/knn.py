@@ -123,13 +123,24 @@ _OUT = T.StructType([
 ])
 
 
+QUERY_CHUNK = 1024      # query rows scored at once: the score matrix is <= 1024 x block
+KEY_CHUNK = 2048        # shared keys densified at once
+
+
+def _empty_out() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([], "int64"), "cand_id": pd.Series([], "int64"),
+                         "distance": pd.Series([], "float64")})
+
+
 def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS) -> pd.DataFrame:
-    """Score one (query block, candidate block) cell and keep each query's top-n."""
+    """Score one (query block, candidate block) cell and keep each query's top-n.
+
+    Memory stays bounded: queries are scored in chunks of ``QUERY_CHUNK`` rows and
+    the shared keys are densified ``KEY_CHUNK`` at a time.
+    """
     vec = qdf[qdf["kind"] == 0]
     if vec.empty or cdf.empty:
-        return pd.DataFrame({"query_id": pd.Series([], "int64"),
-                             "cand_id": pd.Series([], "int64"),
-                             "distance": pd.Series([], "float64")})
+        return _empty_out()
     q_ids, q_idx = np.unique(vec["query_id"].to_numpy(), return_inverse=True)
     c_ids, c_idx = np.unique(cdf["cand_id"].to_numpy(), return_inverse=True)
     qw = vec["w"].to_numpy(dtype=np.float64)
@@ -140,53 +151,71 @@ def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS)
                            return_inverse=True)
     qk, ck = kinv[:len(vec)], kinv[len(vec):]
     shared = np.intersect1d(qk, ck)
-    dots = np.zeros((len(q_ids), len(c_ids)))
-    if len(shared):
-        col = np.full(len(keys), -1)
-        col[shared] = np.arange(len(shared))
-        chunk = 4096
-        for s in range(0, len(shared), chunk):
-            lo, hi = s, min(s + chunk, len(shared))
-            qm = (col[qk] >= lo) & (col[qk] < hi)
-            cm = (col[ck] >= lo) & (col[ck] < hi)
-            Qm = np.zeros((len(q_ids), hi - lo))
-            Cm = np.zeros((len(c_ids), hi - lo))
-            np.add.at(Qm, (q_idx[qm], col[qk[qm]] - lo), qw[qm])
-            np.add.at(Cm, (c_idx[cm], col[ck[cm]] - lo), cw[cm])
-            dots += Qm @ Cm.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = 1.0 - dots / (qn[:, None] * cn[None, :])
-    dist[~np.isfinite(dist)] = 1.0
-    # exclusions (seeds, blacklist) are removed before the top-k
+    col = np.full(len(keys), -1)
+    col[shared] = np.arange(len(shared))
+    qcol, ccol = col[qk], col[ck]
+    topn_all = vec.groupby("query_id")["top_n"].max().reindex(q_ids).to_numpy().astype(np.int64)
     exc = qdf[qdf["kind"] == 1]
-    if not exc.empty:
-        qi = np.searchsorted(q_ids, exc["query_id"].to_numpy())
-        ci = np.searchsorted(c_ids, exc["xid"].to_numpy())
-        ok = (qi < len(q_ids)) & (ci < len(c_ids))
-        ok[ok] = (q_ids[qi[ok]] == exc["query_id"].to_numpy()[ok]) & \
-                 (c_ids[ci[ok]] == exc["xid"].to_numpy()[ok])
-        dist[qi[ok], ci[ok]] = np.inf
-    topn = vec.groupby("query_id")["top_n"].max().reindex(q_ids).to_numpy().astype(np.int64)
-    kmax = int(min(topn.max(), len(c_ids)))
-    rd = np.round(dist, digits)
-    kth = np.partition(rd, kmax - 1, axis=1)[:, kmax - 1]
-    r, c = np.nonzero(rd <= kth[:, None])
-    order = np.lexsort((c_ids[c], rd[r, c], r))
-    r, c = r[order], c[order]
-    first = np.searchsorted(r, np.arange(len(q_ids)))
-    pos = np.arange(len(r)) - first[r]
-    keep = (pos < topn[r]) & np.isfinite(rd[r, c])
-    r, c = r[keep], c[keep]
-    return pd.DataFrame({"query_id": q_ids[r].astype("int64"), "cand_id": c_ids[c].astype("int64"),
-                         "distance": dist[r, c]})
+    ex_q = np.searchsorted(q_ids, exc["query_id"].to_numpy()) if not exc.empty else np.array([], int)
+    ex_c = np.searchsorted(c_ids, exc["xid"].to_numpy()) if not exc.empty else np.array([], int)
+    if len(ex_q):
+        ok = (ex_q < len(q_ids)) & (ex_c < len(c_ids))
+        ok[ok] = (q_ids[ex_q[ok]] == exc["query_id"].to_numpy()[ok]) & \
+                 (c_ids[ex_c[ok]] == exc["xid"].to_numpy()[ok])
+        ex_q, ex_c = ex_q[ok], ex_c[ok]
+    outs = []
+    for q0 in range(0, len(q_ids), QUERY_CHUNK):
+        q1 = min(q0 + QUERY_CHUNK, len(q_ids))
+        in_q = (q_idx >= q0) & (q_idx < q1)
+        dots = np.zeros((q1 - q0, len(c_ids)))
+        for k0 in range(0, len(shared), KEY_CHUNK):
+            k1 = min(k0 + KEY_CHUNK, len(shared))
+            qm = in_q & (qcol >= k0) & (qcol < k1)
+            if not qm.any():
+                continue
+            cm = (ccol >= k0) & (ccol < k1)
+            Qm = np.zeros((q1 - q0, k1 - k0))
+            Cm = np.zeros((len(c_ids), k1 - k0))
+            np.add.at(Qm, (q_idx[qm] - q0, qcol[qm] - k0), qw[qm])
+            np.add.at(Cm, (c_idx[cm], ccol[cm] - k0), cw[cm])
+            dots += Qm @ Cm.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = 1.0 - dots / (qn[q0:q1, None] * cn[None, :])
+        dist[~np.isfinite(dist)] = 1.0
+        # exclusions (seeds, blacklist) are removed before the top-k
+        sel = (ex_q >= q0) & (ex_q < q1)
+        dist[ex_q[sel] - q0, ex_c[sel]] = np.inf
+        topn = topn_all[q0:q1]
+        kmax = int(min(topn.max(), len(c_ids)))
+        rd = np.round(dist, digits)
+        kth = np.partition(rd, kmax - 1, axis=1)[:, kmax - 1]
+        r, c = np.nonzero(rd <= kth[:, None])
+        order = np.lexsort((c_ids[c], rd[r, c], r))
+        r, c = r[order], c[order]
+        first = np.searchsorted(r, np.arange(q1 - q0))
+        pos = np.arange(len(r)) - first[r]
+        keep = (pos < topn[r]) & np.isfinite(rd[r, c])
+        r, c = r[keep], c[keep]
+        outs.append(pd.DataFrame({"query_id": q_ids[q0 + r].astype("int64"),
+                                  "cand_id": c_ids[c].astype("int64"), "distance": dist[r, c]}))
+    return pd.concat(outs, ignore_index=True) if outs else _empty_out()
 
 
 def _blocks(n: int, target: int) -> int:
     return max(1, math.ceil(n / target))
 
 
+def block_rows(nq: int, nc: int, target: int | None = None) -> int:
+    """Entities per block side.  A cell costs O(rows^2) memory-bounded work while
+    the grid replicates each side once per block of the other, so blocks grow
+    with sqrt(n) (fewer replicas on big inputs), between 2048 and 8192."""
+    if target is not None:
+        return target
+    return int(min(8192, max(TARGET_BLOCK_ROWS, 4 * math.isqrt(max(nq, nc, 1)))))
+
+
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,
-              target_block_rows: int = TARGET_BLOCK_ROWS, digits: int = RANK_DIGITS) -> DataFrame:
+              target_block_rows: int | None = None, digits: int = RANK_DIGITS) -> DataFrame:
     """K4: exact cosine top-n for a table of query vectors.
 
     queries     (query_id bigint, key string, w double, top_n int)
@@ -196,7 +225,8 @@ def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFram
     """
     nq = queries.select("query_id").distinct().count()
     nc = candidates.select("cand_id").distinct().count()
-    bq, bc = _blocks(nq, target_block_rows), _blocks(nc, target_block_rows)
+    b = block_rows(nq, nc, target_block_rows)
+    bq, bc = _blocks(nq, b), _blocks(nc, b)
     qb = F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int")
     cb_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bc)).cast("int")
     qv = queries.select(qb.alias("qblk"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cblk"),

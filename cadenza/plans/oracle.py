@@ -481,7 +481,7 @@ from cadenza.operators.langid import LANGUAGE_IDS as _LID, SCRIPT_IDS as _SID, M
 
 
 def cte_clean(src: str, key: str, text: str, name: str) -> str:
-    return f"""{name}_c AS (select {key} k, ' ' || lower(regexp_replace(trim({text}), '\s+', ' ', 'g')) || ' ' t
+    return rf"""{name}_c AS (select {key} k, ' ' || lower(regexp_replace(trim({text}), '\s+', ' ', 'g')) || ' ' t
   from {src} where {text} is not null and trim({text}) <> ''),
 {name}_ch AS (select k, string_split(t, '') ch from {name}_c),
 {name}_g AS (select k, gram, count(*) c from (select k, ch[i] || ch[i + 1] || ch[i + 2] gram

@@ -85,3 +85,27 @@ def test_invariants(spark, cat, amodel):
         d = [round(x["distance"], 9) for x in lst]
         assert d == sorted(d)
         assert len({x["artist_id"] for x in lst}) == len(lst)
+
+
+def test_cell_chunking_is_exact(monkeypatch):
+    import pandas as pd
+    from cadenza.operators import knn
+    rng = np.random.default_rng(7)
+    rows_q, rows_c = [], []
+    for q in range(40):
+        for t in rng.choice(30, 4, replace=False):
+            rows_q.append((q, 0, f"t{t}", float(rng.integers(1, 4)), 3, None))
+    rows_q.append((0, 1, None, None, None, 5))            # exclusion of candidate 5 for query 0
+    for c in range(50):
+        for t in rng.choice(30, 3, replace=False):
+            rows_c.append((c, f"t{t}", float(rng.integers(1, 4))))
+    qdf = pd.DataFrame(rows_q, columns=["query_id", "kind", "key", "w", "top_n", "xid"])
+    cdf = pd.DataFrame(rows_c, columns=["cand_id", "key", "w"])
+    whole = knn._score_cell(qdf, cdf)
+    monkeypatch.setattr(knn, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(knn, "KEY_CHUNK", 5)
+    parts = knn._score_cell(qdf, cdf)
+    key = ["query_id", "distance", "cand_id"]
+    pd.testing.assert_frame_equal(whole.sort_values(key).reset_index(drop=True),
+                                  parts.sort_values(key).reset_index(drop=True))
+    assert not ((whole.query_id == 0) & (whole.cand_id == 5)).any()
