@@ -128,3 +128,9 @@ def s10(spark, sf):
 @query("p10_slim_artist_data")
 def p10(spark, sf):
     return slim(_model(spark, sf).features).drop("tokens")
+
+
+@query("p9_release_gids_to_release_groups")
+def p9r(spark, sf):
+    cat = catalog(spark, sf)
+    return search.release_group_ids_for_release_gids(cat, cat["release"].select("gid"))

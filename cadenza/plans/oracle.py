@@ -540,3 +540,4 @@ register("q5_album_model_data", "WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + ",\n"
 
 
 register("p10_slim_artist_data", "WITH " + cte_q1() + " select artist_id, artist_name, genres from feats")
+register("p9_release_gids_to_release_groups", "select r.gid, r.release_group id from release r join (select gid from release) g on g.gid = r.gid")
