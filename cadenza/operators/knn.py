@@ -91,21 +91,23 @@ def knn_single(vectors: DataFrame, centroid: DataFrame, k: int, key: str = "arti
     rows are already L2-normalised; otherwise their norms are computed.
     ``k=None`` returns every candidate ranked (used by windowed filters).
     """
-    # the centroid is one request's handful of rows: its norm is a single number
-    cn = centroid.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 0.0
-    cen = centroid.select("token", F.col("w").alias("cw"))
+    # the centroid is one request's handful of rows (bounded by the vocabulary): its
+    # norm rides along as a column of the broadcast side, so no extra job is needed
+    cen = centroid.select("token", F.col("w").alias("cw"),
+                          F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy())).alias("cn"))
     pool = vectors
     if candidates is not None:
         pool = pool.join(candidates.select(key), key, "left_semi")
     if exclude is not None:
         pool = pool.join(F.broadcast(exclude.select(key)), key, "left_anti")
-    aggs = [F.sum(F.coalesce(F.col("w") * F.col("cw"), F.lit(0.0))).alias("dot")]
+    aggs = [F.sum(F.coalesce(F.col("w") * F.col("cw"), F.lit(0.0))).alias("dot"),
+            F.max("cn").alias("cn")]
     if not unit:
         aggs.append(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vn"))
     dots = pool.join(F.broadcast(cen), "token", "left").groupBy(key).agg(*aggs)
-    denom = F.lit(cn) if unit else F.lit(cn) * F.col("vn")
-    dist = F.when(denom > 0, F.lit(1.0) - F.col("dot") / denom).otherwise(F.lit(1.0)) \
-        if cn > 0 else F.lit(1.0)
+    denom = F.col("cn") if unit else F.col("cn") * F.col("vn")
+    # no shared token (cn null) or a zero vector -> distance 1, as brute force gives
+    dist = F.when(denom > 0, F.lit(1.0) - F.col("dot") / denom).otherwise(F.lit(1.0))
     scored = dots.select(key, dist.alias("distance"))
     order = [F.round("distance", digits), F.col(key)]
     if k is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +63,9 @@ def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=
     excl = ids_df(spark, list(seeds) + list(blacklist or []), "artist_id")
     cands = recommendable_artists(cat).withColumnRenamed("id", "artist_id") if filter_recommendable else None
     top = knn_single(model.vectors, cen, top_n, exclude=excl, candidates=cands)
-    n = top.count()
-    return top.withColumn("status", F.lit("ok" if n >= top_n else "short"))
+    # P12 on the (at most top_n) result rows themselves: no extra job
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short"))
 
 
 def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
