@@ -43,7 +43,7 @@ def main():
     t0 = time.time()
     write_catalog(fixture_catalog(spark, sf_dir), os.path.join(scratch, "catalog"))
     t_cat = time.time() - t0
-    use_catalog(spark, sf_dir, load_catalog(spark, os.path.join(scratch, "catalog")))
+    use_catalog(spark, sf_dir, load_catalog(spark, os.path.join(scratch, "catalog"), base_dir=sf_dir))
     times, rows = {}, {}
     for n in names:
         t = time.time()

@@ -125,6 +125,7 @@ def k12(spark, sf):
 
 # ----------------------------------------------------------------- K9, K8
 from cadenza.operators import langid  # noqa: E402
+from cadenza.session import stage  # noqa: E402
 
 
 @query("k9_detect_documents")
@@ -151,5 +152,5 @@ def k9_acc(spark, sf):
 @query("k8_infer_language")
 def k8(spark, sf):
     cat = catalog(spark, sf)
-    model = langid.train_langid(cat["documents"])
+    model = stage(langid.train_langid(cat["documents"]))      # fitted once, lineage cut
     return langid.infer_language(albums.rg_features(cat), cat, model).select("id", "language", "script")

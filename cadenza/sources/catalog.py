@@ -59,9 +59,14 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, builders)
 
 
-def load_catalog(spark: SparkSession, path: str, tables=CATALOG_TABLES) -> Catalog:
-    """Catalogue stored as one parquet dataset per table under ``path``."""
-    builders = {t: (lambda c, t=t: read_table(spark, path, t)) for t in tables}
+def load_catalog(spark: SparkSession, path: str, tables=CATALOG_TABLES,
+                 base_dir: str | None = None) -> Catalog:
+    """Catalogue stored as one parquet dataset per table under ``path``; the
+    supplied base tables (documents, events, ...) are read from ``base_dir``."""
+    builders = {}
+    if base_dir is not None:
+        builders.update({t: (lambda c, t=t: read_table(spark, base_dir, t)) for t in BASE_TABLES})
+    builders.update({t: (lambda c, t=t: read_table(spark, path, t)) for t in tables})
     return Catalog(spark, builders)
 
 

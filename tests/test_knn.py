@@ -109,3 +109,27 @@ def test_cell_chunking_is_exact(monkeypatch):
     pd.testing.assert_frame_equal(whole.sort_values(key).reset_index(drop=True),
                                   parts.sort_values(key).reset_index(drop=True))
     assert not ((whole.query_id == 0) & (whole.cand_id == 5)).any()
+
+
+def test_same_result_for_1_and_8_shuffle_partitions(spark):
+    import __spark_entry__ as E
+    q = E.queries()["u5_training_genres"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        b = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
+
+
+def test_scan_pushdown_and_pruning(spark):
+    from cadenza.operators.search import search_genres
+    from cadenza.sources.catalog import read_table
+    df = read_table(spark, SF_SMALL, "lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
+    assert search_genres(catalog(spark, SF_SMALL), "blue").count() > 0
