@@ -161,3 +161,8 @@ def clamp_int(x, lo: int, hi: int) -> Column:
     v = _c(x).cast("double")
     t = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("int")
     return F.least(F.greatest(t, F.lit(lo)), F.lit(hi))
+
+
+def word_tokens(s) -> Column:
+    """Word tokens of a raw string (``\\b\\w+\\b`` with Unicode classes), case kept."""
+    return F.regexp_extract_all(_c(s), F.lit(r"(?U)\b\w+\b"), 0)

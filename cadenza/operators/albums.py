@@ -293,3 +293,34 @@ def edition_track_meta(cat, rg_ids: DataFrame | None = None) -> DataFrame:
 
 
 T_INT = T.IntegerType()
+
+
+def seed_profiles(data: DataFrame, requests: DataFrame) -> DataFrame:
+    """A15 per request: (request_id as id, type, status, language, script, year, label arrays)."""
+    s = (requests.select("request_id", F.explode(F.array_distinct("seeds")).alias("id"))
+         .join(data, "id"))
+    aggs = [F.mode(c, deterministic=True).alias(c) for c in CATEGORICAL]
+    aggs.append(F.bround(F.avg("year"), 0).cast("int").alias("year"))
+    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS]
+    return s.groupBy(F.col("request_id").alias("id")).agg(*aggs)
+
+
+def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str = "checkpoint") -> DataFrame:
+    """K5 for a table of requests (request_id, seeds, blacklist, top_n) -> (request_id,
+    rank, id, distance).  Exact: exclusions come before the top-k (``window=None``).
+    The result is staged: enrichment reads it several times."""
+    known = model.data.select("id")
+    s = requests.select("request_id", F.explode(F.array_distinct("seeds")).alias("id"))
+    bad = s.join(known, "id", "left_anti").select("request_id").distinct()
+    ok = requests.join(bad, "request_id", "left_anti")
+    prof = impute(seed_profiles(model.data, ok), model.stats)
+    q = (album_vectors(prof).join(ok.select(F.col("request_id").alias("id"), "top_n"), "id")
+         .select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w", "top_n"))
+    c = model.vectors.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
+    bl = F.coalesce("blacklist", F.array().cast("array<long>")).cast("array<long>")
+    ex = ok.select(F.col("request_id").alias("query_id"),
+                   F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"), bl)))
+                   .alias("cand_id"))
+    r = knn_batch(q, c, exclusions=ex, digits=ALBUM_RANK_DIGITS)
+    return stage(r.select(F.col("query_id").alias("request_id"), "rank", F.col("cand_id").alias("id"),
+                          "distance"), staging)

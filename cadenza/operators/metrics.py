@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.knn import knn_batch, centroids
+from cadenza.session import stage
 
 
 def data_metrics(data: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def prediction_metrics(features: DataFrame, vectors: DataFrame, seed_count: int
                    F.lit(top_n).alias("top_n"))
     c = vectors.select(F.col("artist_id").alias("cand_id"), F.col("token").alias("key"), "w")
     ex = req.select(F.col("request_id").alias("query_id"), F.col("request_id").alias("cand_id"))
-    recs = knn_batch(q, c, exclusions=ex)
+    recs = stage(knn_batch(q, c, exclusions=ex))      # read by four aggregates below
     g = features.select("artist_id", F.array_distinct(F.split(F.trim("genres"), r"\s+")).alias("g"))
     pairs = (recs.join(g.select(F.col("artist_id").alias("query_id"), F.col("g").alias("sg")), "query_id")
              .join(g.select(F.col("artist_id").alias("cand_id"), F.col("g").alias("rg")), "cand_id"))

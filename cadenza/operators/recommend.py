@@ -38,6 +38,19 @@ def ids_df(spark: SparkSession, ids, name: str = "id") -> DataFrame:
                                  T.StructType([T.StructField(name, T.LongType())]))
 
 
+def with_rank(spark: SparkSession, ids, name: str = "id") -> DataFrame:
+    """An ordered id list as (rank, id) rows (``unnest ... WITH ORDINALITY``)."""
+    return spark.createDataFrame([(i + 1, int(x)) for i, x in enumerate(ids or [])],
+                                 f"rank int, {name} long")
+
+
+def filter_recommendable_ordered(cat, ranked: DataFrame, key: str = "id") -> DataFrame:
+    """Q6 on an ordered candidate list: keep Person/Group artists credited on an RG or
+    release, order (``rank``) kept."""
+    ok = recommendable_artists(cat).withColumnRenamed("id", key)
+    return ranked.join(ok, key, "left_semi").orderBy("rank")
+
+
 def validate_request(seeds, top_n: int, lo: int = 1, hi: int = 50):
     if not seeds:
         raise ValueError("at least one seed is required")
@@ -46,10 +59,12 @@ def validate_request(seeds, top_n: int, lo: int = 1, hi: int = 50):
 
 
 def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=None,
-                      filter_recommendable: bool = True) -> DataFrame:
+                      filter_recommendable: bool = True, window: str | None = None) -> DataFrame:
     """K3 + P4 + Q6 for one request -> (rank, artist_id, distance, status).
 
-    Unknown seeds raise (P11); fewer than ``top_n`` results mark ``status`` 'short' (P12).
+    ``window=None`` filters before an exact top-k; ``'reference'`` over-fetches the
+    reference's candidate window (W7) and filters inside it.  Unknown seeds raise
+    (P11); fewer than ``top_n`` results mark ``status`` 'short' (P12).
     """
     validate_request(seeds, top_n)
     spark = model.vectors.sparkSession
@@ -62,17 +77,27 @@ def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=
     cen = centroids(model.vectors, req).drop("request_id")
     excl = ids_df(spark, list(seeds) + list(blacklist or []), "artist_id")
     cands = recommendable_artists(cat).withColumnRenamed("id", "artist_id") if filter_recommendable else None
-    top = knn_single(model.vectors, cen, top_n, exclude=excl, candidates=cands)
+    if window == "reference" and filter_recommendable:
+        # The nearest min(n, max(80 top_n, top_n + |blacklist| + 200, 800)) non-excluded
+        # candidates first, then the recommendable filter, then the first top_n
+        n_all = model.vectors.select("artist_id").distinct().count()
+        win = min(n_all, max(80 * top_n, top_n + len(blacklist or []) + 200, 800))
+        ranked = knn_single(model.vectors, cen, win, exclude=excl)
+        kept = ranked.join(cands, "artist_id", "left_semi").orderBy("rank").limit(top_n)
+        top = kept.withColumn("rank", F.row_number().over(Window.orderBy("rank")))
+    else:
+        top = knn_single(model.vectors, cen, top_n, exclude=excl, candidates=cands)
     # P12 on the (at most top_n) result rows themselves: no extra job
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short"))
 
 
 def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
-                            filter_recommendable: bool = True) -> DataFrame:
+                            filter_recommendable: bool = True, staging: str = "checkpoint") -> DataFrame:
     """K4: (request_id, seeds, blacklist, top_n) -> (request_id, rank, artist_id, distance).
 
-    Requests with unknown seeds get no rows (see ``missing_seeds``).
+    Requests with unknown seeds get no rows (see ``missing_seeds``).  The result is
+    staged (lineage cut) because enrichment and reports read it several times.
     """
     ok = requests.join(missing_seeds(requests, model.vectors), "request_id", "left_anti")
     cen = centroids(model.vectors, ok)
@@ -88,8 +113,8 @@ def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
                    F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"),
                                                        bl.cast("array<long>")))).alias("cand_id"))
     res = knn_batch(q, c, exclusions=ex)
-    return res.select(F.col("query_id").alias("request_id"), "rank",
-                      F.col("cand_id").alias("artist_id"), "distance")
+    return stage(res.select(F.col("query_id").alias("request_id"), "rank",
+                            F.col("cand_id").alias("artist_id"), "distance"), staging)
 
 
 def with_status(recs: DataFrame, requests: DataFrame) -> DataFrame:

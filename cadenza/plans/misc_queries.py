@@ -134,3 +134,14 @@ def p10(spark, sf):
 def p9r(spark, sf):
     cat = catalog(spark, sf)
     return search.release_group_ids_for_release_gids(cat, cat["release"].select("gid"))
+
+
+@query("q10_profile_album_recs")
+def q10(spark, sf):
+    cat = catalog(spark, sf)
+    req = profile.profile_album_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
+                                         BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
+    r = albums.recommend_albums_batch(album_model(spark, sf, **PLAIN), req)
+    e = albums.enrich_albums(cat, r)
+    return e.select(F.col("request_id").alias("user_id"), "rank", "id", "gid", "title", "artist",
+                    F.round("distance", 12).alias("distance"))

@@ -541,3 +541,48 @@ register("q5_album_model_data", "WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + ",\n"
 
 register("p10_slim_artist_data", "WITH " + cte_q1() + " select artist_id, artist_name, genres from feats")
 register("p9_release_gids_to_release_groups", "select r.gid, r.release_group id from release r join (select gid from release) g on g.gid = r.gid")
+
+
+def mode_by(col: str, src: str, key: str, name: str) -> str:
+    return f"""{name} AS (select {key}, {col} from (select {key}, {col}, row_number() over (partition by {key} order by count(*) desc, {col}) rn
+        from {src} where {col} is not null group by {key}, {col}) x where rn = 1)"""
+
+
+register("q10_profile_album_recs", "WITH " + CTE_Q3 + ",\n" + CTE_CRG + ",\n" + CTE_STATS.format(d="q3") + f""",
+imp AS (select q3.id, cast(coalesce(cast(cast(q3.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q3.status as float) as double), stats.status) s1, coalesce(cast(cast(q3.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q3.script as float) as double), stats.script) s3, coalesce(cast(cast(q3.year as float) as double), stats.year) s4,
+  q3.tag_ids, q3.genre_ids, q3.secondary_type_ids from q3, stats),
+ltop AS ({top_sql('this_month', 1)}),
+seeds AS (select distinct ltop.user_id, crg.release_group_id rg from ltop join crg on crg.id = ltop.artist),
+btop AS ({top_sql('week', 2)}),
+bls AS (select distinct btop.user_id, crg.release_group_id rg from btop join crg on crg.id = btop.artist),
+okusers AS (select distinct user_id from seeds where user_id not in
+  (select user_id from seeds where rg not in (select id from q3))),
+sd AS (select s.user_id, q3.* from seeds s join q3 on q3.id = s.rg where s.user_id in (select user_id from okusers)),
+""" + ",\n".join(mode_by(c, "sd", "user_id", f"pm_{c}") for c in ["type", "status", "language", "script"]) + """,
+pl AS (select user_id, cast(round_even(avg(year), 0) as int) AS year,
+  list_sort(list_distinct(flatten(list(tag_ids)))) tag_ids, list_sort(list_distinct(flatten(list(genre_ids)))) genre_ids,
+  list_sort(list_distinct(flatten(list(secondary_type_ids)))) secondary_type_ids from sd group by user_id),
+p AS (select pl.user_id,
+  coalesce(cast(cast(a.type as float) as double), stats.type) s0, coalesce(cast(cast(b.status as float) as double), stats.status) s1,
+  coalesce(cast(cast(c.language as float) as double), stats.language) s2, coalesce(cast(cast(d.script as float) as double), stats.script) s3,
+  coalesce(cast(cast(pl.year as float) as double), stats.year) s4, pl.tag_ids, pl.genre_ids, pl.secondary_type_ids
+  from pl left join pm_type a using (user_id) left join pm_status b using (user_id)
+  left join pm_language c using (user_id) left join pm_script d using (user_id), stats),
+excl AS (select user_id, rg from seeds union select user_id, rg from bls),
+sc AS (select p.user_id, c.id,
+  c.s0 * p.s0 + c.s1 * p.s1 + c.s2 * p.s2 + c.s3 * p.s3 + c.s4 * p.s4 + len(list_intersect(c.tag_ids, p.tag_ids))
+    + len(list_intersect(c.genre_ids, p.genre_ids)) + len(list_intersect(c.secondary_type_ids, p.secondary_type_ids)) dot,
+  c.s0 * c.s0 + c.s1 * c.s1 + c.s2 * c.s2 + c.s3 * c.s3 + c.s4 * c.s4 + len(c.tag_ids) + len(c.genre_ids) + len(c.secondary_type_ids) nc,
+  p.s0 * p.s0 + p.s1 * p.s1 + p.s2 * p.s2 + p.s3 * p.s3 + p.s4 * p.s4 + len(p.tag_ids) + len(p.genre_ids) + len(p.secondary_type_ids) np
+  from p cross join imp c left join excl e on e.user_id = p.user_id and e.rg = c.id where e.rg is null),
+dist AS (select user_id, id, case when nc > 0 and np > 0 then 1 - dot / (sqrt(np) * sqrt(nc)) else 1 end distance from sc),
+ranked AS (select user_id, id, distance, row_number() over (partition by user_id order by round(distance, 12), id) rank from dist),
+top AS (select * from ranked where rank <= 10),
+""" + CTE_FIRST + ",\n" + CTE_RGART + """,
+names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist
+  from rgart group by release_group)
+select top.user_id, top.rank, top.id, rg.gid, rg.name title, names.artist, round(top.distance, 12) distance
+from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
+join names on names.release_group = top.id""")
