@@ -30,6 +30,8 @@ HEADLINE = [
     "q5_album_model_data",      # staged album model (backfill + types)
     "q8_album_recommendations",
     "q9_profile_artist_recs",
+    "q10_profile_album_recs",   # batch album kNN per listening profile
+    "k6_album_neighbours_all",  # all-pairs album neighbours (every release group)
     "q11_evaluation_report",
 ]
 

@@ -17,7 +17,7 @@ NAMES = ["q1_artist_features", "u5_training_genres", "u6_extended_genres", "q6_r
          "q3_rg_features", "w1_original_edition", "a8_rg_length", "a9_rg_artists", "k7_backfill_genres",
          "k10_infer_types", "k5_album_knn", "q8_album_recommendations", "p7_search_artists",
          "j1_search_albums", "q12_top_listened_all_ranges", "q9_profile_artist_recs",
-         "q11_evaluation_report", "x_rg_display", "x_artist_labels", "k9_detect_documents",
+         "q11_evaluation_report", "x_rg_display", "x_artist_labels", "k9_detect_documents", "q10_profile_album_recs",
          "k8_infer_language", "q5_album_model_data", "q2_artist_features_with_tags"]
 
 
