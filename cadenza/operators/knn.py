@@ -213,7 +213,7 @@ def block_rows(nq: int, nc: int, target: int | None = None) -> int:
     with sqrt(n) (fewer replicas on big inputs), between 2048 and 8192."""
     if target is not None:
         return target
-    return int(min(8192, max(TARGET_BLOCK_ROWS, 4 * math.isqrt(max(nq, nc, 1)))))
+    return int(min(8192, max(TARGET_BLOCK_ROWS, 16 * math.isqrt(max(nq, nc, 1)))))
 
 
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,
