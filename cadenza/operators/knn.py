@@ -15,13 +15,19 @@ Vectors are kept in long form ``(entity, key, w)``.  Two exact strategies:
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The cell scorer runs in Python workers; ship this module's functions by value so
+# executors need numpy/pandas only, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RANK_DIGITS = 9          # ties in distance are broken on this many digits, then id
 TARGET_BLOCK_ROWS = 2048  # entities per block side; a cell holds <= 2048 x 2048 scores
 
