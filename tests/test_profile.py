@@ -40,3 +40,14 @@ def test_reference_window_equals_exact_when_enough(spark):
     b = [tuple(r) for r in recommend_artists(m, cat, [1, 2, 4], 5, [33], window="reference")
          .orderBy("rank").collect()]
     assert a == b
+
+
+def test_langid_crossval_accuracy(spark):
+    from cadenza.operators.langid import crossval_accuracy
+    from cadenza.sources.catalog import read_table
+    from conftest import SF_SMALL
+    rows = crossval_accuracy(read_table(spark, SF_SMALL, "documents")).collect()
+    n = sum(r["n"] for r in rows)
+    correct = sum(r["correct"] for r in rows)
+    assert n == read_table(spark, SF_SMALL, "documents").count()     # every document scored
+    assert correct / n >= 0.95
