@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.session import staging_path
 from cadenza.sources.catalog import fixture_catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,8 @@ def catalog(spark: SparkSession, sf_dir: str):
     tables, unless a materialised catalogue was registered with ``use_catalog``."""
     key = (id(spark), sf_dir)
     if key not in _CATALOGS:
-        _CATALOGS[key] = fixture_catalog(spark, sf_dir)
+        # each view is written once to the shared staging folder when first used
+        _CATALOGS[key] = fixture_catalog(spark, sf_dir, staging_path(spark, "catalog"))
     return _CATALOGS[key]
 
 

@@ -45,16 +45,27 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
 
 
-def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalogue whose tables are the FIXTURES.md views over the supplied data."""
+def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None = None) -> Catalog:
+    """Catalogue whose tables are the FIXTURES.md views over the supplied data.
+
+    With ``materialize_to`` every view is written once as a parquet table under that
+    (shared) folder the first time it is used and read back from there, so later
+    queries scan small parquet tables (with pushdown) instead of re-deriving the
+    view chain; views are built from their inputs' written tables.
+    """
+    import re
     builders = {}
     for t in BASE_TABLES:
         builders[t] = (lambda c, t=t: read_table(spark, sf_dir, t))
     for v, text in VIEWS.items():
-        def build(c, text=text):
-            import re
+        def build(c, v=v, text=text):
             names = set(re.findall(r"\{(\w+)\}", text))
-            return spark.sql(text, **{n: c[n] for n in names})
+            df = spark.sql(text, **{n: c[n] for n in names})
+            if materialize_to is None:
+                return df
+            path = os.path.join(materialize_to, f"{v}.parquet")
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
         builders[v] = build
     return Catalog(spark, builders)
 
