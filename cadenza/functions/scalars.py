@@ -132,13 +132,18 @@ def as_int_list(x) -> Column:
     return F.coalesce(_c(x), F.array().cast("array<int>"))
 
 
-def normalize_lang(code, text) -> Column:
-    """Iw->he, tl->fil; ASCII-only text of some languages -> '<code>-Latn'."""
-    code, text = _c(code), _c(text)
+def normalize_lang(code, text=None, ascii_only=None) -> Column:
+    """Iw->he, tl->fil; ASCII-only text of some languages -> '<code>-Latn'.
+
+    ``ascii_only`` (has an ASCII letter and no non-ASCII character) may be given
+    directly when the text is spread over several rows."""
+    code = _c(code)
     renamed = code
     for src, dst in LANG_RENAMES.items():
         renamed = F.when(code == src, F.lit(dst)).otherwise(renamed)
-    ascii_only = text.rlike(r"[A-Za-z]") & ~text.rlike(r"[^\x00-\x7F]")
+    if ascii_only is None:
+        text = _c(text)
+        ascii_only = text.rlike(r"[A-Za-z]") & ~text.rlike(r"[^\x00-\x7F]")
     return F.when(renamed.isin(LATIN_VARIANT_LANGS) & ascii_only,
                   F.concat(renamed, F.lit("-Latn"))).otherwise(renamed)
 

@@ -497,7 +497,7 @@ lm AS (select g.k lang, g.gram, ln((g.c + 1.0) / (t.tot + v.v)) logp, ln(1.0 / (
 lm_u AS (select distinct lang, unseen from lm)"""
 
 
-def cte_detect(src: str, key: str, text: str, out: str) -> str:
+def cte_detect(src: str, key: str, text: str, out: str, ids: str | None = None) -> str:
     return cte_clean(src, key, text, "dt") + f""",
 dt_n AS (select k, sum(c) ng from dt_g group by k),
 dt_s AS (select g.k, lm.lang, sum(g.c * (lm.logp - u.unseen)) gain from dt_g g join lm on lm.gram = g.gram
@@ -507,7 +507,8 @@ dt_p AS (select n.k, n.ng, u.lang, coalesce(s.gain, 0) + n.ng * u.unseen score f
 dt_r AS (select k, ng, lang, score, row_number() over (partition by k order by score desc, lang desc) r from dt_p),
 dt_b AS (select b.k, case when s.score is null or (b.score - s.score) / b.ng >= {_MARGIN} then b.lang end lang
   from dt_r b left join dt_r s on s.k = b.k and s.r = 2 where b.r = 1),
-{out} AS (select x.{key} id, dt_b.lang from {src} x left join dt_b on dt_b.k = x.{key})"""
+{out} AS (select x.{key if ids is None else 'id'} id, dt_b.lang from {ids or src} x
+  left join dt_b on dt_b.k = x.{key if ids is None else 'id'})"""
 
 
 register("k9_detect_documents", "WITH " + CTE_LANGMODEL + ",\n" + cte_detect("documents", "doc_id", "text", "det") +
@@ -517,15 +518,16 @@ register("k9_detect_documents", "WITH " + CTE_LANGMODEL + ",\n" + cte_detect("do
 def cte_language(src: str, out: str) -> str:
     """K8 in SQL over a feature CTE ``src`` (needs CTE_LANGMODEL)."""
     return ("""todo AS (select id from q3 where language is null or script is null),
-trk AS (select r.release_group id, t.id track_id, trim(t.name) x from release r join medium m on m.release = r.id
-  join track t on t.medium = m.id where r.release_group in (select id from todo) and t.name is not null and trim(t.name) <> ''),
-rgt AS (select rg.id, trim(concat_ws(' ', trim(coalesce(rg.name, cast(rg.id as varchar))),
-  coalesce((select array_to_string(list(x order by track_id, x), ' ') from trk where trk.id = rg.id), ''))) text
-  from release_group rg where rg.id in (select id from todo)),
-""" + cte_detect("rgt", "id", "text", "det") + """,
-norm AS (select det.id, case when l in ('bg', 'el', 'hi', 'ja', 'ru', 'zh') and regexp_matches(rgt.text, '[A-Za-z]')
-    and not regexp_matches(rgt.text, '[^\\x00-\\x7F]') then l || '-Latn' else l end code
-  from det join rgt on rgt.id = det.id, lateral (select case det.lang when 'iw' then 'he' when 'tl' then 'fil' else det.lang end l) z),
+pieces AS (select rg.id, coalesce(rg.name, cast(rg.id as varchar)) text from release_group rg where rg.id in (select id from todo)
+  union all select r.release_group, t.name from release r join medium m on m.release = r.id
+  join track t on t.medium = m.id where r.release_group in (select id from todo)),
+rgt AS (select id, trim(text) text from pieces where text is not null and trim(text) <> ''),
+fl AS (select id, bool_or(regexp_matches(text, '[A-Za-z]')) has_ascii,
+  bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) has_non_ascii from rgt group by id),
+""" + cte_detect("rgt", "id", "text", "det", ids="todo") + """,
+norm AS (select det.id, case when l in ('bg', 'el', 'hi', 'ja', 'ru', 'zh') and fl.has_ascii
+    and not fl.has_non_ascii then l || '-Latn' else l end code
+  from det left join fl on fl.id = det.id, lateral (select case det.lang when 'iw' then 'he' when 'tl' then 'fil' else det.lang end l) z),
 pred AS (select id, case code when 'af' then 9 when 'am' then 15 when 'ar' then 18 when 'bg' then 62 when 'bg-Latn' then 62 when 'bn' then 47 when 'bs' then 56 when 'ca' then 68 when 'ceb' then 68 when 'co' then 89 when 'cs' then 98 when 'cy' then 455 when 'da' then 100 when 'de' then 145 when 'el' then 159 when 'el-Latn' then 159 when 'en' then 120 when 'eo' then 122 when 'es' then 393 when 'et' then 123 when 'eu' then 41 when 'fa' then 334 when 'fi' then 131 when 'fil' then 189 when 'fr' then 134 when 'fy' then 137 when 'ga' then 149 when 'gd' then 148 when 'gl' then 150 when 'gu' then 161 when 'ha' then 165 when 'haw' then 165 when 'he' then 167 when 'hi' then 171 when 'hi-Latn' then 171 when 'hmn' then 179 when 'hr' then 366 when 'ht' then 164 when 'hu' then 176 when 'hy' then 21 when 'id' then 189 when 'ig' then 179 when 'is' then 180 when 'it' then 195 when 'iw' then 167 when 'ja' then 198 when 'ja-Latn' then 198 when 'jv' then 196 when 'ka' then 144 when 'kk' then 211 when 'km' then 215 when 'kn' then 206 when 'ko' then 224 when 'ku' then 232 when 'ky' then 219 when 'la' then 238 when 'lb' then 246 when 'lo' then 237 when 'lt' then 243 when 'lv' then 239 when 'mg' then 275 when 'mi' then 262 when 'mk' then 254 when 'ml' then 260 when 'mn' then 282 when 'mr' then 264 when 'ms' then 266 when 'mt' then 276 when 'my' then 63 when 'ne' then 300 when 'nl' then 113 when 'no' then 309 when 'ny' then 313 when 'pa' then 330 when 'pl' then 338 when 'ps' then 343 when 'pt' then 340 when 'ro' then 351 when 'ru' then 353 when 'ru-Latn' then 353 when 'sd' then 387 when 'si' then 373 when 'sk' then 377 when 'sl' then 378 when 'sm' then 384 when 'sn' then 386 when 'so' then 390 when 'sq' then 12 when 'sr' then 363 when 'st' then 392 when 'su' then 399 when 'sv' then 403 when 'sw' then 402 when 'ta' then 407 when 'te' then 409 when 'tg' then 413 when 'th' then 415 when 'tr' then 433 when 'uk' then 441 when 'ur' then 444 when 'uz' then 445 when 'vi' then 448 when 'xh' then 460 when 'yi' then 463 when 'yo' then 464 when 'zh' then 76 when 'zh-Latn' then 76 when 'zu' then 470 end pl, case code when 'af' then 28 when 'am' then 86 when 'ar' then 18 when 'bg' then 31 when 'bg-Latn' then 28 when 'bn' then 53 when 'bs' then 28 when 'ca' then 28 when 'ceb' then 28 when 'co' then 28 when 'cs' then 28 when 'cy' then 28 when 'da' then 28 when 'de' then 28 when 'el' then 22 when 'el-Latn' then 28 when 'en' then 28 when 'eo' then 28 when 'es' then 28 when 'et' then 28 when 'eu' then 28 when 'fa' then 18 when 'fi' then 28 when 'fil' then 28 when 'fr' then 28 when 'fy' then 28 when 'ga' then 28 when 'gd' then 28 when 'gl' then 28 when 'gu' then 52 when 'ha' then 28 when 'haw' then 28 when 'he' then 11 when 'hi' then 50 when 'hi-Latn' then 28 when 'hmn' then 28 when 'hr' then 28 when 'ht' then 28 when 'hu' then 28 when 'hy' then 35 when 'id' then 28 when 'ig' then 28 when 'is' then 28 when 'it' then 28 when 'iw' then 11 when 'ja' then 85 when 'ja-Latn' then 28 when 'jv' then 28 when 'ka' then 36 when 'kk' then 31 when 'km' then 68 when 'kn' then 60 when 'ko' then 43 when 'ku' then 28 when 'ky' then 31 when 'la' then 28 when 'lb' then 28 when 'lo' then 69 when 'lt' then 28 when 'lv' then 28 when 'mg' then 28 when 'mi' then 28 when 'mk' then 31 when 'ml' then 62 when 'mn' then 31 when 'mr' then 50 when 'ms' then 28 when 'mt' then 28 when 'my' then 64 when 'ne' then 50 when 'nl' then 28 when 'no' then 28 when 'ny' then 28 when 'pa' then 49 when 'pl' then 28 when 'ps' then 18 when 'pt' then 28 when 'ro' then 28 when 'ru' then 31 when 'ru-Latn' then 28 when 'sd' then 18 when 'si' then 63 when 'sk' then 28 when 'sl' then 28 when 'sm' then 28 when 'sn' then 28 when 'so' then 28 when 'sq' then 28 when 'sr' then 31 when 'st' then 28 when 'su' then 107 when 'sv' then 28 when 'sw' then 28 when 'ta' then 61 when 'te' then 59 when 'tg' then 31 when 'th' then 65 when 'tr' then 28 when 'uk' then 31 when 'ur' then 18 when 'uz' then 28 when 'vi' then 28 when 'xh' then 28 when 'yi' then 11 when 'yo' then 28 when 'zh' then 92 when 'zh-Latn' then 28 when 'zu' then 28 end ps from norm),
 {out} AS (select q3.* replace (
   cast(case when q3.language is null or q3.script is null then pred.pl when q3.language in (9, 12, 15, 18, 21, 41, 47, 56, 62, 63, 68, 76, 89, 98, 100, 113, 120, 122, 123, 131, 134, 137, 144, 145, 148, 149, 150, 159, 161, 164, 165, 167, 171, 176, 179, 180, 189, 195, 196, 198, 206, 211, 215, 219, 224, 232, 237, 238, 239, 243, 246, 254, 260, 262, 264, 266, 275, 276, 282, 300, 309, 313, 330, 334, 338, 340, 343, 351, 353, 363, 366, 373, 377, 378, 384, 386, 387, 390, 392, 393, 399, 402, 403, 407, 409, 413, 415, 433, 441, 444, 445, 448, 455, 460, 463, 464, 470) then q3.language end as int) AS language,
