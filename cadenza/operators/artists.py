@@ -24,13 +24,14 @@ def _artist_meta(cat, artists: DataFrame) -> DataFrame:
                     F.col("name").alias("artist_name"), "artist_type", "area_name"))
 
 
-def artist_training_features(cat, min_tag_count: int = 1) -> DataFrame:
+def artist_training_features(cat, min_tag_count: int = 1, staging: str = "checkpoint") -> DataFrame:
     """Q1: full-catalogue artist features: one row per eligible artist with genre tokens.
 
     ``genres`` is the space-joined token string; ``tokens`` keeps the array form.
+    Shared intermediates (U1, U4) are staged once, as the reference's temp tables.
     """
     n = check_min_count(min_tag_count)
-    tg = training_genres(cat, n)
+    tg = training_genres(cat, n, staging=staging)
     toks = genre_tokens(tg, "id", "genre", "tokens")
     meta = _artist_meta(cat, eligible_artists(cat["artist"]))
     out = (meta.join(toks.withColumnRenamed("id", "artist_id"), "artist_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import genre_token
+from cadenza.session import stage
 from cadenza.operators.credits import (credited_recordings, credited_release_groups,
                                        credited_releases, eligible_artists)
 
@@ -45,14 +46,16 @@ def _tagged_genres(entities: DataFrame, ent_key: str, tags: DataFrame, tag_key:
 
 
 def primary_artist_genres(cat, n: int = 1, crg: DataFrame | None = None,
-                          crel: DataFrame | None = None) -> DataFrame:
-    """U4: (id, genre) from artist tags, direct genre links, RG tags and release tags."""
+                          crel: DataFrame | None = None, staging: str = "none") -> DataFrame:
+    """U4: (id, genre) from artist tags, direct genre links, RG tags and release tags.
+
+    ``staging`` cuts the lineage of the credit bridge U1, which U2 reads again."""
     tg = tag_genre_ci(cat)
     a = (min_count(cat["artist_tag"], n).join(tg, "tag")
          .select(F.col("artist").alias("id"), "genre"))
     g = cat["genre"].select(F.col("id").alias("entity1"), F.col("name").alias("genre"))
     b = cat["l_artist_genre"].join(g, "entity1").select(F.col("entity0").alias("id"), "genre")
-    crg = crg if crg is not None else credited_release_groups(cat)
+    crg = crg if crg is not None else stage(credited_release_groups(cat), staging)
     crel = crel if crel is not None else credited_releases(cat, crg=crg)
     c = _tagged_genres(crg, "release_group_id", cat["release_group_tag"], "release_group", tg, n)
     d = _tagged_genres(crel, "release_id", cat["release_tag"], "release", tg, n)
@@ -64,10 +67,15 @@ def without_primary(cat, primary: DataFrame) -> DataFrame:
     return eligible_artists(cat["artist"]).select("id").join(primary.select("id"), "id", "left_anti")
 
 
-def training_genres(cat, n: int = 1, primary: DataFrame | None = None) -> DataFrame:
-    """Primary genres, plus recording genres only for artists with none."""
+def training_genres(cat, n: int = 1, primary: DataFrame | None = None,
+                    staging: str = "none") -> DataFrame:
+    """Primary genres, plus recording genres only for artists with none.
+
+    The primary genres are read twice (anti join and union); ``staging`` computes
+    them once (the reference's temp tables)."""
     n = check_min_count(n)
-    primary = primary if primary is not None else primary_artist_genres(cat, n)
+    primary = primary if primary is not None else stage(primary_artist_genres(cat, n, staging=staging),
+                                                          staging)
     scope = without_primary(cat, primary)        # anti join *before* the recording expansion
     crec = credited_recordings(cat, scope)
     fb = _tagged_genres(crec, "recording_id", cat["recording_tag"], "recording",
