@@ -131,7 +131,7 @@ def seed_profile(data: DataFrame, seeds) -> DataFrame:
 
 
 def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None, genre_ids=None,
-                     window: int | str | None = "reference") -> DataFrame:
+                     window: int | str | None = "reference", staging: str = "checkpoint") -> DataFrame:
     """K5 + W6: albums near one seed-set profile -> (rank, id, distance).
 
     ``window='reference'`` takes the ``min(n, top_n + excluded + 200)`` nearest
@@ -163,8 +163,9 @@ def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None,
         g = F.array(*[F.lit(int(x)) for x in genre_ids])
         pool = pool.join(model.data.select("id", "genre_ids"), "id").where(F.arrays_overlap("genre_ids", g))
     top = pool.orderBy("_rk", "id").limit(top_n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("_rk", "id"))).select(
-        "rank", "id", "distance")
+    # at most top_n rows, read several times by enrichment: staged once
+    return stage(top.withColumn("rank", F.row_number().over(Window.orderBy("_rk", "id"))).select(
+        "rank", "id", "distance"), staging)
 
 
 def album_neighbours(model: AlbumModel, requests: DataFrame, exclude_seed: bool = True) -> DataFrame:
@@ -222,10 +223,10 @@ def release_stats(cat, rg_ids: DataFrame | None = None) -> DataFrame:
             .agg(F.count("track_id").alias("tracks"), F.sum("length").alias("length")))
 
 
-def rg_length(cat, rg_ids: DataFrame | None = None) -> DataFrame:
+def rg_length(cat, rg_ids: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """A6 + A8 + J13: original track count, and the first non-null length (by
     release id) among editions with that track count."""
-    first = original_edition(cat, rg_ids)
+    first = first if first is not None else original_edition(cat, rg_ids)
     rs = release_stats(cat, rg_ids)
     orig = first.join(rs.select(F.col("release_id"), F.col("tracks").alias("original_tracks")),
                       "release_id").select("release_group", "original_tracks")
@@ -263,7 +264,7 @@ def enrich_albums(cat, ranked: DataFrame, key: str = "id") -> DataFrame:
     RGs without a release or without a credited artist disappear (inner joins)."""
     ids = ranked.select(F.col(key).alias("id")).distinct()
     first = original_edition(cat, ids)
-    lens = rg_length(cat, ids)
+    lens = rg_length(cat, ids, first)
     ra = rg_artists(cat, ids)
     names = rg_artist_names(ra)
     tag = cat["tag"].select(F.col("id").alias("tag"), F.col("name").alias("gname"))

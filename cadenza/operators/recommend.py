@@ -59,7 +59,8 @@ def validate_request(seeds, top_n: int, lo: int = 1, hi: int = 50):
 
 
 def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=None,
-                      filter_recommendable: bool = True, window: str | None = None) -> DataFrame:
+                      filter_recommendable: bool = True, window: str | None = None,
+                      staging: str = "checkpoint") -> DataFrame:
     """K3 + P4 + Q6 for one request -> (rank, artist_id, distance, status).
 
     ``window=None`` filters before an exact top-k; ``'reference'`` over-fetches the
@@ -87,9 +88,10 @@ def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=
         top = kept.withColumn("rank", F.row_number().over(Window.orderBy("rank")))
     else:
         top = knn_single(model.vectors, cen, top_n, exclude=excl, candidates=cands)
-    # P12 on the (at most top_n) result rows themselves: no extra job
+    # P12 on the (at most top_n) result rows themselves; staged once because
+    # enrichment reads the result several times
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    return top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short"))
+    return stage(top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short")), staging)
 
 
 def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
