@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from cadenza.llm import common, quality_classifier, quality_rules, sharding
+from cadenza.llm import (
+    bpe,
+    common,
+    near_dup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+)
 from cadenza.llm.common import table
 
 common.ship()
@@ -21,7 +29,20 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark, sf_dir):
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_quality_rules, op3_sharding)}
+    op1_quality_classifier, op2_quality_rules, op3_sharding, op6_bpe, op8_near_duplicates,
+    op9_packing)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE}

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import common, quality_classifier, quality_rules
+from cadenza.llm import common, near_dup, packing, quality_classifier, quality_rules
 from cadenza.llm.common import staged, table
 
 common.ship()
 
+PIPELINE_PERCENT = 80  # similarity of five-word shingles from which documents count as copies
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -24,7 +26,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
-STAGES = [("quality_classifier", classify), ("quality_rules", rules)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.keep_documents(docs, PIPELINE_PERCENT)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as sequences of tokens: one row per piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", rules),
+          ("near_duplicates", dedup), ("packing", pack)]
 
 #: No SQL: the classifier's features and the packing's tokenizer are beyond it.
 ORACLE_SQL = None
