@@ -5,11 +5,14 @@ from __future__ import annotations
 from cadenza.llm import (
     bpe,
     common,
+    hilbert_knn,
+    licenses,
     near_dup,
     packing,
     quality_classifier,
     quality_rules,
     sharding,
+    token_counts,
 )
 from cadenza.llm.common import table
 
@@ -29,10 +32,18 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark, sf_dir):
+    return hilbert_knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,8 +52,12 @@ def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_quality_rules, op3_sharding, op6_bpe, op8_near_duplicates,
-    op9_packing)}
+    op1_quality_classifier, op2_quality_rules, op3_sharding, op5_nearest_vectors, op6_bpe,
+    op7_token_counts, op8_near_duplicates, op9_packing, op10_license_scan)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE}
