@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cadenza.llm import (
     bpe,
+    chat,
     common,
     hilbert_knn,
     licenses,
@@ -32,6 +33,11 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_windows(spark, sf_dir):
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 def op5_nearest_vectors(spark, sf_dir):
     return hilbert_knn.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +63,8 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_quality_rules, op3_sharding, op5_nearest_vectors, op6_bpe,
-    op7_token_counts, op8_near_duplicates, op9_packing, op10_license_scan)}
+    op1_quality_classifier, op2_quality_rules, op3_sharding, op4_chat_windows,
+    op5_nearest_vectors, op6_bpe, op7_token_counts, op8_near_duplicates, op9_packing,
+    op10_license_scan)}
 
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_windows": chat.ORACLE}
