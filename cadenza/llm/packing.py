@@ -36,7 +36,7 @@ LIMIT = 1024
 SEPARATOR = 0
 SENTENCE, HARD = 6, 48   # truncation penalties, in tokens of padding
 SEQUENCE = 3             # a sequence's own cost: fewer sequences before more
-STRIDE = 192             # inside longer sentences a cut is offered so often
+STRIDE = 128             # inside longer sentences a cut is offered so often
 LEAST_POWER = 64         # shorter powers of two are no targets
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -46,12 +46,7 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def cut_windows(places: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
     """Ends of the cheapest sequences.  ``places`` rise from 0 in steps of at most ``limit``;
     ``costs`` are the penalties of a cut there.  Ties go to the longer sequence."""
-    powers = []
-    p = limit
-    while p >= LEAST_POWER:
-        if p & (p - 1) == 0:
-            powers.append(p)
-        p //= 2
+    powers = [1 << k for k in range(limit.bit_length()) if LEAST_POWER <= 1 << k <= limit]
     best, back = [0] * len(places), [0] * len(places)
     index = {0: 0}
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + b[i], i), rising
