@@ -16,6 +16,8 @@ ALBUM_MIN_TRACKS_EXCLUSIVE = 8
 ALBUM_MIN_MS_EXCLUSIVE = 30 * 60 * 1000
 SINGLE_MAX_MS_EXCLUSIVE = 7 * 60 * 1000
 TYPE_ALBUM, TYPE_SINGLE, TYPE_EP = 1, 2, 3
+# Public page of an artist.
+ARTIST_PAGE = "https://listenbrainz.org/artist/"
 # Language codes rewritten before the lookup (X17), and codes whose ASCII-only
 # text gets the Latin-script variant.
 LANG_RENAMES = {"iw": "he", "tl": "fil"}
@@ -26,11 +28,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# A word character is a letter, a number or '_': combining marks and connectors are not.
+WORD_CHARS = r"\p{L}\p{N}_"
+# White space that a Unicode-aware strip removes at either end.
+STRIP_CHARS = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def strip(s) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_c(s), f"^[{STRIP_CHARS}]+|[{STRIP_CHARS}]+$", "")
+
+
 def genre_token(s) -> Column:
-    """Trim, lower, runs of non-word characters -> '_', strip '_'."""
-    s = _c(s)
+    """Strip, lower, runs of non-word characters -> '_', strip '_'."""
     return F.regexp_replace(
-        F.regexp_replace(F.lower(F.trim(s)), r"(?U)\W+", "_"), r"^_+|_+$", "")
+        F.regexp_replace(F.lower(strip(s)), f"[^{WORD_CHARS}]+", "_"), r"^_+|_+$", "")
 
 
 def normalize_ws(s) -> Column:
@@ -97,6 +109,7 @@ def ui_duration(value) -> Column:
     """Value >= 10000 is milliseconds, else seconds (rounded half up);
     'Xh Y min' / 'N min' / 'N sec'; null when negative or not a number."""
     v = _c(value).try_cast("double")
+    v = F.when(F.abs(v) < float("inf"), v)  # not a number: null, and no overflow below
     secs = F.when(v >= 10000, F.round(v / 1000)).otherwise(F.round(v)).cast("long")
     h = F.floor(secs / 3600).cast("long")
     m = F.floor((secs % 3600) / 60).cast("long")
@@ -164,10 +177,31 @@ def display_title(title, artist) -> Column:
 def clamp_int(x, lo: int, hi: int) -> Column:
     """Truncate toward zero and clamp to [lo, hi]."""
     v = _c(x).cast("double")
-    t = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("int")
-    return F.least(F.greatest(t, F.lit(lo)), F.lit(hi))
+    # clamped before the cast: NaN and infinities give the minimum, large values the maximum
+    v = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(float(lo))).otherwise(v)
+    v = F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi)))
+    return F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("int")
+
+
+def ordered_min_listen(min_listen, max_results) -> Column:
+    """``min_listen`` is at most ``max_results``."""
+    return F.least(_c(min_listen), _c(max_results))
+
+
+def artist_link(gid) -> Column:
+    """Public page of an artist; null without a gid."""
+    gid = _c(gid)
+    return F.when(gid.isNotNull() & (gid != ""), F.concat(F.lit(ARTIST_PAGE), gid))
+
+
+def genre_list(genres, most: int | None = None) -> Column:
+    """Genres joined by ', ' (null when there are none); ``most`` is a caller's cut."""
+    g = F.filter(_c(genres), lambda x: x.isNotNull() & (x != ""))
+    if most is not None:
+        g = F.slice(g, 1, most)
+    return F.when(F.size(g) > 0, F.array_join(g, ", "))
 
 
 def word_tokens(s) -> Column:
     """Word tokens of a raw string (``\\b\\w+\\b`` with Unicode classes), case kept."""
-    return F.regexp_extract_all(_c(s), F.lit(r"(?U)\b\w+\b"), 0)
+    return F.regexp_extract_all(_c(s), F.lit(f"[{WORD_CHARS}]+"), 0)

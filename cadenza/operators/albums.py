@@ -1,6 +1,6 @@
 """Release-group (album) features, imputation, vectors, recommendation, enrichment.
 
-Q3, A4-A9, A15, A20, K2, K5, K6, K10, K11, K12, W1, W6, J6, J9, J13, Q8.
+Q3, A4-A9, A15, A20, K2, K5, K6, K10, K11, K12, W1, J6, J9, J13, Q8.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cadenza.functions.scalars import as_int_list, classify_type, special_edition
+from cadenza.functions.scalars import as_int_list, special_edition
 from cadenza.operators.genres import release_modes, rg_tag_buckets, secondary_types
-from cadenza.operators.knn import knn_batch, knn_single
+from cadenza.operators.knn import knn_batch, knn_single, missing_seeds, terms_of
+from cadenza.operators.recommend import valid_requests, validate_request
 from cadenza.session import stage
 
 ALBUM_RANK_DIGITS = 12   # album distances are tiny (raw ids and years dominate)
@@ -95,13 +95,14 @@ class AlbumModel:
     data: DataFrame       # transformed rows before imputation (Q3 after stages)
     stats: object         # fitted imputation row
     vectors: DataFrame    # (id, token, w) after imputation
+    terms: DataFrame      # (id, terms, norm, genre_ids), one row per release group
 
 
 def build_album_model(cat, features: DataFrame | None = None, staging: str = "checkpoint",
-                      backfill: bool = False, language: bool = False, types: bool = True,
+                      backfill: bool = True, language: bool = True, types: bool = True,
                       lang_model: DataFrame | None = None) -> AlbumModel:
-    """Features -> optional stages (K7 backfill, K8 language, K10 types) ->
-    imputers -> vectors; each stage is fitted once and its lineage cut."""
+    """Features -> stages (K7 backfill, K8 language, K10 types; each can be switched
+    off) -> imputers -> vectors; each stage is fitted once and its lineage cut."""
     from cadenza.operators.imputers import backfill_genres, infer_types
     from cadenza.operators.langid import infer_language, train_langid
     df = features if features is not None else rg_features(cat)
@@ -115,57 +116,44 @@ def build_album_model(cat, features: DataFrame | None = None, staging: str = "ch
         df = stage(infer_types(df, cat), staging)
     stats = fit_imputers(df).first()      # one row of five numbers
     vec = stage(album_vectors(impute(df, stats)), staging)
-    return AlbumModel(df, stats, vec)
+    terms = stage(terms_of(vec, "id").join(df.select("id", "genre_ids"), "id"), staging)
+    return AlbumModel(df, stats, vec, terms)
 
 
 # ---------------------------------------------------------------- A15 seed profile
 
 def seed_profile(data: DataFrame, seeds) -> DataFrame:
     """One-row profile of a seed set (modes, sorted label union, half-even mean year)."""
-    s = data.join(data.sparkSession.createDataFrame([(int(x),) for x in seeds], "id long"), "id",
-                  "left_semi")
+    s = data.where(F.col("id").isin([int(x) for x in seeds]))
     aggs = [F.mode(c, deterministic=True).alias(c) for c in CATEGORICAL]
     aggs.append(F.bround(F.avg("year"), 0).cast("int").alias("year"))
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS]
+    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in LISTS]
     return s.agg(*aggs).withColumn("id", F.lit(-1).cast("long"))
 
 
 def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None, genre_ids=None,
-                     window: int | str | None = "reference", staging: str = "checkpoint") -> DataFrame:
-    """K5 + W6: albums near one seed-set profile -> (rank, id, distance).
+                     staging: str = "checkpoint") -> DataFrame:
+    """K5 + P4 + P5: albums near one seed-set profile -> (rank, id, distance).
 
-    ``window='reference'`` takes the ``min(n, top_n + excluded + 200)`` nearest
-    (seeds included) before exclusions and the genre filter, as the reference
-    does (so it may return fewer than ``top_n``); ``None`` filters first (exact).
+    Exclusions and the genre filter come before an exact top-k: ``top_n`` rows come back
+    whenever that many albums qualify.
     """
-    if not seeds:
-        raise ValueError("at least one seed is required")
-    spark = model.vectors.sparkSession
-    seeds = list(dict.fromkeys(int(s) for s in seeds))
-    known = model.data.join(spark.createDataFrame([(s,) for s in seeds], "id long"), "id", "left_semi")
-    found = {r[0] for r in known.select("id").collect()}   # at most len(seeds) rows
-    missing = sorted(set(seeds) - found)
+    validate_request(seeds, top_n)
+    seeds = sorted({int(s) for s in seeds})
+    known = model.data.where(F.col("id").isin(seeds))
+    missing = sorted(set(seeds) - {r[0] for r in known.select("id").collect()})   # seeds only
     if missing:
         raise LookupError(f"unknown release group ids: {missing}")
-    excluded = set(seeds) | {int(b) for b in (blacklist or [])}
     prof = impute(seed_profile(model.data, seeds), model.stats)
-    cen = album_vectors(prof).select("token", "w")
-    ranked = knn_single(model.vectors, cen, None, key="id", unit=False, digits=ALBUM_RANK_DIGITS)
-    excl_df = spark.createDataFrame([(e,) for e in sorted(excluded)], "id long")
-    if window == "reference":
-        n = model.data.count()
-        win = min(n, top_n + len(excluded) + 200)
-        pool = ranked.orderBy("_rk", "id").limit(win)
-    else:
-        pool = ranked
-    pool = pool.join(F.broadcast(excl_df), "id", "left_anti")
+    # one request's labels
+    cen = {r["token"]: r["w"] for r in album_vectors(prof).select("token", "w").collect()}
+    where = None
     if genre_ids:
-        g = F.array(*[F.lit(int(x)) for x in genre_ids])
-        pool = pool.join(model.data.select("id", "genre_ids"), "id").where(F.arrays_overlap("genre_ids", g))
-    top = pool.orderBy("_rk", "id").limit(top_n)
+        where = F.arrays_overlap("genre_ids", F.array(*[F.lit(int(x)) for x in genre_ids]))
+    top = knn_single(model.terms, cen, top_n, key="id", where=where, digits=ALBUM_RANK_DIGITS,
+                     exclude=set(seeds) | {int(b) for b in blacklist or []})
     # at most top_n rows, read several times by enrichment: staged once
-    return stage(top.withColumn("rank", F.row_number().over(Window.orderBy("_rk", "id"))).select(
-        "rank", "id", "distance"), staging)
+    return stage(top.select("rank", "id", "distance"), staging)
 
 
 def album_neighbours(model: AlbumModel, requests: DataFrame, exclude_seed: bool = True) -> DataFrame:
@@ -283,18 +271,7 @@ def enrich_albums(cat, ranked: DataFrame, key: str = "id") -> DataFrame:
     return ranked.join(out, key)
 
 
-# ---------------------------------------------------------------- K10 type inference
-
-def edition_track_meta(cat, rg_ids: DataFrame | None = None) -> DataFrame:
-    """Track count and total length of the original edition of each RG."""
-    first = original_edition(cat, rg_ids)
-    rs = release_stats(cat, rg_ids).select("release_id", "tracks", "length")
-    return first.join(rs, "release_id", "left").select(
-        "release_group", F.coalesce("tracks", F.lit(0)).alias("tracks"), "length")
-
-
-T_INT = T.IntegerType()
-
+# ---------------------------------------------------------------- batch requests
 
 def seed_profiles(data: DataFrame, requests: DataFrame) -> DataFrame:
     """A15 per request: (request_id as id, type, status, language, script, year, label arrays)."""
@@ -302,18 +279,19 @@ def seed_profiles(data: DataFrame, requests: DataFrame) -> DataFrame:
          .join(data, "id"))
     aggs = [F.mode(c, deterministic=True).alias(c) for c in CATEGORICAL]
     aggs.append(F.bround(F.avg("year"), 0).cast("int").alias("year"))
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in LISTS]
+    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in LISTS]
     return s.groupBy(F.col("request_id").alias("id")).agg(*aggs)
 
 
 def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str = "checkpoint") -> DataFrame:
-    """K5 for a table of requests (request_id, seeds, blacklist, top_n) -> (request_id,
-    rank, id, distance).  Exact: exclusions come before the top-k (``window=None``).
-    The result is staged: enrichment reads it several times."""
-    known = model.data.select("id")
-    s = requests.select("request_id", F.explode(F.array_distinct("seeds")).alias("id"))
-    bad = s.join(known, "id", "left_anti").select("request_id").distinct()
-    ok = requests.join(bad, "request_id", "left_anti")
+    """K5 for a table of requests (request_id, seeds, blacklist, top_n and, where there is
+    such a column, genre_ids) -> (request_id, rank, id, distance).
+
+    Exact: exclusions and genre filters come before the top-k.  Invalid requests and those with
+    unknown seeds have no neighbours (see ``with_outcome``).  The result is staged: enrichment
+    reads it several times."""
+    requests = valid_requests(requests)
+    ok = requests.join(missing_seeds(requests, model.data, key="id"), "request_id", "left_anti")
     prof = impute(seed_profiles(model.data, ok), model.stats)
     q = (album_vectors(prof).join(ok.select(F.col("request_id").alias("id"), "top_n"), "id")
          .select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w", "top_n"))
@@ -322,6 +300,11 @@ def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str
     ex = ok.select(F.col("request_id").alias("query_id"),
                    F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"), bl)))
                    .alias("cand_id"))
-    r = knn_batch(q, c, exclusions=ex, digits=ALBUM_RANK_DIGITS)
+    wanted = None
+    if "genre_ids" in requests.columns:
+        wanted = ok.select(F.col("request_id").alias("query_id"), F.explode("genre_ids").alias("g")) \
+            .select("query_id", F.concat(F.lit(LIST_PREFIX["genre_ids"] + ":"),
+                                         F.col("g").cast("string")).alias("key"))
+    r = knn_batch(q, c, exclusions=ex, filters=wanted, digits=ALBUM_RANK_DIGITS)
     return stage(r.select(F.col("query_id").alias("request_id"), "rank", F.col("cand_id").alias("id"),
                           "distance"), staging)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import genre_token, nonempty_tokens
-from cadenza.operators.credits import eligible_artists, scope_entities
+from cadenza.functions.scalars import genre_token, nonempty_tokens, strip
+from cadenza.operators.credits import eligible_artists, restrict, scope_entities
 from cadenza.operators.genres import (check_min_count, extended_genres, genre_tokens,
                                       primary_artist_genres, tag_genre_ci, training_genres)
 
@@ -80,7 +80,7 @@ def artist_rollup(rows: DataFrame) -> DataFrame:
 def genre_tokens_text(pairs: DataFrame, out: str, raw: bool = False) -> DataFrame:
     """X2 on raw strings: case-insensitive distinct values, first spelling in sorted
     order, space-joined (used for the ``tags`` column)."""
-    v = F.trim(F.col("v"))
+    v = strip("v")
     kept = (pairs.where(F.col("v").isNotNull() & (v != ""))
             .groupBy("artist_id", F.lower(v).alias("_k")).agg(F.min(v).alias("_s")))
     return kept.groupBy("artist_id").agg(
@@ -88,15 +88,17 @@ def genre_tokens_text(pairs: DataFrame, out: str, raw: bool = False) -> DataFram
 
 
 def artist_features_scoped(cat, min_tag_count: int = 1, max_artists: int | None = None,
-                           skip_extended: bool = False) -> DataFrame:
-    """Q2: tag rows + extended genres (U6) per artist; tokens = tag genres ++ extended."""
+                           skip_extended: bool = False, scope: DataFrame | None = None) -> DataFrame:
+    """Q2: tag rows + extended genres (U6) per artist; tokens = tag genres ++ extended.
+
+    ``scope`` (a frame of artist ids, S3) or ``max_artists`` (S2) restrict the artists."""
     n = check_min_count(min_tag_count)
-    rows = artist_tag_rows(cat, n, max_artists)
+    rows = restrict(artist_tag_rows(cat, n, max_artists), scope, "artist_id")
     roll = artist_rollup(rows)
     if skip_extended:
         ext = None
     else:
-        if max_artists:
+        if max_artists or scope is not None:
             # scoped artists: release/RG genres plus recording genres for everyone
             scope = rows.select(F.col("artist_id").alias("id")).distinct()
             pairs = extended_genres(cat, n, scope)

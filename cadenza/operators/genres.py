@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import genre_token
+from cadenza.functions.scalars import genre_token, strip
 from cadenza.session import stage
 from cadenza.operators.credits import (credited_recordings, credited_release_groups,
                                        credited_releases, eligible_artists)
@@ -105,7 +105,7 @@ def genre_tokens(pairs: DataFrame, key: str = "id", value: str = "genre",
     Returns (key, tokens array<string>) ordered by the kept spelling; tokens that
     are empty are dropped, duplicate tokens kept (they count twice in tf).
     """
-    v = F.trim(F.col(value))
+    v = strip(value)
     kept = (pairs.where(F.col(value).isNotNull() & (v != ""))
             .groupBy(key, F.lower(v).alias("_k"))
             .agg(F.min(v).alias("_spell")))

@@ -1,15 +1,18 @@
 """TF-IDF vectors and exact cosine nearest neighbours.
 
-Vectors are kept in long form ``(entity, key, w)``.  Two exact strategies:
-
-* one request (K3): the request's centroid is a handful of rows; it is
-  broadcast, every candidate's dot product is one partial aggregate, and the
-  top-k is a ``TakeOrderedAndProject`` (per-partition top-k, no global sort);
-* a table of requests (K4, K6): a block grid.  Requests and candidates are
-  hashed into blocks whose size is chosen from their counts; each (request
-  block, candidate block) cell is scored in one task with numpy and emits only
-  its local top-k per request, which a ``row_number`` window merges.  No pair
-  rows are ever shuffled and a popular token cannot skew a task.
+Vectors are kept in long form ``(entity, key, w)`` and, for single requests, as one narrow
+row per entity (``terms``: array of (token, w)).  Two exact strategies:
+
+* one request (K3): the request's centroid is a handful of numbers; it becomes a literal map,
+  every candidate's dot product is one expression over its own row, and the top-k is a
+  ``TakeOrderedAndProject`` (per-partition top-k).  Nothing is shuffled;
+* a table of requests (K4, K6): equal vectors are collapsed on both sides and scored once, in
+  a block grid.  Query vectors and candidate vectors are dealt into blocks whose size is chosen
+  from their counts; each (query block, candidate block) cell is scored in one task with numpy
+  and emits only its local top-k per query vector; a ``row_number`` window merges.  The results
+  are expanded to the requests that share a vector, whose exclusions are then taken out.
+
+Both rank on the same key, ``floor(distance * 10^digits + 0.5)``, then id.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.session import stage
+
 # The cell scorer runs in Python workers; ship this module's functions by value so
 # executors need numpy/pandas only, not this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,8 +56,7 @@ def tfidf(docs: DataFrame, key: str = "artist_id", tokens: str = "tokens",
         n_docs = tf.select(key).distinct().count()
     vocab = (tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
-    # vocab is bounded by the number of distinct tokens (a genre list), so it is broadcast
-    raw = tf.join(F.broadcast(vocab.select("token", "idf")), "token") \
+    raw = tf.join(vocab.select("token", "idf"), "token") \
         .select(key, "token", (F.col("tf") * F.col("idf")).alias("raw"))
     w = Window.partitionBy(key)
     vectors = raw.select(key, "token",
@@ -69,7 +73,7 @@ def centroids(vectors: DataFrame, requests: DataFrame, key: str = "artist_id",
     Seeds missing from ``vectors`` are ignored here (see ``missing_seeds``).
     """
     s = requests.select(req, F.explode(F.array_distinct(seeds)).alias(key))
-    found = s.join(vectors.select(key).distinct(), key, "left_semi")
+    found = s.join(vectors.select(key), key, "left_semi")
     n = found.groupBy(req).agg(F.count(F.lit(1)).alias("_n"))
     return (found.join(vectors, key).groupBy(req, "token").agg(F.sum("w").alias("_sw"))
             .join(n, req).select(req, "token", (F.col("_sw") / F.col("_n")).alias("w")))
@@ -79,45 +83,54 @@ def missing_seeds(requests: DataFrame, known: DataFrame, key: str = "artist_id",
                   req: str = "request_id", seeds: str = "seeds") -> DataFrame:
     """(request_id, missing array<bigint>) for requests naming unknown seeds."""
     s = requests.select(req, F.explode(F.array_distinct(seeds)).alias(key))
-    return (s.join(known.select(key).distinct(), key, "left_anti")
+    return (s.join(known.select(key), key, "left_anti")
             .groupBy(req).agg(F.array_sort(F.collect_list(key)).alias("missing")))
 
 
+# ---------------------------------------------------------------- ranking
+
+def rank_key(distance, digits: int = RANK_DIGITS):
+    """Distances that agree to ``digits`` tie; the same arithmetic as ``rank_keys``."""
+    return F.floor(distance * F.lit(10.0 ** digits) + F.lit(0.5))
+
+
+def rank_keys(distance: np.ndarray, digits: int = RANK_DIGITS) -> np.ndarray:
+    return np.floor(distance * 10.0 ** digits + 0.5)
+
+
 # ---------------------------------------------------------------- K3 single request
 
-def knn_single(vectors: DataFrame, centroid: DataFrame, k: int, key: str = "artist_id",
-               exclude: DataFrame | None = None, candidates: DataFrame | None = None,
-               unit: bool = True, digits: int = RANK_DIGITS) -> DataFrame:
-    """K3: top-``k`` candidates by cosine distance to one centroid ``(token, w)``.
-
-    Every candidate is scored (a left join to the broadcast centroid gives 0 for
-    candidates sharing no token, i.e. distance 1, as brute force does).
-    ``exclude`` (ids) is removed *before* the top-k; ``candidates`` restricts
-    the pool (for example to recommendable artists).  ``unit`` says candidate
-    rows are already L2-normalised; otherwise their norms are computed.
-    ``k=None`` returns every candidate ranked (used by windowed filters).
+def terms_of(vectors: DataFrame, key: str = "artist_id") -> DataFrame:
+    """One narrow row per entity: (key, terms array<(token, w)>, norm)."""
+    return vectors.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("token", "w"))).alias("terms"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def knn_single(terms: DataFrame, centroid: dict[str, float], k: int, key: str = "artist_id",
+               exclude=(), where=None, digits: int = RANK_DIGITS) -> DataFrame:
+    """K3: the ``k`` candidates nearest to one centroid by cosine distance.
+
+    Every candidate is scored (no shared token gives distance 1, as brute force does).
+    ``exclude`` (the request's ids) and ``where`` (a condition on ``terms``) are applied
+    *before* the top-k.
     """
-    # the centroid is one request's handful of rows (bounded by the vocabulary): its
-    # norm rides along as a column of the broadcast side, so no extra job is needed
-    cen = centroid.select("token", F.col("w").alias("cw"),
-                          F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy())).alias("cn"))
-    pool = vectors
-    if candidates is not None:
-        pool = pool.join(candidates.select(key), key, "left_semi")
-    if exclude is not None:
-        pool = pool.join(F.broadcast(exclude.select(key)), key, "left_anti")
-    aggs = [F.sum(F.coalesce(F.col("w") * F.col("cw"), F.lit(0.0))).alias("dot"),
-            F.max("cn").alias("cn")]
-    if not unit:
-        aggs.append(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vn"))
-    dots = pool.join(F.broadcast(cen), "token", "left").groupBy(key).agg(*aggs)
-    denom = F.col("cn") if unit else F.col("cn") * F.col("vn")
-    # no shared token (cn null) or a zero vector -> distance 1, as brute force gives
-    dist = F.when(denom > 0, F.lit(1.0) - F.col("dot") / denom).otherwise(F.lit(1.0))
-    scored = dots.select(key, dist.alias("distance"))
-    order = [F.round("distance", digits), F.col(key)]
-    if k is None:
-        return scored.withColumn("_rk", F.round("distance", digits))
+    norm = math.sqrt(sum(w * w for w in centroid.values()))
+    if norm > 0:
+        weights = F.create_map(*[F.lit(x) for t, w in sorted(centroid.items()) for x in (t, w)])
+        shared = F.filter("terms", lambda t: t["token"].isin(sorted(centroid)))
+        dot = F.aggregate(shared, F.lit(0.0), lambda a, t: a + t["w"] * weights[t["token"]])
+        dist = F.when(F.col("norm") > 0, 1.0 - dot / (F.lit(norm) * F.col("norm"))) \
+            .otherwise(F.lit(1.0))
+    else:
+        dist = F.lit(1.0)
+    pool = terms
+    if len(exclude):
+        pool = pool.where(~F.col(key).isin([int(x) for x in exclude]))
+    if where is not None:
+        pool = pool.where(where)
+    scored = pool.select(F.col(key).cast("long").alias(key), dist.alias("distance"))
+    order = [rank_key(F.col("distance"), digits), F.col(key)]
     top = scored.orderBy(*order).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -125,32 +138,35 @@ def knn_single(vectors: DataFrame, centroid: DataFrame, k: int, key: str = "arti
 # ---------------------------------------------------------------- K4 block grid
 
 _OUT = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("cand_id", T.LongType()),
+    T.StructField("qv", T.LongType()),
+    T.StructField("cv", T.LongType()),
     T.StructField("distance", T.DoubleType()),
+    T.StructField("rk", T.DoubleType()),
 ])
 
-
 QUERY_CHUNK = 1024      # query rows scored at once: the score matrix is <= 1024 x block
 KEY_CHUNK = 2048        # shared keys densified at once
 
 
 def _empty_out() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": pd.Series([], "int64"), "cand_id": pd.Series([], "int64"),
-                         "distance": pd.Series([], "float64")})
+    return pd.DataFrame({"qv": pd.Series(dtype="int64"), "cv": pd.Series(dtype="int64"),
+                         "distance": pd.Series(dtype="float64"), "rk": pd.Series(dtype="float64")})
 
 
 def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS) -> pd.DataFrame:
-    """Score one (query block, candidate block) cell and keep each query's top-n.
+    """Score one (query block, candidate block) cell and keep each query vector's top ``k``.
 
-    Memory stays bounded: queries are scored in chunks of ``QUERY_CHUNK`` rows and
-    the shared keys are densified ``KEY_CHUNK`` at a time.
+    qdf: qv, kind (0: a vector's key and w; 1: a key of the query's filter, of which a
+    candidate has to hold one), key, w, k, first (ties between vectors go to the smaller
+    ``first`` id).  Memory stays bounded: queries are scored in chunks of ``QUERY_CHUNK``
+    rows and the shared keys are densified ``KEY_CHUNK`` at a time.
     """
     vec = qdf[qdf["kind"] == 0]
     if vec.empty or cdf.empty:
         return _empty_out()
-    q_ids, q_idx = np.unique(vec["query_id"].to_numpy(), return_inverse=True)
-    c_ids, c_idx = np.unique(cdf["cand_id"].to_numpy(), return_inverse=True)
+    q_ids, q_idx = np.unique(vec["qv"].to_numpy(), return_inverse=True)
+    c_ids, c_at, c_idx = np.unique(cdf["cv"].to_numpy(), return_index=True, return_inverse=True)
+    c_first = cdf["first"].to_numpy()[c_at]
     qw = vec["w"].to_numpy(dtype=np.float64)
     cw = cdf["w"].to_numpy(dtype=np.float64)
     qn = np.sqrt(np.bincount(q_idx, qw * qw, minlength=len(q_ids)))
@@ -162,15 +178,8 @@ def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS)
     col = np.full(len(keys), -1)
     col[shared] = np.arange(len(shared))
     qcol, ccol = col[qk], col[ck]
-    topn_all = vec.groupby("query_id")["top_n"].max().reindex(q_ids).to_numpy().astype(np.int64)
-    exc = qdf[qdf["kind"] == 1]
-    ex_q = np.searchsorted(q_ids, exc["query_id"].to_numpy()) if not exc.empty else np.array([], int)
-    ex_c = np.searchsorted(c_ids, exc["xid"].to_numpy()) if not exc.empty else np.array([], int)
-    if len(ex_q):
-        ok = (ex_q < len(q_ids)) & (ex_c < len(c_ids))
-        ok[ok] = (q_ids[ex_q[ok]] == exc["query_id"].to_numpy()[ok]) & \
-                 (c_ids[ex_c[ok]] == exc["xid"].to_numpy()[ok])
-        ex_q, ex_c = ex_q[ok], ex_c[ok]
+    k_all = vec.groupby("qv")["k"].max().reindex(q_ids).to_numpy().astype(np.int64)
+    allowed = _allowed(qdf[qdf["kind"] == 1], q_ids, cdf["key"].to_numpy(), c_idx, len(c_ids))
     outs = []
     for q0 in range(0, len(q_ids), QUERY_CHUNK):
         q1 = min(q0 + QUERY_CHUNK, len(q_ids))
@@ -190,31 +199,45 @@ def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS)
         with np.errstate(divide="ignore", invalid="ignore"):
             dist = 1.0 - dots / (qn[q0:q1, None] * cn[None, :])
         dist[~np.isfinite(dist)] = 1.0
-        # exclusions (seeds, blacklist) are removed before the top-k
-        sel = (ex_q >= q0) & (ex_q < q1)
-        dist[ex_q[sel] - q0, ex_c[sel]] = np.inf
-        topn = topn_all[q0:q1]
-        kmax = int(min(topn.max(), len(c_ids)))
-        rd = np.round(dist, digits)
-        kth = np.partition(rd, kmax - 1, axis=1)[:, kmax - 1]
-        r, c = np.nonzero(rd <= kth[:, None])
-        order = np.lexsort((c_ids[c], rd[r, c], r))
+        rk = rank_keys(dist, digits)
+        for q, mask in allowed.items():     # only queries with a filter
+            if q0 <= q < q1:
+                rk[q - q0, ~mask] = np.inf
+        top = k_all[q0:q1]
+        kmax = int(min(top.max(), len(c_ids)))
+        kth = np.partition(rk, kmax - 1, axis=1)[:, kmax - 1]
+        r, c = np.nonzero(rk <= kth[:, None])
+        order = np.lexsort((c_first[c], rk[r, c], r))
         r, c = r[order], c[order]
         first = np.searchsorted(r, np.arange(q1 - q0))
         pos = np.arange(len(r)) - first[r]
-        keep = (pos < topn[r]) & np.isfinite(rd[r, c])
+        keep = (pos < top[r]) & np.isfinite(rk[r, c])
         r, c = r[keep], c[keep]
-        outs.append(pd.DataFrame({"query_id": q_ids[q0 + r].astype("int64"),
-                                  "cand_id": c_ids[c].astype("int64"), "distance": dist[r, c]}))
+        outs.append(pd.DataFrame({"qv": q_ids[q0 + r].astype("int64"),
+                                  "cv": c_ids[c].astype("int64"),
+                                  "distance": dist[r, c], "rk": rk[r, c]}))
     return pd.concat(outs, ignore_index=True) if outs else _empty_out()
 
 
+def _allowed(filters: pd.DataFrame, q_ids: np.ndarray, c_keys: np.ndarray, c_idx: np.ndarray,
+             nc: int) -> dict[int, np.ndarray]:
+    """Per filtered query (its place): which candidates hold one of its filter's keys."""
+    out = {}
+    for qv, own in filters.groupby("qv"):
+        at = int(np.searchsorted(q_ids, qv))
+        if at < len(q_ids) and q_ids[at] == qv:
+            mask = np.zeros(nc, bool)
+            mask[c_idx[np.isin(c_keys, own["key"].to_numpy())]] = True
+            out[at] = mask
+    return out
+
+
 def _blocks(n: int, target: int) -> int:
     return max(1, math.ceil(n / target))
 
 
 def block_rows(nq: int, nc: int, target: int | None = None) -> int:
-    """Entities per block side.  A cell costs O(rows^2) memory-bounded work while
+    """Vectors per block side.  A cell costs O(rows^2) memory-bounded work while
     the grid replicates each side once per block of the other, so blocks grow
     with sqrt(n) (fewer replicas on big inputs), between 2048 and 8192."""
     if target is not None:
@@ -222,40 +245,101 @@ def block_rows(nq: int, nc: int, target: int | None = None) -> int:
     return int(min(8192, max(TARGET_BLOCK_ROWS, 16 * math.isqrt(max(nq, nc, 1)))))
 
 
+def _distinct(rows: DataFrame, ident: str, extra=()) -> tuple[DataFrame, DataFrame]:
+    """Collapse equal vectors: (v, terms) and (ident, v); ``extra`` columns tell vectors apart."""
+    own = [F.col(c) for c in extra]
+    f = rows.groupBy(ident).agg(
+        F.array_sort(F.collect_list(F.struct("key", "w"))).alias("terms"),
+        *[F.first(c).alias(c) for c in extra])
+    f = f.select(ident, "terms", F.xxhash64("terms", *own).alias("h1"),
+                 F.xxhash64("terms", *own, F.lit(1)).alias("h2"), *extra)
+    f = stage(f, name="vectors")
+    one = f.groupBy("h1", "h2").agg(F.min(ident).alias("v"))
+    one = stage(one, name="classes")
+    vecs = f.join(one.select(F.col("v").alias(ident)), ident).select(
+        F.col(ident).alias("v"), "terms", *extra)
+    return vecs, f.join(one, ["h1", "h2"]).select(ident, "v")
+
+
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,
-              target_block_rows: int | None = None, digits: int = RANK_DIGITS) -> DataFrame:
+              filters: DataFrame | None = None, target_block_rows: int | None = None,
+              digits: int = RANK_DIGITS) -> DataFrame:
     """K4: exact cosine top-n for a table of query vectors.
 
-    queries     (query_id bigint, key string, w double, top_n int)
-    candidates  (cand_id bigint, key string, w double)
-    exclusions  (query_id bigint, cand_id bigint) removed before ranking
+    queries     (query_id, key string, w double, top_n int)
+    candidates  (cand_id, key string, w double)
+    exclusions  (query_id, cand_id) removed before ranking
+    filters     (query_id, key): a query that has some takes only candidates with such a key
     returns     (query_id, cand_id, distance, rank) with rank <= top_n
+
+    A query vector is scored for as many neighbours as any of its requests asks for plus the
+    exclusions any of them has, so taking those out afterwards loses nothing.
     """
-    nq = queries.select("query_id").distinct().count()
-    nc = candidates.select("cand_id").distinct().count()
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"),
+                             F.col("key").cast("string").alias("key"),
+                             F.col("w").cast("double").alias("w"),
+                             F.col("top_n").cast("int").alias("top_n"))
+    queries = stage(queries, name="queries")       # read several times below
+    candidates = candidates.select(F.col("cand_id").cast("long").alias("cand_id"),
+                                   F.col("key").cast("string").alias("key"),
+                                   F.col("w").cast("double").alias("w"))
+    topn = queries.groupBy("query_id").agg(F.max("top_n").alias("top_n"))
+    need = topn
+    if exclusions is not None:
+        exclusions = stage(exclusions.select(
+            F.col("query_id").cast("long").alias("query_id"),
+            F.col("cand_id").cast("long").alias("cand_id")).distinct(), name="exclusions")
+        n = exclusions.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        need = need.join(n, "query_id", "left")
+    else:
+        need = need.withColumn("n", F.lit(0))
+    need = need.select("query_id", "top_n", (F.col("top_n") + F.coalesce("n", F.lit(0))).alias("k"))
+    if filters is None:
+        need = need.withColumn("fkeys", F.array().cast("array<string>"))
+    else:
+        own = filters.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(
+            F.array_sort(F.collect_set(F.col("key").cast("string"))).alias("fkeys"))
+        need = need.join(own, "query_id", "left").withColumn(
+            "fkeys", F.coalesce("fkeys", F.array().cast("array<string>")))
+    need = stage(need, name="requests")
+    # k is capped by nothing: a power of two keeps requests of like size in one class
+    k = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("k").cast("double")))).cast("int")
+    asked = queries.drop("top_n").join(need.select("query_id", k.alias("k"), "fkeys"), "query_id")
+    qvecs, qmap = _distinct(asked, "query_id", ("k", "fkeys"))
+    cvecs, cmap = _distinct(candidates, "cand_id")
+    nq, nc = qvecs.count(), cvecs.count()
     b = block_rows(nq, nc, target_block_rows)
     bq, bc = _blocks(nq, b), _blocks(nc, b)
-    qb = F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int")
-    cb_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bc)).cast("int")
-    qv = queries.select(qb.alias("qblk"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cblk"),
-                        F.col("query_id").cast("long"), F.lit(0).cast("tinyint").alias("kind"),
-                        F.col("key").cast("string"), F.col("w").cast("double"),
-                        F.col("top_n").cast("int"), F.lit(None).cast("long").alias("xid"))
-    if exclusions is not None:
-        qx = exclusions.select(qb.alias("qblk"), cb_of("cand_id").alias("cblk"),
-                               F.col("query_id").cast("long"), F.lit(1).cast("tinyint").alias("kind"),
-                               F.lit(None).cast("string").alias("key"),
-                               F.lit(None).cast("double").alias("w"),
-                               F.lit(None).cast("int").alias("top_n"),
-                               F.col("cand_id").cast("long").alias("xid"))
-        qv = qv.unionByName(qx)
-    cv = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qblk"),
-                           cb_of("cand_id").alias("cblk"), F.col("cand_id").cast("long"),
-                           F.col("key").cast("string"), F.col("w").cast("double"))
-    cells = (qv.groupBy("qblk", "cblk")
-             .cogroup(cv.groupBy("qblk", "cblk"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    qrows = qvecs.select(F.col("v").alias("qv"), "k", F.explode(F.concat(
+        F.transform("terms", lambda t: F.struct(F.lit(0).alias("kind"), t["key"].alias("key"),
+                                                t["w"].alias("w"))),
+        F.transform("fkeys", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key"),
+                                                F.lit(0.0).alias("w"))))).alias("t"))
+    qrows = qrows.select(deal("qv", bq).alias("qblk"),
+                         F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cblk"),
+                         "qv", "k", "t.kind", "t.key", "t.w")
+    crows = cvecs.select(F.col("v").alias("cv"), F.explode("terms").alias("t"))
+    crows = crows.select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qblk"),
+                         deal("cv", bc).alias("cblk"), "cv", F.col("cv").alias("first"),
+                         "t.key", "t.w")
+    cells = (qrows.groupBy("qblk", "cblk").cogroup(crows.groupBy("qblk", "cblk"))
              .applyInPandas(lambda q, c: _score_cell(q, c, digits), schema=_OUT))
-    topn = queries.groupBy("query_id").agg(F.max("top_n").alias("top_n"))
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", digits), "cand_id")
-    return (cells.withColumn("rank", F.row_number().over(w))
-            .join(topn, "query_id").where(F.col("rank") <= F.col("top_n")).drop("top_n"))
+    qk = qvecs.select(F.col("v").alias("qv"), "k")
+    # the k nearest vectors of each query vector, then the k nearest ids among theirs
+    by = Window.partitionBy("qv").orderBy("rk", "cv")
+    best = cells.withColumn("r", F.row_number().over(by)).join(qk, "qv").where("r <= k").drop("r")
+    most = need.agg(F.max(k)).first()[0] or 1      # one number
+    few = Window.partitionBy("v").orderBy("cand_id")
+    ids = cmap.withColumn("r", F.row_number().over(few)).where(F.col("r") <= most) \
+        .select(F.col("v").alias("cv"), "cand_id")
+    by = Window.partitionBy("qv").orderBy("rk", "cand_id")
+    best = best.join(ids, "cv").withColumn("r", F.row_number().over(by)).where("r <= k")
+    rows = qmap.select("query_id", F.col("v").alias("qv")).join(
+        best.select("qv", "cand_id", "distance", "rk"), "qv").drop("qv")
+    if exclusions is not None:
+        rows = rows.join(exclusions, ["query_id", "cand_id"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("rk", "cand_id")
+    return (rows.withColumn("rank", F.row_number().over(w))
+            .join(need.select("query_id", "top_n"), "query_id").where(F.col("rank") <= F.col("top_n"))
+            .select("query_id", "cand_id", "distance", "rank"))

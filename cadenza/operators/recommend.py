@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.functions.scalars import capitalize_first, official_site
+from cadenza.functions.scalars import ARTIST_PAGE, capitalize_first, official_site
 from cadenza.operators.artists import artist_training_features
 from cadenza.operators.credits import recommendable_artists
-from cadenza.operators.knn import (centroids, knn_batch, knn_single, missing_seeds, tfidf,
-                                   RANK_DIGITS)
+from cadenza.operators.knn import (centroids, knn_batch, knn_single, missing_seeds,
+                                   terms_of, tfidf, RANK_DIGITS)
 from cadenza.session import stage
 
 
@@ -21,6 +21,7 @@ class ArtistModel:
     features: DataFrame   # Q1 rows (artist_id, ..., genres, tokens)
     vocab: DataFrame      # (token, df, idf)
     vectors: DataFrame    # (artist_id, token, w), unit rows
+    terms: DataFrame      # (artist_id, terms, norm, recommendable), one row per artist
 
 
 def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
@@ -29,7 +30,12 @@ def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
     feats = features if features is not None else artist_training_features(cat, min_tag_count)
     feats = stage(feats, staging)
     vocab, vectors = tfidf(feats)
-    return ArtistModel(feats, stage(vocab, staging), stage(vectors, staging))
+    vectors = stage(vectors, staging)
+    ok = recommendable_artists(cat).select(F.col("id").alias("artist_id")).distinct() \
+        .withColumn("recommendable", F.lit(True))
+    terms = terms_of(vectors).join(ok, "artist_id", "left").withColumn(
+        "recommendable", F.coalesce("recommendable", F.lit(False)))
+    return ArtistModel(feats, stage(vocab, staging), vectors, stage(terms, staging))
 
 
 def ids_df(spark: SparkSession, ids, name: str = "id") -> DataFrame:
@@ -58,56 +64,60 @@ def validate_request(seeds, top_n: int, lo: int = 1, hi: int = 50):
         raise ValueError(f"top_n must be in [{lo}, {hi}]")
 
 
-def recommend_artists(model: ArtistModel, cat, seeds, top_n: int = 5, blacklist=None,
-                      filter_recommendable: bool = True, window: str | None = None,
-                      staging: str = "checkpoint") -> DataFrame:
+def mean_vector(rows) -> dict[str, float]:
+    """A16 for one request: the mean of the seeds' ``terms`` (as many rows as seeds)."""
+    total: dict[str, float] = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        for t in r["terms"]:
+            total[t["token"]] = total.get(t["token"], 0.0) + t["w"]
+    return {t: w / len(rows) for t, w in total.items()}
+
+
+def recommend_artists(model: ArtistModel, seeds, top_n: int = 5, blacklist=None,
+                      filter_recommendable: bool = True, staging: str = "checkpoint") -> DataFrame:
     """K3 + P4 + Q6 for one request -> (rank, artist_id, distance, status).
 
-    ``window=None`` filters before an exact top-k; ``'reference'`` over-fetches the
-    reference's candidate window (W7) and filters inside it.  Unknown seeds raise
-    (P11); fewer than ``top_n`` results mark ``status`` 'short' (P12).
+    Seeds, blacklist and artists that may not be recommended are out before the top-k, so
+    ``top_n`` rows come back whenever that many exist.  Unknown seeds raise (P11); fewer
+    than ``top_n`` results mark ``status`` 'short' (P12).
     """
     validate_request(seeds, top_n)
-    spark = model.vectors.sparkSession
-    seeds_df = ids_df(spark, seeds, "artist_id")
-    missing = seeds_df.join(model.vectors.select("artist_id").distinct(), "artist_id", "left_anti")
-    miss = [r[0] for r in missing.collect()]           # at most len(seeds) rows
+    seeds = sorted({int(s) for s in seeds})
+    rows = model.terms.where(F.col("artist_id").isin(seeds)).collect()   # one row per seed
+    miss = sorted(set(seeds) - {r["artist_id"] for r in rows})
     if miss:
-        raise LookupError(f"unknown artist ids: {sorted(miss)}")
-    req = spark.createDataFrame([(0, [int(s) for s in seeds])], "request_id long, seeds array<long>")
-    cen = centroids(model.vectors, req).drop("request_id")
-    excl = ids_df(spark, list(seeds) + list(blacklist or []), "artist_id")
-    cands = recommendable_artists(cat).withColumnRenamed("id", "artist_id") if filter_recommendable else None
-    if window == "reference" and filter_recommendable:
-        # The nearest min(n, max(80 top_n, top_n + |blacklist| + 200, 800)) non-excluded
-        # candidates first, then the recommendable filter, then the first top_n
-        n_all = model.vectors.select("artist_id").distinct().count()
-        win = min(n_all, max(80 * top_n, top_n + len(blacklist or []) + 200, 800))
-        ranked = knn_single(model.vectors, cen, win, exclude=excl)
-        kept = ranked.join(cands, "artist_id", "left_semi").orderBy("rank").limit(top_n)
-        top = kept.withColumn("rank", F.row_number().over(Window.orderBy("rank")))
-    else:
-        top = knn_single(model.vectors, cen, top_n, exclude=excl, candidates=cands)
+        raise LookupError(f"unknown artist ids: {miss}")
+    top = knn_single(model.terms, mean_vector(rows), top_n,
+                     exclude=set(seeds) | {int(b) for b in blacklist or []},
+                     where=F.col("recommendable") if filter_recommendable else None)
     # P12 on the (at most top_n) result rows themselves; staged once because
     # enrichment reads the result several times
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return stage(top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short")), staging)
 
 
-def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
+def valid_requests(requests: DataFrame, lo: int = 1, hi: int = 100) -> DataFrame:
+    """Requests with a seed at least and ``top_n`` in [lo, hi]."""
+    return requests.where((F.size(F.coalesce("seeds", F.array().cast("array<long>"))) > 0)
+                          & F.col("top_n").between(lo, hi))
+
+
+def recommend_artists_batch(model: ArtistModel, requests: DataFrame,
                             filter_recommendable: bool = True, staging: str = "checkpoint") -> DataFrame:
     """K4: (request_id, seeds, blacklist, top_n) -> (request_id, rank, artist_id, distance).
 
-    Requests with unknown seeds get no rows (see ``missing_seeds``).  The result is
-    staged (lineage cut) because enrichment and reports read it several times.
+    Requests that are invalid or name unknown seeds have no neighbours: ``with_outcome``
+    gives them their row.  The result is staged (lineage cut) because enrichment and reports
+    read it several times.
     """
-    ok = requests.join(missing_seeds(requests, model.vectors), "request_id", "left_anti")
+    requests = valid_requests(requests)
+    ok = requests.join(missing_seeds(requests, model.features), "request_id", "left_anti")
     cen = centroids(model.vectors, ok)
     q = cen.join(ok.select("request_id", "top_n"), "request_id").select(
         F.col("request_id").alias("query_id"), F.col("token").alias("key"), "w", "top_n")
     cands = model.vectors
     if filter_recommendable:
-        cands = cands.join(recommendable_artists(cat).withColumnRenamed("id", "artist_id"),
+        cands = cands.join(model.terms.where("recommendable").select("artist_id"),
                            "artist_id", "left_semi")
     c = cands.select(F.col("artist_id").alias("cand_id"), F.col("token").alias("key"), "w")
     bl = F.coalesce("blacklist", F.array().cast("array<long>"))
@@ -119,12 +129,23 @@ def recommend_artists_batch(model: ArtistModel, cat, requests: DataFrame,
                             F.col("cand_id").alias("artist_id"), "distance"), staging)
 
 
-def with_status(recs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per request 'ok' when top_n rows came back, else 'short'."""
+def with_outcome(recs: DataFrame, requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """P11 + P12 for a table of requests: ``recs`` plus ``status``, and one row (all else
+    null) for each request without a recommendation, so that no request vanishes.
+
+    status: 'invalid' (no seed, or ``top_n`` out of range), 'unknown_seeds', 'short' (fewer
+    than ``top_n``) or 'ok'.
+    """
+    valid = valid_requests(requests).select("request_id", F.lit(True).alias("_valid"))
+    miss = missing_seeds(requests, known, key=key).select("request_id", F.lit(True).alias("_miss"))
     n = recs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    return (requests.select("request_id", "top_n").join(n, "request_id", "left")
-            .select("request_id", F.when(F.coalesce("_n", F.lit(0)) >= F.col("top_n"), "ok")
-                    .otherwise("short").alias("status")))
+    status = (requests.select("request_id", "top_n").join(valid, "request_id", "left")
+              .join(miss, "request_id", "left").join(n, "request_id", "left")
+              .select("request_id", F.when(F.col("_valid").isNull(), "invalid")
+                      .when(F.col("_miss").isNotNull(), "unknown_seeds")
+                      .when(F.coalesce("_n", F.lit(0)) < F.col("top_n"), "short")
+                      .otherwise("ok").alias("status")))
+    return status.join(recs, "request_id", "left")
 
 
 def enrich_artists(cat, ranked: DataFrame, key: str = "artist_id") -> DataFrame:
@@ -142,7 +163,8 @@ def enrich_artists(cat, ranked: DataFrame, key: str = "artist_id") -> DataFrame:
          .groupBy(F.col("artist").alias("id"))
          .agg(F.array_sort(F.transform(F.collect_set("tname"), capitalize_first)).alias("genres")))
     url = cat["url"].select(F.col("id").alias("entity1"), "url")
-    link = cat["link"].select(F.col("id").alias("link"), F.col("link_type").alias("type"))
+    link = cat["link"].where(F.col("link_type").isNotNull()).select(
+        F.col("id").alias("link"), F.col("link_type").alias("type"))
     u = (cat["l_artist_url"].join(ids.withColumnRenamed("id", "entity0"), "entity0", "left_semi")
          .join(url, "entity1").join(link, "link")
          .groupBy(F.col("entity0").alias("id"))
@@ -164,7 +186,7 @@ def artist_digest(enriched: DataFrame) -> DataFrame:
                        F.concat(F.lit("- **"), F.coalesce("name", F.lit("")), F.lit("**")),
                        F.when(F.size("genres") > 0,
                               F.concat(F.lit("  Genres: "), F.array_join("genres", ", "))),
-                       F.concat(F.lit("  [ListenBrainz](https://listenbrainz.org/artist/"), F.col("gid"),
+                       F.concat(F.lit(f"  [ListenBrainz]({ARTIST_PAGE}"), F.col("gid"),
                                 F.lit(")"),
                                 F.when(F.col("official_site").isNotNull(),
                                        F.concat(F.lit(" | [Official site]("), F.col("official_site"),
@@ -177,4 +199,4 @@ def artist_digest(enriched: DataFrame) -> DataFrame:
 
 
 __all__ = ["ArtistModel", "build_artist_model", "recommend_artists", "recommend_artists_batch",
-           "enrich_artists", "artist_digest", "with_status", "ids_df", "RANK_DIGITS"]
+           "enrich_artists", "artist_digest", "with_outcome", "ids_df", "RANK_DIGITS"]

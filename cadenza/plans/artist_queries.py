@@ -97,7 +97,7 @@ _MODELS: dict = {}
 
 def _model(spark, sf):
     """The artist model is built once per session and data set, then served."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         _MODELS[key] = build_artist_model(catalog(spark, sf), staging="checkpoint")
     return _MODELS[key]
@@ -106,7 +106,7 @@ def _model(spark, sf):
 @query("k3_artist_knn_single")
 def k3(spark, sf):
     m = _model(spark, sf)
-    r = recommend_artists(m, catalog(spark, sf), SEEDS, TOP_N, BLACKLIST, filter_recommendable=False)
+    r = recommend_artists(m, SEEDS, TOP_N, BLACKLIST, filter_recommendable=False)
     return r.select("rank", "artist_id", F.round("distance", 6).alias("distance"), "status")
 
 
@@ -121,8 +121,7 @@ def every_artist_requests(model, top_n=TOP_N):
 @query("k4_artist_knn_all")
 def k4(spark, sf):
     m = _model(spark, sf)
-    r = recommend_artists_batch(m, catalog(spark, sf), every_artist_requests(m),
-                                filter_recommendable=False)
+    r = recommend_artists_batch(m, every_artist_requests(m), filter_recommendable=False)
     return r.select("request_id", "rank", "artist_id", F.round("distance", 6).alias("distance"))
 
 
@@ -130,7 +129,7 @@ def k4(spark, sf):
 def q7(spark, sf):
     cat = catalog(spark, sf)
     m = _model(spark, sf)
-    r = recommend_artists(m, cat, SEEDS, TOP_N, BLACKLIST)
+    r = recommend_artists(m, SEEDS, TOP_N, BLACKLIST)
     e = enrich_artists(cat, r)
     return e.select("rank", "artist_id", "gid", "name", "genres",
                     F.transform("urls", lambda u: u["url"]).alias("urls"), "official_site",
@@ -146,7 +145,15 @@ def q2(spark, sf):
     return artist_features_scoped(catalog(spark, sf)).select(*Q1_COLS)
 
 
-@query("k14_weighted_capped_tokens")
+@query("k14_weighted_tokens")
 def k14(spark, sf):
-    """Source-weighted tf (artist 4, RG 3, release 2, recording 1), 30 tokens per artist."""
-    return weighted_tokens(catalog(spark, sf), weights=(4, 3, 2, 1), cap=30)
+    """Source-weighted tf (artist 4, RG 3, release 2, recording 1) of every token."""
+    return weighted_tokens(catalog(spark, sf), weights=(4, 3, 2, 1), cap=None)
+
+
+@query("q2_scoped_every_artist")
+def q2_scoped(spark, sf):
+    """Q2 through its scope (S2 + U6): the eligible artists as an id frame, nobody left out."""
+    cat = catalog(spark, sf)
+    ids = credits.eligible_artists(cat["artist"]).select("id")
+    return artist_features_scoped(cat, scope=ids).select(*Q1_COLS)

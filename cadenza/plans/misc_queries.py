@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as X
 from cadenza.operators import albums, metrics, profile, search
-from cadenza.operators.recommend import enrich_artists, recommend_artists_batch
+from cadenza.operators.recommend import enrich_artists, recommend_artists_batch, with_outcome
 from cadenza.plans.artist_queries import _model
 from cadenza.plans.registry import catalog, query
 
@@ -62,10 +62,11 @@ def q9(spark, sf):
     cat = catalog(spark, sf)
     req = profile.profile_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
                                    BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
-    recs = recommend_artists_batch(_model(spark, sf), cat, req)
-    e = enrich_artists(cat, recs)
-    return e.select(F.col("request_id").alias("user_id"), "rank", "artist_id", "gid", "name", "genres",
-                    F.round("distance", 6).alias("distance"))
+    m = _model(spark, sf)
+    e = enrich_artists(cat, recommend_artists_batch(m, req))
+    out = with_outcome(e, req, m.features, "artist_id")
+    return out.select(F.col("request_id").alias("user_id"), "status", "rank", "artist_id", "gid",
+                      "name", "genres", F.round("distance", 6).alias("distance"))
 
 
 @query("q11_evaluation_report")
@@ -96,8 +97,10 @@ def x_artist_labels(spark, sf):
 
 @query("x_album_labels")
 def x_album_labels(spark, sf):
-    rg = catalog(spark, sf)["release_group"]
-    return rg.select("id", X.display_title("name", "comment").alias("label"),
+    cat = catalog(spark, sf)
+    names = albums.rg_artist_names(albums.rg_artists(cat)).withColumnRenamed("release_group", "id")
+    rg = cat["release_group"].join(names, "id", "left")
+    return rg.select("id", X.display_title("name", "artist").alias("label"),
                      X.clamp_int(F.col("id") / 1000, 1, 50).alias("clamped"))
 
 
@@ -105,7 +108,7 @@ def x_album_labels(spark, sf):
 from cadenza.operators.artists import slim  # noqa: E402
 from cadenza.operators.digest import album_digest  # noqa: E402
 from cadenza.operators.recommend import artist_digest  # noqa: E402
-from cadenza.plans.album_queries import PLAIN, ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST, album_model  # noqa: E402
+from cadenza.plans.album_queries import ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST, album_model  # noqa: E402
 
 
 @query("s9_profile_artist_digests")
@@ -114,14 +117,14 @@ def s9(spark, sf):
     cat = catalog(spark, sf)
     req = profile.profile_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
                                    BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
-    e = enrich_artists(cat, recommend_artists_batch(_model(spark, sf), cat, req))
+    e = enrich_artists(cat, recommend_artists_batch(_model(spark, sf), req))
     return artist_digest(e).withColumnRenamed("request_id", "user_id")
 
 
 @query("s10_album_digest")
 def s10(spark, sf):
     cat = catalog(spark, sf)
-    r = albums.recommend_albums(album_model(spark, sf, **PLAIN), ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST)
+    r = albums.recommend_albums(album_model(spark, sf), ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST)
     return album_digest(albums.enrich_albums(cat, r))
 
 
@@ -141,7 +144,8 @@ def q10(spark, sf):
     cat = catalog(spark, sf)
     req = profile.profile_album_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
                                          BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
-    r = albums.recommend_albums_batch(album_model(spark, sf, **PLAIN), req)
-    e = albums.enrich_albums(cat, r)
-    return e.select(F.col("request_id").alias("user_id"), "rank", "id", "gid", "title", "artist",
-                    F.round("distance", 12).alias("distance"))
+    m = album_model(spark, sf)
+    e = albums.enrich_albums(cat, albums.recommend_albums_batch(m, req))
+    out = with_outcome(e, req, m.data, "id")
+    return out.select(F.col("request_id").alias("user_id"), "status", "rank", "id", "gid", "title",
+                      "artist", F.round("distance", 12).alias("distance"))

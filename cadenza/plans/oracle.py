@@ -222,12 +222,13 @@ CTE_FIRST = f"""fr AS (select release_group, release_id from (select r.release_g
 CTE_RS = """rs AS (select r.release_group, r.id release_id, count(t.id) tracks, cast(sum(t.length) as bigint) length
   from release r join medium m on m.release = r.id join track t on t.medium = m.id group by r.release_group, r.id)"""
 
-CTE_LEN = CTE_FIRST + ",\n" + CTE_RS + """,
+CTE_LEN_AFTER_FIRST = CTE_RS + """,
 ors AS (select fr.release_group, rs.tracks original_tracks from fr join rs on rs.release_id = fr.release_id),
 rts AS (select ors.release_group, ors.original_tracks tracks,
   (list(rs.length order by rs.release_id) filter (where rs.length is not null))[1] length
   from ors join rs on rs.release_group = ors.release_group and rs.tracks = ors.original_tracks
   group by ors.release_group, ors.original_tracks)"""
+CTE_LEN = CTE_FIRST + ",\n" + CTE_LEN_AFTER_FIRST
 
 register("w1_original_edition", "WITH " + CTE_FIRST + " select release_group, release_id from fr")
 register("a7_release_stats", "WITH " + CTE_RS + " select * from rs")
@@ -279,15 +280,15 @@ select cast(type as double) type, cast(status as double) status, cast(language a
        cast(script as double) script, year from stats""")
 
 
-def cte_album_knn(seeds: str, excl: str, top_n: int, genre_filter: str | None) -> str:
-    n_excl = len(set(seeds.split(",")) | set(excl.split(",")))
+def cte_album_knn(seeds: str, excl: str, genre_filter: str | None) -> str:
+    """K5 over the full model (``q5``): exclusions and genre filter, then the exact ranking."""
     gf = f"and len(list_intersect(c.genre_ids, [{genre_filter}])) > 0" if genre_filter else ""
-    return CTE_STATS.format(d="q3") + f""",
-imp AS (select q3.id, cast(coalesce(cast(cast(q3.type as float) as double), stats.type) as double) s0,
-  coalesce(cast(cast(q3.status as float) as double), stats.status) s1, coalesce(cast(cast(q3.language as float) as double), stats.language) s2,
-  coalesce(cast(cast(q3.script as float) as double), stats.script) s3, coalesce(cast(cast(q3.year as float) as double), stats.year) s4,
-  q3.tag_ids, q3.genre_ids, q3.secondary_type_ids from q3, stats),
-sd AS (select * from q3 where id in ({seeds})),
+    return CTE_STATS.format(d="q5") + f""",
+imp AS (select q5.id, cast(coalesce(cast(cast(q5.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q5.status as float) as double), stats.status) s1, coalesce(cast(cast(q5.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q5.script as float) as double), stats.script) s3, coalesce(cast(cast(q5.year as float) as double), stats.year) s4,
+  q5.tag_ids, q5.genre_ids, q5.secondary_type_ids from q5, stats),
+sd AS (select * from q5 where id in ({seeds})),
 prof AS (select
   (select type from (select type, count(*) c from sd where type is not null group by type order by c desc, type limit 1)) type,
   (select status from (select status, count(*) c from sd where status is not null group by status order by c desc, status limit 1)) status,
@@ -307,28 +308,10 @@ sc AS (select c.id, c.genre_ids,
   p.s0 * p.s0 + p.s1 * p.s1 + p.s2 * p.s2 + p.s3 * p.s3 + p.s4 * p.s4 + len(p.tag_ids) + len(p.genre_ids) + len(p.secondary_type_ids) np
   from imp c, p),
 dist AS (select id, genre_ids, case when nc > 0 and np > 0 then 1 - dot / (sqrt(np) * sqrt(nc)) else 1 end distance from sc),
-win AS (select * from dist order by round(distance, 12), id limit least((select count(*) from q3), {top_n} + {n_excl} + 200)),
-kept AS (select c.id, c.distance from win c where c.id not in ({excl}) {gf}),
+kept AS (select c.id, c.distance from dist c where c.id not in ({excl}) {gf}),
 ranked AS (select id, distance, row_number() over (order by round(distance, 12), id) rank from kept)"""
 
 
-register("k5_album_knn", "WITH " + CTE_Q3 + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, None) +
-         " select rank, id, round(distance, 12) distance from ranked where rank <= 10")
-register("k5_album_knn_genre_filter", "WITH " + CTE_Q3 + ",\n" +
-         cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, ", ".join(str(i) for i in range(1, 21))) +
-         " select rank, id, round(distance, 12) distance from ranked where rank <= 10")
-register("q8_album_recommendations", "WITH " + CTE_Q3 + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", 10, None) + """,
-top AS (select * from ranked where rank <= 10),
-""" + CTE_LEN + ",\n" + CTE_RGART + """,
-names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist from rgart group by release_group),
-gen AS (select x.release_group, list_sort(array_agg(distinct g.name)) genres from (select distinct release_group, artist from rgart) x
-  join artist_tag atg on atg.artist = x.artist join tag t on t.id = atg.tag join genre g on g.name = t.name group by x.release_group)
-select top.rank, top.id, rg.gid, rg.name title, names.artist, coalesce(gen.genres, cast([] as varchar[])) genres,
-  rts.tracks, rts.length, round(top.distance, 12) distance
-from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
-left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
-join names on names.release_group = top.id""")
-
 # ----------------------------------------------------------------- search, profiles, report, display
 register("p7_search_artists", "select id, name, comment disambiguation from artist where name ilike '%00001%' order by id limit 20")
 register("p8_search_genres", "select id, name from genre where name ilike '%blue%' order by id limit 20")
@@ -360,6 +343,13 @@ register("q12_top_listened_all_ranges", " union all ".join(
     f"select user_id, artist, listen_count, '{r}' AS range from ({top_sql(r, 0)}) x{i}"
     for i, r in enumerate(RANGE_SQL)))
 
+def outcome_sql(seeds: str, found: str) -> str:
+    """One status per user with seeds (P11, P12); ten rows are asked for."""
+    return f""", outcome AS (select user_id, case when user_id not in (select user_id from okusers) then 'unknown_seeds'
+    when (select count(*) from {found} x where x.user_id = s.user_id) < 10 then 'short' else 'ok' end status
+  from (select distinct user_id from {seeds}) s)"""
+
+
 register("q9_profile_artist_recs", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" + CTE_RECOMMENDABLE + f""",
 sl AS ({top_sql('this_month', 1)}),
 seedsx AS (select distinct sl.user_id, a.id aid from sl join artist a on a.id = sl.artist),
@@ -382,8 +372,11 @@ ranked AS (select d.user_id, d.artist_id, 1 - d.dot / cn.n distance,
   from dots d join cn using (user_id)),
 top AS (select * from ranked where rank <= 10),
 """ + cte_enrich_artists("top") + """
-select top.user_id, top.rank, top.artist_id, a.gid, a.name, coalesce(eg.genres, []) genres, round(top.distance, 6) distance
-from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id""")
+, found AS (select top.user_id, top.rank, top.artist_id, a.gid, a.name, coalesce(eg.genres, []) genres, round(top.distance, 6) distance
+  from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id)
+""" + outcome_sql("seedsx", "found") + """
+select u.user_id, u.status, f.rank, f.artist_id, f.gid, f.name, f.genres, f.distance
+from outcome u left join found f using (user_id)""")
 
 register("q11_evaluation_report", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + """,
 ids AS (select distinct artist_id from vec),
@@ -403,8 +396,8 @@ dm AS (select count(*) data_rows, count(*) - count(distinct artist_id) duplicate
   (select count(*) from voc) vocab_size from feats),
 td AS (select round(avg(n), 3) genre_tokens_mean, round(quantile_cont(n, 0.5), 3) genre_tokens_median,
   round(quantile_cont(n, 0.95), 3) genre_tokens_p95, cast(max(n) as bigint) genre_tokens_max from (select len(tokens) n from feats) x),
-pc AS (select round(avg(coalesce(k.n, 0)), 3) recommended_count_mean, cast(0 as bigint) seed_leak_count,
-  cast(0 as bigint) recommendation_duplicate_count, count(*) prediction_seed_count, 5 prediction_top_n
+pc AS (select round(avg(coalesce(k.n, 0)), 3) recommended_count_mean, (select count(*) from recs where q = c) seed_leak_count,
+  (select count(*) - count(distinct (q, c)) from recs) recommendation_duplicate_count, count(*) prediction_seed_count, 5 prediction_top_n
   from (select distinct artist_id from feats) s left join (select q, count(*) n from recs group by q) k on k.q = s.artist_id),
 jq AS (select round(avg(len(list_intersect(sg, rg)) / len(list_distinct(list_concat(sg, rg)))), 4) genre_jaccard_mean from rp),
 ug AS (select count(distinct t) recommended_unique_genres from (select unnest(rg) t from rp) x)
@@ -436,10 +429,13 @@ register("x_artist_labels", f"""select id,
   case when lower(name) like '%super deluxe%' or lower(name) like '%deluxe%' or lower(name) like '%expanded%'
     or lower(name) like '%anniversary%' or lower(name) like '%bonus%' or lower(name) like '%collector%' then 1 else 0 end edition_flag
 from artist""")
-register("x_album_labels", """select id,
-  case when comment is not null and comment <> '' then coalesce(name, 'Unknown album') || ' - ' || comment else coalesce(name, 'Unknown album') end label,
+register("x_album_labels", "WITH " + CTE_RGART + """,
+names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist
+  from rgart group by release_group)
+select id, case when names.artist is not null and names.artist <> '' then coalesce(name, 'Unknown album') || ' - ' || names.artist
+    else coalesce(name, 'Unknown album') end label,
   least(greatest(cast(trunc(id / 1000.0) as int), 1), 50) clamped
-from release_group""")
+from release_group left join names on names.release_group = release_group.id""")
 
 # ----------------------------------------------------------------- Q2, K12, K14
 register("q2_artist_features_with_tags", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, cte_prim(1), cte_train(1)]) + f""",
@@ -459,13 +455,34 @@ select s.artist_id, s.artist_gid, s.artist_name, s.artist_type, s.area_name, coa
 from sums s left join tagstr using (artist_id) left join tgen on tgen.id = s.artist_id left join ext on ext.id = s.artist_id
 where len(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, []))) > 0""")
 
+register("q2_scoped_every_artist", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, CTE_CREC_ALL]) + f""",
+extg AS (select distinct id, genre from (
+  select crg.id, tg.genre from crg join release_group_tag t on t.release_group = crg.release_group_id and t.count >= 1 join tg on tg.tag = t.tag
+  union all select crel.id, tg.genre from crel join release_tag t on t.release = crel.release_id and t.count >= 1 join tg on tg.tag = t.tag
+  union all select crec.id, tg.genre from crec join recording_tag t on t.recording = crec.recording_id and t.count >= 1 join tg on tg.tag = t.tag) x),
+rowsx AS (select a.id artist_id, a.gid artist_gid, a.name artist_name, aty.name artist_type, ar.name area_name,
+  t.name tag, atg.count tag_count, g.name genre
+  from artist a left join artist_type aty on aty.id = a.type left join area ar on ar.id = a.area
+  left join artist_tag atg on atg.artist = a.id and atg.count >= 1 left join tag t on t.id = atg.tag
+  left join genre g on lower(g.name) = lower(t.name) where {ELIGIBLE_A}),
+sums AS (select artist_id, artist_gid, artist_name, artist_type, area_name,
+  cast(sum(greatest(coalesce(tag_count, 0), 0)) as bigint) tag_count_sum from rowsx
+  group by artist_id, artist_gid, artist_name, artist_type, area_name),
+tagk AS (select artist_id, min(trim(tag)) s from rowsx where tag is not null and trim(tag) <> '' group by artist_id, lower(trim(tag))),
+tagstr AS (select artist_id, array_to_string(list_sort(list(s)), ' ') tags from tagk group by artist_id),
+""" + cte_tokens("rowsx", "tgen", key="artist_id") + ",\n" + cte_tokens("extg", "ext") + """
+select s.artist_id, s.artist_gid, s.artist_name, s.artist_type, s.area_name, coalesce(tagstr.tags, '') tags,
+  array_to_string(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, [])), ' ') genres, s.tag_count_sum
+from sums s left join tagstr using (artist_id) left join tgen on tgen.id = s.artist_id left join ext on ext.id = s.artist_id
+where len(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, []))) > 0""")
+
 register("k12_label_vocabulary", "WITH " + CTE_Q3 + """,
 lab AS (select distinct 'tag_ids' AS "column", unnest(tag_ids) label from q3
   union select distinct 'genre_ids', unnest(genre_ids) from q3
   union select distinct 'secondary_type_ids', unnest(secondary_type_ids) from q3)
 select "column", label, row_number() over (partition by "column" order by label) - 1 AS "index" from lab""")
 
-register("k14_weighted_capped_tokens", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, CTE_CREC_ALL]) + f""",
+register("k14_weighted_tokens", "WITH " + ",\n".join([CTE_TG, CTE_CRG, CTE_CREL, CTE_CREC_ALL]) + f""",
 parts AS (
   select distinct atg.artist id, tg.genre, 4 w from artist_tag atg join tg on tg.tag = atg.tag where atg.count >= 1
   union all select distinct crg.id, tg.genre, 3 from crg join release_group_tag t on t.release_group = crg.release_group_id and t.count >= 1 join tg on tg.tag = t.tag
@@ -473,7 +490,7 @@ parts AS (
   union all select distinct crec.id, tg.genre, 1 from crec join recording_tag t on t.recording = crec.recording_id and t.count >= 1 join tg on tg.tag = t.tag),
 tf AS (select p.id, {token_sql('p.genre')} token, cast(sum(p.w) as double) tf from parts p
   where p.id in (select a.id from artist a where {ELIGIBLE_A}) and {token_sql('p.genre')} <> '' group by all)
-select id, token, tf from (select *, row_number() over (partition by id order by token) r from tf) x where r <= 30""")
+select id, token, tf from tf""")
 
 
 # ----------------------------------------------------------------- K9, K8 (language identification)
@@ -537,8 +554,32 @@ from q3 left join pred on pred.id = q3.id)""").replace("q3", src).replace("{out}
 
 register("k8_infer_language", "WITH " + CTE_Q3 + ",\n" + CTE_LANGMODEL + ",\n" + cte_language("q3", "q3l") +
          " select id, language, script from q3l")
-register("q5_album_model_data", "WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + ",\n" + CTE_LANGMODEL + ",\n" +
-         cte_language("q3b", "q3l") + ",\n" + cte_types("q3l", "q5") + " select * from q5")
+
+FULL_MODEL = ("WITH " + CTE_Q3 + ",\n" + CTE_BACKFILL + ",\n" + CTE_LANGMODEL + ",\n" +
+              cte_language("q3b", "q3l") + ",\n" + cte_types("q3l", "q5"))   # holds CTE_FIRST
+
+register("q5_album_model_data", FULL_MODEL + " select * from q5")
+
+
+def album_knn_sql(genres: str | None) -> str:
+    return FULL_MODEL + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", genres)
+
+
+TOP_ALBUMS = " select rank, id, round(distance, 12) distance from ranked where rank <= 10"
+register("k5_album_knn", album_knn_sql(None) + TOP_ALBUMS)
+register("k5_album_knn_genre_filter", album_knn_sql(", ".join(str(i) for i in range(1, 21))) + TOP_ALBUMS)
+register("k5_album_knn_one_genre", album_knn_sql("5") + TOP_ALBUMS)
+register("q8_album_recommendations", album_knn_sql(None) + """,
+top AS (select * from ranked where rank <= 10),
+""" + CTE_LEN_AFTER_FIRST + ",\n" + CTE_RGART + """,
+names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist from rgart group by release_group),
+gen AS (select x.release_group, list_sort(array_agg(distinct g.name)) genres from (select distinct release_group, artist from rgart) x
+  join artist_tag atg on atg.artist = x.artist join tag t on t.id = atg.tag join genre g on g.name = t.name group by x.release_group)
+select top.rank, top.id, rg.gid, rg.name title, names.artist, coalesce(gen.genres, cast([] as varchar[])) genres,
+  rts.tracks, rts.length, round(top.distance, 12) distance
+from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
+left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
+join names on names.release_group = top.id""")
 
 
 register("p10_slim_artist_data", "WITH " + cte_q1() + " select artist_id, artist_name, genres from feats")
@@ -550,18 +591,18 @@ def mode_by(col: str, src: str, key: str, name: str) -> str:
         from {src} where {col} is not null group by {key}, {col}) x where rn = 1)"""
 
 
-register("q10_profile_album_recs", "WITH " + CTE_Q3 + ",\n" + CTE_CRG + ",\n" + CTE_STATS.format(d="q3") + f""",
-imp AS (select q3.id, cast(coalesce(cast(cast(q3.type as float) as double), stats.type) as double) s0,
-  coalesce(cast(cast(q3.status as float) as double), stats.status) s1, coalesce(cast(cast(q3.language as float) as double), stats.language) s2,
-  coalesce(cast(cast(q3.script as float) as double), stats.script) s3, coalesce(cast(cast(q3.year as float) as double), stats.year) s4,
-  q3.tag_ids, q3.genre_ids, q3.secondary_type_ids from q3, stats),
+register("q10_profile_album_recs", FULL_MODEL + ",\n" + CTE_CRG + ",\n" + CTE_STATS.format(d="q5") + f""",
+imp AS (select q5.id, cast(coalesce(cast(cast(q5.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q5.status as float) as double), stats.status) s1, coalesce(cast(cast(q5.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q5.script as float) as double), stats.script) s3, coalesce(cast(cast(q5.year as float) as double), stats.year) s4,
+  q5.tag_ids, q5.genre_ids, q5.secondary_type_ids from q5, stats),
 ltop AS ({top_sql('this_month', 1)}),
 seeds AS (select distinct ltop.user_id, crg.release_group_id rg from ltop join crg on crg.id = ltop.artist),
 btop AS ({top_sql('week', 2)}),
 bls AS (select distinct btop.user_id, crg.release_group_id rg from btop join crg on crg.id = btop.artist),
 okusers AS (select distinct user_id from seeds where user_id not in
-  (select user_id from seeds where rg not in (select id from q3))),
-sd AS (select s.user_id, q3.* from seeds s join q3 on q3.id = s.rg where s.user_id in (select user_id from okusers)),
+  (select user_id from seeds where rg not in (select id from q5))),
+sd AS (select s.user_id, q5.* from seeds s join q5 on q5.id = s.rg where s.user_id in (select user_id from okusers)),
 """ + ",\n".join(mode_by(c, "sd", "user_id", f"pm_{c}") for c in ["type", "status", "language", "script"]) + """,
 pl AS (select user_id, cast(round_even(avg(year), 0) as int) AS year,
   list_sort(list_distinct(flatten(list(tag_ids)))) tag_ids, list_sort(list_distinct(flatten(list(genre_ids)))) genre_ids,
@@ -582,9 +623,12 @@ sc AS (select p.user_id, c.id,
 dist AS (select user_id, id, case when nc > 0 and np > 0 then 1 - dot / (sqrt(np) * sqrt(nc)) else 1 end distance from sc),
 ranked AS (select user_id, id, distance, row_number() over (partition by user_id order by round(distance, 12), id) rank from dist),
 top AS (select * from ranked where rank <= 10),
-""" + CTE_FIRST + ",\n" + CTE_RGART + """,
+""" + CTE_RGART + """,
 names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist
   from rgart group by release_group)
-select top.user_id, top.rank, top.id, rg.gid, rg.name title, names.artist, round(top.distance, 12) distance
-from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
-join names on names.release_group = top.id""")
+, found AS (select top.user_id, top.rank, top.id, rg.gid, rg.name title, names.artist, round(top.distance, 12) distance
+  from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
+  join names on names.release_group = top.id)
+""" + outcome_sql("seeds", "found") + """
+select u.user_id, u.status, f.rank, f.id, f.gid, f.title, f.artist, f.distance
+from outcome u left join found f using (user_id)""")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadenza.session import staging_path
 from cadenza.sources.catalog import fixture_catalog
@@ -28,7 +27,7 @@ _CATALOGS: dict = {}
 def catalog(spark: SparkSession, sf_dir: str):
     """Catalogue for a data directory: the FIXTURES.md views over the supplied
     tables, unless a materialised catalogue was registered with ``use_catalog``."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CATALOGS:
         # each view is written once to the shared staging folder when first used
         _CATALOGS[key] = fixture_catalog(spark, sf_dir, staging_path(spark, "catalog"))
@@ -37,7 +36,7 @@ def catalog(spark: SparkSession, sf_dir: str):
 
 def use_catalog(spark: SparkSession, sf_dir: str, cat) -> None:
     """Serve ``cat`` (for example ``load_catalog`` of written tables) for ``sf_dir``."""
-    _CATALOGS[(id(spark), sf_dir)] = cat
+    _CATALOGS[(spark.sparkContext.applicationId, sf_dir)] = cat
 
 
 def query(name: str):
@@ -45,7 +44,3 @@ def query(name: str):
         QUERIES[name] = fn
         return fn
     return deco
-
-
-def _r(c, digits=9):
-    return F.round(c, digits)

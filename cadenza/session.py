@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,7 +32,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only for a local master.
+
+    On a cluster an unset folder is an error: every executor and the driver would
+    write to disks of their own.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -41,26 +46,51 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf
     if current:
         return current
+    require_local_master(sc.master)
     path = tempfile.mkdtemp(prefix="cadenza-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
 
-def stage(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+def require_local_master(master: str) -> None:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the cluster shares ({master})")
+
+
+_STAGE_ROOTS: dict[str, SparkSession] = {}
+
+
+def stage(df: DataFrame, how: str = "checkpoint", name: str = "stage") -> DataFrame:
     """Cut lineage between pipeline stages.
 
-    ``checkpoint`` writes to the shared checkpoint directory (survives executor
-    loss), ``persist`` keeps it cached, ``none`` returns ``df`` unchanged.
+    ``checkpoint`` writes Parquet once below the shared checkpoint folder and reads it
+    back (a lost executor costs a re-read; later plans prune columns and know sizes);
+    the application's folder goes when the driver ends.  ``persist`` keeps the frame
+    cached, ``none`` returns ``df`` unchanged.
     """
     if how == "none":
         return df
     if how == "persist":
         return df.persist()
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "stages", f"{name}-{uuid.uuid4().hex[:8]}")
+    root = f"{ensure_checkpoint_dir(spark)}/cadenza-{spark.sparkContext.applicationId}"
+    if root not in _STAGE_ROOTS:
+        _STAGE_ROOTS[root] = spark
+        atexit.register(_drop_stages, root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _drop_stages(root: str) -> None:
+    """Delete an application's staged tables while its JVM is still there."""
+    sc = _STAGE_ROOTS.pop(root).sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,9 +6,10 @@ import datetime as dt
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.albums import AlbumModel
 from cadenza.operators.recommend import ArtistModel
 
 
@@ -33,30 +34,41 @@ def cached_features(spark: SparkSession, path: str, key: dict, build, refresh: b
     return spark.read.parquet(p)
 
 
-def save_artist_model(model: ArtistModel, directory: str, name: str = "artist_knn",
-                      meta: dict | None = None) -> str:
-    """Timestamped artefact directory plus a canonical copy; returns the canonical path."""
+# a model's tables by the kind of model; meta.json beside them has the imputation row
+ARTEFACTS = {
+    "artist_knn": ("features", "vocab", "vectors", "terms"),
+    "album_knn": ("data", "vectors", "terms"),
+}
+
+
+def save_model(model: ArtistModel | AlbumModel, directory: str, name: str | None = None,
+               meta: dict | None = None) -> str:
+    """A timestamped artefact directory plus a canonical copy; returns the canonical path."""
+    kind = "artist_knn" if isinstance(model, ArtistModel) else "album_knn"
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    info = {"model_kind": "artist_knn", "genre_feature_format": "genre_token_unigram",
-            "created_at_utc": stamp, **(meta or {})}
+    info = {"model_kind": kind, "created_at_utc": stamp, **(meta or {})}
+    if kind == "artist_knn":
+        info = {"genre_feature_format": "genre_token_unigram", **info}
+    else:
+        info["imputer"] = model.stats.asDict()
     spark = model.vectors.sparkSession
+    name = name or kind
     paths = [os.path.join(directory, f"{name}_{stamp}"), os.path.join(directory, name)]
     for p in paths:
-        model.features.write.mode("overwrite").parquet(os.path.join(p, "data"))
-        model.vocab.write.mode("overwrite").parquet(os.path.join(p, "vocab"))
-        model.vectors.write.mode("overwrite").parquet(os.path.join(p, "vectors"))
+        for t in ARTEFACTS[kind]:
+            getattr(model, t).write.mode("overwrite").parquet(os.path.join(p, t))
         spark.createDataFrame([(json.dumps(info),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(p, "meta"))
     return paths[1]
 
 
-def load_artist_model(spark: SparkSession, path: str) -> tuple[ArtistModel, dict]:
-    """Read an artefact written by ``save_artist_model``."""
+def load_model(spark: SparkSession, path: str) -> tuple[ArtistModel | AlbumModel, dict]:
+    """Read an artefact written by ``save_model``."""
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    m = ArtistModel(spark.read.parquet(os.path.join(path, "data")),
-                    spark.read.parquet(os.path.join(path, "vocab")),
-                    spark.read.parquet(os.path.join(path, "vectors")))
-    return m, meta
+    parts = {t: spark.read.parquet(os.path.join(path, t)) for t in ARTEFACTS[meta["model_kind"]]}
+    if meta["model_kind"] == "artist_knn":
+        return ArtistModel(**parts), meta
+    return AlbumModel(stats=Row(**meta["imputer"]), **parts), meta
 
 
 def upsert_metrics(existing: DataFrame | None, row: DataFrame, key: str = "run_id") -> DataFrame:

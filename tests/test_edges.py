@@ -70,11 +70,43 @@ def test_language_stage_overwrites_both_and_whitelists(spark):
 
 
 def test_album_filters(spark):
-    from cadenza.plans.album_queries import album_model, PLAIN
+    from cadenza.plans.album_queries import album_model
     from conftest import SF_SMALL
-    m = album_model(spark, SF_SMALL, **PLAIN)
+    m = album_model(spark, SF_SMALL)
     a = albums.recommend_albums(m, [0, 6], 5, blacklist=None).collect()
     b = albums.recommend_albums(m, [0, 6], 5, blacklist=[]).collect()
     c = albums.recommend_albums(m, [0, 6], 5, blacklist=[0], genre_ids=[]).collect()   # seed in blacklist
     assert [tuple(r) for r in a] == [tuple(r) for r in b] == [tuple(r) for r in c]
     assert all(r["id"] not in (0, 6) for r in a)
+
+
+def test_one_genre_returns_top_n_whenever_that_many_exist(spark):
+    """No window before the filter; and a batch gives what single requests give."""
+    from cadenza.plans.album_queries import album_model
+    from conftest import SF_SMALL
+    m = album_model(spark, SF_SMALL)
+    rows = m.data.select("id", "genre_ids").collect()
+    genres = sorted({g for r in rows for g in r["genre_ids"] or []})[:6]
+    req = spark.createDataFrame(
+        [(g, [0, 6, 11], [1], 10, [g]) for g in genres] + [(1000, [0], None, 4, None)],
+        "request_id long, seeds array<long>, blacklist array<long>, top_n int, genre_ids array<int>")
+    batch = albums.recommend_albums_batch(m, req).collect()
+    for g in genres:
+        one = albums.recommend_albums(m, [0, 6, 11], 10, [1], genre_ids=[g]).collect()
+        exist = sum(g in (r["genre_ids"] or []) and r["id"] not in (0, 1, 6, 11) for r in rows)
+        assert len(one) == min(10, exist)
+        assert sorted((r["rank"], r["id"]) for r in one) == sorted(
+            (r["rank"], r["id"]) for r in batch if r["request_id"] == g)
+    one = albums.recommend_albums(m, [0], 4).collect()
+    assert sorted((r["rank"], r["id"]) for r in one) == sorted(
+        (r["rank"], r["id"]) for r in batch if r["request_id"] == 1000)
+
+
+def test_stage_needs_a_shared_folder_on_a_cluster():
+    import pytest
+    from cadenza.session import require_local_master
+    require_local_master("local")
+    require_local_master("local[8]")
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            require_local_master(master)

@@ -25,9 +25,9 @@ def amodel(cat):
 def test_batch_equals_single(spark, cat, amodel):
     reqs = [(1, [1, 2, 4], [33], 5), (2, [10], [], 7), (3, [3, 12], [5, 6], 3)]
     rdf = spark.createDataFrame(reqs, "request_id long, seeds array<long>, blacklist array<long>, top_n int")
-    batch = recommend_artists_batch(amodel, cat, rdf).collect()
+    batch = recommend_artists_batch(amodel, rdf).collect()
     for rid, seeds, bl, k in reqs:
-        single = recommend_artists(amodel, cat, seeds, k, bl).orderBy("rank").collect()
+        single = recommend_artists(amodel, seeds, k, bl).orderBy("rank").collect()
         b = sorted((r["rank"], r["artist_id"]) for r in batch if r["request_id"] == rid)
         assert b == [(r["rank"], r["artist_id"]) for r in single]
         for r in batch:
@@ -53,7 +53,7 @@ def _brute(vecs, k):
 
 
 def test_block_grid_matches_brute_force(spark, cat):
-    m = albums.build_album_model(cat, staging="checkpoint", types=False)
+    m = albums.build_album_model(cat, backfill=False, language=False, types=False)
     rows = m.vectors.collect()
     vecs = {}
     for r in rows:
@@ -72,7 +72,7 @@ def test_block_grid_matches_brute_force(spark, cat):
 
 def test_invariants(spark, cat, amodel):
     from cadenza.plans.artist_queries import every_artist_requests
-    r = recommend_artists_batch(amodel, cat, every_artist_requests(amodel), filter_recommendable=False)
+    r = recommend_artists_batch(amodel, every_artist_requests(amodel), filter_recommendable=False)
     rows = r.collect()
     assert all(0 <= x["distance"] <= 2 + 1e-12 for x in rows)
     assert all(x["request_id"] != x["artist_id"] for x in rows)
@@ -94,21 +94,51 @@ def test_cell_chunking_is_exact(monkeypatch):
     rows_q, rows_c = [], []
     for q in range(40):
         for t in rng.choice(30, 4, replace=False):
-            rows_q.append((q, 0, f"t{t}", float(rng.integers(1, 4)), 3, None))
-    rows_q.append((0, 1, None, None, None, 5))            # exclusion of candidate 5 for query 0
+            rows_q.append((q, 0, f"t{t}", float(rng.integers(1, 4)), 3))
+    rows_q.append((0, 1, "t5", 0.0, 3))                    # query 0 takes candidates with t5 only
     for c in range(50):
         for t in rng.choice(30, 3, replace=False):
-            rows_c.append((c, f"t{t}", float(rng.integers(1, 4))))
-    qdf = pd.DataFrame(rows_q, columns=["query_id", "kind", "key", "w", "top_n", "xid"])
-    cdf = pd.DataFrame(rows_c, columns=["cand_id", "key", "w"])
+            rows_c.append((c, c, f"t{t}", float(rng.integers(1, 4))))
+    qdf = pd.DataFrame(rows_q, columns=["qv", "kind", "key", "w", "k"])
+    cdf = pd.DataFrame(rows_c, columns=["cv", "first", "key", "w"])
     whole = knn._score_cell(qdf, cdf)
     monkeypatch.setattr(knn, "QUERY_CHUNK", 7)
     monkeypatch.setattr(knn, "KEY_CHUNK", 5)
     parts = knn._score_cell(qdf, cdf)
-    key = ["query_id", "distance", "cand_id"]
+    key = ["qv", "distance", "cv"]
     pd.testing.assert_frame_equal(whole.sort_values(key).reset_index(drop=True),
                                   parts.sort_values(key).reset_index(drop=True))
-    assert not ((whole.query_id == 0) & (whole.cand_id == 5)).any()
+    held = set(cdf[cdf.key == "t5"].cv)
+    assert set(whole[whole.qv == 0].cv) <= held
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_exclusions_reach_every_block_and_vectors_collapse(spark, kind):
+    """Integer ids, equal vectors and many blocks: no seed comes back, rows as by brute force."""
+    rng = np.random.default_rng(3)
+    kinds = [sorted(rng.choice(12, 3, replace=False).tolist()) for _ in range(20)]
+    vecs = {i: {f"t{t}": 1.0 + t % 3 for t in kinds[int(rng.integers(20))]} for i in range(60)}
+    rows = [(i, t, w) for i, v in vecs.items() for t, w in v.items()]
+    base = spark.createDataFrame(rows, f"id {kind}, key string, w double")
+    q = base.select(F.col("id").alias("query_id"), "key", "w", F.lit(4).alias("top_n"))
+    c = base.select(F.col("id").alias("cand_id"), "key", "w")
+    ex = base.select(F.col("id").alias("query_id"), F.explode(F.array(
+        F.col("id"), ((F.col("id") + 7) % 60).cast(kind))).alias("cand_id")).distinct()
+    full = _brute(vecs, 60)
+    expect = {i: [x for x in full[i] if x not in (i, (i + 7) % 60)][:4] for i in vecs}
+    for block in (1, 10, 60):
+        got = {}
+        for r in knn_batch(q, c, exclusions=ex, target_block_rows=block).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["cand_id"]))
+        assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == expect
+
+
+def test_rank_keys_are_the_same_in_both_engines(spark):
+    from cadenza.operators.knn import rank_key, rank_keys
+    x = [0.5e-9, 0.1234567885, 1.0, 0.0, 1.5e-9, 2 / 3, 1e-16]
+    df = spark.createDataFrame([(v,) for v in x], "d double")
+    got = [r[0] for r in df.select(rank_key(F.col("d"))).collect()]
+    assert [float(g) for g in got] == rank_keys(np.array(x)).tolist()
 
 
 def test_same_result_for_1_and_8_shuffle_partitions(spark):

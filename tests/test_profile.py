@@ -1,4 +1,4 @@
-"""Listening profiles: range bounds, stats JSON source (S8), W7 window option."""
+"""Listening profiles: range bounds, stats JSON source (S8), outcomes of requests."""
 
 import datetime as dt
 import json
@@ -29,17 +29,23 @@ def test_read_listen_stats_strict_threshold(spark):
     assert sorted(r["artist_mbid"] for r in rows) == ["gid-2", "gid-3"]     # 5 is not > 5
 
 
-def test_reference_window_equals_exact_when_enough(spark):
+def test_no_request_vanishes(spark):
+    from cadenza.operators.recommend import recommend_artists_batch, with_outcome
     from cadenza.plans.artist_queries import _model
-    from cadenza.plans.registry import catalog
-    from cadenza.operators.recommend import recommend_artists
     from conftest import SF_SMALL
-    cat = catalog(spark, SF_SMALL)
     m = _model(spark, SF_SMALL)
-    a = [tuple(r) for r in recommend_artists(m, cat, [1, 2, 4], 5, [33]).orderBy("rank").collect()]
-    b = [tuple(r) for r in recommend_artists(m, cat, [1, 2, 4], 5, [33], window="reference")
-         .orderBy("rank").collect()]
-    assert a == b
+    known = [r[0] for r in m.features.select("artist_id").orderBy("artist_id").limit(3).collect()]
+    n = m.terms.where("recommendable").count()
+    req = spark.createDataFrame(
+        [(1, known[:2], [known[2]], 5), (2, [known[0], 10**9], [], 5), (3, [], [], 5),
+         (4, None, None, 5), (5, known[:1], None, 0), (6, known[:1], None, 100)],
+        "request_id long, seeds array<long>, blacklist array<long>, top_n int")
+    out = with_outcome(recommend_artists_batch(m, req), req, m.features, "artist_id").collect()
+    status = {r["request_id"]: r["status"] for r in out}
+    assert status == {1: "ok", 2: "unknown_seeds", 3: "invalid", 4: "invalid", 5: "invalid",
+                      6: "ok" if n > 100 else "short"}
+    for i in (2, 3, 4, 5):
+        assert [r["rank"] for r in out if r["request_id"] == i] == [None]
 
 
 def test_langid_crossval_accuracy(spark):

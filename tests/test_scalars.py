@@ -66,3 +66,20 @@ def test_jaccard_and_official_site(spark):
 def test_normalize_lang(spark):
     rows = [("iw", "shalom"), ("ru", "privet"), ("ru", "привет"), ("tl", "x")]
     assert one(spark, X.normalize_lang("c", "t"), rows, "c string, t string") == ["he", "ru-Latn", "ru", "fil"]
+
+
+def test_word_class_strip_and_bounds(spark):
+    from cadenza.functions import scalars as X
+    df = spark.createDataFrame([("cafe\u0301 noir",), ("m\u00b2 rock",), ("a\u203fb",), ("\t\u00a0x y\u3000",)],
+                               "s string")
+    got = [r[0] for r in df.select(X.genre_token("s")).collect()]
+    assert got == ["cafe_noir", "m\u00b2_rock", "a_b", "x_y"]
+    num = spark.createDataFrame([(1e10,), (float("inf"),), (float("-inf"),), (float("nan"),), (7.9,)],
+                                "x double")
+    assert [r[0] for r in num.select(X.clamp_int("x", 1, 50)).collect()] == [50, 1, 1, 1, 7]
+    assert [r[0] for r in num.select(X.ui_duration("x")).collect()][1:4] == [None] * 3
+    one = spark.createDataFrame([(30, 10, "g", ["a", None, "b", "c"])],
+                                "m int, n int, gid string, g array<string>")
+    r = one.select(X.ordered_min_listen("m", "n"), X.artist_link("gid"), X.genre_list("g"),
+                   X.genre_list("g", 2), X.artist_link(F.lit(None).cast("string"))).first()
+    assert tuple(r) == (10, X.ARTIST_PAGE + "g", "a, b, c", "a, b", None)

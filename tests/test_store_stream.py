@@ -17,8 +17,8 @@ def test_model_roundtrip_and_cache(spark):
     cat = catalog(spark, SF_SMALL)
     m = build_artist_model(cat, staging="checkpoint")
     d = tempfile.mkdtemp(prefix="cadenza-test-")
-    path = store.save_artist_model(m, d, meta={"min_tag_count": 1})
-    m2, meta = store.load_artist_model(spark, path)
+    path = store.save_model(m, d, meta={"min_tag_count": 1})
+    m2, meta = store.load_model(spark, path)
     assert meta["min_tag_count"] == 1
     for a, b in [(m.vectors, m2.vectors), (m.vocab, m2.vocab), (m.features, m2.features)]:
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -34,6 +34,25 @@ def test_model_roundtrip_and_cache(spark):
     assert len(calls) == 2
 
 
+def test_album_model_roundtrip(spark):
+    from cadenza.operators import albums
+    from cadenza.plans.album_queries import album_model
+    m = album_model(spark, SF_SMALL)
+    m2, meta = store.load_model(spark, store.save_model(m, tempfile.mkdtemp(prefix="cadenza-test-")))
+    assert meta["model_kind"] == "album_knn" and m2.stats.asDict() == m.stats.asDict()
+    a, b = (albums.recommend_albums(x, [0, 6], 5, [1]).orderBy("rank").collect() for x in (m, m2))
+    assert a == b
+
+
+def test_write_metrics(spark):
+    d = tempfile.mkdtemp(prefix="cadenza-test-")
+    table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "run_id string, v double")
+    store.write_metrics(table, os.path.join(d, "m"), os.path.join(d, "last"), "b")
+    back = spark.read.option("header", "true").csv(os.path.join(d, "m")).orderBy("run_id").collect()
+    assert [tuple(r) for r in back] == [("a", "1.0"), ("b", "2.0")]
+    assert spark.read.json(os.path.join(d, "last")).collect()[0]["v"] == 2.0
+
+
 def test_metrics_upsert(spark):
     old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "run_id string, v double")
     new = spark.createDataFrame([("b", 3.0)], "run_id string, v double")
