@@ -11,8 +11,13 @@ CATALOGUE_RG_URL = "https://listenbrainz.org/release-group/"
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A repeatable shuffle: order by a hash of (key, seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """A repeatable shuffle: order by a hash of (seed, key)."""
+    return df.orderBy(shuffle_key(F.col(key), seed), key)
+
+
+def shuffle_key(value, seed: int = 42):
+    """The hash that seeded choices order by (the same in any engine that has md5)."""
+    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), value.cast("string")).cast("binary"))
 
 
 def album_digest(enriched: DataFrame, seed: int = 42, request: str = "request_id") -> DataFrame:
@@ -23,7 +28,7 @@ def album_digest(enriched: DataFrame, seed: int = 42, request: str = "request_id
     are dropped and blocks are separated by a blank line.
     """
     picked = F.slice(F.transform(
-        F.array_sort(F.transform("genres", lambda g: F.struct(F.xxhash64(F.lit(seed), g).alias("h"),
+        F.array_sort(F.transform("genres", lambda g: F.struct(shuffle_key(g, seed).alias("h"),
                                                              g.alias("g")))),
         lambda s: s["g"]), 1, 5)
     details = F.concat_ws(" - ", F.when(format_tracks("tracks") != "", format_tracks("tracks")),

@@ -149,3 +149,98 @@ def q10(spark, sf):
     out = with_outcome(e, req, m.data, "id")
     return out.select(F.col("request_id").alias("user_id"), "status", "rank", "id", "gid", "title",
                       "artist", F.round("distance", 12).alias("distance"))
+
+
+@query("q10_release_album_recs")
+def q10_releases(spark, sf):
+    """Q10 by its own chain: listened release gids -> release groups (P9) -> album requests."""
+    cat = catalog(spark, sf)
+    req = profile.release_requests(cat, cat["release_listens"], "all_time", 0, "this_week", 0,
+                                   MAX_RESULTS)
+    m = album_model(spark, sf)
+    out = with_outcome(albums.recommend_albums_batch(m, req), req, m.data, "id")
+    return out.select(F.col("request_id").alias("user_id"), "status", "rank", "id",
+                      F.round("distance", 12).alias("distance"))
+
+
+@query("s8_listen_stats_seeds")
+def s8(spark, sf):
+    """S8 -> P9 -> Q9's requests: statistics written as JSON, one document a user, read back."""
+    cat = catalog(spark, sf)
+    top = profile.top_listened(cat["listens"], PROFILE_RANGE, 0).join(
+        cat["artist"].select(F.col("id").alias("artist"), F.col("gid").alias("artist_mbid")), "artist")
+    path = staging_path(spark, "listen-stats")
+    profile.write_listen_stats(top, path, "artists", "artist_mbid", "artist_mbid")
+    stats = profile.read_listen_stats(spark, path, "artists", PROFILE_MIN, multi_line=False)
+    req = profile.stats_requests(cat, stats, MAX_RESULTS)
+    return req.select(F.col("request_id").alias("user_id"), "seeds", "top_n")
+
+
+# ----------------------------------------------------------------- stores as round trips
+from cadenza.operators.recommend import recommend_artists  # noqa: E402
+from cadenza.plans.artist_queries import Q1_COLS  # noqa: E402
+from cadenza.plans.registry import BLACKLIST, SEEDS, TOP_N  # noqa: E402
+from cadenza.session import staging_path  # noqa: E402
+from cadenza.sources import store  # noqa: E402
+
+
+@query("s4_cached_features")
+def s4(spark, sf):
+    """Features written under their build parameters, then served from there."""
+    path, key = staging_path(spark, "cache"), {"min_tag_count": 1}
+    store.cached_features(spark, path, key, lambda: _model(spark, sf).features.select(*Q1_COLS))
+    return store.cached_features(spark, path, key, lambda: None)
+
+
+@query("s6_loaded_artist_model")
+def s6_artists(spark, sf):
+    """S5 + S6: one request served by a saved and loaded artist model."""
+    m, _ = store.load_model(spark, store.save_model(_model(spark, sf), staging_path(spark, "model")))
+    r = recommend_artists(m, SEEDS, TOP_N, BLACKLIST, filter_recommendable=False)
+    return r.select("rank", "artist_id", F.round("distance", 6).alias("distance"), "status")
+
+
+@query("s6_loaded_album_model")
+def s6_albums(spark, sf):
+    """S5 + S6: one request served by a saved and loaded album model."""
+    m, _ = store.load_model(spark, store.save_model(album_model(spark, sf), staging_path(spark, "model")))
+    r = albums.recommend_albums(m, ALBUM_SEEDS, ALBUM_TOP_N, ALBUM_BLACKLIST)
+    return r.select("rank", "id", F.round("distance", 12).alias("distance"))
+
+
+@query("s7_metrics_table")
+def s7(spark, sf):
+    """The report's row replaces the run of the same id, the other run stays."""
+    row = metrics.data_metrics(_model(spark, sf).features, _model(spark, sf).vocab)
+    old = row.withColumn("run_id", F.lit("a")).unionByName(
+        row.withColumn("run_id", F.lit("b")).withColumn("data_rows", F.lit(0).cast("long")))
+    return store.upsert_metrics(old, row.withColumn("run_id", F.lit("b"))).select("run_id", "data_rows",
+                                                                                  "vocab_size")
+
+
+@query("x_artist_text")
+def x_artist_text(spark, sf):
+    """X4, X5, X22 over artist names."""
+    a = catalog(spark, sf)["artist"]
+    return a.select("id", X.normalize_ws(F.concat(F.lit("  "), F.col("name"), F.lit(" \t x "))).alias("spaced"),
+                    X.word_tokens("name").alias("words"), X.artist_link("gid").alias("link"))
+
+
+@query("w5_seeded_shuffle")
+def w5(spark, sf):
+    """Every genre with the key that its seeded shuffle orders by."""
+    from cadenza.operators.digest import seeded_shuffle, shuffle_key
+    g = seeded_shuffle(catalog(spark, sf)["genre"].select("id", "name"), "id")
+    return g.select("id", "name", shuffle_key(F.col("id")).alias("key"))
+
+
+@query("j10_ordered_ids")
+def j10(spark, sf):
+    """J10 + Q6: an ordered id list (most listened artists first) with ranks, filtered in order."""
+    from cadenza.operators.recommend import filter_recommendable_ordered
+    from pyspark.sql import Window
+    cat = catalog(spark, sf)
+    n = cat["listens"].where(F.col("artist").isNotNull()).groupBy(F.col("artist").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ranked = n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")))
+    return filter_recommendable_ordered(cat, ranked.select("rank", "id")).select("rank", "id")

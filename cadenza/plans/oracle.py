@@ -378,6 +378,34 @@ top AS (select * from ranked where rank <= 10),
 select u.user_id, u.status, f.rank, f.artist_id, f.gid, f.name, f.genres, f.distance
 from outcome u left join found f using (user_id)""")
 
+register("s9_profile_artist_digests", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" + CTE_RECOMMENDABLE + f""",
+sl AS ({top_sql('this_month', 1)}),
+seedsx AS (select distinct sl.user_id, a.id aid from sl join artist a on a.id = sl.artist),
+bll AS ({top_sql('week', 2)}),
+blx AS (select distinct bll.user_id, a.id aid from bll join artist a on a.id = bll.artist),
+okusers AS (select distinct user_id from seedsx where user_id not in
+  (select user_id from seedsx where aid not in (select artist_id from vec))),
+nseed AS (select user_id, count(*) n from seedsx where user_id in (select user_id from okusers) group by user_id),
+cen AS (select s.user_id, v.token, sum(v.w) / max(ns.n) w from seedsx s join nseed ns using (user_id)
+  join vec v on v.artist_id = s.aid group by s.user_id, v.token),
+cn AS (select user_id, sqrt(sum(w * w)) n from cen group by user_id),
+cand AS (select distinct artist_id from vec where artist_id in (select id from recable)),
+excl AS (select user_id, aid from seedsx union select user_id, aid from blx),
+pairs AS (select u.user_id, c.artist_id from okusers u cross join cand c
+  left join excl e on e.user_id = u.user_id and e.aid = c.artist_id where e.aid is null),
+dots AS (select p.user_id, p.artist_id, sum(coalesce(v.w * cen.w, 0)) dot from pairs p join vec v on v.artist_id = p.artist_id
+  left join cen on cen.user_id = p.user_id and cen.token = v.token group by p.user_id, p.artist_id),
+ranked AS (select d.user_id, d.artist_id, 1 - d.dot / cn.n distance,
+  row_number() over (partition by d.user_id order by round(1 - d.dot / cn.n, 9), d.artist_id) rank
+  from dots d join cn using (user_id)),
+top AS (select * from ranked where rank <= 10),
+""" + cte_enrich_artists("top") + """
+, lines AS (select top.user_id, top.rank, concat_ws(chr(10), '- **' || coalesce(a.name, '') || '**',
+    case when len(eg.genres) > 0 then '  Genres: ' || array_to_string(eg.genres, ', ') end,
+    '  [ListenBrainz](https://listenbrainz.org/artist/' || a.gid || ')' || coalesce(' | [Official site](' || eu.official_site || ')', '')) l
+  from top join artist a on a.id = top.artist_id left join eg on eg.id = top.artist_id left join eu on eu.id = top.artist_id)
+select user_id, '# Recommended artists' || chr(10) || chr(10) || string_agg(l, chr(10) order by rank) digest from lines group by user_id""")
+
 register("q11_evaluation_report", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + """,
 ids AS (select distinct artist_id from vec),
 dots AS (select a.artist_id q, b.artist_id c, sum(a.w * b.w) dot from vec a join vec b using (token)
@@ -580,6 +608,26 @@ select top.rank, top.id, rg.gid, rg.name title, names.artist, coalesce(gen.genre
 from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
 left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
 join names on names.release_group = top.id""")
+register("s10_album_digest", album_knn_sql(None) + """,
+top AS (select * from ranked where rank <= 10),
+""" + CTE_LEN_AFTER_FIRST + ",\n" + CTE_RGART + """,
+names AS (select release_group, array_to_string(list_sort(array_agg(distinct name) filter (where name is not null)), ', ') artist from rgart group by release_group),
+gen AS (select x.release_group, list_sort(array_agg(distinct g.name)) genres from (select distinct release_group, artist from rgart) x
+  join artist_tag atg on atg.artist = x.artist join tag t on t.id = atg.tag join genre g on g.name = t.name group by x.release_group),
+rows8 AS (select top.rank, rg.gid, rg.name title, names.artist, coalesce(gen.genres, cast([] as varchar[])) genres, rts.tracks, rts.length
+  from top join fr on fr.release_group = top.id join release_group rg on rg.id = top.id
+  left join rts on rts.release_group = top.id left join gen on gen.release_group = top.id
+  join names on names.release_group = top.id),
+pick AS (select rank, array_to_string(list(g order by md5('42:' || g))[1:5], ', ') p from (select rank, unnest(genres) g from rows8) x group by rank),
+txt AS (select r.*, case when tracks is null then null when tracks = 1 then '1 track' else cast(tracks as varchar) || ' tracks' end tt,
+  case when length is null then null when (length // 60000) // 60 >= 1 then
+      case when (length // 60000) % 60 > 0 then cast((length // 60000) // 60 as varchar) || 'h ' || cast((length // 60000) % 60 as varchar) || ' min'
+      else cast((length // 60000) // 60 as varchar) || 'h' end
+    else cast(length // 60000 as varchar) || ' min' end dd from rows8 r),
+blocks AS (select txt.rank, concat_ws(chr(10), '**' || title || '** - ' || coalesce(artist, ''), pick.p,
+  nullif(concat_ws(' - ', tt, dd), ''), '[ListenBrainz](https://listenbrainz.org/release-group/' || gid || ')') b
+  from txt left join pick using (rank))
+select 0 request_id, '# Recommended release groups' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) order by rank) digest from blocks""")
 
 
 register("p10_slim_artist_data", "WITH " + cte_q1() + " select artist_id, artist_name, genres from feats")
@@ -632,3 +680,56 @@ names AS (select release_group, array_to_string(list_sort(array_agg(distinct nam
 """ + outcome_sql("seeds", "found") + """
 select u.user_id, u.status, f.rank, f.id, f.gid, f.title, f.artist, f.distance
 from outcome u left join found f using (user_id)""")
+
+register("q10_release_album_recs", FULL_MODEL + ",\n" + CTE_CRG + ",\n" + CTE_STATS.format(d="q5") + f""",
+imp AS (select q5.id, cast(coalesce(cast(cast(q5.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q5.status as float) as double), stats.status) s1, coalesce(cast(cast(q5.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q5.script as float) as double), stats.script) s3, coalesce(cast(cast(q5.year as float) as double), stats.year) s4,
+  q5.tag_ids, q5.genre_ids, q5.secondary_type_ids from q5, stats),
+seeds AS (select distinct l.user_id, r.release_group rg from release_listens l join release r on r.gid = l.release_gid),
+bls AS (select distinct l.user_id, r.release_group rg from release_listens l join release r on r.gid = l.release_gid, (select max(ts) n from release_listens) b
+  where l.ts >= date_trunc('week', b.n) and l.ts <= b.n),
+okusers AS (select distinct user_id from seeds where user_id not in
+  (select user_id from seeds where rg not in (select id from q5))),
+sd AS (select s.user_id, q5.* from seeds s join q5 on q5.id = s.rg where s.user_id in (select user_id from okusers)),
+""" + ",\n".join(mode_by(c, "sd", "user_id", f"pm_{c}") for c in ["type", "status", "language", "script"]) + """,
+pl AS (select user_id, cast(round_even(avg(year), 0) as int) AS year,
+  list_sort(list_distinct(flatten(list(tag_ids)))) tag_ids, list_sort(list_distinct(flatten(list(genre_ids)))) genre_ids,
+  list_sort(list_distinct(flatten(list(secondary_type_ids)))) secondary_type_ids from sd group by user_id),
+p AS (select pl.user_id,
+  coalesce(cast(cast(a.type as float) as double), stats.type) s0, coalesce(cast(cast(b.status as float) as double), stats.status) s1,
+  coalesce(cast(cast(c.language as float) as double), stats.language) s2, coalesce(cast(cast(d.script as float) as double), stats.script) s3,
+  coalesce(cast(cast(pl.year as float) as double), stats.year) s4, pl.tag_ids, pl.genre_ids, pl.secondary_type_ids
+  from pl left join pm_type a using (user_id) left join pm_status b using (user_id)
+  left join pm_language c using (user_id) left join pm_script d using (user_id), stats),
+excl AS (select user_id, rg from seeds union select user_id, rg from bls),
+sc AS (select p.user_id, c.id,
+  c.s0 * p.s0 + c.s1 * p.s1 + c.s2 * p.s2 + c.s3 * p.s3 + c.s4 * p.s4 + len(list_intersect(c.tag_ids, p.tag_ids))
+    + len(list_intersect(c.genre_ids, p.genre_ids)) + len(list_intersect(c.secondary_type_ids, p.secondary_type_ids)) dot,
+  c.s0 * c.s0 + c.s1 * c.s1 + c.s2 * c.s2 + c.s3 * c.s3 + c.s4 * c.s4 + len(c.tag_ids) + len(c.genre_ids) + len(c.secondary_type_ids) nc,
+  p.s0 * p.s0 + p.s1 * p.s1 + p.s2 * p.s2 + p.s3 * p.s3 + p.s4 * p.s4 + len(p.tag_ids) + len(p.genre_ids) + len(p.secondary_type_ids) np
+  from p cross join imp c left join excl e on e.user_id = p.user_id and e.rg = c.id where e.rg is null),
+dist AS (select user_id, id, case when nc > 0 and np > 0 then 1 - dot / (sqrt(np) * sqrt(nc)) else 1 end distance from sc),
+ranked AS (select user_id, id, distance, row_number() over (partition by user_id order by round(distance, 12), id) rank from dist),
+top AS (select * from ranked where rank <= 10)
+""" + outcome_sql("seeds", "top") + """
+select u.user_id, u.status, t.rank, t.id, round(t.distance, 12) distance from outcome u left join top t using (user_id)""")
+
+register("s8_listen_stats_seeds", f"""with t as ({top_sql('this_month', 1)})
+select t.user_id, list_sort(list(distinct a.id)) seeds, 10 top_n from t join artist a on a.id = t.artist group by t.user_id""")
+register("s4_cached_features", "WITH " + cte_q1() + """
+select artist_id, artist_gid, artist_name, artist_type, area_name, tags, genres, tag_count_sum from feats""")
+register("s6_loaded_artist_model", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + ",\n" +
+         cte_single(SEEDS_SQL, SEEDS_SQL + ", " + BL_SQL) + """
+select rank, artist_id, round(distance, 6) distance, 'ok' status from ranked where rank <= 5""")
+register("s6_loaded_album_model", album_knn_sql(None) + TOP_ALBUMS)
+register("s7_metrics_table", "WITH " + cte_q1() + ",\n" + CTE_TFIDF + """
+select run_id, (select count(*) from feats) data_rows, (select count(*) from voc) vocab_size
+from (values ('a'), ('b')) r(run_id)""")
+register("x_artist_text", """select id, trim(regexp_replace('  ' || name || ' ' || chr(9) || ' x ', '\\s+', ' ', 'g')) spaced,
+  case when name is not null then regexp_extract_all(name, '[\\p{L}\\p{N}_]+') end words, 'https://listenbrainz.org/artist/' || gid link from artist""")
+register("w5_seeded_shuffle", "select id, name, md5('42:' || cast(id as varchar)) AS \"key\" from genre")
+register("j10_ordered_ids", "WITH " + CTE_RECOMMENDABLE + """,
+n AS (select artist id, count(*) n from listens where artist is not null group by artist),
+rk AS (select id, row_number() over (order by n desc, id) rank from n)
+select rank, id from rk where id in (select id from recable)""")
