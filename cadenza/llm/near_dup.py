@@ -306,18 +306,42 @@ def _open(members: DataFrame) -> DataFrame:
         F.min("key").alias("key"), F.min("r1").alias("r1"))
 
 
+def _cells(open_: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Members of open buckets dealt to cells (key, kind, i, j) of pairs yet to be checked.
+
+    A bucket's most common component is its major one.  Cells of kind 0 hold a block of the major
+    component and a block of the others, cells of kind 1 two blocks of the others: where one
+    component has all but a few members, each of its members is dealt out once.
+    """
+    rows = members.join(open_.select("key"), "key")
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    sizes = staged(sizes.select("key", F.col("m")["root"].alias("major"),
+                                F.ceil(F.col("m")["n"] / block).cast("int").alias("qa"),
+                                F.ceil((F.col("n") - F.col("m")["n"]) / block).cast("int")
+                                .alias("qb")), "open")
+    rows = rows.join(sizes, "key")
+    h = F.xxhash64("doc_id", F.lit(7))
+    rows = rows.withColumn("first", F.col("root") == F.col("major")).withColumn(
+        "own", F.pmod(h, F.when(F.col("first"), F.col("qa")).otherwise(F.col("qb"))).cast("int"))
+
+    def cell(kind, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    own, a, b = F.col("own"), F.sequence(F.lit(0), F.col("qa") - 1), F.sequence(
+        F.lit(0), F.col("qb") - 1)
+    cells = F.when(F.col("first"), F.transform(b, lambda d: cell(0, own, d))).otherwise(F.concat(
+        F.transform(a, lambda c: cell(0, c, own)),
+        F.transform(b, lambda d: cell(1, F.least(own, d), F.greatest(own, d)))))
+    return rows.select("key", "doc_id", "root", "first", "own", F.explode(cells).alias("c")).select(
+        "key", "doc_id", "root", "first", "own", "c.kind", "c.i", "c.j")
+
+
 def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: DataFrame,
                  percent: int, block: int = BLOCK) -> DataFrame:
     """Links between different components within open buckets, by pairs of blocks."""
     least = least_matches(percent)
-    rows = members.join(open_.select("key", "n"), "key")
-    q = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.withColumn("q", q).withColumn(
-        "own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("q")).cast("int"))
-    rows = rows.select("key", "doc_id", "root", "own", F.explode(
-        F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
-    rows = rows.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"),
-                       F.greatest("own", "other").alias("j"))
+    rows = _cells(open_, members, block)
     rows = rows.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
 
     def run(pdf):
@@ -326,12 +350,13 @@ def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: Da
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
         sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
         ids, root = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
-        own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        kind, i, j = (pdf[c].iloc[0] for c in ("kind", "i", "j"))
+        side = pdf["own" if kind else "first"].to_numpy()  # pairs have different sides
         pairs, score = [], []
         for a in range(len(pdf)):
             b = np.flatnonzero(root[a + 1:] != root[a]) + a + 1
-            if i != j:
-                b = b[own[b] != own[a]]
+            if not kind or i != j:
+                b = b[side[b] != side[a]]
             b = b[survivors(np.broadcast_to(sig[a], (len(b), sig.shape[1])), sig[b], least)]
             pairs += [(a, int(x)) for x in b]
             score += (sig[b] == sig[a]).sum(axis=1).tolist()
@@ -352,7 +377,8 @@ def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: Da
                 out.append((ids[a], ids[b]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return staged(rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long"), "links")
+    return staged(rows.groupBy("key", "kind", "i", "j").applyInPandas(run, "a long, b long"),
+                  "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
