@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
 import types
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.session import ensure_checkpoint_dir
+from cadenza.session import stage
 
 SPACE = r"[\x20\x09-\x0D]+"      # separators; a word is a run of anything else
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOTS: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,28 +24,8 @@ def text_or_empty(name: str = "text"):
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage at a shared folder, so a lost executor costs a re-read and never a
-    recomputation, and later plans prune columns and know the size.  The application's
-    folder is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/cadenza-llm-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS[root] = spark
-        atexit.register(_remove, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(root: str) -> None:
-    spark = _ROOTS.pop(root)
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """``df`` written once as Parquet in the shared folder and read back (``session.stage``)."""
+    return stage(df, name=name)
 
 
 def worker_cache() -> dict:

@@ -1,3 +1,5 @@
+"""Shared cases and fixtures of the corpus operators' tests."""
+
 import os
 import sys
 

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from llm_cases import EDGES, documents, make  # noqa: F401
 from cadenza.llm import licenses as L
 
 
@@ -39,7 +40,6 @@ def cases():
 
 
 def test_templates_are_found(make):
-    from conftest import EDGES
     pairs = [*EDGES, *cases()]
     got = L.scan_documents(make(pairs)).collect()
     want = sorted((i, t) for i, x in pairs for t in brute_force(x))

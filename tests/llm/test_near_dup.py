@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from llm_cases import EDGES, documents, make  # noqa: F401
 from cadenza.llm import near_dup as N
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,7 +59,6 @@ def base(rng, n):
 
 
 def test_edges(make):
-    from conftest import EDGES
     pairs = [*EDGES, (20, "One TWO\tthree."), (21, "ONE"), (22, "a b c d"), (23, "A  B C D"),
              (24, "a b c d e"), (25, "\x1ca b c d e")]
     check(make(pairs), pairs)

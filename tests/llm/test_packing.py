@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from llm_cases import EDGES, documents, make  # noqa: F401
 from cadenza.llm import packing as P
 
 
@@ -80,7 +81,6 @@ def check(rows, pairs, partitions):
 
 
 def test_edges(make):
-    from conftest import EDGES
     df = make(EDGES).coalesce(2)
     check(P.pack_documents(df).collect(), EDGES, 2)
     assert P.pack_documents(make([])).count() == 0

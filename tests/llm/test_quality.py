@@ -4,9 +4,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-from conftest import SF  # noqa: F401  (resolved as tests/llm/conftest.py)
 from pyspark.sql import functions as F
 
+from llm_cases import EDGES, SF, documents, make  # noqa: F401
 from cadenza.llm import quality_classifier as C
 from cadenza.llm import quality_rules as R
 from cadenza.llm.queries import ORACLE
@@ -29,7 +29,6 @@ def rules_of(text):
 
 
 def test_rules_match_brute_force_and_sql(make, spark):
-    from conftest import EDGES
     edges = [*EDGES, (12, "a b c d e f g h " * 5), (13, "x y\n x y\nx y\n# | $ <>\n\n"),
              (14, "s " * 30)]
     got = R.quality_rules(make(edges)).collect()
@@ -79,7 +78,6 @@ def test_empty_tables(make, spark):
 
 
 def test_classifier_edges(make, spark):
-    from conftest import EDGES
     good = [(100 + i, " ".join(f"word{(i * 7 + j) % 91}" for j in range(50 + i))) for i in range(60)]
     bad = [(300 + i, "SPAM!! ***### " * (20 + i)) for i in range(60)]
     docs = make([*EDGES, *good, *bad])

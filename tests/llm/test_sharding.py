@@ -1,5 +1,6 @@
 import zlib
 
+from llm_cases import EDGES, documents, make  # noqa: F401
 from cadenza.llm import sharding as S
 
 
@@ -19,7 +20,6 @@ def check(rows, pairs, shards=S.SHARDS):
 
 
 def test_edges_and_copies(make):
-    from conftest import EDGES
     copies = [(1000 + i, "the same text again and again") for i in range(900)]
     other = [(5000 + i, f"text {i} " * (i % 50)) for i in range(900)]
     pairs = [*EDGES[:8], *EDGES[10:], *copies, *other, (77, "twice"), (77, "twice")]

@@ -3,6 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from llm_cases import EDGES, documents, make  # noqa: F401
 from cadenza.llm import token_counts as T
 
 
@@ -19,7 +20,6 @@ def texts(n):
 
 
 def test_counts_match_the_library(make):
-    from conftest import EDGES
     vocab = T.pieces()
     tok = library(vocab)
     pairs = [*EDGES, *[(100 + i, t) for i, t in enumerate(texts(800))]]
