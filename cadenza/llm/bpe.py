@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import text_or_empty, worker_cache
 
 DEFAULT_PATH = public_tokenizers.path("byte_bpe_50k.json")
-SLICE = 8_000_000
+SLICE = 3_000_000
 NONE = np.iinfo(np.int64).max
 
 #: Code points with Unicode's White_Space property.
@@ -440,41 +440,64 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, list[str]
         yield first, rows
 
 
+def encode_batches(v: Vocabulary, batches) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) batches of (doc_id, text) batches."""
+    for batch in batches:
+        for first, texts in slices(batch.column(1)):
+            ids, offsets, _, _ = encode_texts(v, texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(texts)),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))],
+                ["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     """doc_id and ids (array of int), one row per document."""
     def run(batches):
-        v = vocabulary(path)
-        for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                ids, offsets, _, _ = encode_texts(v, texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))],
-                    ["doc_id", "ids"])
+        yield from encode_batches(vocabulary(path), batches)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
         .mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode_lists(v: Vocabulary, lists: pa.ListArray) -> list[str]:
+    """The texts of lists of ids."""
+    known = len(v.bytes)
+    return [b"".join([v.bytes[i] for i in ids.as_py() or () if i is not None and 0 <= i < known])
+            .decode("utf-8", "replace") for ids in lists]
+
+
 def decode(encoded: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     """doc_id, ids and text; bytes that are no UTF-8 become U+FFFD, ids out of range nothing."""
     def run(batches):
         v = vocabulary(path)
-        known = len(v.bytes)
         for batch in batches:
-            lists = batch.column(1)
-            out = [b"".join([v.bytes[i] for i in ids.as_py() or () if i is not None
-                             and 0 <= i < known]).decode("utf-8", "replace") for ids in lists]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+                [batch.column(0), batch.column(1),
+                 pa.array(decode_lists(v, batch.column(1)), pa.string())],
+                ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
+    """doc_id, ids and the text decoded from them: ``decode(encode(docs))`` in one pass, with one
+    Python worker and one vocabulary a task."""
+    def run(batches):
+        v = vocabulary(path)
+        for ids in encode_batches(v, batches):
+            yield pa.RecordBatch.from_arrays(
+                [ids.column(0), ids.column(1),
+                 pa.array(decode_lists(v, ids.column(1)), pa.string())], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
+        .mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def round_trip_digests(docs: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
         .alias("ids_sha256"),

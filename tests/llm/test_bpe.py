@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from llm_cases import EDGES, make  # noqa: F401
 from cadenza.llm import bpe
 
 HARD = ["", "it's we'll they've I'm 's'tall ''s 're \n's  's\t'd", "  a  b\n\n c \t d   ",
@@ -69,7 +70,6 @@ def test_rows_against_exact_merging(vocab):
 
 
 def test_documents(make, library):
-    from conftest import EDGES
     pairs = [*EDGES, *[(100 + i, t) for i, t in enumerate(HARD)]]
     want = sorted((i or -1, len(e.ids), hashlib.sha256(",".join(map(str, e.ids)).encode())
                    .hexdigest(), hashlib.sha256(library.decode(e.ids, skip_special_tokens=False)
@@ -80,6 +80,8 @@ def test_documents(make, library):
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
                   for r in got) == want
     assert bpe.round_trip_digests(make([])).count() == 0
+    two = bpe.decode(bpe.encode(make(pairs))).collect()
+    assert sorted(map(str, two)) == sorted(map(str, bpe.round_trip(make(pairs)).collect()))
 
 
 def test_decode_of_odd_ids(spark):
