@@ -153,14 +153,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame,
-                   threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` (all columns) that the classifier accepts; it is fitted on ``labelled``."""
-    known = labels.filter(~held_out()).select("doc_id", "quality")
-    train = labelled.select("doc_id", "text").join(
-        known.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(document_features(train), known)
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` (all columns) that the classifier, fitted on their labels, accepts.
+
+    Rows and features are staged together: one pass over the texts serves fit and filter, and the
+    filter reads stored features (pushed below them it would compute each one many times)."""
     names = docs.columns
-    rows = document_features(docs, F.struct(*[F.col(c) for c in names]))
+    rows = staged(document_features(docs, F.struct(*[F.col(c) for c in names])), "features")
+    model = fit(rows, labels.filter(~held_out()))
     return rows.filter(score(model) >= threshold).select(
         *[F.col("_row")[c].alias(c) for c in names])

@@ -18,7 +18,7 @@ PIPELINE_PERCENT = 80  # similarity of five-word shingles from which documents c
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality_classifier.keep_documents(docs, docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

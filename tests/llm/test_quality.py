@@ -93,7 +93,7 @@ def test_classifier_edges(make, spark):
                                  and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
     own = {r["doc_id"]: r["predicted"] for r in got}
     assert all(own[i] == 1 for i, _ in good) and all(own[i] == 0 for i, _ in bad)
-    kept = C.keep_documents(docs, docs, labels)
+    kept = C.keep_documents(docs, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, p in own.items() if p}
 
