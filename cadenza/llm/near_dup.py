@@ -44,8 +44,9 @@ HASHES, BANDS, ROWS = 128, 25, 5
 BATCH = 32
 MISS = 1e-6
 BLOCK = 192
+ROWS_PER_GROUP = 1024   # rows handed to Python at once, of many small cells
 STARS = 3
-SLICE = 4_000_000
+SLICE = 2_000_000
 SEED = 2025
 
 
@@ -309,27 +310,33 @@ def _open(members: DataFrame) -> DataFrame:
 def _cells(open_: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """Members of open buckets dealt to cells (key, kind, i, j) of pairs yet to be checked.
 
-    A bucket's most common component is its major one.  Cells of kind 0 hold a block of the major
-    component and a block of the others, cells of kind 1 two blocks of the others: where one
-    component has all but a few members, each of its members is dealt out once.
+    A bucket of up to ``block`` members is one cell.  Of a larger one the most common component is
+    the major one: cells of kind 0 hold a block of the major component and a block of the others,
+    cells of kind 1 two blocks of the others, so where one component has all but a few members,
+    each of its members is dealt out once.
     """
     rows = members.join(open_.select("key"), "key")
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
-    sizes = staged(sizes.select("key", F.col("m")["root"].alias("major"),
-                                F.ceil(F.col("m")["n"] / block).cast("int").alias("qa"),
-                                F.ceil((F.col("n") - F.col("m")["n"]) / block).cast("int")
-                                .alias("qb")), "open")
+    small = F.col("n") <= block
+    sizes = staged(sizes.select(
+        "key", F.when(~small, F.col("m")["root"]).alias("major"),
+        F.when(small, 0).otherwise(F.ceil(F.col("m")["n"] / block)).cast("int").alias("qa"),
+        F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("m")["n"]) / block)).cast("int")
+        .alias("qb")), "open")
     rows = rows.join(sizes, "key")
     h = F.xxhash64("doc_id", F.lit(7))
-    rows = rows.withColumn("first", F.col("root") == F.col("major")).withColumn(
+    rows = rows.withColumn("first", F.coalesce(F.col("root") == F.col("major"), F.lit(False)))
+    rows = rows.withColumn(
         "own", F.pmod(h, F.when(F.col("first"), F.col("qa")).otherwise(F.col("qb"))).cast("int"))
 
     def cell(kind, i, j):
         return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
 
-    own, a, b = F.col("own"), F.sequence(F.lit(0), F.col("qa") - 1), F.sequence(
-        F.lit(0), F.col("qb") - 1)
+    def upto(n):
+        return F.slice(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), F.lit(1), F.col(n))
+
+    own, a, b = F.col("own"), upto("qa"), upto("qb")
     cells = F.when(F.col("first"), F.transform(b, lambda d: cell(0, own, d))).otherwise(F.concat(
         F.transform(a, lambda c: cell(0, c, own)),
         F.transform(b, lambda d: cell(1, F.least(own, d), F.greatest(own, d)))))
@@ -341,25 +348,26 @@ def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: Da
                  percent: int, block: int = BLOCK) -> DataFrame:
     """Links between different components within open buckets, by pairs of blocks."""
     least = least_matches(percent)
-    rows = _cells(open_, members, block)
+    rows = staged(_cells(open_, members, block), "cells")
+    groups = max(1, math.ceil(rows.count() / ROWS_PER_GROUP))  # many small cells a group
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(groups)))
     rows = rows.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
 
-    def run(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("doc_id")
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        ids, root = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
-        kind, i, j = (pdf[c].iloc[0] for c in ("kind", "i", "j"))
-        side = pdf["own" if kind else "first"].to_numpy()  # pairs have different sides
+    def check(cell) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(len(cell), -1)
+        sets = [np.frombuffer(s, np.uint64) for s in cell["set"]]
+        ids, root = cell["doc_id"].to_numpy(), cell["root"].to_numpy()
+        kind, i, j = (cell[c].iloc[0] for c in ("kind", "i", "j"))
+        side = cell["own" if kind else "first"].to_numpy()  # pairs have different sides
         pairs, score = [], []
-        for a in range(len(pdf)):
+        for a in range(len(cell)):
             b = np.flatnonzero(root[a + 1:] != root[a]) + a + 1
             if not kind or i != j:
                 b = b[side[b] != side[a]]
-            b = b[survivors(np.broadcast_to(sig[a], (len(b), sig.shape[1])), sig[b], least)]
-            pairs += [(a, int(x)) for x in b]
-            score += (sig[b] == sig[a]).sum(axis=1).tolist()
+            if len(b):
+                b = b[survivors(np.broadcast_to(sig[a], (len(b), sig.shape[1])), sig[b], least)]
+                pairs += [(a, int(x)) for x in b]
+                score += (sig[b] == sig[a]).sum(axis=1).tolist()
         up = {r: r for r in root.tolist()}
 
         def find(r):
@@ -375,10 +383,15 @@ def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: Da
             if x != y and linked(sets[a], sets[b], percent):
                 up[x] = y
                 out.append((ids[a], ids[b]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return out
+
+    def run(pdf):
+        import pandas as pd
+        found = [x for _, cell in pdf.sort_values("doc_id").groupby(["key", "kind", "i", "j"])
+                 for x in check(cell)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return staged(rows.groupBy("key", "kind", "i", "j").applyInPandas(run, "a long, b long"),
-                  "links")
+    return staged(rows.groupBy("group").applyInPandas(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
