@@ -27,9 +27,12 @@ OPS = ["FileScan parquet", "Exchange hashpartitioning", "Exchange SinglePartitio
 def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    names = args or ["q1_artist_features", "k4_artist_knn_all", "q8_album_recommendations",
-                     "q9_profile_artist_recs", "q12_top_listened"]
+    names = args or ["q1_artist_features", "k3_artist_knn_single", "k4_artist_knn_all",
+                     "k6_album_neighbours_all", "q5_album_model_data", "q8_album_recommendations",
+                     "q10_profile_album_recs", "q12_top_listened"]
     spark = local_session()
+    # whole filters and schemas, not their first characters
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     d = tempfile.mkdtemp(prefix="cadenza-plans-")
     write_catalog(fixture_catalog(spark, sf), d)
     use_catalog(spark, sf, load_catalog(spark, d, base_dir=sf))
