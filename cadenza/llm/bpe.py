@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import text_or_empty, worker_cache
 
 DEFAULT_PATH = public_tokenizers.path("byte_bpe_50k.json")
-SLICE = 3_000_000
+SLICE = 1_500_000
 NONE = np.iinfo(np.int64).max
 
 #: Code points with Unicode's White_Space property.
@@ -427,17 +427,23 @@ def _with_special(flat, word_token, words, ids):
             np.concatenate([[0], np.cumsum(length)]))
 
 
-def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) runs of at most ``limit`` characters, or of one longer text."""
-    rows, first, size = [], 0, 0
-    for i, t in enumerate(texts.to_pylist()):
-        if rows and size + len(t) > limit:
-            yield first, rows
-            rows, first, size = [], i, 0
-        rows.append(t)
-        size += len(t)
-    if rows:
-        yield first, rows
+def slices(texts: pa.Array, limit: int | None = None, rows: int = 256
+           ) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) runs of at most ``limit`` characters, or of one longer text.
+
+    The array becomes Python strings ``rows`` rows at a time, so a large batch is never held twice.
+    """
+    limit = limit or SLICE
+    held, first, size = [], 0, 0
+    for at in range(0, len(texts), rows):
+        for i, t in enumerate(texts.slice(at, rows).to_pylist(), at):
+            if held and size + len(t) > limit:
+                yield first, held
+                held, first, size = [], i, 0
+            held.append(t)
+            size += len(t)
+    if held:
+        yield first, held
 
 
 def encode_batches(v: Vocabulary, batches) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ SHINGLE = 5
 CONTAINMENT = 80        # percent of a template's shingles
 MISS = 1e-4
 ROWS = 1                # MinHashes a band; a window shares few shingles with short templates
-SLICE = 2_000_000
+SLICE = 1_000_000
 MAX_TEMPLATE_WORDS = 100_000
 
 #: Usual license notices, by SPDX name.

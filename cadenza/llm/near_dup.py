@@ -46,7 +46,7 @@ MISS = 1e-6
 BLOCK = 192
 ROWS_PER_GROUP = 1024   # rows handed to Python at once, of many small cells
 STARS = 3
-SLICE = 2_000_000
+SLICE = 1_000_000
 SEED = 2025
 
 

@@ -33,8 +33,8 @@ from cadenza.llm.common import text_or_empty, worker_cache
 DEFAULT_PATH = public_tokenizers.path("piece_bpe_32k.model")
 SPACE_SIGN = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000   # distinct words kept between slices
-SLICE = 4_000_000
+REMEMBERED = 200_000   # distinct words kept between slices
+SLICE = 1_000_000
 
 
 def pieces(path: str = DEFAULT_PATH) -> list[tuple[str, float]]:
