@@ -48,6 +48,25 @@ def test_no_request_vanishes(spark):
         assert [r["rank"] for r in out if r["request_id"] == i] == [None]
 
 
+def test_release_listens_hold_every_release_of_every_listen(spark):
+    """From the supplied tables themselves, not through the views."""
+    import re
+    from collections import Counter, defaultdict
+
+    from cadenza.sources.catalog import fixture_catalog, read_table
+    from conftest import SF_SMALL
+    releases = defaultdict(list)
+    for r in read_table(spark, SF_SMALL, "orders").select("o_orderkey", "o_custkey").collect():
+        releases[r["o_custkey"]].append(f"rel-{r['o_orderkey']}")
+    events = [r for r in read_table(spark, SF_SMALL, "events").collect()
+              if r["event_type"] in ("click", "view", "purchase")]
+    want = Counter((r["user_id"], r["ts"], r["event_type"], gid) for r in events
+                   for gid in releases[int(re.search("[0-9]+", r["props"])[0])])
+    got = Counter(tuple(r) for r in fixture_catalog(spark, SF_SMALL)["release_listens"].select(
+        "user_id", "ts", "event_type", "release_gid").collect())
+    assert want and got == want
+
+
 def test_langid_crossval_accuracy(spark):
     from cadenza.operators.langid import crossval_accuracy
     from cadenza.sources.catalog import read_table
