@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.session import stage
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"      # separators; a word is a run of anything else
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +24,14 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def ascii_lower(c):
+    """A-Z in lower case, all else as it is.
+
+    ``lower`` does that for texts without other capitals and is much faster than ``translate``."""
+    other = c.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
+    return F.when(other, F.translate(c, UPPER, UPPER.lower())).otherwise(F.lower(c))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back (``session.stage``)."""
     return stage(df, name=name)

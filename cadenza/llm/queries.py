@@ -14,6 +14,7 @@ from cadenza.llm import (
     quality_rules,
     sharding,
     token_counts,
+    winnowing,
 )
 from cadenza.llm.common import table
 
@@ -62,9 +63,15 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_documents(table(spark, sf_dir, "documents"), short=licenses.SHORT)
 
 
+def op11_benchmark_decontamination(spark, sf_dir):
+    return winnowing.scan_documents(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sharding, op4_chat_windows,
     op5_nearest_vectors, op6_bpe, op7_token_counts, op8_near_duplicates, op9_packing,
-    op10_license_scan)}
+    op10_license_scan, op11_benchmark_decontamination)}
 
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_windows": chat.ORACLE}
+ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_windows": chat.ORACLE,
+          "op11_benchmark_decontamination": winnowing.ORACLE}
