@@ -5,6 +5,7 @@ from __future__ import annotations
 from cadenza.llm import (
     bpe,
     chat,
+    collocations,
     common,
     hilbert_knn,
     licenses,
@@ -68,10 +69,15 @@ def op11_benchmark_decontamination(spark, sf_dir):
                                     table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sharding, op4_chat_windows,
     op5_nearest_vectors, op6_bpe, op7_token_counts, op8_near_duplicates, op9_packing,
-    op10_license_scan, op11_benchmark_decontamination)}
+    op10_license_scan, op11_benchmark_decontamination, op13_phrase_collocations)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_windows": chat.ORACLE,
-          "op11_benchmark_decontamination": winnowing.ORACLE}
+          "op11_benchmark_decontamination": winnowing.ORACLE,
+          "op13_phrase_collocations": collocations.ORACLE}
