@@ -7,6 +7,7 @@ from cadenza.llm import (
     chat,
     collocations,
     common,
+    hard_negatives,
     hilbert_knn,
     licenses,
     near_dup,
@@ -69,6 +70,10 @@ def op11_benchmark_decontamination(spark, sf_dir):
                                     table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -76,8 +81,10 @@ def op13_phrase_collocations(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sharding, op4_chat_windows,
     op5_nearest_vectors, op6_bpe, op7_token_counts, op8_near_duplicates, op9_packing,
-    op10_license_scan, op11_benchmark_decontamination, op13_phrase_collocations)}
+    op10_license_scan, op11_benchmark_decontamination, op12_hard_negatives,
+    op13_phrase_collocations)}
 
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_windows": chat.ORACLE,
           "op11_benchmark_decontamination": winnowing.ORACLE,
+          "op12_hard_negatives": hard_negatives.ORACLE,
           "op13_phrase_collocations": collocations.ORACLE}
