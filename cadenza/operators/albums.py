@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import as_int_list, special_edition
 from cadenza.operators.genres import release_modes, rg_tag_buckets, secondary_types
-from cadenza.operators.knn import knn_batch, knn_single, missing_seeds, terms_of
+from cadenza.operators.knn import knn_single, missing_seeds, terms_of
+from cadenza.operators.nearest import BoxIndex, box_index, search
 from cadenza.operators.recommend import valid_requests, validate_request
 from cadenza.session import stage
 
@@ -96,6 +97,17 @@ class AlbumModel:
     stats: object         # fitted imputation row
     vectors: DataFrame    # (id, token, w) after imputation
     terms: DataFrame      # (id, terms, norm, genre_ids), one row per release group
+    _index: BoxIndex | None = None
+
+    def index(self) -> BoxIndex:
+        """The index of tables of requests, built when first used: the year dominates a vector,
+        the other scalar components (language first) tell most distances."""
+        if self._index is None:
+            c = self.vectors.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
+            year = str(SCALARS.index("year"))
+            box = [str(SCALARS.index(x)) for x in ("language", "script", "type", "status")]
+            self._index = box_index(c, year, box, coarse=[box[:2], box[:1]])
+        return self._index
 
 
 def build_album_model(cat, features: DataFrame | None = None, staging: str = "checkpoint",
@@ -161,8 +173,7 @@ def album_neighbours(model: AlbumModel, requests: DataFrame, exclude_seed: bool
     so at most top_n - 1 rows) -> (query_id, rank, id, distance)."""
     q = model.vectors.join(requests.select(F.col("query_id").alias("id"), "top_n"), "id") \
         .select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w", "top_n")
-    c = model.vectors.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
-    res = knn_batch(q, c, digits=ALBUM_RANK_DIGITS)
+    res = search(model.index(), q, digits=ALBUM_RANK_DIGITS)
     if exclude_seed:
         res = res.where(F.col("query_id") != F.col("cand_id"))
     return res.select("query_id", "rank", F.col("cand_id").alias("id"), "distance")
@@ -295,7 +306,6 @@ def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str
     prof = impute(seed_profiles(model.data, ok), model.stats)
     q = (album_vectors(prof).join(ok.select(F.col("request_id").alias("id"), "top_n"), "id")
          .select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w", "top_n"))
-    c = model.vectors.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
     bl = F.coalesce("blacklist", F.array().cast("array<long>")).cast("array<long>")
     ex = ok.select(F.col("request_id").alias("query_id"),
                    F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"), bl)))
@@ -305,6 +315,6 @@ def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str
         wanted = ok.select(F.col("request_id").alias("query_id"), F.explode("genre_ids").alias("g")) \
             .select("query_id", F.concat(F.lit(LIST_PREFIX["genre_ids"] + ":"),
                                          F.col("g").cast("string")).alias("key"))
-    r = knn_batch(q, c, exclusions=ex, filters=wanted, digits=ALBUM_RANK_DIGITS)
+    r = search(model.index(), q, exclusions=ex, filters=wanted, digits=ALBUM_RANK_DIGITS)
     return stage(r.select(F.col("query_id").alias("request_id"), "rank", F.col("cand_id").alias("id"),
                           "distance"), staging)

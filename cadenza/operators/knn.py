@@ -1,4 +1,4 @@
-"""TF-IDF vectors and exact cosine nearest neighbours.
+"""TF-IDF vectors and exact cosine nearest neighbours.
 
 Vectors are kept in long form ``(entity, key, w)`` and, for single requests, as one narrow
 row per entity (``terms``: array of (token, w)).  Two exact strategies:
@@ -6,11 +6,7 @@ row per entity (``terms``: array of (token, w)).  Two exact strategies:
 * one request (K3): the request's centroid is a handful of numbers; it becomes a literal map,
   every candidate's dot product is one expression over its own row, and the top-k is a
   ``TakeOrderedAndProject`` (per-partition top-k).  Nothing is shuffled;
-* a table of requests (K4, K6): equal vectors are collapsed on both sides and scored once, in
-  a block grid.  Query vectors and candidate vectors are dealt into blocks whose size is chosen
-  from their counts; each (query block, candidate block) cell is scored in one task with numpy
-  and emits only its local top-k per query vector; a ``row_number`` window merges.  The results
-  are expanded to the requests that share a vector, whose exclusions are then taken out.
+* a table of requests (K4, K6): an index with bounds, see ``nearest``.
 
 Both rank on the same key, ``floor(distance * 10^digits + 0.5)``, then id.
 """
@@ -18,23 +14,14 @@ Both rank on the same key, ``floor(distance * 10^digits + 0.5)``, then id.
 from __future__ import annotations
 
 import math
-import sys
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cadenza.session import stage
+from cadenza.operators.nearest import BLOCK, RANK_DIGITS, rank_keys, search, token_index
 
-# The cell scorer runs in Python workers; ship this module's functions by value so
-# executors need numpy/pandas only, not this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-RANK_DIGITS = 9          # ties in distance are broken on this many digits, then id
-TARGET_BLOCK_ROWS = 2048  # entities per block side; a cell holds <= 2048 x 2048 scores
+__all__ = ["BLOCK", "RANK_DIGITS", "centroids", "knn_batch", "knn_single", "missing_seeds",
+           "rank_key", "rank_keys", "terms_of", "tfidf"]
 
 
 # ---------------------------------------------------------------- K1 TF-IDF
@@ -94,10 +81,6 @@ def rank_key(distance, digits: int = RANK_DIGITS):
     return F.floor(distance * F.lit(10.0 ** digits) + F.lit(0.5))
 
 
-def rank_keys(distance: np.ndarray, digits: int = RANK_DIGITS) -> np.ndarray:
-    return np.floor(distance * 10.0 ** digits + 0.5)
-
-
 # ---------------------------------------------------------------- K3 single request
 
 def terms_of(vectors: DataFrame, key: str = "artist_id") -> DataFrame:
@@ -135,211 +118,15 @@ def knn_single(terms: DataFrame, centroid: dict[str, float], k: int, key: str =
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-# ---------------------------------------------------------------- K4 block grid
-
-_OUT = T.StructType([
-    T.StructField("qv", T.LongType()),
-    T.StructField("cv", T.LongType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("rk", T.DoubleType()),
-])
-
-QUERY_CHUNK = 1024      # query rows scored at once: the score matrix is <= 1024 x block
-KEY_CHUNK = 2048        # shared keys densified at once
-
-
-def _empty_out() -> pd.DataFrame:
-    return pd.DataFrame({"qv": pd.Series(dtype="int64"), "cv": pd.Series(dtype="int64"),
-                         "distance": pd.Series(dtype="float64"), "rk": pd.Series(dtype="float64")})
-
-
-def _score_cell(qdf: pd.DataFrame, cdf: pd.DataFrame, digits: int = RANK_DIGITS) -> pd.DataFrame:
-    """Score one (query block, candidate block) cell and keep each query vector's top ``k``.
-
-    qdf: qv, kind (0: a vector's key and w; 1: a key of the query's filter, of which a
-    candidate has to hold one), key, w, k, first (ties between vectors go to the smaller
-    ``first`` id).  Memory stays bounded: queries are scored in chunks of ``QUERY_CHUNK``
-    rows and the shared keys are densified ``KEY_CHUNK`` at a time.
-    """
-    vec = qdf[qdf["kind"] == 0]
-    if vec.empty or cdf.empty:
-        return _empty_out()
-    q_ids, q_idx = np.unique(vec["qv"].to_numpy(), return_inverse=True)
-    c_ids, c_at, c_idx = np.unique(cdf["cv"].to_numpy(), return_index=True, return_inverse=True)
-    c_first = cdf["first"].to_numpy()[c_at]
-    qw = vec["w"].to_numpy(dtype=np.float64)
-    cw = cdf["w"].to_numpy(dtype=np.float64)
-    qn = np.sqrt(np.bincount(q_idx, qw * qw, minlength=len(q_ids)))
-    cn = np.sqrt(np.bincount(c_idx, cw * cw, minlength=len(c_ids)))
-    keys, kinv = np.unique(np.concatenate([vec["key"].to_numpy(), cdf["key"].to_numpy()]),
-                           return_inverse=True)
-    qk, ck = kinv[:len(vec)], kinv[len(vec):]
-    shared = np.intersect1d(qk, ck)
-    col = np.full(len(keys), -1)
-    col[shared] = np.arange(len(shared))
-    qcol, ccol = col[qk], col[ck]
-    k_all = vec.groupby("qv")["k"].max().reindex(q_ids).to_numpy().astype(np.int64)
-    allowed = _allowed(qdf[qdf["kind"] == 1], q_ids, cdf["key"].to_numpy(), c_idx, len(c_ids))
-    outs = []
-    for q0 in range(0, len(q_ids), QUERY_CHUNK):
-        q1 = min(q0 + QUERY_CHUNK, len(q_ids))
-        in_q = (q_idx >= q0) & (q_idx < q1)
-        dots = np.zeros((q1 - q0, len(c_ids)))
-        for k0 in range(0, len(shared), KEY_CHUNK):
-            k1 = min(k0 + KEY_CHUNK, len(shared))
-            qm = in_q & (qcol >= k0) & (qcol < k1)
-            if not qm.any():
-                continue
-            cm = (ccol >= k0) & (ccol < k1)
-            Qm = np.zeros((q1 - q0, k1 - k0))
-            Cm = np.zeros((len(c_ids), k1 - k0))
-            np.add.at(Qm, (q_idx[qm] - q0, qcol[qm] - k0), qw[qm])
-            np.add.at(Cm, (c_idx[cm], ccol[cm] - k0), cw[cm])
-            dots += Qm @ Cm.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = 1.0 - dots / (qn[q0:q1, None] * cn[None, :])
-        dist[~np.isfinite(dist)] = 1.0
-        rk = rank_keys(dist, digits)
-        for q, mask in allowed.items():     # only queries with a filter
-            if q0 <= q < q1:
-                rk[q - q0, ~mask] = np.inf
-        top = k_all[q0:q1]
-        kmax = int(min(top.max(), len(c_ids)))
-        kth = np.partition(rk, kmax - 1, axis=1)[:, kmax - 1]
-        r, c = np.nonzero(rk <= kth[:, None])
-        order = np.lexsort((c_first[c], rk[r, c], r))
-        r, c = r[order], c[order]
-        first = np.searchsorted(r, np.arange(q1 - q0))
-        pos = np.arange(len(r)) - first[r]
-        keep = (pos < top[r]) & np.isfinite(rk[r, c])
-        r, c = r[keep], c[keep]
-        outs.append(pd.DataFrame({"qv": q_ids[q0 + r].astype("int64"),
-                                  "cv": c_ids[c].astype("int64"),
-                                  "distance": dist[r, c], "rk": rk[r, c]}))
-    return pd.concat(outs, ignore_index=True) if outs else _empty_out()
-
-
-def _allowed(filters: pd.DataFrame, q_ids: np.ndarray, c_keys: np.ndarray, c_idx: np.ndarray,
-             nc: int) -> dict[int, np.ndarray]:
-    """Per filtered query (its place): which candidates hold one of its filter's keys."""
-    out = {}
-    for qv, own in filters.groupby("qv"):
-        at = int(np.searchsorted(q_ids, qv))
-        if at < len(q_ids) and q_ids[at] == qv:
-            mask = np.zeros(nc, bool)
-            mask[c_idx[np.isin(c_keys, own["key"].to_numpy())]] = True
-            out[at] = mask
-    return out
-
-
-def _blocks(n: int, target: int) -> int:
-    return max(1, math.ceil(n / target))
-
-
-def block_rows(nq: int, nc: int, target: int | None = None) -> int:
-    """Vectors per block side.  A cell costs O(rows^2) memory-bounded work while
-    the grid replicates each side once per block of the other, so blocks grow
-    with sqrt(n) (fewer replicas on big inputs), between 2048 and 8192."""
-    if target is not None:
-        return target
-    return int(min(8192, max(TARGET_BLOCK_ROWS, 16 * math.isqrt(max(nq, nc, 1)))))
-
-
-def _distinct(rows: DataFrame, ident: str, extra=()) -> tuple[DataFrame, DataFrame]:
-    """Collapse equal vectors: (v, terms) and (ident, v); ``extra`` columns tell vectors apart."""
-    own = [F.col(c) for c in extra]
-    f = rows.groupBy(ident).agg(
-        F.array_sort(F.collect_list(F.struct("key", "w"))).alias("terms"),
-        *[F.first(c).alias(c) for c in extra])
-    f = f.select(ident, "terms", F.xxhash64("terms", *own).alias("h1"),
-                 F.xxhash64("terms", *own, F.lit(1)).alias("h2"), *extra)
-    f = stage(f, name="vectors")
-    one = f.groupBy("h1", "h2").agg(F.min(ident).alias("v"))
-    one = stage(one, name="classes")
-    vecs = f.join(one.select(F.col("v").alias(ident)), ident).select(
-        F.col(ident).alias("v"), "terms", *extra)
-    return vecs, f.join(one, ["h1", "h2"]).select(ident, "v")
-
+# ---------------------------------------------------------------- K4 a table of requests
 
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,
-              filters: DataFrame | None = None, target_block_rows: int | None = None,
-              digits: int = RANK_DIGITS) -> DataFrame:
-    """K4: exact cosine top-n for a table of query vectors.
+              block: int = BLOCK, digits: int = RANK_DIGITS) -> DataFrame:
+    """K4: exact cosine top-n for a table of query vectors, by an index built for it.
 
     queries     (query_id, key string, w double, top_n int)
-    candidates  (cand_id, key string, w double)
+    candidates  (cand_id, key string, w double), weights not negative
     exclusions  (query_id, cand_id) removed before ranking
-    filters     (query_id, key): a query that has some takes only candidates with such a key
     returns     (query_id, cand_id, distance, rank) with rank <= top_n
-
-    A query vector is scored for as many neighbours as any of its requests asks for plus the
-    exclusions any of them has, so taking those out afterwards loses nothing.
     """
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"),
-                             F.col("key").cast("string").alias("key"),
-                             F.col("w").cast("double").alias("w"),
-                             F.col("top_n").cast("int").alias("top_n"))
-    queries = stage(queries, name="queries")       # read several times below
-    candidates = candidates.select(F.col("cand_id").cast("long").alias("cand_id"),
-                                   F.col("key").cast("string").alias("key"),
-                                   F.col("w").cast("double").alias("w"))
-    topn = queries.groupBy("query_id").agg(F.max("top_n").alias("top_n"))
-    need = topn
-    if exclusions is not None:
-        exclusions = stage(exclusions.select(
-            F.col("query_id").cast("long").alias("query_id"),
-            F.col("cand_id").cast("long").alias("cand_id")).distinct(), name="exclusions")
-        n = exclusions.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        need = need.join(n, "query_id", "left")
-    else:
-        need = need.withColumn("n", F.lit(0))
-    need = need.select("query_id", "top_n", (F.col("top_n") + F.coalesce("n", F.lit(0))).alias("k"))
-    if filters is None:
-        need = need.withColumn("fkeys", F.array().cast("array<string>"))
-    else:
-        own = filters.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(
-            F.array_sort(F.collect_set(F.col("key").cast("string"))).alias("fkeys"))
-        need = need.join(own, "query_id", "left").withColumn(
-            "fkeys", F.coalesce("fkeys", F.array().cast("array<string>")))
-    need = stage(need, name="requests")
-    # k is capped by nothing: a power of two keeps requests of like size in one class
-    k = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("k").cast("double")))).cast("int")
-    asked = queries.drop("top_n").join(need.select("query_id", k.alias("k"), "fkeys"), "query_id")
-    qvecs, qmap = _distinct(asked, "query_id", ("k", "fkeys"))
-    cvecs, cmap = _distinct(candidates, "cand_id")
-    nq, nc = qvecs.count(), cvecs.count()
-    b = block_rows(nq, nc, target_block_rows)
-    bq, bc = _blocks(nq, b), _blocks(nc, b)
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    qrows = qvecs.select(F.col("v").alias("qv"), "k", F.explode(F.concat(
-        F.transform("terms", lambda t: F.struct(F.lit(0).alias("kind"), t["key"].alias("key"),
-                                                t["w"].alias("w"))),
-        F.transform("fkeys", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key"),
-                                                F.lit(0.0).alias("w"))))).alias("t"))
-    qrows = qrows.select(deal("qv", bq).alias("qblk"),
-                         F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cblk"),
-                         "qv", "k", "t.kind", "t.key", "t.w")
-    crows = cvecs.select(F.col("v").alias("cv"), F.explode("terms").alias("t"))
-    crows = crows.select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qblk"),
-                         deal("cv", bc).alias("cblk"), "cv", F.col("cv").alias("first"),
-                         "t.key", "t.w")
-    cells = (qrows.groupBy("qblk", "cblk").cogroup(crows.groupBy("qblk", "cblk"))
-             .applyInPandas(lambda q, c: _score_cell(q, c, digits), schema=_OUT))
-    qk = qvecs.select(F.col("v").alias("qv"), "k")
-    # the k nearest vectors of each query vector, then the k nearest ids among theirs
-    by = Window.partitionBy("qv").orderBy("rk", "cv")
-    best = cells.withColumn("r", F.row_number().over(by)).join(qk, "qv").where("r <= k").drop("r")
-    most = need.agg(F.max(k)).first()[0] or 1      # one number
-    few = Window.partitionBy("v").orderBy("cand_id")
-    ids = cmap.withColumn("r", F.row_number().over(few)).where(F.col("r") <= most) \
-        .select(F.col("v").alias("cv"), "cand_id")
-    by = Window.partitionBy("qv").orderBy("rk", "cand_id")
-    best = best.join(ids, "cv").withColumn("r", F.row_number().over(by)).where("r <= k")
-    rows = qmap.select("query_id", F.col("v").alias("qv")).join(
-        best.select("qv", "cand_id", "distance", "rk"), "qv").drop("qv")
-    if exclusions is not None:
-        rows = rows.join(exclusions, ["query_id", "cand_id"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy("rk", "cand_id")
-    return (rows.withColumn("rank", F.row_number().over(w))
-            .join(need.select("query_id", "top_n"), "query_id").where(F.col("rank") <= F.col("top_n"))
-            .select("query_id", "cand_id", "distance", "rank"))
+    return search(token_index(candidates, block), queries, exclusions=exclusions, digits=digits)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from cadenza.functions.scalars import ARTIST_PAGE, capitalize_first, official_site
 from cadenza.operators.artists import artist_training_features
 from cadenza.operators.credits import recommendable_artists
-from cadenza.operators.knn import (centroids, knn_batch, knn_single, missing_seeds,
+from cadenza.operators.knn import (centroids, knn_single, missing_seeds,
                                    terms_of, tfidf, RANK_DIGITS)
+from cadenza.operators.nearest import TokenIndex, search, token_index
 from cadenza.session import stage
 
 
@@ -22,6 +23,15 @@ class ArtistModel:
     vocab: DataFrame      # (token, df, idf)
     vectors: DataFrame    # (artist_id, token, w), unit rows
     terms: DataFrame      # (artist_id, terms, norm, recommendable), one row per artist
+    _index: TokenIndex | None = None
+
+    def index(self) -> TokenIndex:
+        """The index of tables of requests, built when first used."""
+        if self._index is None:
+            ok = self.terms.select("artist_id", F.col("recommendable").alias("ok"))
+            self._index = token_index(self.vectors.join(ok, "artist_id").select(
+                F.col("artist_id").alias("cand_id"), F.col("token").alias("key"), "w", "ok"))
+        return self._index
 
 
 def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
@@ -115,16 +125,11 @@ def recommend_artists_batch(model: ArtistModel, requests: DataFrame,
     cen = centroids(model.vectors, ok)
     q = cen.join(ok.select("request_id", "top_n"), "request_id").select(
         F.col("request_id").alias("query_id"), F.col("token").alias("key"), "w", "top_n")
-    cands = model.vectors
-    if filter_recommendable:
-        cands = cands.join(model.terms.where("recommendable").select("artist_id"),
-                           "artist_id", "left_semi")
-    c = cands.select(F.col("artist_id").alias("cand_id"), F.col("token").alias("key"), "w")
     bl = F.coalesce("blacklist", F.array().cast("array<long>"))
     ex = ok.select(F.col("request_id").alias("query_id"),
                    F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"),
                                                        bl.cast("array<long>")))).alias("cand_id"))
-    res = knn_batch(q, c, exclusions=ex)
+    res = search(model.index(), q, exclusions=ex, only_ok=filter_recommendable)
     return stage(res.select(F.col("query_id").alias("request_id"), "rank",
                             F.col("cand_id").alias("artist_id"), "distance"), staging)
 

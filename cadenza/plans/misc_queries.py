@@ -72,7 +72,8 @@ def q9(spark, sf):
 @query("q11_evaluation_report")
 def q11(spark, sf):
     m = _model(spark, sf)
-    return metrics.evaluation_report(m.features.drop("tokens"), m.vocab, m.vectors, None, 5).drop("run_id")
+    return metrics.evaluation_report(m.features.drop("tokens"), m.vocab, m.vectors, None, 5,
+                                     index=m.index()).drop("run_id")
 
 
 @query("x_rg_display")

@@ -1,10 +1,10 @@
-"""kNN: batch equals single, block grid equals brute force, invariants."""
+"""kNN: batch equals single, both indexes equal brute force, bounds hold, invariants."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import albums
+from cadenza.operators import albums, nearest
 from cadenza.operators.knn import knn_batch
 from cadenza.operators.recommend import build_artist_model, recommend_artists, recommend_artists_batch
 from cadenza.plans.registry import catalog
@@ -52,22 +52,107 @@ def _brute(vecs, k):
     return out
 
 
-def test_block_grid_matches_brute_force(spark, cat):
+def _got(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["cand_id"]))
+    for v in got.values():
+        assert sorted(x for x, _ in v) == list(range(1, len(v) + 1))
+    return {k: [x for _, x in sorted(v)] for k, v in got.items()}
+
+
+def _asked(vectors, n):
+    return vectors.select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w",
+                          F.lit(n).alias("top_n"))
+
+
+def test_album_indexes_match_brute_force(spark, cat, monkeypatch):
+    """The box index, fine and coarse and in several home cells, and the token index in parts."""
     m = albums.build_album_model(cat, backfill=False, language=False, types=False)
-    rows = m.vectors.collect()
     vecs = {}
-    for r in rows:
+    for r in m.vectors.collect():
         vecs.setdefault(r["id"], {})[r["token"]] = r["w"]
     expect = _brute(vecs, 4)
-    q = m.vectors.select(F.col("id").alias("query_id"), F.col("token").alias("key"), "w",
-                         F.lit(4).alias("top_n"))
+    q = _asked(m.vectors, 4)
+    got = _got(nearest.search(m.index(), q, digits=12))
+    assert got == expect
+    monkeypatch.setattr(nearest, "HOME", 20)
     c = m.vectors.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
-    for block in (10_000, 97):          # one cell, then a 7 x 7 grid
-        got = {}
-        for r in knn_batch(q, c, target_block_rows=block, digits=12).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["cand_id"]))
-        got = {k: [x for _, x in sorted(v)] for k, v in got.items()}
-        assert got == expect
+    for limit, block in ((20_000, 50), (6, 30)):
+        monkeypatch.setattr(nearest, "MAX_BOXES", limit)
+        index = nearest.box_index(c, "4", ["2", "3", "0", "1"], [["2", "3"], ["2"]], block=block)
+        assert len(index.boxes) <= limit and (index.boxes["salts"] > 1).any()
+        assert _got(nearest.search(index, q, digits=12)) == expect
+    assert _got(knn_batch(q, c, block=97, digits=12)) == expect
+
+
+def test_bounds_leave_cells_out(spark):
+    """Clustered vectors: a query meets a small share of the rows."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        g = i % 30
+        rows += [(i, f"g{g}", 5.0), (i, f"h{g}", 3.0), (i, "all", 1.0)]
+        rows += [(i, f"x{int(rng.integers(8))}", 0.5)]
+    df = spark.createDataFrame(rows, "id long, token string, w double") \
+        .groupBy("id", "token").agg(F.sum("w").alias("w"))
+    c = df.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
+    index = nearest.token_index(c, block=64)
+    q = nearest.packed(_asked(df, 5).withColumnRenamed("token", "key"), "query_id",
+                       [F.max("top_n").alias("top_n")])
+    worst = q.withColumn("worst", F.lit(0.05 * 1e9))
+    cells = index.cells.groupBy("cell").agg(F.countDistinct("cv").alias("n"))
+    met = nearest._token_others(index, worst, 9).join(cells, "cell").groupBy("query_id").agg(
+        F.sum("n").alias("n")).agg(F.avg("n")).first()[0]
+    assert met < 0.2 * 600
+    vecs = {}
+    for r in df.collect():
+        vecs.setdefault(r["id"], {})[r["token"]] = r["w"]
+    assert _got(nearest.search(index, _asked(df, 5))) == _brute(vecs, 5)
+
+
+def test_box_bounds_hold():
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 6, (200, 3)) / rng.integers(100, 103, (200, 1))
+    x = rng.integers(0, 6, (50, 3)) / rng.integers(100, 103, (50, 1))
+    box = pd.DataFrame({f"x{i}_{e}": [f(y[k::10, i]) for k in range(10)]
+                        for i in range(3) for e, f in (("lo", np.min), ("hi", np.max))})
+    box["bounded"] = [True] * 9 + [False]
+    low = nearest._box_bounds(box, x, np.arange(50) != 0)
+    full = lambda v: np.hstack([np.ones((len(v), 1)), v])
+    a, b = full(x), full(y)
+    d = 1 - (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    for k in range(10):
+        assert (low[:, k] <= d[:, k::10].min(axis=1) + 1e-15).all()
+    assert (low[1:, :9] > 0).any() and not low[0].any() and not low[:, 9].any()
+
+
+def test_large_classes_and_queries_without_neighbours(spark, monkeypatch):
+    """A class of a third of all rows under long exclusions; vectors that share no token."""
+    monkeypatch.setattr(nearest, "KEEP", 4)
+    monkeypatch.setattr(nearest, "SALTS", 2)
+    vecs = {i: {"rock": 2.0} if i % 3 == 0 else {f"t{i % 7}": 1.0, "pop": 0.5} for i in range(90)}
+    vecs[200], vecs[201] = {"alone": 1.0}, {"zero": 0.0}
+    base = spark.createDataFrame([(i, t, w) for i, v in vecs.items() for t, w in v.items()],
+                                 "id long, token string, w double")
+    gone = {0: list(range(0, 60, 3)), 3: [3], 200: [200, 0, 1, 2], 201: [], 4: [4, 11, 18]}
+    ex = spark.createDataFrame([(k, x) for k, v in gone.items() for x in v],
+                               "query_id long, cand_id long")
+    q = _asked(base.where(F.col("id").isin(list(gone))), 6)
+    c = base.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
+    ids = sorted(vecs)
+    keys = sorted({t for v in vecs.values() for t in v})
+    mat = np.array([[vecs[i].get(t, 0.0) for t in keys] for i in ids])
+    n = np.linalg.norm(mat, axis=1)
+    with np.errstate(invalid="ignore"):
+        d = np.nan_to_num(1 - (mat @ mat.T) / np.outer(n, n), nan=1.0)
+    want = {k: [x for _, x in sorted((round(d[ids.index(k), j], 9), i) for j, i in enumerate(ids)
+                                     if i not in v)[:6]] for k, v in gone.items()}
+    assert _got(knn_batch(q, c, exclusions=ex)) == want
+    assert _got(knn_batch(q.limit(0), c)) == {} and _got(knn_batch(q, c.limit(0))) == {}
+    with pytest.raises(ValueError):
+        nearest.search(nearest.token_index(c), q, filters=ex)
 
 
 def test_invariants(spark, cat, amodel):
@@ -89,27 +174,30 @@ def test_invariants(spark, cat, amodel):
 
 def test_cell_chunking_is_exact(monkeypatch):
     import pandas as pd
-    from cadenza.operators import knn
     rng = np.random.default_rng(7)
-    rows_q, rows_c = [], []
-    for q in range(40):
-        for t in rng.choice(30, 4, replace=False):
-            rows_q.append((q, 0, f"t{t}", float(rng.integers(1, 4)), 3))
-    rows_q.append((0, 1, "t5", 0.0, 3))                    # query 0 takes candidates with t5 only
-    for c in range(50):
-        for t in rng.choice(30, 3, replace=False):
-            rows_c.append((c, c, f"t{t}", float(rng.integers(1, 4))))
-    qdf = pd.DataFrame(rows_q, columns=["qv", "kind", "key", "w", "k"])
-    cdf = pd.DataFrame(rows_c, columns=["cv", "first", "key", "w"])
-    whole = knn._score_cell(qdf, cdf)
-    monkeypatch.setattr(knn, "QUERY_CHUNK", 7)
-    monkeypatch.setattr(knn, "KEY_CHUNK", 5)
-    parts = knn._score_cell(qdf, cdf)
-    key = ["qv", "distance", "cv"]
-    pd.testing.assert_frame_equal(whole.sort_values(key).reset_index(drop=True),
-                                  parts.sort_values(key).reset_index(drop=True))
-    held = set(cdf[cdf.key == "t5"].cv)
-    assert set(whole[whole.qv == 0].cv) <= held
+
+    def rows(n, width, name):
+        return pd.DataFrame([{name: i, "keys": (k := np.sort(rng.choice(30, width, replace=False))),
+                              "ws": (w := rng.integers(1, 4, width).astype(float)),
+                              "norm": float(np.sqrt((w * w).sum()))} for i in range(n)])
+
+    q, c = rows(40, 4, "query_id"), rows(50, 3, "cv")
+    q["top_n"], q["worst"] = 3, 4e9
+    q["excluded"] = [np.array([i, i + 1]) for i in range(40)]
+    q["fkeys"] = [np.array([5]) if i == 0 else np.array([], int) for i in range(40)]
+    c["ids"] = [np.array([i, i + 100]) for i in range(50)]
+    c["n_ids"] = 2
+    whole = nearest._score(q, c, 9)
+    monkeypatch.setattr(nearest, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(nearest, "KEY_CHUNK", 5)
+    parts = nearest._score(q, c, 9)
+    key = ["query_id", "rk", "cand_id"]
+    pd.testing.assert_frame_equal(whole[key].sort_values(key).reset_index(drop=True),
+                                  parts[key].sort_values(key).reset_index(drop=True))
+    assert (whole.groupby("query_id").size() <= 3).all() and whole["query_id"].nunique() == 40
+    held = {i for i, k in enumerate(c["keys"]) if 5 in k}
+    assert set(whole[whole.query_id == 0].cv) <= held
+    assert not ((whole.cand_id == whole.query_id) | (whole.cand_id == whole.query_id + 1)).any()
 
 
 @pytest.mark.parametrize("kind", ["int", "long"])
@@ -126,11 +214,8 @@ def test_exclusions_reach_every_block_and_vectors_collapse(spark, kind):
         F.col("id"), ((F.col("id") + 7) % 60).cast(kind))).alias("cand_id")).distinct()
     full = _brute(vecs, 60)
     expect = {i: [x for x in full[i] if x not in (i, (i + 7) % 60)][:4] for i in vecs}
-    for block in (1, 10, 60):
-        got = {}
-        for r in knn_batch(q, c, exclusions=ex, target_block_rows=block).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["cand_id"]))
-        assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == expect
+    for block in (3, 60):
+        assert _got(knn_batch(q, c, exclusions=ex, block=block)) == expect
 
 
 def test_rank_keys_are_the_same_in_both_engines(spark):
