@@ -7,16 +7,18 @@ fingerprints, so every shared span of ``width`` words or more is found; neighbou
 share one fingerprint, so a text keeps a run (fingerprint, first start, last start) for about one word
 in ``(width - k + 2) / 2``.
 
-1. One pass over the texts stages each row's text key (128 bits), number of words and runs.
-2. The runs join the items' fingerprints; hits are distinct by text key, so copies cost one.
-3. Texts with hits are read again: the windows of the hit runs are compared, as words, with the
-   items' windows.  Adjoining occurrences are extended to maximal spans.
-
-Scale: what is shuffled for a document are its runs (16 bytes for about 3.5 words of width 10), and
-those only where the items' fingerprints are too large to be broadcast; texts are joined only with the
-keys that have hits.  Spark takes both decisions by size, and splits skewed partitions.  The items of a
-window are kept once per distinct set of items, so a window that many items share costs a text one
-row.  The driver holds the distinct widths (``width`` at most), nothing else.
+1. One pass over the texts forms each row's text key (128 bits), number of words and runs.
+2. Runs meet the items' fingerprints: up to ``LITERALS`` of them go with the plan as a set, so the
+   same pass keeps the hit runs and stages their windows' words; more of them are joined with staged
+   runs, and the texts that have hits are read again.
+3. The windows of the hit runs are compared, as words, with the items' windows.  Adjoining occurrences
+   are extended to maximal spans.
+
+Scale: with items of usual benchmark sizes only windows that share a fingerprint leave the pass over
+the texts.  Beyond, a document's runs are shuffled (16 bytes for about 3.5 words of width 10), or the
+fingerprints are broadcast if they are small enough; Spark decides by size and splits skewed
+partitions.  The items of a window are kept once per distinct set of items, so a window that many items
+share costs a text one row.  The driver holds the distinct widths (``width`` at most) and that set.
 
 Defined results: words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; null or
 wordless text has no words, is not hit and, as an item, has no window; an item with a null item_id
@@ -33,6 +35,7 @@ from pyspark.sql.window import Window
 from cadenza.llm.common import ascii_lower, staged, text_or_empty
 
 WIDTH = 10
+LITERALS = 20_000
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["k1", "k2"]
 
@@ -105,31 +108,42 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     return found.drop("items"), staged(sets, "item-sets"), widths
 
 
+def grams_of(runs: Column) -> Column:
+    """Structs (start, width, gram) of the windows of some runs."""
+    return F.flatten(F.transform(runs, lambda r: F.transform(
+        F.sequence(r["a"], r["b"]), lambda i: F.struct(
+            i.alias("start"), r["width"].alias("width"),
+            F.array_join(F.slice("words", i + 1, r["width"]), " ").alias("gram")))))
+
+
 def occurrences(docs: DataFrame, items: DataFrame, width: int = WIDTH):
     """(rows, found, sets): ``rows`` is doc_id, k1, k2, n_words per document; ``found`` has the
     distinct places (k1, k2, start, width, items_id, items_id2) at which a text holds an item's
     window; ``sets`` resolves the items."""
     windows, sets, widths = item_windows(items, width)
+    prints = staged(windows.select("width", "f").distinct(), "prints")
+    known = prints.select("f").limit(LITERALS + 1).collect()  # by its bound
+    few = len(known) <= LITERALS
     rows = with_words(docs, F.col("doc_id"))
     for m in widths:
         rows = with_runs(rows, m, f"runs{m}")
     none = F.array().cast("array<struct<width:int,f:bigint,a:int,b:int>>")
     runs = F.concat(none, *[F.coalesce(F.col(f"runs{m}"), none) for m in widths])
-    rows = staged(rows.select("doc_id", *KEY, F.col("n").cast("long").alias("n_words"),
-                              runs.alias("runs")), "runs")
-    hits = rows.select(*KEY, F.inline("runs")).join(
-        windows.select("width", "f").distinct(), ["width", "f"], "left_semi")
-    hits = staged(hits.groupBy(*KEY).agg(
-        F.collect_set(F.struct("width", "a", "b")).alias("runs")), "hits")
-    texts = with_words(docs).join(hits, KEY)
-    seen = texts.select(*KEY, "words", F.explode("runs").alias("r")).select(
-        *KEY, F.col("r.width").alias("width"), "words",
-        F.explode(F.sequence(F.col("r.a"), F.col("r.b"))).alias("start"))
-    seen = seen.select(*KEY, "start", "width", F.array_join(
-        F.slice("words", F.col("start") + 1, F.col("width")), " ").alias("gram"))
+    names = ["doc_id", *KEY, F.col("n").cast("long").alias("n_words")]
+    if few:
+        held = sorted({r["f"] for r in known})
+        rows = rows.withColumn("runs", F.filter(runs, lambda r: r["f"].isin(held)))
+        rows = staged(rows.select(*names, grams_of(F.col("runs")).alias("grams")), "grams")
+        seen = rows.select(*KEY, F.inline("grams"))
+    else:
+        rows = staged(rows.select(*names, runs.alias("runs")), "runs")
+        hits = rows.select(*KEY, F.inline("runs")).join(prints, ["width", "f"], "left_semi")
+        hits = staged(hits.groupBy(*KEY).agg(
+            F.collect_set(F.struct("width", "a", "b")).alias("runs")), "hits")
+        seen = with_words(docs).join(hits, KEY).select(*KEY, F.inline(grams_of(F.col("runs"))))
     found = seen.join(windows.drop("f"), ["width", "gram"]).select(
         *KEY, "start", "width", "items_id", "items_id2").distinct()
-    return rows.drop("runs"), staged(found, "occurrences"), sets
+    return rows.select("doc_id", *KEY, "n_words"), staged(found, "occurrences"), sets
 
 
 def spans(found: DataFrame) -> DataFrame:

@@ -66,9 +66,16 @@ def test_spans_equal_brute_force(spark, make):
     assert got(df) == brute_force(pairs, ITEMS)
 
 
+def test_more_fingerprints_than_the_plan_holds(spark, make, monkeypatch):
+    pairs = [*EDGES, *CASES]
+    monkeypatch.setattr(W, "LITERALS", 3)
+    df = W.scan_documents(make(pairs), items_frame(spark, ITEMS))
+    assert got(df) == brute_force(pairs, ITEMS)
+
+
 def test_copies_and_widths(spark, make):
     pairs = [(i, CASES[10][1]) for i in range(200)] + [*CASES]
-    for width in (1, 2, 3, 10, 25):
+    for width in (1, 3, 25):
         df = W.scan_documents(make(pairs), items_frame(spark, ITEMS), width)
         assert got(df) == brute_force(pairs, ITEMS, width)
 
