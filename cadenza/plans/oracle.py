@@ -593,6 +593,22 @@ def album_knn_sql(genres: str | None) -> str:
     return FULL_MODEL + ",\n" + cte_album_knn("0, 6, 11", "0, 6, 11, 1", genres)
 
 
+register("k6_album_neighbours_all", FULL_MODEL + ",\n" + CTE_STATS.format(d="q5") + """,
+imp AS (select q5.id, cast(coalesce(cast(cast(q5.type as float) as double), stats.type) as double) s0,
+  coalesce(cast(cast(q5.status as float) as double), stats.status) s1, coalesce(cast(cast(q5.language as float) as double), stats.language) s2,
+  coalesce(cast(cast(q5.script as float) as double), stats.script) s3, coalesce(cast(cast(q5.year as float) as double), stats.year) s4,
+  list_distinct(q5.tag_ids) tg, list_distinct(q5.genre_ids) gn, list_distinct(q5.secondary_type_ids) st from q5, stats),
+v AS (select *, sqrt(s0 * s0 + s1 * s1 + s2 * s2 + s3 * s3 + s4 * s4 + len(tg) + len(gn) + len(st)) n from imp),
+lab AS (select id, 't' || unnest(tg) l from imp union all select id, 'g' || unnest(gn) from imp
+  union all select id, 's' || unnest(st) from imp),
+shared AS (select a.id q, b.id c, count(*) n from lab a join lab b using (l) group by a.id, b.id),
+dist AS (select q.id q, c.id c, case when q.n > 0 and c.n > 0 then
+    1 - (q.s0 * c.s0 + q.s1 * c.s1 + q.s2 * c.s2 + q.s3 * c.s3 + q.s4 * c.s4 + coalesce(x.n, 0)) / (q.n * c.n) else 1 end distance
+  from v q cross join v c left join shared x on x.q = q.id and x.c = c.id),
+ranked AS (select q, c, distance, row_number() over (partition by q order by round(distance, 12), c) rank from dist qualify rank <= 5)
+select q query_id, rank, c id, round(distance, 12) + 0.0 distance from ranked where q <> c""")
+
+
 TOP_ALBUMS = " select rank, id, round(distance, 12) distance from ranked where rank <= 10"
 register("k5_album_knn", album_knn_sql(None) + TOP_ALBUMS)
 register("k5_album_knn_genre_filter", album_knn_sql(", ".join(str(i) for i in range(1, 21))) + TOP_ALBUMS)
