@@ -4,7 +4,7 @@ An index holds *classes* of equal vectors with their ``KEEP`` smallest ids, deal
 ``BLOCK`` classes, and a small table of what its cells can hold at most.  A search takes two steps:
 
 1. every query is scored in one home cell (or a few); its ``top_n``-th distance there is a bound;
-2. the query goes to those other cells only that can still hold something as near as its bound.
+2. the query goes to those cells only that can still hold something as near as its bound.
 
 Two indexes differ in what a cell is and how it is bounded:
 
@@ -78,8 +78,7 @@ def classes_of(rows: DataFrame, extra=(), tell=()) -> tuple[DataFrame, DataFrame
     f = packed(rows, "cand_id", extra)
     names = [c for c in f.columns if c not in ("cand_id", "keys", "ws", "norm")]
     own = ["keys", "ws", *tell]
-    f = stage(f.withColumn("h1", F.xxhash64(*own)).withColumn("h2", F.xxhash64(*own, F.lit(1))),
-              name="vectors")
+    f = f.withColumn("h1", F.xxhash64(*own)).withColumn("h2", F.xxhash64(*own, F.lit(1)))
     part = F.pmod(F.xxhash64("cand_id"), F.lit(SALTS))
     by = Window.partitionBy("h1", "h2", part)
     few = f.withColumn("r", F.row_number().over(by.orderBy("cand_id"))) \
@@ -90,6 +89,7 @@ def classes_of(rows: DataFrame, extra=(), tell=()) -> tuple[DataFrame, DataFrame
         *[F.any_value(c).alias(c) for c in ["keys", "ws", "norm", *names]])
     classes = stage(classes.select(F.col("ids")[0].alias("cv"), F.slice("ids", 1, KEEP).alias("ids"),
                                    "n_ids", "keys", "ws", "norm", *names, "h1", "h2"), name="classes")
+    # read by searches that run out of a class's ids only
     large = classes.where(F.col("n_ids") > KEEP).select("cv", "h1", "h2")
     members = f.select("cand_id", "h1", "h2").join(large, ["h1", "h2"]).select("cv", "cand_id")
     return classes.drop("h1", "h2"), members
@@ -128,8 +128,8 @@ def token_index(candidates: DataFrame, block: int = BLOCK) -> TokenIndex:
     route = route.select("t", "bin", "sub").join(parts.select("t", "sub", "salts"), ["t", "sub"])
     cells = idx.join(route, ["t", "bin"]).withColumn(
         "cell", F.xxhash64("t", "sub", F.pmod(F.xxhash64("cv"), F.col("salts")).cast("int")))
-    cells = stage(cells.select("cell", *classes.columns), name="index")
-    return TokenIndex(cells, parts, members, classes)
+    # a class's rows under its tokens are made from it when they are shuffled
+    return TokenIndex(cells.select("cell", *classes.columns), parts, members, classes)
 
 
 @dataclass
@@ -184,7 +184,7 @@ def box_index(candidates: DataFrame, dominant: str, box: list, coarse: list = ()
     table = spark.createDataFrame(found[[*by, "box_id", "salts"]], T.StructType(fields))
     cells = rows.join(table, by).withColumn(
         "cell", F.col("box_id") * 1_000_000 + F.pmod(F.xxhash64("cv"), F.col("salts")))
-    return BoxIndex(stage(cells.select("cell", *names), name="index"), members, found, dominant, box)
+    return BoxIndex(cells.select("cell", *names), members, found, dominant, box)
 
 
 # ---------------------------------------------------------------- one cell
@@ -321,11 +321,11 @@ def _tokens(q: DataFrame) -> DataFrame:
     return rows.select("query_id", F.col("e.keys").alias("t"), (F.col("e.ws") / F.col("norm")).alias("tw"))
 
 
-def _token_others(index: TokenIndex, q: DataFrame, digits: int) -> DataFrame:
-    """(query_id, cell): cells that can hold a vector within the query's bound ``worst``."""
+def _token_visits(index: TokenIndex, q: DataFrame, digits: int) -> DataFrame:
+    """(query_id, worst, cell): cells that can hold a vector within the query's bound ``worst``."""
     tokens = _tokens(q).join(index.parts.groupBy("t").agg(F.max("df").alias("df")), "t")
     theta = F.least(F.lit(1.0) - (F.col("worst") + 0.5) / 10.0 ** digits - 1e-12, F.lit(1.0))
-    tokens = tokens.join(q.select("query_id", theta.alias("theta")), "query_id")
+    tokens = tokens.join(q.select("query_id", "worst", theta.alias("theta")), "query_id")
     # commonest first: those whose squares stay below theta's square can be left out together
     order = Window.partitionBy("query_id").orderBy(F.desc("df"), "t")
     spent = F.sum(F.col("tw") * F.col("tw")).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -335,9 +335,9 @@ def _token_others(index: TokenIndex, q: DataFrame, digits: int) -> DataFrame:
     own = F.acos(F.least("tw", F.lit(1.0)))
     gap = F.greatest(F.acos("hi") - own, own - F.acos("lo"), F.lit(0.0))
     met = met.where((F.col("theta") <= 0) | (gap <= F.acos(F.greatest("theta", F.lit(0.0))) + 1e-7))
-    return met.select("query_id", "t", "sub", F.explode(F.sequence(
+    return met.select("query_id", "worst", "t", "sub", F.explode(F.sequence(
         F.lit(0), F.col("salts") - 1)).alias("salt")).select(
-        "query_id", F.xxhash64("t", "sub", "salt").alias("cell")).distinct()
+        "query_id", "worst", F.xxhash64("t", "sub", "salt").alias("cell"))
 
 
 def _box_bounds(boxes: pd.DataFrame, x: np.ndarray, bounded: np.ndarray) -> np.ndarray:
@@ -357,7 +357,7 @@ def _box_bounds(boxes: pd.DataFrame, x: np.ndarray, bounded: np.ndarray) -> np.n
 
 
 def _box_route(boxes: pd.DataFrame, digits: int, home: bool):
-    """Per query its home cells, or the others that can hold something within ``worst``."""
+    """Per query its home cells, or all cells that can hold something within ``worst``."""
     size, salts = boxes["n"].to_numpy(), boxes["salts"].to_numpy()
 
     def run(frames):
@@ -368,19 +368,18 @@ def _box_route(boxes: pd.DataFrame, digits: int, home: bool):
                 low = _box_bounds(boxes, x, part["bounded"].to_numpy(bool))
                 order = np.argsort(low, axis=1, kind="stable")
                 before = np.cumsum(size[order], axis=1) - size[order]
-                first = np.zeros(low.shape, bool)
-                np.put_along_axis(first, order, before < HOME, axis=1)
                 if home:
-                    take = first
+                    take = np.zeros(low.shape, bool)
+                    np.put_along_axis(take, order, before < HOME, axis=1)
                 else:
                     limit = (part["worst"].to_numpy(np.float64) + 0.5) / 10.0 ** digits + 1e-13
-                    take = ~first & (low <= limit[:, None])
+                    take = low <= limit[:, None]
                 r, b = np.nonzero(take)
                 n = salts[b]
                 r, b = np.repeat(r, n), np.repeat(b, n)
                 salt = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[r],
-                                    "cell": b.astype(np.int64) * 1_000_000 + salt})
+                own = part[["query_id"] if home else ["query_id", "worst"]].iloc[r]
+                yield own.assign(cell=b.astype(np.int64) * 1_000_000 + salt)
 
     return run
 
@@ -428,27 +427,27 @@ def search(index: TokenIndex | BoxIndex, queries: DataFrame, *, exclusions: Data
     q = stage(q, name="queries")
     cells = index.cells.where("ok") if only_ok else index.cells
     fields = ["query_id", "keys", "ws", "norm", "top_n", "excluded", "fkeys", "worst"]
-    open_ = q.withColumn("worst", F.lit(float(10 ** digits) * 4))     # a cosine distance is <= 2
+    unbound = F.lit(float(10 ** digits) * 4)            # a cosine distance is 2 at most
     if boxed:
-        homes = open_.select("query_id", "bounded", "x").mapInPandas(
+        homes = q.select("query_id", "bounded", "x", unbound.alias("worst")).mapInPandas(
             _box_route(index.boxes, digits, True), "query_id long, cell long")
     else:
-        homes = stage(_token_homes(index, q), name="homes")
-    first = stage(_met(open_.join(homes, "query_id").select(*fields, "cell"), cells, digits), name="near")
+        homes = _token_homes(index, q)
+    first = stage(_met(q.join(homes, "query_id").select(*fields[:-1], unbound.alias("worst"), "cell"),
+                       cells, digits).where("cand_id is not null").select("query_id", "rk", "cand_id"),
+                  name="near")
     # the top_n-th id found so far bounds what can still enter
     by = Window.partitionBy("query_id").orderBy("rk", "cand_id")
-    known = first.where("cand_id is not null").withColumn("r", F.row_number().over(by))
-    bound = known.join(q.select("query_id", "top_n"), "query_id").where("r = top_n").select(
+    bound = first.distinct().withColumn("r", F.row_number().over(by)).join(
+        q.select("query_id", "top_n"), "query_id").where("r = top_n").select(
         "query_id", F.col("rk").alias("worst"))
-    open_ = stage(q.join(bound, "query_id", "left").withColumn(
-        "worst", F.coalesce("worst", F.lit(float(10 ** digits) * 4))), name="bounds")
+    open_ = q.join(bound, "query_id", "left").withColumn("worst", F.coalesce("worst", unbound))
     if boxed:
-        others = open_.select("query_id", "bounded", "x", "worst").mapInPandas(
-            _box_route(index.boxes, digits, False), "query_id long, cell long")
+        visits = open_.select("query_id", "bounded", "x", "worst").mapInPandas(
+            _box_route(index.boxes, digits, False), "query_id long, cell long, worst double")
     else:
-        others = _token_others(index, open_, digits).join(homes, ["query_id", "cell"], "left_anti")
-    hits = stage(_met(open_.join(others, "query_id").select(*fields, "cell"), cells, digits)
-                 .unionByName(first), name="hits")
+        visits = _token_visits(index, open_, digits)
+    hits = stage(_met(visits.join(q, "query_id").select(*fields, "cell"), cells, digits), name="hits")
     asked = q.select("query_id", "top_n")
     found = hits.where("cand_id is not null").drop("cv")
     out_of_ids = hits.where("cand_id is null").drop("cand_id").distinct()
@@ -459,15 +458,19 @@ def search(index: TokenIndex | BoxIndex, queries: DataFrame, *, exclusions: Data
                                                F.col("cand_id").cast("long").alias("cand_id")),
                              ["query_id", "cand_id"], "left_anti")
         found = found.unionByName(more.select(found.columns))
-    best = stage(_ranked(found, asked), name="best")
+    best = _ranked(found, asked)
     if boxed:
         return best.drop("rk")
-    # queries with too few vectors that share a token: all others are at distance 1
-    n = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    short = q.select("query_id", "top_n", "excluded").join(n, "query_id", "left").select(
-        "query_id", "excluded", F.col("top_n"), F.coalesce("n", F.lit(0)).alias("n")).where("n < top_n")
+    # queries with too few vectors that share a token: all others are at distance 1; a query with
+    # a bound has enough
+    free = q.join(bound, "query_id", "left_anti").select("query_id", "top_n", "excluded")
+    n = found.select("query_id", "cand_id").join(free.select("query_id"), "query_id", "left_semi") \
+        .distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = free.join(n, "query_id", "left").select(
+        "query_id", "excluded", "top_n", F.coalesce("n", F.lit(0)).alias("n")).where("n < top_n")
     if short.isEmpty():
         return best.drop("rk")
+    best = stage(best, name="best")
     tail = _at_distance_one(index, stage(short, name="short"), best, only_ok, digits)
     return _ranked(best.drop("rank").unionByName(tail), asked).drop("rk")
 

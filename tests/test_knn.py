@@ -102,7 +102,7 @@ def test_bounds_leave_cells_out(spark):
                        [F.max("top_n").alias("top_n")])
     worst = q.withColumn("worst", F.lit(0.05 * 1e9))
     cells = index.cells.groupBy("cell").agg(F.countDistinct("cv").alias("n"))
-    met = nearest._token_others(index, worst, 9).join(cells, "cell").groupBy("query_id").agg(
+    met = nearest._token_visits(index, worst, 9).join(cells, "cell").groupBy("query_id").agg(
         F.sum("n").alias("n")).agg(F.avg("n")).first()[0]
     assert met < 0.2 * 600
     vecs = {}
