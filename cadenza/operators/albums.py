@@ -15,7 +15,7 @@ from cadenza.operators.genres import release_modes, rg_tag_buckets, secondary_ty
 from cadenza.operators.knn import knn_single, missing_seeds, terms_of
 from cadenza.operators.nearest import BoxIndex, box_index, search
 from cadenza.operators.recommend import valid_requests, validate_request
-from cadenza.session import stage
+from cadenza.session import Stages, stage
 
 ALBUM_RANK_DIGITS = 12   # album distances are tiny (raw ids and years dominate)
 CATEGORICAL = ["type", "status", "language", "script"]
@@ -117,18 +117,20 @@ def build_album_model(cat, features: DataFrame | None = None, staging: str = "ch
     off) -> imputers -> vectors; each stage is fitted once and its lineage cut."""
     from cadenza.operators.imputers import backfill_genres, infer_types
     from cadenza.operators.langid import infer_language, train_langid
-    df = features if features is not None else rg_features(cat)
-    df = stage(df, staging)
-    if backfill:
-        df = stage(backfill_genres(df, cat), staging)
-    if language:
-        lm = lang_model if lang_model is not None else stage(train_langid(cat["documents"]), staging)
-        df = stage(infer_language(df, cat, lm), staging)
-    if types:
-        df = stage(infer_types(df, cat), staging)
-    stats = fit_imputers(df).first()      # one row of five numbers
-    vec = stage(album_vectors(impute(df, stats)), staging)
-    terms = stage(terms_of(vec, "id").join(df.select("id", "genre_ids"), "id"), staging)
+    with Stages() as scratch:
+        df = features if features is not None else rg_features(cat)
+        df = stage(df, staging)
+        if backfill:
+            df = stage(backfill_genres(df, cat), staging)
+        if language:
+            lm = lang_model if lang_model is not None else stage(train_langid(cat["documents"]), staging)
+            df = stage(infer_language(df, cat, lm), staging)
+        if types:
+            df = stage(infer_types(df, cat), staging)
+        stats = fit_imputers(df).first()      # one row of five numbers
+        vec = stage(album_vectors(impute(df, stats)), staging)
+        terms = stage(terms_of(vec, "id").join(df.select("id", "genre_ids"), "id"), staging)
+        scratch.release(df, vec, terms)     # what is left on disk is the model
     return AlbumModel(df, stats, vec, terms)
 
 
@@ -315,6 +317,10 @@ def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str
         wanted = ok.select(F.col("request_id").alias("query_id"), F.explode("genre_ids").alias("g")) \
             .select("query_id", F.concat(F.lit(LIST_PREFIX["genre_ids"] + ":"),
                                          F.col("g").cast("string")).alias("key"))
-    r = search(model.index(), q, exclusions=ex, filters=wanted, digits=ALBUM_RANK_DIGITS)
-    return stage(r.select(F.col("query_id").alias("request_id"), "rank", F.col("cand_id").alias("id"),
-                          "distance"), staging)
+    index = model.index()
+    with Stages() as scratch:
+        r = search(index, q, exclusions=ex, filters=wanted, digits=ALBUM_RANK_DIGITS)
+        r = stage(r.select(F.col("query_id").alias("request_id"), "rank", F.col("cand_id").alias("id"),
+                           "distance"), staging)
+        scratch.release(r)
+    return r

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.knn import centroids
 from cadenza.operators.nearest import TokenIndex, search, token_index
-from cadenza.session import stage
+from cadenza.session import Stages, stage
 
 
 def data_metrics(data: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -59,7 +59,9 @@ def prediction_metrics(features: DataFrame, vectors: DataFrame, seed_count: int
         index = token_index(vectors.select(F.col("artist_id").alias("cand_id"),
                                            F.col("token").alias("key"), "w"))
     ex = req.select(F.col("request_id").alias("query_id"), F.col("request_id").alias("cand_id"))
-    recs = stage(search(index, q, exclusions=ex))      # read by four aggregates below
+    with Stages() as scratch:
+        recs = stage(search(index, q, exclusions=ex))      # read by four aggregates below
+        scratch.release(recs)
     g = features.select("artist_id", F.array_distinct(F.split(F.trim("genres"), r"\s+")).alias("g"))
     pairs = (recs.join(g.select(F.col("artist_id").alias("query_id"), F.col("g").alias("sg")), "query_id")
              .join(g.select(F.col("artist_id").alias("cand_id"), F.col("g").alias("rg")), "cand_id"))

@@ -14,7 +14,7 @@ from cadenza.operators.credits import recommendable_artists
 from cadenza.operators.knn import (centroids, knn_single, missing_seeds,
                                    terms_of, tfidf, RANK_DIGITS)
 from cadenza.operators.nearest import TokenIndex, search, token_index
-from cadenza.session import stage
+from cadenza.session import Stages, stage
 
 
 @dataclass
@@ -37,15 +37,18 @@ class ArtistModel:
 def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
                        features: DataFrame | None = None) -> ArtistModel:
     """Q4: features -> (P3 inside Q1) -> TF-IDF; each stage's lineage is cut."""
-    feats = features if features is not None else artist_training_features(cat, min_tag_count)
-    feats = stage(feats, staging)
-    vocab, vectors = tfidf(feats)
-    vectors = stage(vectors, staging)
-    ok = recommendable_artists(cat).select(F.col("id").alias("artist_id")).distinct() \
-        .withColumn("recommendable", F.lit(True))
-    terms = terms_of(vectors).join(ok, "artist_id", "left").withColumn(
-        "recommendable", F.coalesce("recommendable", F.lit(False)))
-    return ArtistModel(feats, stage(vocab, staging), vectors, stage(terms, staging))
+    with Stages() as scratch:
+        feats = features if features is not None else artist_training_features(cat, min_tag_count)
+        feats = stage(feats, staging)
+        vocab, vectors = tfidf(feats)
+        vectors = stage(vectors, staging)
+        ok = recommendable_artists(cat).select(F.col("id").alias("artist_id")).distinct() \
+            .withColumn("recommendable", F.lit(True))
+        terms = terms_of(vectors).join(ok, "artist_id", "left").withColumn(
+            "recommendable", F.coalesce("recommendable", F.lit(False)))
+        model = ArtistModel(feats, stage(vocab, staging), vectors, stage(terms, staging))
+        scratch.release(feats, model.vocab, vectors, model.terms)   # the model alone is left
+    return model
 
 
 def ids_df(spark: SparkSession, ids, name: str = "id") -> DataFrame:
@@ -129,9 +132,13 @@ def recommend_artists_batch(model: ArtistModel, requests: DataFrame,
     ex = ok.select(F.col("request_id").alias("query_id"),
                    F.explode(F.array_distinct(F.concat(F.col("seeds").cast("array<long>"),
                                                        bl.cast("array<long>")))).alias("cand_id"))
-    res = search(model.index(), q, exclusions=ex, only_ok=filter_recommendable)
-    return stage(res.select(F.col("query_id").alias("request_id"), "rank",
-                            F.col("cand_id").alias("artist_id"), "distance"), staging)
+    index = model.index()
+    with Stages() as scratch:
+        res = search(index, q, exclusions=ex, only_ok=filter_recommendable)
+        res = stage(res.select(F.col("query_id").alias("request_id"), "rank",
+                               F.col("cand_id").alias("artist_id"), "distance"), staging)
+        scratch.release(res)
+    return res
 
 
 def with_outcome(recs: DataFrame, requests: DataFrame, known: DataFrame, key: str) -> DataFrame:

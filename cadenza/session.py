@@ -84,7 +84,50 @@ def staging_path(spark: SparkSession, name: str) -> str:
     if root not in _STAGE_ROOTS:
         _STAGE_ROOTS[root] = spark
         atexit.register(_drop_stages, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].paths.append((spark, path))
+    return path
+
+
+class Stages:
+    """Lifetime of staged tables: those written while a scope is entered belong to it.
+
+    ``release(*keep)`` deletes them but for those that the frames in ``keep`` still read; it is
+    called when whatever else read them has been written.  What is left when a scope ends belongs
+    to the scope around it, or stays until the driver ends.
+    """
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Stages:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        if _SCOPES:
+            _SCOPES[-1].paths += self.paths
+            self.paths = []
+
+    def release(self, *keep: DataFrame) -> None:
+        used = {part for df in keep for f in df.inputFiles() for part in f.split("/")}
+        left = []
+        for spark, path in self.paths:
+            if path.rsplit("/", 1)[1] in used:
+                left.append((spark, path))
+            else:
+                _delete(spark.sparkContext, path)
+        self.paths = left
+
+
+_SCOPES: list[Stages] = []
+
+
+def _delete(sc, path: str) -> None:
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _drop_stages(root: str) -> None:
@@ -92,5 +135,4 @@ def _drop_stages(root: str) -> None:
     sc = _STAGE_ROOTS.pop(root).sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():
         return
-    path = sc._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(sc, root)
