@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.numbering import dense_numbers
 from cadenza.functions.scalars import as_int_list, special_edition
 from cadenza.operators.genres import release_modes, rg_tag_buckets, secondary_types
 from cadenza.operators.knn import knn_single, missing_seeds, terms_of
@@ -87,8 +88,10 @@ def label_vocabulary(df: DataFrame) -> DataFrame:
     """Sorted distinct labels per list column with their column index."""
     parts = [df.select(F.lit(c).alias("column"), F.explode(c).alias("label")) for c in LISTS]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    w = Window.partitionBy("column").orderBy("label")
-    return out.withColumn("index", F.row_number().over(w) - 1)
+    out = dense_numbers(out, ["column", "label"], "_place")
+    first = out.groupBy("column").agg(F.min("_place").alias("_start"))    # a row per list column
+    return out.join(first, "column").select("column", "label",
+                                            (F.col("_place") - F.col("_start")).cast("int").alias("index"))
 
 
 @dataclass

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, VIEWS
+from cadenza.functions.numbering import dense_numbers
+from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, NUMBERED, VIEWS
 
 
 class Catalog(Mapping):
@@ -45,6 +47,16 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
 
 
+def _view(spark: SparkSession, c: Catalog, text: str, **frames: DataFrame) -> DataFrame:
+    names = set(re.findall(r"\{(\w+)\}", text)) - set(frames)
+    return spark.sql(text, **{n: c[n] for n in names}, **frames)
+
+
+def _numbered(spark: SparkSession, c: Catalog, names: str, text: str) -> DataFrame:
+    rows = dense_numbers(_view(spark, c, names), ["name"], "id", start=1)
+    return _view(spark, c, text, names=rows)
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None = None) -> Catalog:
     """Catalogue whose tables are the FIXTURES.md views over the supplied data.
 
@@ -53,14 +65,12 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None
     queries scan small parquet tables (with pushdown) instead of re-deriving the
     view chain; views are built from their inputs' written tables.
     """
-    import re
     builders = {}
     for t in BASE_TABLES:
         builders[t] = (lambda c, t=t: read_table(spark, sf_dir, t))
     for v, text in VIEWS.items():
         def build(c, v=v, text=text):
-            names = set(re.findall(r"\{(\w+)\}", text))
-            df = spark.sql(text, **{n: c[n] for n in names})
+            df = _numbered(spark, c, *NUMBERED[v]) if v in NUMBERED else _view(spark, c, text)
             if materialize_to is None:
                 return df
             path = os.path.join(materialize_to, f"{v}.parquet")

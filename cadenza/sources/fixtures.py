@@ -47,7 +47,7 @@ VIEWS: dict[str, str] = {
     "l_artist_url": """select c_custkey entity0, cast(c_custkey % 25 as bigint) entity1, c_custkey % 3 link from {customer} where c_custkey % 2 = 0 union all select c_custkey, cast(c_custkey % 23 as bigint), (c_custkey + 1) % 3 from {customer} where c_custkey % 4 = 0""",
     "link": """select * from (values (0, 183),(1, 179),(2, 352)) as t(id,link_type)""",
     "listens": """select user_id, ts, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) artist from {events} where event_type in ('click','view','purchase')""",
-    "release_listens": """select l.user_id, l.ts, l.event_type, r.gid release_gid from {listens} l join {release} r on r.artist_credit = l.artist""",
+    "release_listens": """select l.user_id, l.ts, l.event_type, r.gid release_gid from (select x.user_id, x.ts, x.event_type, x.artist, (coalesce(x.user_id, 0) * 31 + extract(day from x.ts) * 1440 + extract(hour from x.ts) * 60 + extract(minute from x.ts)) % c.n k from {listens} x join (select artist_credit, count(*) n from {release} group by artist_credit) c on c.artist_credit = x.artist) l join (select gid, artist_credit, row_number() over (partition by artist_credit order by id) - 1 k from {release}) r on r.artist_credit = l.artist and r.k = l.k""",
 }
 
 # The ``lt`` view lists ``{lt}`` without alias in one view; Spark binds the
@@ -55,6 +55,15 @@ VIEWS: dict[str, str] = {
 VIEWS["l_artist_release_group"] = VIEWS["l_artist_release_group"].replace(
     "from {lt} join", "from {lt} lt join")
 
+# Views whose ids number names in order: (the names, the view over ``{names}``).  Spark numbers them
+# in range partitions; the texts above are their definition.
+NUMBERED = {
+    "genre": ("select distinct p_name name from {part}",
+              "select cast(id as int) id, case when length(name) % 3 = 0 then upper(name) else name end name from {names}"),
+    "tag": ("select distinct p_name name from {part} union select distinct p_type name from {part} union select distinct p_brand name from {part}",
+            "select cast(id as int) id, name from {names}"),
+}
+
 CATALOG_TABLES = tuple(v for v in VIEWS if v != "lt")
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

@@ -41,11 +41,64 @@ ARTEFACTS = {
 }
 
 
+# ---------------------------------------------------------------- versions
+
+def _fs(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Committed versions of a store, oldest first."""
+    fs, where = _fs(spark, path)
+    folder = where(f"{path}/commits")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last committed version; None if there is none."""
+    found = _commits(spark, path)
+    return f"{path}/versions/{found[-1][1]}" if found else None
+
+
+def write_version(spark: SparkSession, path: str, write, name: str | None = None, keep: int = 2,
+                  after: str | None = None) -> str:
+    """Write a version of the store ``path``: ``write(folder)`` fills a new folder, then one empty
+    commit file makes it the current one.
+
+    Files of a version never change, and the commit file is the last that is written, so a reader
+    sees one whole version or the one before, and a failure leaves the store as it was.  ``after``
+    (a folder of ``current_version``) refuses the commit where another version came between.
+    All but the last ``keep`` versions are deleted.
+    """
+    name = name or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+    folder = f"{path}/versions/{name}"
+    write(folder)
+    found = _commits(spark, path)
+    last = f"{path}/versions/{found[-1][1]}" if found else None
+    if after is not None and last != after:
+        raise RuntimeError(f"{path}: {last} was written after {after}")
+    fs, where = _fs(spark, path)
+    number = found[-1][0] + 1 if found else 0
+    fs.create(where(f"{path}/commits/{number:012d}-{name}"), False).close()    # fails if it exists
+    for old, gone in found[:max(0, len(found) + 1 - keep)]:
+        fs.delete(where(f"{path}/commits/{old:012d}-{gone}"), False)
+        fs.delete(where(f"{path}/versions/{gone}"), True)
+    return folder
+
+
+# ---------------------------------------------------------------- models
+
 def save_model(model: ArtistModel | AlbumModel, directory: str, name: str | None = None,
                meta: dict | None = None) -> str:
-    """A timestamped artefact directory plus a canonical copy; returns the canonical path."""
+    """A version of the model, stamped with its time; returns the store's path, which
+    ``load_model`` reads the last version of."""
     kind = "artist_knn" if isinstance(model, ArtistModel) else "album_knn"
-    stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
     info = {"model_kind": kind, "created_at_utc": stamp, **(meta or {})}
     if kind == "artist_knn":
         info = {"genre_feature_format": "genre_token_unigram", **info}
@@ -53,17 +106,21 @@ def save_model(model: ArtistModel | AlbumModel, directory: str, name: str | None
         info["imputer"] = model.stats.asDict()
     spark = model.vectors.sparkSession
     name = name or kind
-    paths = [os.path.join(directory, f"{name}_{stamp}"), os.path.join(directory, name)]
-    for p in paths:
+    path = os.path.join(directory, name)
+
+    def write(folder: str) -> None:
         for t in ARTEFACTS[kind]:
-            getattr(model, t).write.mode("overwrite").parquet(os.path.join(p, t))
+            getattr(model, t).write.parquet(os.path.join(folder, t))
         spark.createDataFrame([(json.dumps(info),)], "meta string").coalesce(1) \
-            .write.mode("overwrite").text(os.path.join(p, "meta"))
-    return paths[1]
+            .write.text(os.path.join(folder, "meta"))
+
+    write_version(spark, path, write, f"{name}_{stamp}")
+    return path
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[ArtistModel | AlbumModel, dict]:
-    """Read an artefact written by ``save_model``."""
+    """Read the last version of a model written by ``save_model`` (or one version's folder)."""
+    path = current_version(spark, path) or path
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
     parts = {t: spark.read.parquet(os.path.join(path, t)) for t in ARTEFACTS[meta["model_kind"]]}
     if meta["model_kind"] == "artist_knn":
@@ -71,6 +128,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[ArtistModel | AlbumModel
     return AlbumModel(stats=Row(**meta["imputer"]), **parts), meta
 
 
+# ---------------------------------------------------------------- metrics
+
 def upsert_metrics(existing: DataFrame | None, row: DataFrame, key: str = "run_id") -> DataFrame:
     """Replace rows with the same ``run_id``, append the rest (schema by name)."""
     if existing is None:
@@ -78,9 +137,29 @@ def upsert_metrics(existing: DataFrame | None, row: DataFrame, key: str = "run_i
     return existing.join(row.select(key), key, "left_anti").unionByName(row, allowMissingColumns=True)
 
 
-def write_metrics(table: DataFrame, csv_path: str, latest_json_path: str | None = None,
-                  latest_run: str | None = None) -> None:
-    """S7 sinks: the metrics table as CSV with a header; the latest row as JSON."""
-    table.coalesce(1).write.mode("overwrite").option("header", "true").csv(csv_path)
-    if latest_json_path and latest_run is not None:
-        table.where(F.col("run_id") == latest_run).coalesce(1).write.mode("overwrite").json(latest_json_path)
+def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """The metrics table's last version; None if there is none."""
+    folder = current_version(spark, path)
+    return spark.read.parquet(os.path.join(folder, "runs")) if folder else None
+
+
+def write_metrics(table: DataFrame, path: str, latest_run: str | None = None,
+                  after: str | None = None) -> str:
+    """S7 sinks as one version: the table (``runs``), as CSV with a header (``runs_csv``), and the
+    row of ``latest_run`` as JSON (``latest``)."""
+    def write(folder: str) -> None:
+        runs = os.path.join(folder, "runs")
+        table.coalesce(1).write.parquet(runs)
+        back = table.sparkSession.read.parquet(runs)
+        back.coalesce(1).write.option("header", "true").csv(os.path.join(folder, "runs_csv"))
+        if latest_run is not None:
+            back.where(F.col("run_id") == latest_run).coalesce(1).write.json(
+                os.path.join(folder, "latest"))
+
+    return write_version(table.sparkSession, path, write, after=after)
+
+
+def update_metrics(spark: SparkSession, path: str, row: DataFrame, latest_run: str | None = None) -> str:
+    """S7's cycle on one path: read the table, replace the row's run, write the next version."""
+    return write_metrics(upsert_metrics(read_metrics(spark, path), row), path, latest_run,
+                         after=current_version(spark, path))

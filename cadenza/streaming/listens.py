@@ -1,14 +1,19 @@
 """Structured Streaming form of Q12: running listen counts per user and item.
 
-Listens arrive as files (or any streaming source) with an event-time ``ts``;
-counts are kept per (user, item, calendar window) with a watermark, so late
-listens within the allowed delay still count and old state is dropped.
+Listens arrive as files (or any streaming source) with an event-time ``ts``; counts are kept per
+(user, item, calendar window) with a watermark, so late listens within the allowed delay still count
+and old state is dropped.  Every micro-batch upserts the counts that it changed: it writes them to the
+folder of its batch id, so a batch that runs again after a failure replaces itself, and a window's count
+is the one of its last batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+KINDS = ("click", "view", "purchase")
 
 
 def windowed_listen_counts(listens: DataFrame, window: str = "7 days", delay: str = "1 day",
@@ -19,13 +24,39 @@ def windowed_listen_counts(listens: DataFrame, window: str = "7 days", delay: st
             .agg(F.count(F.lit(1)).alias("listen_count")))
 
 
-def start_listen_counts(spark, source_dir: str, schema, checkpoint: str, query_name: str = "listen_counts",
-                        window: str = "7 days", delay: str = "1 day"):
-    """Run the windowed counts over a parquet directory stream into a memory table."""
-    raw = spark.readStream.schema(schema).parquet(source_dir)
-    listens = (raw.where(F.col("event_type").isin("click", "view", "purchase"))
-               .select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
-                       F.regexp_extract("props", r"([0-9]+)", 1).cast("long").alias("artist")))
-    counts = windowed_listen_counts(listens, window, delay)
-    return (counts.writeStream.outputMode("update").format("memory").queryName(query_name)
+def listens_of(events: DataFrame) -> DataFrame:
+    return (events.where(F.col("event_type").isin(*KINDS))
+            .select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+                    F.regexp_extract("props", r"([0-9]+)", 1).cast("long").alias("artist")))
+
+
+def start_listen_counts(spark: SparkSession, source_dir: str, schema, checkpoint: str, path: str,
+                        window: str = "7 days", delay: str = "1 day") -> StreamingQuery:
+    """Run the windowed counts over a directory of Parquet files into the counts table ``path``.
+
+    ``checkpoint`` and ``path`` are folders that the cluster shares; started again with the same two,
+    the query goes on where it was."""
+    counts = windowed_listen_counts(listens_of(spark.readStream.schema(schema).parquet(source_dir)),
+                                    window, delay)
+
+    def upsert(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return (counts.writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).start())
+
+
+def read_listen_counts(spark: SparkSession, path: str, item: str = "artist") -> DataFrame | None:
+    """(window, user_id, item, listen_count): the counts of the batches written whole so far."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(where(path)):
+        return None
+    batches = [f.getPath().toString() for f in fs.listStatus(where(path))
+               if fs.exists(where(f.getPath(), "_SUCCESS"))]
+    if not batches:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*batches)
+    return rows.groupBy("window", "user_id", item).agg(
+        F.max_by("listen_count", "batch").alias("listen_count"))

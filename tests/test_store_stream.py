@@ -1,7 +1,6 @@
 """Model artefact round trip (S5/S6), metrics upsert (S7), feature cache (S4), streaming Q12."""
 
 import os
-import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -9,6 +8,8 @@ from pyspark.sql import functions as F
 from cadenza.operators.recommend import build_artist_model
 from cadenza.plans.registry import catalog
 from cadenza.sources import store
+from cadenza.streaming.listens import (listens_of, read_listen_counts, start_listen_counts,
+                                       windowed_listen_counts)
 
 from conftest import SF_SMALL
 
@@ -44,13 +45,37 @@ def test_album_model_roundtrip(spark):
     assert a == b
 
 
-def test_write_metrics(spark):
+def test_metrics_cycle_on_one_path(spark):
+    """Read, upsert, write; a failed write and a version in between leave the store whole."""
     d = tempfile.mkdtemp(prefix="cadenza-test-")
-    table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "run_id string, v double")
-    store.write_metrics(table, os.path.join(d, "m"), os.path.join(d, "last"), "b")
-    back = spark.read.option("header", "true").csv(os.path.join(d, "m")).orderBy("run_id").collect()
-    assert [tuple(r) for r in back] == [("a", "1.0"), ("b", "2.0")]
-    assert spark.read.json(os.path.join(d, "last")).collect()[0]["v"] == 2.0
+    rows = lambda *r: spark.createDataFrame(r, "run_id string, v double")
+    assert store.read_metrics(spark, d) is None
+    for run, v in (("a", 1.0), ("b", 2.0), ("a", 3.0), ("c", 4.0)):
+        folder = store.update_metrics(spark, d, rows((run, v)), latest_run=run)
+    want = [("a", 3.0), ("b", 2.0), ("c", 4.0)]
+    assert sorted(tuple(r) for r in store.read_metrics(spark, d).collect()) == want
+    back = spark.read.option("header", "true").csv(os.path.join(folder, "runs_csv")).collect()
+    assert sorted((r["run_id"], float(r["v"])) for r in back) == want
+    assert spark.read.json(os.path.join(folder, "latest")).collect()[0]["v"] == 4.0
+    assert len(os.listdir(os.path.join(d, "versions"))) == 2
+    held = store.read_metrics(spark, d)                     # of the version before the next
+
+    def torn(path):
+        rows(("x", 9.0)).write.parquet(os.path.join(path, "runs"))
+        raise OSError("lost")
+    try:
+        store.write_version(spark, d, torn)
+    except OSError:
+        pass
+    assert store.current_version(spark, d) == folder
+    store.update_metrics(spark, d, rows(("d", 5.0)))
+    assert sorted(tuple(r) for r in held.collect()) == want
+    try:
+        store.write_metrics(rows(("e", 1.0)), d, after=folder)
+        raise AssertionError("committed over another version")
+    except RuntimeError:
+        pass
+    assert store.read_metrics(spark, d).count() == 4
 
 
 def test_metrics_upsert(spark):
@@ -60,16 +85,58 @@ def test_metrics_upsert(spark):
     assert got == [("a", 1.0), ("b", 3.0)]
 
 
-def test_streaming_counts(spark):
-    from cadenza.streaming.listens import start_listen_counts
-    src = tempfile.mkdtemp(prefix="cadenza-stream-")
-    shutil.copy(os.path.join(SF_SMALL, "events.parquet"), os.path.join(src, "part-0.parquet"))
-    schema = spark.read.parquet(os.path.join(src, "part-0.parquet")).schema
-    q = start_listen_counts(spark, src, schema, tempfile.mkdtemp(prefix="cadenza-ckpt-"), "lc_test")
+def _stream(spark, src, schema, ckpt, out, **options):
+    q = start_listen_counts(spark, src, schema, ckpt, out, **options)
     try:
         q.processAllAvailable()
-        total = spark.sql("select sum(listen_count) from lc_test").first()[0]
+        return q.recentProgress
     finally:
         q.stop()
-    ev = spark.read.parquet(os.path.join(src, "part-0.parquet"))
-    assert total == ev.where(F.col("event_type").isin("click", "view", "purchase")).count()
+
+
+def _counts(spark, out):
+    return {(r["window"]["start"], r["user_id"], r["artist"]): r["listen_count"]
+            for r in read_listen_counts(spark, out).collect()}
+
+
+def test_streaming_restart_equals_one_run(spark):
+    """The files in two runs with one checkpoint, the last batch again: equal counts."""
+    src, ckpt, out = (tempfile.mkdtemp(prefix="cadenza-stream-") for _ in range(3))
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    cut = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    out = os.path.join(out, "counts")
+    assert read_listen_counts(spark, out) is None
+    for early in (True, False):
+        part = events.where((F.col("ts") <= F.lit(cut)) == F.lit(early))
+        part.coalesce(1).write.mode("append").parquet(src)
+        _stream(spark, src, events.schema, ckpt, out, delay="400 days")
+    want = {(r["window"]["start"], r["user_id"], r["artist"]): r["listen_count"] for r in
+            windowed_listen_counts(listens_of(events)).collect()}
+    assert _counts(spark, out) == want
+    last = sorted(f for f in os.listdir(out) if f.startswith("batch="))[-1]
+    spark.read.parquet(os.path.join(out, last)).write.mode("overwrite").parquet(out + "-again")
+    spark.read.parquet(out + "-again").write.mode("overwrite").parquet(os.path.join(out, last))
+    assert _counts(spark, out) == want
+    os.remove(os.path.join(out, "batch=0", "_SUCCESS"))     # a batch that is not whole is not read
+    assert _counts(spark, out) != want
+
+
+def test_streaming_late_rows_and_evicted_state(spark):
+    src, ckpt, out = (tempfile.mkdtemp(prefix="cadenza-stream-") for _ in range(3))
+    schema = "user_id long, ts timestamp, event_type string, props string"
+    day = lambda d: f"2024-01-{d:02d} 12:00:00"
+
+    def arrive(*days):
+        rows = [(1, day(d), "click", "item 7") for d in days]
+        df = spark.createDataFrame(rows, "user_id long, ts string, event_type string, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        return _stream(spark, src, schema, ckpt, out)
+
+    arrive(2, 3)                # the week of Monday the first
+    arrive(4, 9)                # the watermark is on the eighth now: the week is over
+    progress = arrive(3, 8, 15)  # too late; late but counted; and a week on
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress)
+    got = {k[0].day: n for k, n in _counts(spark, out).items()}
+    assert got == {1: 3, 8: 2, 15: 1} and dropped == 1
+    progress = arrive(24)
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1   # earlier weeks are evicted
