@@ -4,8 +4,9 @@ A conversation's turns get a token cost (pieces of the text plus the template's
 of the costs choose turn-aligned spans: a window takes turns while system turn, repeated history
 and new turns stay within ``budget``; a turn that is larger by itself stands alone.  A later window
 repeats the system turn (the first turn, if its role is ``system``) and as many of the turns before
-it as cost ``history`` at most.  Repeated turns are outside the loss mask, so every assistant text
-is a target exactly once.
+it as cost ``history`` at most and leave room for its first new turn.  Repeated turns are outside the
+loss mask, so every assistant text is a target exactly once.  A run of letters costs a token for each
+twelve of them.
 
 Template: ``<|start|>role<|text|>text<|end|>`` and a line end.  In roles and texts a backslash is
 doubled and ``<|`` becomes ``<\|``, so no control string can come from a text and ``unescape``
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUDGET, HISTORY, MARKS = 1024, 192, 8
-PIECES = r"\p{L}+|\p{N}|[^\p{L}\p{N}\x00-\x20]"
+PIECES = r"\p{L}{1,12}|\p{N}|[^\p{L}\p{N}\x00-\x20]"
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>\n"
 SYSTEM, TARGET = "system", "assistant"
 
@@ -44,7 +45,7 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def _turns(rows: DataFrame, history: int) -> DataFrame:
+def _turns(rows: DataFrame, budget: int, history: int) -> DataFrame:
     """A row per turn: its place, cost, rendered text, prefix sums and possible history."""
     rows = rows.select("conv_id", F.col("turn").cast("long").alias("turn"),
                        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -62,17 +63,23 @@ def _turns(rows: DataFrame, history: int) -> DataFrame:
         "is_system", (F.col("place") == 1) & (F.col("role") == SYSTEM))
     spent = F.coalesce(F.sum(F.when(~F.col("is_system"), F.col("cost"))).over(past),
                        F.lit(0).cast("long"))
+    system = F.coalesce(F.first(F.when(F.col("is_system"), F.col("cost"))).over(by), F.lit(0))
     rows = rows.select(
-        "conv_id", "place", "is_system", "cost", "size", "whole",
+        "conv_id", "place", "is_system", "cost", "size", "whole", system.cast("long").alias("system"),
         F.when(F.col("role") == TARGET, F.struct(
             F.length("head").alias("head"), F.length("body").alias("body"))).alias("target"),
         # the system turn stands before any history
         F.when(F.col("is_system"), F.lit(-history - 1)).otherwise(spent).cast("long")
         .alias("spent"),
         F.coalesce(F.sum("size").over(past), F.lit(0).cast("long")).alias("before"))
+    # at most history / MARKS turns
     last = Window.partitionBy("conv_id").orderBy("spent").rangeBetween(-history, -1)
-    return rows.withColumn("n_history", F.count(F.lit(1)).over(last).cast("int")).withColumn(
-        "history_cost", F.coalesce(F.sum("cost").over(last), F.lit(0).cast("long")))
+    rows = rows.withColumn("past", F.collect_list(F.struct("spent", "cost")).over(last))
+    room = F.least(F.lit(history), budget - F.col("system") - F.col("cost"))
+    past = F.filter("past", lambda p: F.col("spent") - p["spent"] <= room)
+    rows = rows.withColumn("past", F.when(F.col("is_system"), F.slice("past", 1, 0)).otherwise(past))
+    return rows.withColumn("n_history", F.size("past")).withColumn(
+        "history_cost", F.aggregate("past", F.lit(0).cast("long"), lambda a, p: a + p["cost"]))
 
 
 def _spans(turns: Column, budget: int) -> Column:
@@ -97,7 +104,7 @@ def _spans(turns: Column, budget: int) -> Column:
 def format_conversations(rows: DataFrame, budget: int = BUDGET,
                          history: int = HISTORY) -> DataFrame:
     """conv_id, window, n_context, formatted, loss_spans - one row per window."""
-    turns = _turns(rows, history)
+    turns = _turns(rows, budget, history)
     fields = ["place", "is_system", "cost", "size", "whole", "target", "before", "n_history",
               "history_cost"]
     conv = turns.groupBy("conv_id").agg(
@@ -177,7 +184,7 @@ with recursive c as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e as (select *, row_number() over (partition by conv_id order by turn nulls first, role, t) place,
-    len(regexp_extract_all(t, '\p{L}+|\p{N}|[^\p{L}\p{N}\x00-\x20]')) + 8 as price,
+    len(regexp_extract_all(t, '\p{L}{1,12}|\p{N}|[^\p{L}\p{N}\x00-\x20]')) + 8 as price,
     length(replace(replace(role, '\', '\\'), '<|', '<\|'))
       + length(replace(replace(t, '\', '\\'), '<|', '<\|')) + 25 as size
   from c),
@@ -190,7 +197,7 @@ p as (select *, coalesce(sum(cost) over (partition by conv_id order by place
 h as (select a.conv_id, a.place, coalesce(sum(b.cost), 0) history_cost,
     coalesce(sum(b.size), 0) history_size
   from p a left join p b on a.conv_id is not distinct from b.conv_id and not b.sys
-    and b.place < a.place and a.spent - b.spent <= 192 group by all),
+    and b.place < a.place and a.spent - b.spent <= least(192, 1024 - a.sys_cost - a.cost) group by all),
 i as (select p.*, history_cost, history_size from p join h
   on p.conv_id is not distinct from h.conv_id and p.place = h.place),
 r as (select conv_id, place, 0 as win, cost as used, size as chars from i where place = 1

@@ -46,14 +46,42 @@ def test_round_trip(spark):
             for r in got} == digests(rows)
 
 
+def costs(turns):
+    piece = re.compile(r"[^\W\d_]{1,12}|\d|[^\w\s]|_")
+    return [len(piece.findall(t.split("<|text|>")[1])) + 8 for t in turns]
+
+
+def test_no_window_passes_the_budget_unless_one_turn_does(spark):
+    """History gives way to a large new turn; a turn above the budget stands alone."""
+    rows = []
+    for c, sizes in enumerate([(150, 900), (180, 900), (100, 40, 30, 980), (60, 60, 60, 900, 90),
+                               (10, 1100, 20), (170, 846, 170, 847)]):
+        for system in (0, 40):
+            if system:
+                rows.append((2 * c + 1, -1, "system", "s " * system))
+            rows += [(2 * c + bool(system), i, "assistant" if i % 2 else "user", "w " * n)
+                     for i, n in enumerate(sizes)]
+    rows += [(90, 0, "user", "w " * 170), (90, 1, "assistant", "x" * 12 * 900), (90, 2, "user", "ok")]
+    out = chat.format_conversations(frame(spark, rows)).collect()
+    kept = 0
+    for r in out:
+        turns = r["formatted"].split("<|end|>\n")[:-1]
+        cost, n = costs(turns), r["n_context"]
+        kept += n > ("system<|text|>" in turns[0])
+        assert sum(cost) <= 1024 or len(turns) - n == 1 and cost[-1] + (
+            cost[0] if "system<|text|>" in turns[0] else 0) > 1024
+    assert kept
+    got = chat.read_back(chat.format_conversations(frame(spark, rows))).collect()
+    assert {r["conv_id"]: r["turns_sha256"] for r in got} == {k: v[1] for k, v in digests(rows).items()}
+
+
 def test_windows_keep_the_budget_and_history(spark):
     out = chat.format_conversations(frame(spark, [r for r in edge_rows() if r[0] == 7]),
                                     budget=300, history=100).orderBy("window").collect()
     assert len(out) > 10
-    piece = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
     for r in out:
         turns = r["formatted"].split("<|end|>\n")[:-1]
-        cost = [len(piece.findall(t.split("<|text|>")[1])) + 8 for t in turns]
+        cost = costs(turns)
         assert sum(cost) <= 300 or len(turns) - r["n_context"] == 1
         assert turns[0].startswith("<|start|>system<|text|>")
         if r["window"]:
