@@ -7,8 +7,9 @@
 3. Each ordering is range-partitioned and numbered by Spark.  A query looks at the window of
    ``share`` of all rows (``LEAST`` at least) to either side of its own place; windows are met in
    buckets of ``BUCKET`` neighbouring rows, to which queries are sent.
-4. A bucket scores its queries against its rows and keeps the best few of each query; these merge
-   across buckets and orderings, and are ranked by exact cosine in double precision.
+4. A bucket scores its queries against its rows and keeps the ``k`` best of each query by exact
+   cosine, then id (all rows that tie with the k-th within rounding are looked at); these merge across
+   buckets and orderings.
 
 Vectors without cluster structure (as in the test tables: the 64 directions carry alike) have no
 short windows that hold the neighbours, whatever the curve: the window is therefore a share of all
@@ -37,8 +38,10 @@ EVERY = 50
 CURVES, DIMS, BITS = 16, 8, 4
 SHARE, LEAST = 0.05, 256
 BUCKET = 1024
+PART = 2048             # queries that meet a bucket in one task
 SAMPLE = 4096
 SEED = 5
+ROUNDING = 1e-9         # more than products in another order differ by
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -171,14 +174,17 @@ def _best(size: int, k: int):
         rough[qi[:, None] == ci[None, :]] = -np.inf
         far = np.abs(q["place"].to_numpy()[:, None] - c["place"].to_numpy()[None, :])
         rough[far > q["reach"].to_numpy()[:, None]] = -np.inf
-        top = min(k + 3, len(c))
-        at = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-        row = np.repeat(np.arange(len(q)), top)
-        at = at.ravel()
-        found = np.isfinite(rough[row, at])
-        row, at = row[found], at[found]
-        score = (a[row] * b[at]).sum(axis=1) / (an[row] * bn[at])
-        return pd.DataFrame({"q": qi[row], "c": ci[at], "score": score})
+        heads = c["head"].to_numpy()
+        out = [none.astype({"q": "int64", "c": "int64"})]
+        for i in range(len(q)):
+            top = min(k, len(c))
+            # every row that can be among the k best, ties within rounding included
+            kth = np.partition(rough[i], len(c) - top)[len(c) - top]
+            at = np.flatnonzero((rough[i] >= kth - ROUNDING) & np.isfinite(rough[i]))
+            score = (a[i] * b[at]).sum(axis=1) / (an[i] * bn[at])
+            best = np.lexsort((heads[at], -score))[:top]
+            out.append(pd.DataFrame({"q": qi[i], "c": ci[at[best]], "score": score[best]}))
+        return pd.concat(out)
 
     return run
 
@@ -196,17 +202,21 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, curves: int = CU
             [], "query_id long, rank int, vec_id long, score double")
     places = staged(numbered(curve_keys(classes, size, curves, dims, bits), n), "places")
     reach = max(least, int(np.ceil(share * n)))
-    vecs = classes.select("cid", "vec")
+    vecs = classes.select("cid", "vec", F.col("ids")[0].alias("head"))
     rows = places.join(vecs, "cid").select(
         "curve", F.expr(f"place div {bucket}").alias("bucket"), F.lit(False).alias("ask"), "cid",
-        "place", F.lit(0).cast("long").alias("reach"), "vec")
+        "place", F.lit(0).cast("long").alias("reach"), "vec", "head")
     queries = places.join(asked.select("cid").distinct(), "cid").select(
         "curve", F.explode(F.expr(
             f"sequence(greatest(place - {reach}, 0L) div {bucket}, "
             f"least(place + {reach}, {n - 1}L) div {bucket})")).alias("bucket"),
         F.lit(True).alias("ask"), "cid", "place", F.lit(reach).cast("long").alias("reach"))
     queries = queries.join(vecs, "cid").select(rows.columns)
-    found = rows.unionByName(queries).groupBy("curve", "bucket").applyInPandas(
+    # a bucket's queries in parts of about ``PART``, so that a group does not grow with the queries
+    parts = max(1, int(np.ceil(asked.count() * (2 * reach + bucket) / n / PART)))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int"))
+    found = rows.unionByName(queries).groupBy("curve", "bucket", "part").applyInPandas(
         _best(size, k), "q long, c long, score double")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     # ties between classes go to the smaller id: a class's first

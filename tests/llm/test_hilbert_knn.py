@@ -48,6 +48,23 @@ def test_edges_ties_and_hot_vector(spark):
     assert by == brute_force(rows)
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """More equally near vectors than a bucket keeps: of equal norm, and scaled by powers of two."""
+    rng = np.random.default_rng(4)
+    plain = [1.0, 1.0, 1.0, 1.0] + [0.0] * 12
+    rows = [(0, plain)]
+    for i in range(1, 198):     # two of the query's four ones, each another two elsewhere
+        v = [0.0] * 16
+        for j in [*rng.choice(4, 2, replace=False), *(4 + rng.choice(12, 2, replace=False))]:
+            v[j] = 1.0
+        rows.append((i, v))
+    got = H.nearest(frame(spark, rows)).filter("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+    rows = [(i, [2.0 ** (i % 5) * x for x in (0.3, -0.5, 0.8)]) for i in range(0, 230)]
+    got = H.nearest(frame(spark, rows)).filter("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.5])]
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6))
