@@ -1,7 +1,9 @@
 """Quality rules: document rules, then host verdicts from shrunken failure rates (native).
 
-``rule_metrics`` computes the document rules with built-in functions over whole texts.
-``host_verdicts`` counts rows and failures by host, fits a beta prior to the hosts' rates by
+``rule_metrics`` computes the document rules with built-in functions over whole texts: few words or
+many repeated ones (``base_failed``, which decides alone), and also many symbols or repeated lines
+(``rule_failed``, which tells a host's quality).
+``host_verdicts`` counts rows and failures of any rule by host, fits a beta prior to the hosts' rates by
 moments (the binomial part of their spread taken out) and shrinks each rate towards it: a host
 with few documents needs more evidence than one with many.  ``quality_rules`` joins the verdicts
 back to the documents.
@@ -26,6 +28,8 @@ from cadenza.llm.common import SPACE, WORD, staged, text_or_empty
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+MAX_SYMBOL_PERCENT = 10     # of the words' characters
+MAX_DUP_LINE_PERCENT = 30   # of the lines with a word
 WINDOW = 8
 MAX_HOST_RATE = 0.75
 SALTS = 32
@@ -69,6 +73,7 @@ def rule_metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"),
     rows = rows.select(
         "row", "n_symbols", F.size("words").alias("n"), "words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     rows = rows.withColumn("keys", _window_keys(F.col("words"), F.col("n"), width)).drop("words")
     # only texts in which some window repeats are sorted
@@ -82,8 +87,10 @@ def rule_metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"),
                            .otherwise(F.lit(0).cast("long")))
     n = F.col("n").cast("long")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    also = failed | (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")) | (
+        100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
     return rows.select("row.*", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-                       "n_repeat_words", failed.alias("base_failed"))
+                       "n_repeat_words", failed.alias("base_failed"), also.alias("rule_failed"))
 
 
 def host_verdicts(metrics: DataFrame, host: str = "source",
@@ -92,7 +99,7 @@ def host_verdicts(metrics: DataFrame, host: str = "source",
     hosts = staged(
         metrics.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
             F.count(F.lit(1)).alias("n_docs"),
-            F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
+            F.sum(F.col("rule_failed").cast("long")).alias("n_failed")), "hosts")
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     # one row: totals and the spread of the rates
     total = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.count(F.lit(1)).alias("h"),
@@ -131,7 +138,7 @@ def with_verdict(metrics: DataFrame, verdicts: DataFrame, host: str = "source",
 
 
 def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, source, the rule columns, base_failed, host_failed, kept."""
+    """doc_id, source, the rule columns, base_failed, rule_failed, host_failed, kept."""
     metrics = staged(rule_metrics(docs), "rules")
     return with_verdict(metrics, host_verdicts(metrics, max_rate=max_rate))
 
@@ -166,10 +173,12 @@ c as (select rid, sum(step) n from (
         from r) group by rid),
 m as (select w.rid, doc_id, source, len(ws) n_words, length(array_to_string(ws, '')) word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols,
-        len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(c.n, 0) n_repeat_words
+        len(ls) - len(list_distinct(ls)) n_dup_lines, len(ls) n_lines, coalesce(c.n, 0) n_repeat_words
       from w left join c using (rid)),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m),
-h as (select source, count(*) n, sum(base_failed::int) f from b where source is not null group by 1),
+a as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m),
+b as (select *, base_failed or 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 30 * n_lines
+  rule_failed from a),
+h as (select source, count(*) n, sum(rule_failed::int) f from b where source is not null group by 1),
 t as (select sum(n) n, sum(f) f, count(*) h, sum(f * f / n::double) ff from h),
 p as (select *, least(greatest(f / n, 1e-6), 1 - 1e-6) mean,
         greatest(ff / n - (f / n) ** 2, 0) spread from t),
@@ -179,7 +188,7 @@ s as (select mean, least(greatest(case when net > 1e-12 then mean * (1 - mean) /
 v as (select source, (f + mean * k) / (n + k) > 0.75 bad from h, s)
 select doc_id, b.source, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars,
   cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines,
-  cast(n_repeat_words as bigint) n_repeat_words, base_failed,
+  cast(n_repeat_words as bigint) n_repeat_words, base_failed, rule_failed,
   coalesce(bad, false) host_failed, not base_failed and not coalesce(bad, false) kept
 from b left join v on b.source = v.source
 """

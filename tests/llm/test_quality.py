@@ -62,6 +62,33 @@ def test_hot_bad_host_is_rejected_and_small_hosts_are_shrunk(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_a_host_of_junk_decides_its_documents(make, spark):
+    """Texts that pass the base rules, of a host where symbols and repeated lines abound; SQL agrees."""
+    rows = []
+    for i in range(90):
+        junk = f"## $$ %% || ** << >> && ## $$ word{i} w{i * 3} " + " ".join(f"a{i}b{j}" for j in range(20))
+        lines = "\n".join([f"line of {i}"] * 4 + [" ".join(f"k{i}l{j}" for j in range(30))])
+        good = " ".join(f"g{i}h{j}" for j in range(40))
+        rows.append((i, junk if i % 2 else lines, "en", "junk", 0))
+        rows.append((1000 + i, good, "en", "fine" if i % 3 else None, 0))
+    rows += [(2000, " ".join(f"c{j}" for j in range(50)), "en", "junk", 0), (2001, "short", "en", "fine", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in R.quality_rules(docs).collect()}
+    assert got[2000]["host_failed"] and not got[2000]["rule_failed"] and not got[2000]["kept"]
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(90))
+    assert all(got[1000 + i]["kept"] for i in range(90)) and not got[2001]["kept"]
+    kept = {r["doc_id"] for r in R.keep_documents(docs).collect()}
+    assert kept == {i for i, r in got.items() if r["kept"]}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(R.ORACLE).df()
+    names = list(want.columns)
+    assert sorted(names) == sorted(R.quality_rules(docs).columns)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.values()))) == sorted(
+        map(str, (tuple(None if x != x else x for x in r) for r in want.astype(object).itertuples(
+            index=False, name=None))))
+
+
 def test_prior():
     assert R.beta_prior(0, None, 0, None) == (1.0, 1.0)
     a, b = R.beta_prior(1000, 100, 10, 10.0 + 1e-9)
@@ -115,6 +142,28 @@ def test_held_out_accuracy(documents, spark):
     assert got["a"] >= 0.97
 
 
+def test_scores_equal_an_independent_discriminant(documents, spark):
+    """fit and score against class means and covariances, determinants and solves by numpy."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality is not null")
+    rows = C.document_features(documents).drop("_row").join(
+        labels.filter(~C.held_out()).select("doc_id", "quality"), "doc_id", "left").toPandas()
+    x = rows[C.FEATURES].to_numpy(float)
+    y = rows["quality"].to_numpy(float)
+    cov = {k: np.cov(x[y == k].T, bias=True) for k in (0, 1)}
+    n = {k: (y == k).sum() for k in (0, 1)}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    pooled = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled))
+    density = {}
+    for k in (0, 1):
+        s = 0.9 * cov[k] + 0.1 * pooled + 1e-3 * np.eye(len(C.FEATURES))
+        d = x - x[y == k].mean(axis=0)
+        density[k] = (np.log((n[k] + 1) / (n[0] + n[1] + 2)) - np.linalg.slogdet(s)[1] / 2
+                      - np.einsum("ni,ni->n", d, np.linalg.solve(s, d.T).T) / 2)
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+    got = {r["doc_id"]: r["score"] for r in C.score_documents(documents, labels).collect()}
+    assert np.allclose([got[i] for i in rows["doc_id"]], want, atol=1e-9)
+
+
 def test_score_is_the_log_density_difference():
     rng = np.random.default_rng(0)
     d = len(C.FEATURES)
