@@ -15,7 +15,7 @@ from cadenza.functions.scalars import as_int_list, special_edition
 from cadenza.operators.genres import release_modes, rg_tag_buckets, secondary_types
 from cadenza.operators.knn import knn_single, missing_seeds, terms_of
 from cadenza.operators.nearest import BoxIndex, box_index, search
-from cadenza.operators.recommend import valid_requests, validate_request
+from cadenza.operators.recommend import local_rows, valid_requests, validate_request
 from cadenza.session import Stages, stage
 
 ALBUM_RANK_DIGITS = 12   # album distances are tiny (raw ids and years dominate)
@@ -148,8 +148,8 @@ def seed_profile(data: DataFrame, seeds) -> DataFrame:
     return s.agg(*aggs).withColumn("id", F.lit(-1).cast("long"))
 
 
-def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None, genre_ids=None,
-                     staging: str = "checkpoint") -> DataFrame:
+def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None,
+                     genre_ids=None) -> DataFrame:
     """K5 + P4 + P5: albums near one seed-set profile -> (rank, id, distance).
 
     Exclusions and the genre filter come before an exact top-k: ``top_n`` rows come back
@@ -169,8 +169,8 @@ def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None,
         where = F.arrays_overlap("genre_ids", F.array(*[F.lit(int(x)) for x in genre_ids]))
     top = knn_single(model.terms, cen, top_n, key="id", where=where, digits=ALBUM_RANK_DIGITS,
                      exclude=set(seeds) | {int(b) for b in blacklist or []})
-    # at most top_n rows, read several times by enrichment: staged once
-    return stage(top.select("rank", "id", "distance"), staging)
+    # at most top_n rows, read several times by enrichment: a local table
+    return local_rows(top, "id", top_n).drop("status")
 
 
 def album_neighbours(model: AlbumModel, requests: DataFrame, exclude_seed: bool = True) -> DataFrame:

@@ -23,6 +23,7 @@ class ArtistModel:
     vocab: DataFrame      # (token, df, idf)
     vectors: DataFrame    # (artist_id, token, w), unit rows
     terms: DataFrame      # (artist_id, terms, norm, recommendable), one row per artist
+    cards: DataFrame      # (artist_id, gid, name, genres, urls, official_site): A13, by artist_id
     _index: TokenIndex | None = None
 
     def index(self) -> TokenIndex:
@@ -46,11 +47,19 @@ def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
             .withColumn("recommendable", F.lit(True))
         terms = terms_of(vectors).join(ok, "artist_id", "left").withColumn(
             "recommendable", F.coalesce("recommendable", F.lit(False)))
-        model = ArtistModel(feats, stage(vocab, staging), vectors, stage(terms, staging))
-        scratch.release(feats, model.vocab, vectors, model.terms)   # the model alone is left
+        cards = enrich_artists(cat, feats.select("artist_id"))
+        model = ArtistModel(feats, stage(vocab, staging), vectors,
+                            stage(by_id(terms), staging), stage(by_id(cards), staging))
+        # the model alone is left
+        scratch.release(feats, model.vocab, vectors, model.terms, model.cards)
     return model
 
 
+def by_id(df: DataFrame, key: str = "artist_id") -> DataFrame:
+    """Sorted by id over its files, so that a read of a few ids skips most row groups."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def ids_df(spark: SparkSession, ids, name: str = "id") -> DataFrame:
     """A python id list as a one-column relation."""
     return spark.createDataFrame([(int(i),) for i in (ids or [])],
@@ -87,7 +96,7 @@ def mean_vector(rows) -> dict[str, float]:
 
 
 def recommend_artists(model: ArtistModel, seeds, top_n: int = 5, blacklist=None,
-                      filter_recommendable: bool = True, staging: str = "checkpoint") -> DataFrame:
+                      filter_recommendable: bool = True) -> DataFrame:
     """K3 + P4 + Q6 for one request -> (rank, artist_id, distance, status).
 
     Seeds, blacklist and artists that may not be recommended are out before the top-k, so
@@ -103,10 +112,16 @@ def recommend_artists(model: ArtistModel, seeds, top_n: int = 5, blacklist=None,
     top = knn_single(model.terms, mean_vector(rows), top_n,
                      exclude=set(seeds) | {int(b) for b in blacklist or []},
                      where=F.col("recommendable") if filter_recommendable else None)
-    # P12 on the (at most top_n) result rows themselves; staged once because
-    # enrichment reads the result several times
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return stage(top.withColumn("status", F.when(n >= top_n, "ok").otherwise("short")), staging)
+    # top_n rows at most: they go on as a local table
+    return local_rows(top, "artist_id", top_n)
+
+
+def local_rows(top: DataFrame, key: str, top_n: int) -> DataFrame:
+    """The rows of one request, with P12's status, as a table that the driver holds."""
+    rows = [(r["rank"], r[key], r["distance"]) for r in top.collect()]     # top_n at most
+    status = "ok" if len(rows) >= top_n else "short"
+    return top.sparkSession.createDataFrame(
+        [(*r, status) for r in rows], f"rank int, {key} long, distance double, status string")
 
 
 def valid_requests(requests: DataFrame, lo: int = 1, hi: int = 100) -> DataFrame:
@@ -192,6 +207,17 @@ def enrich_artists(cat, ranked: DataFrame, key: str = "artist_id") -> DataFrame:
             .withColumn("official_site", official_site("urls")))
 
 
+def with_cards(model: ArtistModel, ranked: DataFrame) -> DataFrame:
+    """A13 from the model's cards: what ``enrich_artists`` gives, for a few rows a read of theirs."""
+    return ranked.join(model.cards, "artist_id")
+
+
+def one_request_cards(model: ArtistModel, ranked: DataFrame) -> DataFrame:
+    """``with_cards`` for one request's rows: only their ids are read."""
+    ids = [r[0] for r in ranked.select("artist_id").collect()]     # a local table
+    return ranked.join(model.cards.where(F.col("artist_id").isin(ids)), "artist_id")
+
+
 def artist_digest(enriched: DataFrame) -> DataFrame:
     """One markdown text per request from enriched, ranked artists."""
     line = F.concat_ws("\n",
@@ -211,4 +237,4 @@ def artist_digest(enriched: DataFrame) -> DataFrame:
 
 
 __all__ = ["ArtistModel", "build_artist_model", "recommend_artists", "recommend_artists_batch",
-           "enrich_artists", "artist_digest", "with_outcome", "ids_df", "RANK_DIGITS"]
+           "enrich_artists", "with_cards", "one_request_cards", "artist_digest", "with_outcome", "ids_df", "RANK_DIGITS"]

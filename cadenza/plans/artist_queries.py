@@ -87,7 +87,7 @@ def k1_vectors(spark, sf):
 
 
 # ----------------------------------------------------------------- kNN
-from cadenza.operators.recommend import (build_artist_model, enrich_artists,  # noqa: E402
+from cadenza.operators.recommend import (build_artist_model, one_request_cards,  # noqa: E402
                                          recommend_artists, recommend_artists_batch)
 from cadenza.plans.registry import BLACKLIST, SEEDS, TOP_N  # noqa: E402
 
@@ -127,10 +127,8 @@ def k4(spark, sf):
 
 @query("q7_artist_recommendations")
 def q7(spark, sf):
-    cat = catalog(spark, sf)
     m = _model(spark, sf)
-    r = recommend_artists(m, SEEDS, TOP_N, BLACKLIST)
-    e = enrich_artists(cat, r)
+    e = one_request_cards(m, recommend_artists(m, SEEDS, TOP_N, BLACKLIST))
     return e.select("rank", "artist_id", "gid", "name", "genres",
                     F.transform("urls", lambda u: u["url"]).alias("urls"), "official_site",
                     F.round("distance", 6).alias("distance"), "status")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars as X
 from cadenza.functions.numbering import dense_numbers
 from cadenza.operators import albums, metrics, profile, search
-from cadenza.operators.recommend import enrich_artists, recommend_artists_batch, with_outcome
+from cadenza.operators.recommend import recommend_artists_batch, with_cards, with_outcome
 from cadenza.plans.artist_queries import _model
 from cadenza.plans.registry import catalog, query
 
@@ -64,7 +64,7 @@ def q9(spark, sf):
     req = profile.profile_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
                                    BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
     m = _model(spark, sf)
-    e = enrich_artists(cat, recommend_artists_batch(m, req))
+    e = with_cards(m, recommend_artists_batch(m, req))
     out = with_outcome(e, req, m.features, "artist_id")
     return out.select(F.col("request_id").alias("user_id"), "status", "rank", "artist_id", "gid",
                       "name", "genres", F.round("distance", 6).alias("distance"))
@@ -119,7 +119,8 @@ def s9(spark, sf):
     cat = catalog(spark, sf)
     req = profile.profile_requests(cat, cat["listens"], PROFILE_RANGE, PROFILE_MIN,
                                    BLACKLIST_RANGE, BLACKLIST_MIN, MAX_RESULTS)
-    e = enrich_artists(cat, recommend_artists_batch(_model(spark, sf), req))
+    m = _model(spark, sf)
+    e = with_cards(m, recommend_artists_batch(m, req))
     return artist_digest(e).withColumnRenamed("request_id", "user_id")
 
 

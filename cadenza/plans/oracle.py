@@ -522,7 +522,9 @@ select id, token, tf from tf""")
 
 
 # ----------------------------------------------------------------- K9, K8 (language identification)
-from cadenza.operators.langid import LANGUAGE_IDS as _LID, SCRIPT_IDS as _SID, MIN_MARGIN as _MARGIN  # noqa: E402
+from cadenza.operators.langid import LANGUAGE_IDS as _LID, SCRIPT_IDS as _SID  # noqa: E402
+
+_MARGIN = 0.02      # nats per n-gram between the two best languages
 
 
 def cte_clean(src: str, key: str, text: str, name: str) -> str:
@@ -560,6 +562,25 @@ register("k9_detect_documents", "WITH " + CTE_LANGMODEL + ",\n" + cte_detect("do
          " select id doc_id, lang from det")
 
 
+register("k9_langid_accuracy", "WITH " + cte_clean("documents", "doc_id", "text", "dt") + f""",
+folds AS (select unnest(range(5)) f),
+per AS (select d.lang, d.doc_id % 5 f, g.gram, sum(g.c) c from dt_g g join documents d on d.doc_id = g.k group by all),
+tot AS (select lang, gram, sum(c) c from per group by all),
+m AS (select t.lang, folds.f, t.gram, t.c - coalesce(per.c, 0) c from tot t cross join folds
+  left join per on per.lang = t.lang and per.f = folds.f and per.gram = t.gram where t.c - coalesce(per.c, 0) > 0),
+mv AS (select f, count(distinct gram) v from m group by f),
+mt AS (select lang, f, sum(c) t from m group by all),
+mu AS (select mt.lang, mt.f, ln(1.0 / (mt.t + mv.v)) unseen from mt join mv using (f)),
+n AS (select k, sum(c) ng from dt_g group by k),
+s AS (select g.k, m.lang, sum(g.c * ln(m.c + 1.0)) gain from dt_g g join m on m.gram = g.gram and m.f = g.k % 5 group by all),
+p AS (select n.k, n.ng, mu.lang, coalesce(s.gain, 0) + n.ng * mu.unseen score from n join mu on mu.f = n.k % 5
+  left join s on s.k = n.k and s.lang = mu.lang),
+r AS (select k, ng, lang, score, row_number() over (partition by k order by score desc, lang desc) r from p),
+b AS (select a.k, case when c.score is null or (a.score - c.score) / a.ng >= {_MARGIN} then a.lang end pred
+  from r a left join r c on c.k = a.k and c.r = 2 where a.r = 1)
+select d.lang, count(*) n, count_if(b.pred = d.lang) correct from documents d left join b on b.k = d.doc_id group by d.lang""")
+
+
 def cte_language(src: str, out: str) -> str:
     """K8 in SQL over a feature CTE ``src`` (needs CTE_LANGMODEL)."""
     return ("""todo AS (select id from q3 where language is null or script is null),

@@ -36,7 +36,7 @@ def cached_features(spark: SparkSession, path: str, key: dict, build, refresh: b
 
 # a model's tables by the kind of model; meta.json beside them has the imputation row
 ARTEFACTS = {
-    "artist_knn": ("features", "vocab", "vectors", "terms"),
+    "artist_knn": ("features", "vocab", "vectors", "terms", "cards"),
     "album_knn": ("data", "vectors", "terms"),
 }
 
