@@ -16,10 +16,10 @@ FEATURE_COLUMNS = ["artist_id", "artist_gid", "artist_name", "artist_type", "are
 
 
 def _artist_meta(cat, artists: DataFrame) -> DataFrame:
-    """Artist -> type name -> area name (left joins on small lookups)."""
+    """Artist -> type name -> area name (left joins; Spark broadcasts them where they are small)."""
     at = cat["artist_type"].select(F.col("id").alias("type"), F.col("name").alias("artist_type"))
     ar = cat["area"].select(F.col("id").alias("area"), F.col("name").alias("area_name"))
-    return (artists.join(F.broadcast(at), "type", "left").join(F.broadcast(ar), "area", "left")
+    return (artists.join(at, "type", "left").join(ar, "area", "left")
             .select(F.col("id").alias("artist_id"), F.col("gid").alias("artist_gid"),
                     F.col("name").alias("artist_name"), "artist_type", "area_name"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HOT_SHARE = 64      # a credit with more than one such part of all rows is dealt out
+SALTS = 32
+
 
 def eligible_artists(artist: DataFrame) -> DataFrame:
     """Artists with a name that is not 'various artists' (any case)."""
@@ -27,6 +30,34 @@ def restrict(df: DataFrame, ids: DataFrame | None, key: str, ids_key: str = "id"
     return df.join(ids.select(F.col(ids_key).alias(key)), key, "left_semi")
 
 
+def hot_credits(cat) -> list[int]:
+    """Credits with more than one ``HOT_SHARE``-th of the release or recording rows (``2 * HOT_SHARE``
+    at most); counted once for a catalogue."""
+    if getattr(cat, "_hot_credits", None) is None:
+        found = set()
+        for table in ("release", "recording"):
+            n = cat[table].groupBy("artist_credit").agg(F.count(F.lit(1)).alias("n"))
+            over = n.join(F.broadcast(n.agg(F.sum("n").alias("total"))),       # one row
+                          F.col("n") * HOT_SHARE > F.col("total"))
+            found |= {r[0] for r in over.select("artist_credit").collect() if r[0] is not None}
+        cat._hot_credits = sorted(found)
+    return cat._hot_credits
+
+
+def join_credit(cat, acn: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Artists of a credit (``acn``) beside its ``rows``; a hot credit's rows are dealt to ``SALTS``
+    parts by ``key``, and its few artists repeated for each."""
+    hot = hot_credits(cat)
+    if not hot:
+        return acn.join(rows, "artist_credit")
+    is_hot = F.col("artist_credit").isin(hot)
+    rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(
+        F.lit(0)).cast("int"))
+    acn = acn.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(SALTS - 1)).otherwise(
+        F.lit(0)))))
+    return acn.join(rows, ["artist_credit", "_salt"]).drop("_salt")
+
+
 def credited_release_groups(cat, scope: DataFrame | None = None) -> DataFrame:
     """(id = artist, release_group_id) over four credit paths, distinct."""
     acn = restrict(cat["artist_credit_name"], scope, "artist")
@@ -35,8 +66,8 @@ def credited_release_groups(cat, scope: DataFrame | None = None) -> DataFrame:
     rel = cat["release"].select(F.col("id").alias("release_id"),
                                 F.col("release_group").alias("release_group_id"),
                                 "artist_credit")
-    a = acn.join(rg, "artist_credit").select(F.col("artist").alias("id"), "release_group_id")
-    b = acn.join(rel, "artist_credit").select(F.col("artist").alias("id"), "release_group_id")
+    a = join_credit(cat, acn, rg, "release_group_id").select(F.col("artist").alias("id"), "release_group_id")
+    b = join_credit(cat, acn, rel, "release_id").select(F.col("artist").alias("id"), "release_group_id")
     lrg = restrict(cat["l_artist_release_group"], scope, "entity0")
     c = lrg.select(F.col("entity0").alias("id"), F.col("entity1").alias("release_group_id"))
     lr = restrict(cat["l_artist_release"], scope, "entity0")
@@ -53,7 +84,7 @@ def credited_releases(cat, scope: DataFrame | None = None, crg: DataFrame | None
                                 "artist_credit")
     if crg is None:
         crg = credited_release_groups(cat, scope)
-    a = acn.join(rel, "artist_credit").select(F.col("artist").alias("id"), "release_id")
+    a = join_credit(cat, acn, rel, "release_id").select(F.col("artist").alias("id"), "release_id")
     b = crg.join(rel.select("release_group_id", "release_id"), "release_group_id") \
         .select("id", "release_id")
     lr = restrict(cat["l_artist_release"], scope, "entity0")
@@ -65,7 +96,7 @@ def credited_recordings(cat, scope: DataFrame | None = None) -> DataFrame:
     """(id, recording_id): credited recordings and direct links."""
     acn = restrict(cat["artist_credit_name"], scope, "artist")
     rec = cat["recording"].select(F.col("id").alias("recording_id"), "artist_credit")
-    a = acn.join(rec, "artist_credit").select(F.col("artist").alias("id"), "recording_id")
+    a = join_credit(cat, acn, rec, "recording_id").select(F.col("artist").alias("id"), "recording_id")
     lr = restrict(cat["l_artist_recording"], scope, "entity0")
     b = lr.select(F.col("entity0").alias("id"), F.col("entity1").alias("recording_id"))
     return a.unionByName(b).distinct()
@@ -84,5 +115,5 @@ def recommendable_artists(cat) -> DataFrame:
     """Q6 candidate set: Person/Group artists credited on an RG or release (P6 + U8)."""
     types = cat["artist_type"].where(F.col("name").isin("Person", "Group")).select(
         F.col("id").alias("type"))
-    art = cat["artist"].join(F.broadcast(types), "type", "left_semi").select("id")
+    art = cat["artist"].join(types, "type", "left_semi").select("id")
     return art.join(primary_artists(cat), "id", "left_semi")

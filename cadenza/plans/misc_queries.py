@@ -246,3 +246,19 @@ def j10(spark, sf):
         F.count(F.lit(1)).alias("n"))
     ranked = dense_numbers(n, [F.desc("n"), "id"], "rank", start=1).withColumn("rank", F.col("rank").cast("int"))
     return filter_recommendable_ordered(cat, ranked.select("rank", "id")).select("rank", "id")
+
+
+@query("x_user_settings")
+def x_user_settings(spark, sf):
+    """Each user's settings (listens as the minimum asked for, distinct artists as the
+    results), and the genres of their artists as a list."""
+    cat = catalog(spark, sf)
+    g = (cat["listens"].select("user_id", "artist").distinct().join(cat["artist_tag"], "artist")
+         .join(cat["tag"].select(F.col("id").alias("tag"), "name"), "tag")
+         .groupBy("user_id").agg(F.array_sort(F.collect_set("name")).alias("genres")))
+    per = cat["listens"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
+                                                F.count_distinct("artist").alias("artists"))
+    top = X.clamp_int("artists", 1, 50)
+    return per.join(g, "user_id", "left").select(
+        "user_id", top.alias("max_results"), X.ordered_min_listen("n", top).alias("min_listen"),
+        X.genre_list("genres", 10).alias("genres"), X.genre_list("genres").alias("all_genres"))

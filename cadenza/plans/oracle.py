@@ -503,6 +503,7 @@ select s.artist_id, s.artist_gid, s.artist_name, s.artist_type, s.area_name, coa
   array_to_string(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, [])), ' ') genres, s.tag_count_sum
 from sums s left join tagstr using (artist_id) left join tgen on tgen.id = s.artist_id left join ext on ext.id = s.artist_id
 where len(list_concat(coalesce(tgen.tokens, []), coalesce(ext.tokens, []))) > 0""")
+ORACLE["q2_first_artists"] = ORACLE["q2_scoped_every_artist"]
 
 register("k12_label_vocabulary", "WITH " + CTE_Q3 + """,
 lab AS (select distinct 'tag_ids' AS "column", unnest(tag_ids) label from q3
@@ -770,3 +771,10 @@ register("j10_ordered_ids", "WITH " + CTE_RECOMMENDABLE + """,
 n AS (select artist id, count(*) n from listens where artist is not null group by artist),
 rk AS (select id, row_number() over (order by n desc, id) rank from n)
 select rank, id from rk where id in (select id from recable)""")
+
+register("x_user_settings", """WITH g AS (select x.user_id, list_sort(list(distinct t.name)) genres
+  from (select distinct user_id, artist from listens) x join artist_tag a on a.artist = x.artist join tag t on t.id = a.tag group by x.user_id),
+per AS (select user_id, count(*) n, count(distinct artist) artists from listens group by user_id)
+select per.user_id, cast(least(greatest(artists, 1), 50) as int) max_results,
+  least(n, least(greatest(artists, 1), 50)) min_listen, array_to_string(genres[1:10], ', ') genres,
+  array_to_string(genres, ', ') all_genres from per left join g on g.user_id is not distinct from per.user_id""")
