@@ -2,8 +2,8 @@
 
 1. ``signatures``: a document's set of shingles (distinct runs of five words, A-Z lower-cased), its
    size, an order-free 128-bit fingerprint of the set, and a MinHash signature; one narrow pass.
-2. Documents with equal sets form a class, represented by its smallest doc_id; the rest works on
-   representatives, so a group of exact copies of any size costs one.
+2. Documents with equal sets form a class, a node of its own, whose text is that of its smallest
+   doc_id; the rest works on classes, so a group of exact copies of any size costs one.
 3. Bands of the signature are bucket keys.  ``BANDS`` bands of ``ROWS`` miss a pair of similarity
    0.85 with a chance below 1e-6.
 4. Star rounds: every member of a bucket is paired with the bucket's hub only.  ``prune`` compares
@@ -15,8 +15,9 @@
    as pairs of blocks), again by batches, then on full sets; a block emits only links that join
    two components, never its pairs.  So no link is lost that the bands have found.
 
-Scale: signatures are 0.5 KB a document, staged once; full sets are built only for documents that
-share a bucket.  Buckets are found by a partial aggregate; nothing of unbounded size reaches one
+Scale: signatures are 0.5 KB a document, staged once; only texts that share a bucket are staged and
+joined (a text takes a third of its set's hashes), and full sets are built where pairs are confirmed.
+Members of a band key are joined in salted parts.  Buckets are found by a partial aggregate; nothing of unbounded size reaches one
 task or the driver (the driver holds counts only).  Components are contracted in staged rounds.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and is its
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import slices
 from cadenza.llm.common import staged, text_or_empty, worker_cache
+from cadenza.session import Stages
 
 SHINGLE = 5
 PERCENT = 85
@@ -46,6 +48,7 @@ MISS = 1e-6
 BLOCK = 192
 ROWS_PER_GROUP = 1024   # rows handed to Python at once, of many small cells
 STARS = 3
+SALTS = 16            # parts in which the members of a band key are joined
 SLICE = 1_000_000
 SEED = 2025
 
@@ -140,6 +143,15 @@ def minhash(flat: np.ndarray, size: np.ndarray, hashes: int = HASHES) -> np.ndar
     return out
 
 
+def fingerprints(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two order-free 64-bit hashes of each set."""
+    ends, keys = np.cumsum(size), []
+    for stream in (5, 6):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat * _odd(1, stream)[0]))])
+        keys.append((total[ends] - total[ends - size]).astype(np.uint64).view(np.int64))
+    return keys
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (the set's fingerprint), bands (array of long), sig (binary)."""
     def run(batches):
@@ -147,12 +159,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, texts in slices(batch.column(1), SLICE):
                 flat, size = shingle_sets(texts)
-                ends = np.cumsum(size)
-                keys = []
-                for stream in (5, 6):
-                    total = np.concatenate([[np.uint64(0)],
-                                            np.cumsum(mix(flat * _odd(1, stream)[0]))])
-                    keys.append((total[ends] - total[ends - size]).astype(np.uint64).view(np.int64))
+                keys = fingerprints(flat, size)
                 rows = minhash(flat, size)
                 wide = rows[:, :BANDS * ROWS].astype(np.uint64).reshape(len(rows), BANDS, ROWS)
                 bands = mix((wide * odd[:ROWS]).sum(axis=2, dtype=np.uint64)
@@ -171,21 +178,29 @@ def signatures(docs: DataFrame) -> DataFrame:
                          "sig binary")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and set (sorted 64-bit shingle hashes as binary)."""
-    def run(batches):
+def texts_of(docs: DataFrame, wanted: DataFrame, plain: bool) -> DataFrame:
+    """node, text of the classes in ``wanted`` (node, rep, k1, k2).
+
+    A class's text is that of the row of doc_id ``rep`` with its fingerprint; in a ``plain`` table
+    (no doc_id twice) that is the one row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
+    if plain:
+        return rows.join(wanted.select("rep", "node"), "rep").select("node", "text")
+
+    def own(batches):
         for batch in batches:
+            keep = []
             for first, texts in slices(batch.column(1), SLICE):
-                flat, size = shingle_sets(texts)
-                ends = np.cumsum(size).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)),
-                     pa.array([flat[e - n:e].tobytes() for e, n in
-                               zip(ends, size.tolist(), strict=True)], pa.binary())],
-                    ["doc_id", "set"])
+                keys = fingerprints(*shingle_sets(texts))
+                keep += [first + i for i, (x, y) in enumerate(zip(*[k.tolist() for k in keys],
+                                                                  strict=True))
+                         if (x, y) == (batch.column(2)[first + i].as_py(),
+                                       batch.column(3)[first + i].as_py())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["node", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
-        .mapInArrow(run, "doc_id long, set binary")
+    rows = rows.join(wanted, "rep").select("node", "text", "k1", "k2")
+    return rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
 
 
 # -- verification -------------------------------------------------------------------------
@@ -227,7 +242,7 @@ def _sig(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     least = least_matches(percent)
 
@@ -239,27 +254,38 @@ def verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
 
     def confirm(batches):
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [i for i in range(len(batch)) if linked(
-                np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64),
-                percent)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
+            for first, left in slices(batch.column(2), SLICE):
+                right = batch.column(3).slice(first, len(left)).to_pylist()
+                sides = []
+                for some in (left, right):
+                    flat, size = shingle_sets(some)
+                    sides.append(np.split(flat, np.cumsum(size)[:-1]))
+                keep = [first + i for i, (x, y) in enumerate(zip(*sides, strict=True))
+                        if linked(x, y, percent)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     def beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(rows.select(F.col("doc_id").alias(side),
+            pairs = pairs.join(rows.select(F.col("node").alias(side),
                                            F.col(value).alias(f"{value}_{side}")), side)
         return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
     left = staged(beside(pairs, sigs, "sig").mapInArrow(prune, "a long, b long"), "pairs")
-    return staged(beside(left, sets, "set").mapInArrow(confirm, "a long, b long"), "links")
+    return staged(beside(left, texts, "text").mapInArrow(confirm, "a long, b long"), "links")
 
 
 # -- components ---------------------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ``links`` (a, b)."""
+    with Stages() as scratch:
+        labels = _components(links)
+        scratch.release(labels)
+    return labels
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = staged(links.filter("a <> b").select("a", "b").distinct(), "edges")
     labels = staged(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                     .withColumn("root", F.col("node")), "labels")
@@ -290,18 +316,24 @@ def components(links: DataFrame) -> DataFrame:
 def _members(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Bucket members with their component."""
     if labels is None:
-        return buckets.withColumn("root", F.col("doc_id"))
-    return buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id"))
+        return buckets.withColumn("root", F.col("node"))
+    return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (node, key) joined with one row per key, in ``SALTS`` parts of a key."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).cast("int"))
+    keys = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(keys, ["key", "_part"]).drop("_part")
 
 
 def _open(members: DataFrame) -> DataFrame:
     """Buckets whose members are in more than one component, one of each set of members."""
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("node")
     found = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min("root").alias("r1"),
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min("root").alias("r1"),
         F.max("root").alias("r2"), F.sum(h.cast("decimal(38,0)")).alias("s"),
-        F.bit_xor(h).alias("x"), F.max("doc_id").alias("high"))
+        F.bit_xor(h).alias("x"), F.max("node").alias("high"))
     found = found.filter("r1 <> r2")
     return found.groupBy("n", "low", "high", "s", "x").agg(
         F.min("key").alias("key"), F.min("r1").alias("r1"))
@@ -315,7 +347,7 @@ def _cells(open_: DataFrame, members: DataFrame, block: int) -> DataFrame:
     cells of kind 1 two blocks of the others, so where one component has all but a few members,
     each of its members is dealt out once.
     """
-    rows = members.join(open_.select("key"), "key")
+    rows = _of_keys(members, open_.select("key"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
     small = F.col("n") <= block
@@ -324,8 +356,8 @@ def _cells(open_: DataFrame, members: DataFrame, block: int) -> DataFrame:
         F.when(small, 0).otherwise(F.ceil(F.col("m")["n"] / block)).cast("int").alias("qa"),
         F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("m")["n"]) / block)).cast("int")
         .alias("qb")), "open")
-    rows = rows.join(sizes, "key")
-    h = F.xxhash64("doc_id", F.lit(7))
+    rows = _of_keys(rows, sizes)
+    h = F.xxhash64("node", F.lit(7))
     rows = rows.withColumn("first", F.coalesce(F.col("root") == F.col("major"), F.lit(False)))
     rows = rows.withColumn(
         "own", F.pmod(h, F.when(F.col("first"), F.col("qa")).otherwise(F.col("qb"))).cast("int"))
@@ -340,23 +372,29 @@ def _cells(open_: DataFrame, members: DataFrame, block: int) -> DataFrame:
     cells = F.when(F.col("first"), F.transform(b, lambda d: cell(0, own, d))).otherwise(F.concat(
         F.transform(a, lambda c: cell(0, c, own)),
         F.transform(b, lambda d: cell(1, F.least(own, d), F.greatest(own, d)))))
-    return rows.select("key", "doc_id", "root", "first", "own", F.explode(cells).alias("c")).select(
-        "key", "doc_id", "root", "first", "own", "c.kind", "c.i", "c.j")
+    return rows.select("key", "node", "root", "first", "own", F.explode(cells).alias("c")).select(
+        "key", "node", "root", "first", "own", "c.kind", "c.i", "c.j")
 
 
-def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: DataFrame,
+def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, texts: DataFrame,
                  percent: int, block: int = BLOCK) -> DataFrame:
     """Links between different components within open buckets, by pairs of blocks."""
     least = least_matches(percent)
     rows = staged(_cells(open_, members, block), "cells")
     groups = max(1, math.ceil(rows.count() / ROWS_PER_GROUP))  # many small cells a group
     rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(groups)))
-    rows = rows.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    rows = rows.join(sigs.select("node", "sig"), "node").join(texts, "node")
 
     def check(cell) -> list[tuple[int, int]]:
         sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(len(cell), -1)
-        sets = [np.frombuffer(s, np.uint64) for s in cell["set"]]
-        ids, root = cell["doc_id"].to_numpy(), cell["root"].to_numpy()
+        texts, sets = cell["text"].tolist(), {}
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingle_sets([texts[i]])[0]
+            return sets[i]
+
+        ids, root = cell["node"].to_numpy(), cell["root"].to_numpy()
         kind, i, j = (cell[c].iloc[0] for c in ("kind", "i", "j"))
         side = cell["own" if kind else "first"].to_numpy()  # pairs have different sides
         pairs, score = [], []
@@ -380,41 +418,51 @@ def _block_links(open_: DataFrame, members: DataFrame, sigs: DataFrame, sets: Da
         for k in np.argsort(-np.array(score), kind="stable").tolist():
             a, b = pairs[k]
             x, y = find(root[a]), find(root[b])
-            if x != y and linked(sets[a], sets[b], percent):
+            if x != y and linked(full(a), full(b), percent):
                 up[x] = y
                 out.append((ids[a], ids[b]))
         return out
 
     def run(pdf):
         import pandas as pd
-        found = [x for _, cell in pdf.sort_values("doc_id").groupby(["key", "kind", "i", "j"])
+        found = [x for _, cell in pdf.sort_values("node").groupby(["key", "kind", "i", "j"])
                  for x in check(cell)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return staged(rows.groupBy("group").applyInPandas(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS,
+                    block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per row of ``docs``."""
+    with Stages() as scratch:
+        out = _near_duplicates(docs, percent, stars, block)
+        scratch.release(out)    # what the result still reads stays
+    return out
+
+
+def _near_duplicates(docs: DataFrame, percent: int, stars: int, block: int) -> DataFrame:
     every = staged(signatures(docs), "signatures")
     some = every.filter("n_shingles > 0 and doc_id is not null")
-    classes = staged(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    plain = some.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    # a node is a class of equal sets: rows of one doc_id may be of several
+    classes = staged(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).withColumn(
+        "node", F.monotonically_increasing_id()), "classes")
     owners = staged(some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
-                    .select("doc_id", "rep").distinct(), "owners")
-    heads = owners.select(F.col("rep").alias("doc_id")).distinct()
-    sigs = some.join(heads, "doc_id", "left_semi")
-    found = sigs.select("doc_id", F.explode("bands").alias("key"))
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("r1"), F.max("doc_id").alias("r2")) \
+                    .select("doc_id", "node").distinct(), "owners")
+    heads = some.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"])
+    found = heads.select("node", F.explode("bands").alias("key"))
+    shared = found.groupBy("key").agg(F.min("node").alias("r1"), F.max("node").alias("r2")) \
         .filter("r1 <> r2").select("key")
-    buckets = staged(found.join(shared, "key").distinct(), "buckets")
-    used = staged(buckets.select("doc_id").distinct(), "used")
-    sigs = staged(sigs.select("doc_id", "sig").join(used, "doc_id", "left_semi")
-                  .dropDuplicates(["doc_id"]), "sigs")
-    sets = staged(full_sets(docs.join(used, "doc_id", "left_semi"))
-                  .dropDuplicates(["doc_id"]), "sets")
-    # rows of one doc_id may be of several classes
-    links = staged(owners.filter("doc_id <> rep").groupBy("doc_id").agg(
-        F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b"), "links")
+    buckets = staged(_of_keys(found, shared).distinct(), "buckets")
+    used = staged(buckets.select("node").distinct(), "used")
+    sigs = heads.select("node", "sig").join(used, "node", "left_semi")
+    sigs = staged(sigs if plain else sigs.dropDuplicates(["node"]), "sigs")
+    texts = staged(texts_of(docs, classes.join(used, "node", "left_semi"), plain), "texts")
+    # the texts of one doc_id are linked
+    first = owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    links = staged(owners.join(first.filter("a <> b"), "doc_id").filter("a <> node").select(
+        "a", F.col("node").alias("b")), "links")
     tested = None
     labels = components(links)
     for _ in range(stars):
@@ -423,27 +471,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS)
         if open_.isEmpty():
             break
         # a member of another component than the hub's, with the hub
-        rows = members.join(open_.select("key", "r1"), "key")
-        hubs = rows.filter("root = r1").groupBy("key").agg(F.min("doc_id").alias("hub"))
-        pairs = rows.filter("root <> r1").join(hubs, "key").select(
-            F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+        rows = _of_keys(members, open_.select("key", "r1"))
+        hubs = rows.filter("root = r1").groupBy("key").agg(F.min("node").alias("hub"))
+        pairs = _of_keys(rows.filter("root <> r1"), hubs).select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "stars")
         tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(verify(pairs, sigs, sets, percent))
+        links = links.union(verify(pairs, sigs, texts, percent))
         labels = components(links)
     members = staged(_members(buckets, labels), "members")
     open_ = staged(_open(members), "open")
     if not open_.isEmpty():
-        links = links.union(_block_links(open_, members, sigs, sets, percent))
+        links = links.union(_block_links(open_, members, sigs, texts, percent, block))
         labels = components(links)
-    rooted = owners.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(
-        F.min("root").alias("root"))
+    rooted = staged(owners.join(labels, "node", "left").select(
+        "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    low = rooted.groupBy("root").agg(F.min("doc_id").alias("low"))
+    rooted = rooted.join(low, "root").groupBy("doc_id").agg(F.min("low").alias("low"))
     out = every.select("doc_id", "n_shingles").join(rooted, "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce(
-        "root", "doc_id")).otherwise(F.col("doc_id")))
+        "low", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
                       (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
                       .alias("kept"))
@@ -451,7 +500,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, stars: int = STARS)
 
 def keep_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` (all columns) of each group of near-duplicates; repeats of a doc_id go."""
-    found = staged(near_duplicates(docs, percent), "groups")
+    with Stages() as scratch:
+        found = staged(near_duplicates(docs, percent), "groups")
+        scratch.release(found)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count() \

@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import staged, text_or_empty
 from cadenza.llm.quality_rules import words_of
+from cadenza.session import Stages
 
 THRESHOLD = 0.7
 SHRINK_CLASS = 0.1     # towards the pooled covariance
 SHRINK_DIAGONAL = 0.05  # of the pooled covariance towards its diagonal
 RIDGE = 1e-3
+FIT_ROWS = 50_000      # labelled rows that the pipeline's model is fitted on
 
 FEATURES = ["log_words", "word_length", "distinct", "repeated", "upper", "symbols", "bangs",
             "digits", "stops", "bars", "other", "dup_lines"]
@@ -153,13 +155,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """The model of at most ``rows`` labelled documents, those with the smallest hashes; features
+    are computed for their texts only."""
+    some = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(
+        F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    some = staged(some, "fit")
+    own = docs.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")  # by its bound
+    return fit(staged(document_features(own).drop("_row"), "features"), some)
+
+
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` (all columns) that the classifier, fitted on their labels, accepts.
 
-    Rows and features are staged together: one pass over the texts serves fit and filter, and the
-    filter reads stored features (pushed below them it would compute each one many times)."""
+    Texts are not staged: the features of a row are computed while it passes."""
     names = docs.columns
-    rows = staged(document_features(docs, F.struct(*[F.col(c) for c in names])), "features")
-    model = fit(rows, labels.filter(~held_out()))
-    return rows.filter(score(model) >= threshold).select(
+    with Stages() as scratch:
+        model = fit_documents(docs, labels.filter(~held_out()))
+        scratch.release()
+    rows = document_features(docs, F.struct(*[F.col(c) for c in names]))
+    # a column that depends on the row's place keeps the filter above the features: pushed below
+    # them it would compute each one many times
+    here = F.when(F.monotonically_increasing_id() >= 0, score(model))
+    return rows.select("_row", here.alias("_score")).filter(F.col("_score") >= threshold).select(
         *[F.col("_row")[c].alias(c) for c in names])

@@ -98,7 +98,7 @@ def test_chains_and_hot_copies(make):
     check(make(pairs), pairs)
 
 
-def test_blocks_find_what_stars_leave(make, monkeypatch):
+def test_blocks_find_what_stars_leave(make):
     rng = random.Random(5)
     pairs = []
     for g in range(6):
@@ -110,11 +110,23 @@ def test_blocks_find_what_stars_leave(make, monkeypatch):
             pairs.append((g * 100 + i, " ".join(own)))
     df = make(pairs)
     want, _ = brute_force(pairs)
-    monkeypatch.setattr(N, "BLOCK", 4)
-    got = N.near_duplicates(df, stars=0).collect()
+    got = N.near_duplicates(df, stars=0, block=4).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_one_doc_id_with_several_texts(make):
+    """Every text of a doc_id is a node: links of each count, and they are linked by the id."""
+    rng = random.Random(6)
+    a, b, c = (base(rng, 80) for _ in range(3))
+    near = lambda w, x: " ".join([*w[:-1], x])
+    pairs = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b, "seven")), (6, near(a, "six")),
+             (3, " ".join(c)), (9, near(c, "nine")), (9, " ".join(a)), (9, " ".join(a)), (11, "")]
+    want = {i: 3 for i in (5, 6, 7, 3, 9)} | {11: 11}
+    got = N.near_duplicates(make(pairs)).collect()
+    assert len(got) == len(pairs) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sorted(r["doc_id"] for r in N.keep_documents(make(pairs)).collect()) == [3, 11]
+
+
 def test_documents(documents):
     pairs = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     check(documents, pairs)
