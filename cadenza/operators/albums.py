@@ -295,8 +295,18 @@ def seed_profiles(data: DataFrame, requests: DataFrame) -> DataFrame:
          .join(data, "id"))
     aggs = [F.mode(c, deterministic=True).alias(c) for c in CATEGORICAL]
     aggs.append(F.bround(F.avg("year"), 0).cast("int").alias("year"))
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in LISTS]
-    return s.groupBy(F.col("request_id").alias("id")).agg(*aggs)
+    own = s.groupBy("request_id").agg(*aggs)
+    # a request's labels, each once, before they are collected
+    def named(c: str):
+        return F.transform(c, lambda x: F.struct(F.lit(c).alias("list"), x.alias("label")))
+
+    labels = s.select("request_id", F.explode(F.concat(*[named(c) for c in LISTS])).alias("e")) \
+        .select("request_id", "e.*").distinct()
+    labels = labels.groupBy("request_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("label")))).alias(c) for c in LISTS])
+    none = F.array().cast("array<int>")
+    return own.join(labels, "request_id", "left").select(
+        F.col("request_id").alias("id"), *CATEGORICAL, "year", *[F.coalesce(c, none).alias(c) for c in LISTS])
 
 
 def recommend_albums_batch(model: AlbumModel, requests: DataFrame, staging: str = "checkpoint") -> DataFrame:
