@@ -175,7 +175,7 @@ def _best(size: int, k: int):
         far = np.abs(q["place"].to_numpy()[:, None] - c["place"].to_numpy()[None, :])
         rough[far > q["reach"].to_numpy()[:, None]] = -np.inf
         heads = c["head"].to_numpy()
-        out = [none.astype({"q": "int64", "c": "int64"})]
+        out = []
         for i in range(len(q)):
             top = min(k, len(c))
             # every row that can be among the k best, ties within rounding included
@@ -183,8 +183,9 @@ def _best(size: int, k: int):
             at = np.flatnonzero((rough[i] >= kth - ROUNDING) & np.isfinite(rough[i]))
             score = (a[i] * b[at]).sum(axis=1) / (an[i] * bn[at])
             best = np.lexsort((heads[at], -score))[:top]
-            out.append(pd.DataFrame({"q": qi[i], "c": ci[at[best]], "score": score[best]}))
-        return pd.concat(out)
+            out.append((np.full(len(best), qi[i]), ci[at[best]], score[best]))
+        return pd.DataFrame(dict(zip(["q", "c", "score"], map(np.concatenate, zip(*out, strict=True)),
+                                     strict=True)))
 
     return run
 
