@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.functions.numbering import dense_numbers
-from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, NUMBERED, VIEWS
+from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, NUMBERED, RELEASE_LISTENS, VIEWS
 
 
 class Catalog(Mapping):
@@ -57,6 +57,11 @@ def _numbered(spark: SparkSession, c: Catalog, names: str, text: str) -> DataFra
     return _view(spark, c, text, names=rows)
 
 
+def _release_listens(spark: SparkSession, c: Catalog) -> DataFrame:
+    places = dense_numbers(c["release"].select("gid", "artist_credit", "id"), ["artist_credit", "id"], "place")
+    return _view(spark, c, RELEASE_LISTENS, places=places)
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None = None) -> Catalog:
     """Catalogue whose tables are the FIXTURES.md views over the supplied data.
 
@@ -70,7 +75,12 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None
         builders[t] = (lambda c, t=t: read_table(spark, sf_dir, t))
     for v, text in VIEWS.items():
         def build(c, v=v, text=text):
-            df = _numbered(spark, c, *NUMBERED[v]) if v in NUMBERED else _view(spark, c, text)
+            if v in NUMBERED:
+                df = _numbered(spark, c, *NUMBERED[v])
+            elif v == "release_listens":
+                df = _release_listens(spark, c)
+            else:
+                df = _view(spark, c, text)
             if materialize_to is None:
                 return df
             path = os.path.join(materialize_to, f"{v}.parquet")

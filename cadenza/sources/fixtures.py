@@ -64,6 +64,10 @@ NUMBERED = {
             "select cast(id as int) id, name from {names}"),
 }
 
+# ``release_listens`` over ``{places}``: the releases numbered (``place``) by artist credit, then id, in range
+# partitions; an artist's releases have the places from ``first`` on.  The text above is its definition.
+RELEASE_LISTENS = """select l.user_id, l.ts, l.event_type, r.gid release_gid from (select x.user_id, x.ts, x.event_type, x.artist, c.first + (coalesce(x.user_id, 0) * 31 + extract(day from x.ts) * 1440 + extract(hour from x.ts) * 60 + extract(minute from x.ts)) % c.n place from {listens} x join (select artist_credit, min(place) first, count(*) n from {places} group by artist_credit) c on c.artist_credit = x.artist) l join {places} r on r.place = l.place and r.artist_credit = l.artist"""
+
 CATALOG_TABLES = tuple(v for v in VIEWS if v != "lt")
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
