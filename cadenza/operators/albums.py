@@ -170,7 +170,8 @@ def recommend_albums(model: AlbumModel, seeds, top_n: int = 10, blacklist=None,
     top = knn_single(model.terms, cen, top_n, key="id", where=where, digits=ALBUM_RANK_DIGITS,
                      exclude=set(seeds) | {int(b) for b in blacklist or []})
     # at most top_n rows, read several times by enrichment: a local table
-    return local_rows(top, "id", top_n).drop("status")
+    rows = [(r["rank"], r["id"], r["distance"]) for r in top.collect()]     # top_n at most
+    return local_rows(model.terms.sparkSession, rows, "id", top_n).drop("status")
 
 
 def album_neighbours(model: AlbumModel, requests: DataFrame, exclude_seed: bool = True) -> DataFrame:

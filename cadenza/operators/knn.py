@@ -3,9 +3,9 @@
 Vectors are kept in long form ``(entity, key, w)`` and, for single requests, as one narrow
 row per entity (``terms``: array of (token, w)).  Two exact strategies:
 
-* one request (K3): the request's centroid is a handful of numbers; it becomes a literal map,
-  every candidate's dot product is one expression over its own row, and the top-k is a
-  ``TakeOrderedAndProject`` (per-partition top-k).  Nothing is shuffled;
+* one request (K3): the request's centroid is a handful of numbers.  An artist's request reads the
+  posting lists of its own tokens (``knn_postings``) and adds them up by artist; an album's scores every
+  candidate by one expression over its own row (``knn_single``), as all albums share the year;
 * a table of requests (K4, K6): an index with bounds, see ``nearest``.
 
 Both rank on the same key, ``floor(distance * 10^digits + 0.5)``, then id.
@@ -13,15 +13,19 @@ Both rank on the same key, ``floor(distance * 10^digits + 0.5)``, then id.
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.nearest import BLOCK, RANK_DIGITS, rank_keys, search, token_index
 
-__all__ = ["BLOCK", "RANK_DIGITS", "centroids", "knn_batch", "knn_single", "missing_seeds",
-           "rank_key", "rank_keys", "terms_of", "tfidf"]
+__all__ = ["BLOCK", "POSTING_BUCKETS", "RANK_DIGITS", "centroids", "knn_batch", "knn_postings", "knn_single",
+           "missing_seeds", "posting_scores", "postings_of", "rank_key", "rank_keys", "terms_of", "tfidf"]
+
+POSTING_BUCKETS = 64     # folders of posting lists
 
 
 # ---------------------------------------------------------------- K1 TF-IDF
@@ -118,6 +122,68 @@ def knn_single(terms: DataFrame, centroid: dict[str, float], k: int, key: str =
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def postings_of(terms: DataFrame, key: str = "artist_id") -> DataFrame:
+    """Posting lists of ``terms``: (key, token, u, other columns, bucket), ``u`` the weight over the norm.
+
+    Sorted by token, then id, over range partitions: a token that many hold is spread over several, and a
+    list has the row groups of its token alone.  To be written by ``bucket``, so that a request opens the
+    folders of its tokens only.
+    """
+    others = [c for c in terms.columns if c not in (key, "terms", "norm")]
+    rows = terms.where("norm > 0").select(key, "norm", *others, F.explode("terms").alias("t"))
+    rows = rows.select(key, F.col("t.token").alias("token"), (F.col("t.w") / F.col("norm")).alias("u"), *others,
+                       F.pmod(F.crc32(F.col("t.token").cast("binary")), F.lit(POSTING_BUCKETS)).cast("int")
+                       .alias("bucket"))
+    order = ["bucket", "token", key]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def posting_scores(postings: DataFrame, centroid: dict[str, float], key: str = "artist_id",
+                   exclude=(), where=None) -> DataFrame:
+    """(key, distance) of every candidate that shares a token with a centroid whose norm is not 0."""
+    tokens = sorted(centroid)
+    buckets = sorted({zlib.crc32(t.encode()) % POSTING_BUCKETS for t in tokens})
+    norm = math.sqrt(sum(w * w for w in centroid.values()))
+    rows = postings.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens))
+    if len(exclude):
+        rows = rows.where(~F.col(key).isin([int(x) for x in exclude]))
+    if where is not None:
+        rows = rows.where(where)
+    weights = F.from_json(F.lit(json.dumps({t: w / norm for t, w in centroid.items()})), "map<string,double>")
+    return rows.groupBy(F.col(key).cast("long").alias(key)).agg(
+        (1.0 - F.sum(F.col("u") * weights[F.col("token")])).alias("distance"))
+
+
+def knn_postings(postings: DataFrame, terms: DataFrame, centroid: dict[str, float], k: int,
+                 key: str = "artist_id", exclude=(), where=None,
+                 digits: int = RANK_DIGITS) -> list[tuple[int, int, float]]:
+    """K3 over posting lists: (rank, id, distance) of the ``k`` candidates nearest to one centroid.
+
+    Only the lists of the centroid's tokens are read.  Candidates without any of them are at distance 1, in
+    order of their ids; they are looked up (in ``terms``) only if fewer than ``k`` are nearer.  The rows
+    are those of ``knn_single``.
+    """
+    def order(row):
+        return math.floor(row[1] * 10.0 ** digits + 0.5), row[0]
+
+    centroid = {t: w for t, w in centroid.items() if w > 0}
+    scored, best = None, []
+    if centroid:
+        scored = posting_scores(postings, centroid, key, exclude, where)
+        best = [tuple(r) for r in scored.orderBy(rank_key(F.col("distance"), digits), key).limit(k).collect()]
+    if len(best) < k or order(best[-1]) >= order((0, 1.0)):
+        rest = terms
+        if len(exclude):
+            rest = rest.where(~F.col(key).isin([int(x) for x in exclude]))
+        if where is not None:
+            rest = rest.where(where)
+        rest = rest.select(F.col(key).cast("long").alias(key))
+        if scored is not None:
+            rest = rest.join(scored.select(key), key, "left_anti")
+        best += [(r[0], 1.0) for r in rest.orderBy(key).limit(k).collect()]
+    return [(i + 1, *row) for i, row in enumerate(sorted(best, key=order)[:k])]
+
+
 # ---------------------------------------------------------------- K4 a table of requests
 
 def knn_batch(queries: DataFrame, candidates: DataFrame, *, exclusions: DataFrame | None = None,

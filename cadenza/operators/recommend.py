@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from cadenza.functions.scalars import ARTIST_PAGE, capitalize_first, official_site
 from cadenza.operators.artists import artist_training_features
 from cadenza.operators.credits import recommendable_artists
-from cadenza.operators.knn import (centroids, knn_single, missing_seeds,
+from cadenza.operators.knn import (centroids, knn_postings, missing_seeds, postings_of,
                                    terms_of, tfidf, RANK_DIGITS)
 from cadenza.operators.nearest import TokenIndex, search, token_index
 from cadenza.session import Stages, stage
@@ -23,6 +24,7 @@ class ArtistModel:
     vocab: DataFrame      # (token, df, idf)
     vectors: DataFrame    # (artist_id, token, w), unit rows
     terms: DataFrame      # (artist_id, terms, norm, recommendable), one row per artist
+    postings: DataFrame   # (artist_id, token, u, recommendable, bucket), a folder a bucket of tokens
     cards: DataFrame      # (artist_id, gid, name, genres, urls, official_site): A13, by artist_id
     _index: TokenIndex | None = None
 
@@ -47,11 +49,12 @@ def build_artist_model(cat, min_tag_count: int = 1, staging: str = "checkpoint",
             .withColumn("recommendable", F.lit(True))
         terms = terms_of(vectors).join(ok, "artist_id", "left").withColumn(
             "recommendable", F.coalesce("recommendable", F.lit(False)))
+        terms = stage(by_id(terms), staging)
         cards = enrich_artists(cat, feats.select("artist_id"))
-        model = ArtistModel(feats, stage(vocab, staging), vectors,
-                            stage(by_id(terms), staging), stage(by_id(cards), staging))
+        model = ArtistModel(feats, stage(vocab, staging), vectors, terms,
+                            stage(postings_of(terms), staging, by=["bucket"]), stage(by_id(cards), staging))
         # the model alone is left
-        scratch.release(feats, model.vocab, vectors, model.terms, model.cards)
+        scratch.release(feats, model.vocab, vectors, terms, model.postings, model.cards)
     return model
 
 
@@ -109,19 +112,21 @@ def recommend_artists(model: ArtistModel, seeds, top_n: int = 5, blacklist=None,
     miss = sorted(set(seeds) - {r["artist_id"] for r in rows})
     if miss:
         raise LookupError(f"unknown artist ids: {miss}")
-    top = knn_single(model.terms, mean_vector(rows), top_n,
-                     exclude=set(seeds) | {int(b) for b in blacklist or []},
-                     where=F.col("recommendable") if filter_recommendable else None)
-    # top_n rows at most: they go on as a local table
-    return local_rows(top, "artist_id", top_n)
+    top = knn_postings(model.postings, model.terms, mean_vector(rows), int(top_n),
+                       exclude=set(seeds) | {int(b) for b in blacklist or []},
+                       where=F.col("recommendable") if filter_recommendable else None)
+    return local_rows(model.terms.sparkSession, top, "artist_id", top_n)
 
 
-def local_rows(top: DataFrame, key: str, top_n: int) -> DataFrame:
-    """The rows of one request, with P12's status, as a table that the driver holds."""
-    rows = [(r["rank"], r[key], r["distance"]) for r in top.collect()]     # top_n at most
+def local_rows(spark: SparkSession, rows: list[tuple], key: str, top_n: int) -> DataFrame:
+    """One request's (rank, id, distance), ``top_n`` at most, with P12's status, as a local relation:
+    what follows reads it without a job of its own."""
     status = "ok" if len(rows) >= top_n else "short"
-    return top.sparkSession.createDataFrame(
-        [(*r, status) for r in rows], f"rank int, {key} long, distance double, status string")
+    names = pa.schema([("rank", pa.int32()), (key, pa.int64()), ("distance", pa.float64()),
+                       ("status", pa.string())])
+    columns = zip(*[(*r, status) for r in rows], strict=True) if rows else [[]] * 4
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, names, strict=True)],
+                                          schema=names))
 
 
 def valid_requests(requests: DataFrame, lo: int = 1, hi: int = 100) -> DataFrame:

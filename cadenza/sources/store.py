@@ -36,9 +36,12 @@ def cached_features(spark: SparkSession, path: str, key: dict, build, refresh: b
 
 # a model's tables by the kind of model; meta.json beside them has the imputation row
 ARTEFACTS = {
-    "artist_knn": ("features", "vocab", "vectors", "terms", "cards"),
+    "artist_knn": ("features", "vocab", "vectors", "terms", "postings", "cards"),
     "album_knn": ("data", "vectors", "terms"),
 }
+# columns whose values get a folder each; such a table is read with its schema, as it may have no folder
+FOLDERS = {"postings": ("bucket",)}
+SCHEMAS = {"postings": "artist_id long, token string, u double, recommendable boolean, bucket int"}
 
 
 # ---------------------------------------------------------------- versions
@@ -110,7 +113,7 @@ def save_model(model: ArtistModel | AlbumModel, directory: str, name: str | None
 
     def write(folder: str) -> None:
         for t in ARTEFACTS[kind]:
-            getattr(model, t).write.parquet(os.path.join(folder, t))
+            getattr(model, t).write.partitionBy(*FOLDERS.get(t, ())).parquet(os.path.join(folder, t))
         spark.createDataFrame([(json.dumps(info),)], "meta string").coalesce(1) \
             .write.text(os.path.join(folder, "meta"))
 
@@ -122,7 +125,10 @@ def load_model(spark: SparkSession, path: str) -> tuple[ArtistModel | AlbumModel
     """Read the last version of a model written by ``save_model`` (or one version's folder)."""
     path = current_version(spark, path) or path
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    parts = {t: spark.read.parquet(os.path.join(path, t)) for t in ARTEFACTS[meta["model_kind"]]}
+    parts = {}
+    for t in ARTEFACTS[meta["model_kind"]]:
+        reader = spark.read.schema(SCHEMAS[t]) if t in SCHEMAS else spark.read
+        parts[t] = reader.parquet(os.path.join(path, t))
     if meta["model_kind"] == "artist_knn":
         return ArtistModel(**parts), meta
     return AlbumModel(stats=Row(**meta["imputer"]), **parts), meta

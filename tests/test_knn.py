@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import albums, nearest
-from cadenza.operators.knn import knn_batch
+from cadenza.operators.knn import knn_batch, knn_postings, knn_single, posting_scores, postings_of, terms_of
 from cadenza.operators.recommend import build_artist_model, recommend_artists, recommend_artists_batch
 from cadenza.plans.registry import catalog
+from cadenza.session import stage
 
 from conftest import SF_SMALL
 
@@ -35,6 +36,49 @@ def test_batch_equals_single(spark, cat, amodel):
                 assert r["artist_id"] not in seeds + bl          # no seed / blacklist leak
 
 
+def test_posting_lists_equal_a_scan_of_every_candidate(spark):
+    rng = np.random.default_rng(11)
+    rows, ok = [], {}
+    for e in range(400):
+        for t in rng.choice(30, rng.integers(1, 5), replace=False):
+            rows.append((e, f"t{t}", float(rng.integers(1, 4))))
+        rows.append((e, "all", 0.5)) if e % 3 == 0 else None      # a third of the entities hold one token
+        ok[e] = e % 7 != 0
+    rows += [(400 + e, "only", 1.0) for e in range(6)]            # ties, and a list of six
+    vectors = spark.createDataFrame(rows, "artist_id long, token string, w double")
+    terms = stage(terms_of(vectors).unionByName(spark.createDataFrame(
+        [(900, [], 0.0)], "artist_id long, terms array<struct<token:string,w:double>>, norm double"))
+        .withColumn("recommendable", F.col("artist_id") % 7 != 0))
+    lists = stage(postings_of(terms), by=["bucket"])
+    eligible = F.col("recommendable")
+    for centroid, k, exclude, where in [
+            ({"t1": 0.7, "t2": 0.2, "all": 0.4}, 10, {3, 9}, eligible),
+            ({"t1": 0.7}, 200, {2}, None),                        # the list is shorter than k: the tail by id
+            ({"only": 1.0}, 9, {401}, eligible),                  # ties in the list, then the tail
+            ({"t3": 1e-12, "only": 1.0}, 6, (), None),            # nearer than 1 by less than the rank keeps
+            ({"t3": 1e-12, "only": 1.0}, 40, (), None),
+            ({"unseen": 1.0}, 4, {0, 1}, eligible), ({}, 4, (), None),
+            ({"only": 1.0}, 1000, (), None)]:
+        want = knn_single(terms, centroid, k, exclude=exclude, where=where).orderBy("rank").collect()
+        got = knn_postings(lists, terms, centroid, k, exclude=exclude, where=where)
+        assert [(r, i) for r, i, _ in got] == [(r["rank"], r["artist_id"]) for r in want]
+        assert np.allclose([d for *_, d in got], [r["distance"] for r in want], atol=1e-12)
+    assert knn_postings(lists.limit(0), terms.limit(0), {"t1": 1.0}, 3) == []
+    assert stage(postings_of(terms.limit(0)), by=["bucket"]).count() == 0
+
+
+def test_a_request_opens_the_folders_of_its_tokens(amodel):
+    token = amodel.vocab.orderBy("df", "token").first()["token"]
+    scored = posting_scores(amodel.postings, {token: 1.0})
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert f"EqualTo(token,{token})" in plan or f"In(token, [{token}])" in plan
+    assert {r[0] for r in scored.select("artist_id").collect()} == {
+        r[0] for r in amodel.vectors.where(F.col("token") == token).select("artist_id").collect()}
+    folders = {f.rsplit("/", 2)[1] for f in amodel.postings.inputFiles()}
+    assert 1 < len(folders) and all(f.startswith("bucket=") for f in folders)
+
+
 def _brute(vecs, k):
     ids = sorted(vecs)
     keys = sorted({t for v in vecs.values() for t in v})
