@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.recommend import build_artist_model
 from cadenza.plans.registry import catalog
 from cadenza.sources import store
-from cadenza.streaming.listens import (listens_of, read_listen_counts, start_listen_counts,
+from cadenza.streaming.listens import (compact_listen_counts, listens_of, read_listen_counts, start_listen_counts,
                                        windowed_listen_counts)
 
 from conftest import SF_SMALL
@@ -121,6 +121,41 @@ def test_streaming_restart_equals_one_run(spark):
     assert _counts(spark, out) != want
 
 
+def test_streaming_counts_compacted(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="cadenza-stream-"), "counts")
+    assert compact_listen_counts(spark, out) is None
+
+    def batch(n, *rows):
+        df = spark.createDataFrame([(d, u, a, c) for d, u, a, c in rows],
+                                   "d string, user_id long, artist long, listen_count long")
+        span = F.struct(F.col("d").cast("timestamp").alias("start"),
+                        (F.col("d").cast("timestamp") + F.expr("interval 7 days")).alias("end"))
+        df.select(span.alias("window"), "user_id", "artist", "listen_count").write.mode(
+            "overwrite").parquet(f"{out}/batch={n}")
+
+    def counts():
+        return {(u, a): n for (_, u, a), n in _counts(spark, out).items()}
+
+    batch(0, ("2024-01-01", 1, 7, 2), ("2024-01-01", 2, 7, 1), ("2024-01-01", None, 7, 4))
+    assert compact_listen_counts(spark, out) is None            # the last batch may run again
+    batch(1, ("2024-01-01", 1, 7, 5))
+    batch(2, ("2024-01-01", 2, 7, 3))
+    want = {(1, 7): 5, (2, 7): 3, (None, 7): 4}
+    assert counts() == want and compact_listen_counts(spark, out) == 1 and counts() == want
+    assert compact_listen_counts(spark, out) is None
+    batch(2, ("2024-01-01", 2, 7, 6))                           # the last batch again
+    assert counts() == want | {(2, 7): 6}
+    held = read_listen_counts(spark, out)                       # listed before the next compaction
+    batch(10, ("2024-01-01", 1, 7, 9))
+    batch(11, ("2024-01-01", 3, 7, 1))
+    os.remove(f"{out}/batch=11/_SUCCESS")                       # written in part
+    assert compact_listen_counts(spark, out) == 2 and held.count() == 3
+    want = {(1, 7): 9, (2, 7): 6, (None, 7): 4}
+    assert counts() == want and sorted(os.listdir(out)) == ["batch=10", "batch=11", "batch=2", "upto=1", "upto=2"]
+    os.remove(f"{out}/upto=2/_SUCCESS")                         # a compaction that failed
+    assert counts() == want and compact_listen_counts(spark, out) == 2 and counts() == want
+
+
 def test_streaming_late_rows_and_evicted_state(spark):
     src, ckpt, out = (tempfile.mkdtemp(prefix="cadenza-stream-") for _ in range(3))
     schema = "user_id long, ts timestamp, event_type string, props string"
@@ -138,5 +173,6 @@ def test_streaming_late_rows_and_evicted_state(spark):
     dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress)
     got = {k[0].day: n for k, n in _counts(spark, out).items()}
     assert got == {1: 3, 8: 2, 15: 1} and dropped == 1
+    assert compact_listen_counts(spark, out) is not None and read_listen_counts(spark, out).count() == 3
     progress = arrive(24)
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1   # earlier weeks are evicted
