@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import genre_token, strip
-from cadenza.session import stage
+from cadenza.session import outlast, stage
 from cadenza.operators.credits import (credited_recordings, credited_release_groups,
                                        credited_releases, eligible_artists)
 
@@ -25,10 +25,13 @@ def min_count(tags: DataFrame, n: int) -> DataFrame:
 
 
 def tag_genre_ci(cat) -> DataFrame:
-    """(tag, genre) pairs matched on lower(name).  Small: bounded by the genre list."""
-    tag = cat["tag"].select(F.col("id").alias("tag"), F.lower("name").alias("k"))
-    genre = cat["genre"].select(F.lower("name").alias("k"), F.col("name").alias("genre"))
-    return tag.join(genre, "k").select("tag", "genre")
+    """(tag, genre) pairs matched on lower(name), once for a catalogue.  Small: bounded by the genre list."""
+    if getattr(cat, "_tag_genres", None) is None:
+        tag = cat["tag"].select(F.col("id").alias("tag"), F.lower("name").alias("k"))
+        genre = cat["genre"].select(F.lower("name").alias("k"), F.col("name").alias("genre"))
+        # written outside any scope: it lasts as long as the catalogue, and its size is known to later joins
+        cat._tag_genres = outlast(tag.join(genre, "k").select("tag", "genre"), name="taggenres")
+    return cat._tag_genres
 
 
 def classify_tags(links: DataFrame, cat) -> DataFrame:
@@ -41,8 +44,9 @@ def classify_tags(links: DataFrame, cat) -> DataFrame:
 
 def _tagged_genres(entities: DataFrame, ent_key: str, tags: DataFrame, tag_key: str,
                    tg: DataFrame, n: int) -> DataFrame:
-    t = min_count(tags, n).select(F.col(tag_key).alias(ent_key), "tag")
-    return entities.join(t, ent_key).join(tg, "tag").select("id", "genre")
+    # tags that are no genre go before the tagged entities are shuffled
+    t = min_count(tags, n).select(F.col(tag_key).alias(ent_key), "tag").join(tg, "tag").select(ent_key, "genre")
+    return entities.join(t, ent_key).select("id", "genre")
 
 
 def primary_artist_genres(cat, n: int = 1, crg: DataFrame | None = None,

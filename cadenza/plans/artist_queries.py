@@ -66,7 +66,7 @@ def q6(spark, sf):
 @query("j7_without_primary")
 def j7(spark, sf):
     cat = catalog(spark, sf)
-    return genres.without_primary(cat, genres.primary_artist_genres(cat))
+    return genres.without_primary(cat, genres.primary_artist_genres(cat, staging="checkpoint"))
 
 
 def artist_model(spark, sf, min_tag_count=1):

@@ -90,6 +90,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def outlast(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``stage`` for what is kept beyond the scopes that are entered."""
+    entered, _SCOPES[:] = list(_SCOPES), []
+    try:
+        return stage(df, name=name)
+    finally:
+        _SCOPES[:] = entered
+
+
 class Stages:
     """Lifetime of staged tables: those written while a scope is entered belong to it.
 
