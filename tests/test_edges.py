@@ -110,3 +110,34 @@ def test_stage_needs_a_shared_folder_on_a_cluster():
     for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1024]", "k8s://x"):
         with pytest.raises(RuntimeError):
             require_local_master(master)
+
+
+def test_language_scores_are_the_same_by_broadcast_and_by_counts(spark, monkeypatch):
+    """Occurrences beside a model that travels, and counted grams beside a large model."""
+    docs = spark.createDataFrame(
+        [(i, lang, f"{text} {text[::2]} {i % 3}") for i, (lang, text) in enumerate(
+            [("en", "the cat and the dog"), ("de", "der Hund und die Katze"), ("fr", "le chien et le chat"),
+             (None, "no label here")] * 6)] + [(100, "en", None), (101, "de", "  "), (None, "en", "the dog")],
+        "doc_id long, lang string, text string")
+
+    def results():
+        model = langid.train_langid(docs)
+        found = langid.detect_language(docs.select(F.col("doc_id").alias("id"), "text"), model)
+        return (sorted(map(tuple, found.collect()), key=repr),
+                sorted(map(tuple, langid.crossval_accuracy(docs).collect()), key=repr))
+
+    near = results()
+    monkeypatch.setattr(langid, "BROADCAST_GRAMS", 0)
+    assert near == results()
+    assert {x for _, x in near[0]} >= {"en", "de", "fr"}
+
+
+def test_genres_of_tags_are_written_once_for_a_catalogue(spark):
+    from cadenza.operators.genres import tag_genre_ci
+    from cadenza.session import Stages
+    cat = cat_of(spark, {"tag": spark.createDataFrame([(1, "Rock"), (2, "red")], "id int, name string"),
+                         "genre": spark.createDataFrame([(1, "rock")], "id int, name string")})
+    with Stages() as scratch:
+        first = tag_genre_ci(cat)
+        scratch.release()                          # it outlasts the scope it was written in
+    assert tag_genre_ci(cat) is first and [tuple(r) for r in first.collect()] == [(1, "rock")]
