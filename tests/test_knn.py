@@ -292,3 +292,28 @@ def test_scan_pushdown_and_pruning(spark):
     assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
     assert search_genres(catalog(spark, SF_SMALL), "blue").count() > 0
+
+
+def test_grid_of_blocks_equals_brute_force(spark, monkeypatch):
+    """Where no bound bites, queries meet classes block by block: the same rows, none farther than found."""
+    for name, value in (("GRID_SHARE", -1.0), ("GRID", 16), ("GRID_TASKS", 9), ("QUERY_CHUNK", 7), ("BLOCK", 3),
+                        ("KEEP", 2), ("SALTS", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    used = []
+    grid = nearest._grid
+    monkeypatch.setattr(nearest, "_grid", lambda *a: used.append(1) or grid(*a))
+    rng = np.random.default_rng(9)
+    kinds = [sorted(rng.choice(9, 4, replace=False).tolist()) for _ in range(30)]
+    vecs = {i: {f"t{t}": 1.0 + t % 3 for t in kinds[i % 30]} for i in range(80)}
+    vecs[90], vecs[91] = {"alone": 1.0}, {"alone": 2.0}        # 90 shares a token with 91 only
+    base = spark.createDataFrame([(i, t, w) for i, v in vecs.items() for t, w in v.items()],
+                                 "id long, key string, w double")
+    q = base.select(F.col("id").alias("query_id"), "key", "w", F.lit(4).alias("top_n"))
+    c = base.select(F.col("id").alias("cand_id"), "key", "w")
+    ex = base.select(F.col("id").alias("query_id"), F.explode(F.array(
+        "id", (F.col("id") + 30) % 80)).alias("cand_id")).distinct()
+    full = _brute(vecs, 82)
+    want = {i: [x for x in full[i] if x not in (i, (i + 30) % 80)][:4] for i in vecs}
+    got = knn_batch(q, c, exclusions=ex)
+    assert _got(got) == want and used
+    assert got.where("distance < 0 or distance > 1").count() == 0
