@@ -75,6 +75,18 @@ def slot_of(hashes: np.ndarray) -> np.ndarray:
 
 # -- words of a chunk ---------------------------------------------------------------------
 
+def _distinct(at: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct tuple of keys, and its count; sorted, which holds less than hash tables."""
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in keys:
+        k = k[order]
+        fresh[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(fresh)
+    return at[order[first]], np.diff(np.append(first, len(order)))
+
+
 class Chunk:
     """Words of some texts: ``lang`` and ``word`` (codes), and ``next[k]``, the word k places
     on in the same piece (-1: none)."""
@@ -91,20 +103,20 @@ class Chunk:
         apart = stop | blanks[data]
         edge = np.diff(np.concatenate([[True], apart, [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        piece = np.cumsum(stop)[starts] if len(starts) else starts
+        piece = np.cumsum(stop, dtype=np.int32)[starts] if len(starts) else starts
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         every = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets),
                                             pa.py_buffer(data[~apart].tobytes()))
         every = every.dictionary_encode()
         self.words = every.dictionary
-        self.word = every.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.word = every.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         code, names = pd.factorize(pd.Series(langs, dtype="object"))
         self.langs = pa.array(list(names), pa.string())
-        self.lang = code[np.searchsorted(begin, starts, "right") - 1].astype(np.int64) \
-            if len(starts) else np.zeros(0, np.int64)
+        self.lang = code[np.searchsorted(begin, starts, "right") - 1].astype(np.int32) \
+            if len(starts) else np.zeros(0, np.int32)
         self.next = [self.word]
         for k in range(1, DEPTH):
-            on = np.full(len(starts), -1, np.int64)
+            on = np.full(len(starts), -1, np.int32)
             if len(starts) > k:
                 on[:-k] = np.where(piece[k:] == piece[:-k], self.word[k:], -1)
             self.next.append(on)
@@ -121,19 +133,12 @@ class Chunk:
         if not len(at):
             return at, at
         v = len(self.words) + 1
-        first = pd.factorize((self.lang[at] * v + self.word[at]) * v + self.next[1][at])[0]
-        rest, kinds = pd.factorize((self.next[2][at] + 1) * v + self.next[3][at] + 1)
-        code, kinds = pd.factorize(first.astype(np.int64) * len(kinds) + rest)
-        place = np.zeros(len(kinds), np.int64)
-        place[code] = at
-        return place, np.bincount(code, minlength=len(kinds))
+        lead = (self.lang[at].astype(np.int64) * v + self.word[at]) * v + self.next[1][at]
+        return _distinct(at, lead, (self.next[2][at].astype(np.int64) + 1) * v + self.next[3][at] + 1)
 
     def singles(self) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct (language, word), and its count."""
-        code, kinds = pd.factorize(self.lang * (len(self.words) + 1) + self.word)
-        place = np.zeros(len(kinds), np.int64)
-        place[code] = np.arange(len(code))
-        return place, np.bincount(code, minlength=len(kinds))
+        return _distinct(np.arange(len(self.word)), self.lang.astype(np.int64) * (len(self.words) + 1) + self.word)
 
     def text(self, at: np.ndarray, width: int) -> pa.StringArray:
         """The first ``width`` words at the places, joined by spaces."""
@@ -195,38 +200,43 @@ def open_words(pair: np.ndarray, triple: np.ndarray, has_third: np.ndarray,
     return np.where(two & has_third & np.isin(slot_of(triple), slots[1]), 3, np.where(two, 2, 0))
 
 
+def _rows(c: Chunk, buckets: int, slots: list[np.ndarray]) -> list[pa.RecordBatch]:
+    """A chunk's rows: lang, bucket, suffix, n; and its languages' numbers of words."""
+    if not len(c.word):
+        return []
+    at, n = c.suffixes()
+    pair, triple = c.hashes(at, 2), c.hashes(at, 3)
+    dealt = open_words(pair, triple, c.next[2][at] >= 0, slots)
+    route = np.where(dealt == 3, c.hashes(at, 4), np.where(dealt == 2, triple, pair))
+    del pair, triple, dealt
+    one, m = c.singles()
+    lang = np.concatenate([c.lang[at], c.lang[one]])
+    bucket = (np.concatenate([route, c.hashes(one, 1)]) % np.uint64(buckets)).astype(np.int64)
+    n = np.concatenate([n, m])
+    order = np.lexsort((bucket, lang))
+    lang, bucket, n = lang[order], bucket[order], n[order]
+    first = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+    offsets = pa.array(np.append(first, len(order)), pa.int32())
+    text = pa.concat_arrays([c.text(at, DEPTH), c.text(one, 1)]).take(pa.array(order))
+    words = np.bincount(c.lang, minlength=len(c.langs))
+    names = ["lang", "bucket", "suffix", "n"]
+    return [
+        pa.RecordBatch.from_arrays(
+            [c.langs.take(pa.array(lang[first])), pa.array(bucket[first]),
+             pa.ListArray.from_arrays(offsets, text),
+             pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], names),
+        pa.RecordBatch.from_arrays(
+            [c.langs, pa.array(np.full(len(words), -1)),
+             pa.array([[""]] * len(words), pa.list_(pa.string())),
+             pa.array(words[:, None].astype(np.int64).tolist(), pa.list_(pa.int64()))], names)]
+
+
 def routed(rows: DataFrame, buckets: int, slots: list[np.ndarray]) -> DataFrame:
     """lang, bucket, suffix (array), n (array) - combined by chunk; bucket -1 has all words."""
     def run(batches):
         for langs, texts in chunks(batches, CHUNK):
-            c = Chunk(langs, texts)
-            if not len(c.word):
-                continue
-            at, n = c.suffixes()
-            pair, triple = c.hashes(at, 2), c.hashes(at, 3)
-            dealt = open_words(pair, triple, c.next[2][at] >= 0, slots)
-            route = np.where(dealt == 3, c.hashes(at, 4), np.where(dealt == 2, triple, pair))
-            one, m = c.singles()
-            lang = np.concatenate([c.lang[at], c.lang[one]])
-            bucket = (np.concatenate([route, c.hashes(one, 1)]) % np.uint64(buckets)).astype(np.int64)
-            text = pa.concat_arrays([c.text(at, DEPTH), c.text(one, 1)])
-            n = np.concatenate([n, m])
-            order = np.lexsort((bucket, lang))
-            key = lang[order] * buckets + bucket[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            offsets = pa.array(np.append(first, len(order)), pa.int32())
-            take = pa.array(order)
-            yield pa.RecordBatch.from_arrays(
-                [c.langs.take(pa.array(lang[order][first])), pa.array(bucket[order][first]),
-                 pa.ListArray.from_arrays(offsets, text.take(take)),
-                 pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int64)))],
-                ["lang", "bucket", "suffix", "n"])
-            words = np.bincount(c.lang, minlength=len(c.langs))
-            yield pa.RecordBatch.from_arrays(
-                [c.langs, pa.array(np.full(len(words), -1)),
-                 pa.array([[""]] * len(words), pa.list_(pa.string())),
-                 pa.array(words[:, None].astype(np.int64).tolist(), pa.list_(pa.int64()))],
-                ["lang", "bucket", "suffix", "n"])
+            # nothing of a chunk but its rows is held while they are sent and the next one is read
+            yield from _rows(Chunk(langs, texts), buckets, slots)
 
     return rows.mapInArrow(run, "lang string, bucket long, suffix array<string>, n array<long>")
 

@@ -97,3 +97,42 @@ def test_quicksort_counts_prefixes(rows, least):
     at, length, n = C.frequent_prefixes(table, weight, np.full(len(rows), 2), least)
     found = {tuple(table[i, :m].tolist()): c for i, m, c in zip(at, length, n, strict=True)}
     assert found == {p: c for p, c in want.items() if c >= least or len(p) <= 2}
+
+
+def test_a_task_holds_one_chunk_at_a_time(monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    held, alive = [], []
+
+    class Watched(C.Chunk):
+        def __init__(self, langs, texts):
+            alive.append(sum(r() is not None for r in held))
+            super().__init__(langs, texts)
+            held.append(weakref.ref(self))
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(C, "Chunk", Watched)
+    monkeypatch.setattr(C, "CHUNK", 10)
+    texts = ["a b c d e f", "a b a b a b", "", "é b é b. a b"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en", "en"], "text": texts})
+    got_rows = Counter()
+    for out in C.routed(Rows(), 3, [np.zeros(0, np.int64)] * 2)(iter([batch])):
+        for r in out.to_pylist():
+            for s, n in zip(r["suffix"], r["n"], strict=True):
+                got_rows[r["lang"], r["bucket"] < 0, s] += n
+    assert alive == [0] * 3
+    want = Counter()
+    for lang, text in zip(("en", "de", "en", "en"), texts, strict=True):
+        for piece in text.split("."):
+            w = piece.split()
+            want[lang, True, ""] += len(w)
+            for i, x in enumerate(w):
+                want[lang, False, x] += 1
+                if w[i + 1:]:
+                    want[lang, False, " ".join(w[i:i + 4])] += 1
+    assert +got_rows == +want
