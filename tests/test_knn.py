@@ -317,3 +317,30 @@ def test_grid_of_blocks_equals_brute_force(spark, monkeypatch):
     got = knn_batch(q, c, exclusions=ex)
     assert _got(got) == want and used
     assert got.where("distance < 0 or distance > 1").count() == 0
+
+
+def test_cells_of_a_box_index_grow_and_share_out_their_queries(spark, monkeypatch):
+    """A large box: a query sees few cells of it, no task meets all queries, one home bounds a query."""
+    for name, value in (("BLOCK", 8), ("BOX_CELL", 40), ("BOX_CELLS", 2), ("MEET", 20), ("HOME", 4),
+                        ("KEEP", 2), ("SALTS", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(5)
+    vecs = {i: {"y": 100.0, "b": float(i % 7 == 0)} | {f"t{t}": 1.0 for t in rng.choice(12, 4, replace=False)}
+            for i in range(150)}
+    vecs = {i: {k: w for k, w in v.items() if w} for i, v in vecs.items()}
+    base = spark.createDataFrame([(i, t, w) for i, v in vecs.items() for t, w in v.items()],
+                                 "id long, token string, w double")
+    index = nearest.box_index(base.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w"), "y", ["b"])
+    boxes = index.boxes
+    assert (boxes["salts"] == -(-boxes["n"] // 40)).all() and boxes["salts"].max() > 1
+    assert (boxes["homes"] == -(-boxes["n"] // 8)).all()
+    met = []
+    run = nearest._met
+    monkeypatch.setattr(nearest, "_met", lambda q, c, *a: met.append((q, c)) or run(q, c, *a))
+    assert _got(nearest.search(index, _asked(base, 4), digits=12)) == _brute(vecs, 4)
+    (home, small), (visits, cells) = met
+    assert home.groupBy("query_id").count().where("count > 2").count() == 0      # a cell a box
+    most = visits.groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert most <= 40 < 150
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 80
+    assert small.groupBy("cell").count().agg(F.max("count")).first()[0] <= 30
