@@ -595,6 +595,8 @@ def _ranked(found: DataFrame, asked: DataFrame) -> DataFrame:
     # one shuffle, by query, serves both steps
     one = found.repartition("query_id").groupBy("query_id", "cand_id").agg(
         F.min("rk").alias("rk"), F.min("distance").alias("distance"))
+    # equal vectors can be at -1e-16
+    one = one.withColumn("distance", F.when(F.col("distance") < 0, 0.0).otherwise(F.col("distance")))
     by = Window.partitionBy("query_id").orderBy("rk", "cand_id")
     return one.withColumn("rank", F.row_number().over(by)).join(asked, "query_id").where(
         F.col("rank") <= F.col("top_n")).select("query_id", "cand_id", "distance", "rank", "rk")
