@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import genre_token, nonempty_tokens, strip
 from cadenza.operators.credits import eligible_artists, restrict, scope_entities
-from cadenza.operators.genres import (check_min_count, extended_genres, genre_tokens,
-                                      primary_artist_genres, tag_genre_ci, training_genres)
+from cadenza.operators.genres import (check_min_count, extended_genres, genre_tokens, listed_places,
+                                      tag_genre_ci, training_genres, training_pairs)
 
 FEATURE_COLUMNS = ["artist_id", "artist_gid", "artist_name", "artist_type", "area_name",
                    "tags", "genres", "tag_count_sum"]
@@ -31,8 +31,8 @@ def artist_training_features(cat, min_tag_count: int = 1, staging: str = "checkp
     Shared intermediates (U1, U4) are staged once, as the reference's temp tables.
     """
     n = check_min_count(min_tag_count)
-    tg = training_genres(cat, n, staging=staging)
-    toks = genre_tokens(tg, "id", "genre", "tokens")
+    tg = training_pairs(cat, n, staging=staging)
+    toks = genre_tokens(tg, "id", "genre", "tokens", listed_places(cat))
     meta = _artist_meta(cat, eligible_artists(cat["artist"]))
     out = (meta.join(toks.withColumnRenamed("id", "artist_id"), "artist_id")
            .where(F.size("tokens") > 0)                     # P3
@@ -61,13 +61,13 @@ def artist_tag_rows(cat, min_tag_count: int = 1, max_artists: int | None = None)
             .join(g, F.lower(F.col("tag")) == F.col("_k"), "left").drop("_k", "tag_id"))
 
 
-def artist_rollup(rows: DataFrame) -> DataFrame:
+def artist_rollup(rows: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """A10: group artist rows (null keys kept): ordered-unique tag string, tag-genre
     tokens and the sum of positive counts."""
     keys = ["artist_id", "artist_gid", "artist_name", "artist_type", "area_name"]
     tag_str = genre_tokens_text(rows.select("artist_id", F.col("tag").alias("v")), "tags", raw=True)
     tag_gen = genre_tokens(rows.select("artist_id", F.col("genre")).dropna(), "artist_id",
-                           "genre", "tag_tokens")
+                           "genre", "tag_tokens", places)
     sums = rows.groupBy(*keys).agg(
         F.sum(F.greatest(F.coalesce(F.col("tag_count"), F.lit(0)), F.lit(0))).cast("bigint")
         .alias("tag_count_sum"))
@@ -94,7 +94,7 @@ def artist_features_scoped(cat, min_tag_count: int = 1, max_artists: int | None
     ``scope`` (a frame of artist ids, S3) or ``max_artists`` (S2) restrict the artists."""
     n = check_min_count(min_tag_count)
     rows = restrict(artist_tag_rows(cat, n, max_artists), scope, "artist_id")
-    roll = artist_rollup(rows)
+    roll = artist_rollup(rows, listed_places(cat))
     if skip_extended:
         ext = None
     else:
@@ -105,7 +105,7 @@ def artist_features_scoped(cat, min_tag_count: int = 1, max_artists: int | None
         else:
             # whole catalogue: primary genres, recording genres only as fallback
             pairs = training_genres(cat, n)
-        ext = genre_tokens(pairs, "id", "genre", "ext_tokens").withColumnRenamed("id", "artist_id")
+        ext = genre_tokens(pairs, "id", "genre", "ext_tokens", listed_places(cat)).withColumnRenamed("id", "artist_id")
     if ext is not None:
         roll = roll.join(ext, "artist_id", "left")
         toks = F.concat("tag_tokens", F.coalesce("ext_tokens", F.array().cast("array<string>")))

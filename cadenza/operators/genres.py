@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.numbering import dense_numbers
 from cadenza.functions.scalars import genre_token, strip
 from cadenza.session import outlast, stage
 from cadenza.operators.credits import (credited_recordings, credited_release_groups,
@@ -71,12 +72,9 @@ def without_primary(cat, primary: DataFrame) -> DataFrame:
     return eligible_artists(cat["artist"]).select("id").join(primary.select("id"), "id", "left_anti")
 
 
-def training_genres(cat, n: int = 1, primary: DataFrame | None = None,
-                    staging: str = "none") -> DataFrame:
-    """Primary genres, plus recording genres only for artists with none.
-
-    The primary genres are read twice (anti join and union); ``staging`` computes
-    them once (the reference's temp tables)."""
+def training_pairs(cat, n: int = 1, primary: DataFrame | None = None,
+                   staging: str = "none") -> DataFrame:
+    """U5's pairs, those of the recordings as often as they occur."""
     n = check_min_count(n)
     primary = primary if primary is not None else stage(primary_artist_genres(cat, n, staging=staging),
                                                           staging)
@@ -84,7 +82,16 @@ def training_genres(cat, n: int = 1, primary: DataFrame | None = None,
     crec = credited_recordings(cat, scope)
     fb = _tagged_genres(crec, "recording_id", cat["recording_tag"], "recording",
                         tag_genre_ci(cat), n)
-    return primary.unionByName(fb).distinct()
+    return primary.unionByName(fb)
+
+
+def training_genres(cat, n: int = 1, primary: DataFrame | None = None,
+                    staging: str = "none") -> DataFrame:
+    """Primary genres, plus recording genres only for artists with none.
+
+    The primary genres are read twice (anti join and union); ``staging`` computes
+    them once (the reference's temp tables)."""
+    return training_pairs(cat, n, primary, staging).distinct()
 
 
 def extended_genres(cat, n: int = 1, scope: DataFrame | None = None) -> DataFrame:
@@ -102,22 +109,42 @@ def extended_genres(cat, n: int = 1, scope: DataFrame | None = None) -> DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
+def genre_places(names: DataFrame, value: str = "genre") -> DataFrame:
+    """X2 + X1 of a genre list: (name, place, first, token), a row per name that has a token.
+
+    ``place`` numbers the names in order of their spelling (X2), ``first`` is the first place of those
+    that differ in case alone.
+    """
+    rows = names.select(value).distinct().withColumn("_spell", strip(value)) \
+        .withColumn("token", genre_token("_spell")).where((F.col("_spell") != "") & (F.col("token") != ""))
+    rows = dense_numbers(rows.withColumn("_k", F.lower("_spell")), ["_spell", value], "place")
+    first = rows.groupBy("_k").agg(F.min("place").alias("first"))
+    return rows.join(first, "_k").select(value, "place", "first", "token")
+
+
+def listed_places(cat) -> DataFrame:
+    """``genre_places`` of the catalogue's genres, once for a catalogue."""
+    if getattr(cat, "_genre_places", None) is None:
+        cat._genre_places = outlast(genre_places(cat["genre"].select(F.col("name").alias("genre"))), name="places")
+    return cat._genre_places
+
+
 def genre_tokens(pairs: DataFrame, key: str = "id", value: str = "genre",
-                 out: str = "tokens") -> DataFrame:
+                 out: str = "tokens", places: DataFrame | None = None) -> DataFrame:
     """X2 + X1 + X3 per entity: case-insensitive first spelling (sorted order), then tokens.
 
     Returns (key, tokens array<string>) ordered by the kept spelling; tokens that
     are empty are dropped, duplicate tokens kept (they count twice in tf).
+    ``places`` is ``genre_places`` of a list that holds every value; without it, of the values.
+    A genre is spelt and cut once for the list, and a pair is shuffled once, as numbers.
     """
-    v = strip(value)
-    kept = (pairs.where(F.col(value).isNotNull() & (v != ""))
-            .groupBy(key, F.lower(v).alias("_k"))
-            .agg(F.min(v).alias("_spell")))
-    return (kept.withColumn("_tok", genre_token("_spell"))
-            .where(F.col("_tok") != "")
+    places = places if places is not None else genre_places(pairs, value)
+    kept = (pairs.join(places.select(value, "place", "first"), value).select(key, "place", "first")
+            .repartition(key).groupBy(key, "first").agg(F.min("place").alias("place")))
+    return (kept.join(places.where(F.col("place") == F.col("first")).select("first", "token"), "first")
             .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("_spell", "_tok"))).alias("_s"))
-            .select(key, F.transform("_s", lambda s: s["_tok"]).alias(out)))
+            .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("_s"))
+            .select(key, F.transform("_s", lambda s: s["token"]).alias(out)))
 
 
 def rg_tag_links(cat) -> DataFrame:

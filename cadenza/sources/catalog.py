@@ -9,7 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.functions.numbering import dense_numbers
-from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, NUMBERED, VIEWS
+from cadenza.session import stage
+from cadenza.sources.fixtures import BASE_TABLES, CATALOG_TABLES, LINES, LINKED_GROUPS, NUMBERED, PLANNED, VIEWS
 
 
 class Catalog(Mapping):
@@ -57,6 +58,14 @@ def _numbered(spark: SparkSession, c: Catalog, names: str, text: str) -> DataFra
     return _view(spark, c, text, names=rows)
 
 
+def _linked_groups(spark: SparkSession, c: Catalog) -> DataFrame:
+    """``l_artist_release_group``: a line of ``lt`` has its supplier beside it; only lines without a tag,
+    mostly none, look for another of their key."""
+    untagged = c["lines"].where("tag is null").select("l_orderkey", "l_linenumber", "l_suppkey")
+    # written, so that its size is known and the lines stay where they are if it is small
+    return _view(spark, c, LINKED_GROUPS, untagged=stage(untagged, name="untagged"))
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None = None) -> Catalog:
     """Catalogue whose tables are the FIXTURES.md views over the supplied data.
 
@@ -68,10 +77,14 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, materialize_to: str | None
     builders = {}
     for t in BASE_TABLES:
         builders[t] = (lambda c, t=t: read_table(spark, sf_dir, t))
-    for v, text in VIEWS.items():
+    for v, text in {"lines": LINES, **VIEWS, **PLANNED}.items():
         def build(c, v=v, text=text):
+            if v == "lt":
+                return c["lines"].where("tag is not null").drop("l_suppkey")
             if v in NUMBERED:
                 df = _numbered(spark, c, *NUMBERED[v])
+            elif v == "l_artist_release_group":
+                df = _linked_groups(spark, c)
             else:
                 df = _view(spark, c, text)
             if materialize_to is None:
