@@ -83,7 +83,7 @@ def test_album_cards_with_seeds_that_the_tables_do_not_hold(spark, tmp_path, gon
         where = f"where o_custkey not in ({', '.join(map(str, gone))})" if f == "orders.parquet" else ""
         con.execute(f"copy (select * from '{SF_SMALL}/{f}' {where}) to '{tmp_path}/{f}' (format parquet)")
         con.execute(f"create view {f.split('.')[0]} as select * from '{tmp_path}/{f}'")
-    for name in ("k5_album_knn", "k5_album_knn_genre_filter", "q8_album_recommendations"):
+    for name in ("k5_album_knn", "k5_album_knn_genre_filter", "q8_album_recommendations", "s10_album_digest"):
         df = E.queries()[name](spark, str(tmp_path))
         res = con.execute(E.oracle_sql()[name])
         assert rows_key([tuple(r) for r in df.collect()], df.columns) == rows_key(
