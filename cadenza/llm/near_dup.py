@@ -18,7 +18,7 @@
 Scale: signatures are 0.5 KB a document, staged once; only texts that share a bucket are staged and
 joined (a text takes a third of its set's hashes), and full sets are built where pairs are confirmed.
 Members of a band key are joined in salted parts.  Buckets are found by a partial aggregate; nothing of unbounded size reaches one
-task or the driver (the driver holds counts only).  Components are contracted in staged rounds.
+task or the driver (the driver holds counts, and tables that it broadcasts: up to ``TRAVEL`` band keys).  Components are contracted in staged rounds.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and is its
 own component; with fewer than five words the whole sequence is the one shingle; rows that share a
@@ -49,6 +49,7 @@ BLOCK = 192
 ROWS_PER_GROUP = 1024   # rows handed to Python at once, of many small cells
 STARS = 3
 SALTS = 16            # parts in which the members of a band key are joined
+TRAVEL = 50_000       # band keys that are broadcast, by their count; more are shuffled
 SLICE = 1_000_000
 SEED = 2025
 
@@ -321,10 +322,15 @@ def _members(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` (node, key) joined with one row per key, in ``SALTS`` parts of a key."""
+    """``rows`` (node, key) joined with one row per key (``keys`` is staged).
+
+    Up to ``TRAVEL`` keys are broadcast; more meet the rows in ``SALTS`` parts of a key, always by a
+    shuffle: Spark's estimate leaves the copies out, so by its choice the driver would hold them all."""
+    if keys.limit(TRAVEL + 1).count() <= TRAVEL:
+        return rows.join(F.broadcast(keys), "key")
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).cast("int"))
     keys = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(keys, ["key", "_part"]).drop("_part")
+    return rows.join(keys.hint("merge"), ["key", "_part"]).drop("_part")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -452,8 +458,8 @@ def _near_duplicates(docs: DataFrame, percent: int, stars: int, block: int) -> D
                     .select("doc_id", "node").distinct(), "owners")
     heads = some.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"])
     found = heads.select("node", F.explode("bands").alias("key"))
-    shared = found.groupBy("key").agg(F.min("node").alias("r1"), F.max("node").alias("r2")) \
-        .filter("r1 <> r2").select("key")
+    shared = staged(found.groupBy("key").agg(F.min("node").alias("r1"), F.max("node").alias("r2"))
+                    .filter("r1 <> r2").select("key"), "shared")
     buckets = staged(_of_keys(found, shared).distinct(), "buckets")
     used = staged(buckets.select("node").distinct(), "used")
     sigs = heads.select("node", "sig").join(used, "node", "left_semi")
@@ -472,7 +478,7 @@ def _near_duplicates(docs: DataFrame, percent: int, stars: int, block: int) -> D
             break
         # a member of another component than the hub's, with the hub
         rows = _of_keys(members, open_.select("key", "r1"))
-        hubs = rows.filter("root = r1").groupBy("key").agg(F.min("node").alias("hub"))
+        hubs = staged(rows.filter("root = r1").groupBy("key").agg(F.min("node").alias("hub")), "hubs")
         pairs = _of_keys(rows.filter("root <> r1"), hubs).select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:

@@ -157,3 +157,23 @@ def test_components(spark):
     got = N.components(spark.createDataFrame(links, "a long, b long")).collect()
     want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 150: 100}
     assert {r["node"]: r["root"] for r in got} == want
+
+
+@pytest.mark.parametrize("travel", [4, 100])
+def test_copies_of_band_keys_are_not_broadcast(spark, monkeypatch, travel):
+    """A few keys travel as they are; of more, the copies are shuffled, however small they look."""
+    monkeypatch.setattr(N, "TRAVEL", travel, raising=False)
+    rows = spark.createDataFrame([(n, n % 12) for n in range(300)], "node long, key long")
+    keys = N.staged(spark.createDataFrame([(k, k + 1) for k in range(9)], "key long, r1 long"), "keys")
+    got = N._of_keys(rows, keys)
+    assert sorted(map(tuple, got.select("node", "key", "r1").collect())) == sorted(
+        (n, n % 12, n % 12 + 1) for n in range(300) if n % 12 < 9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    copies, travels = "Generate explode" in plan, "BroadcastHashJoin" in plan
+    assert (copies, travels) == ((True, False) if travel < 9 else (False, True))
+
+
+def test_many_band_keys(monkeypatch, documents):
+    monkeypatch.setattr(N, "TRAVEL", 0)
+    pairs = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    check(documents, pairs)
