@@ -344,3 +344,73 @@ def test_cells_of_a_box_index_grow_and_share_out_their_queries(spark, monkeypatc
     assert most <= 40 < 150
     assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 80
     assert small.groupBy("cell").count().agg(F.max("count")).first()[0] <= 30
+
+
+def _cell(rng, n, base, kinds, first):
+    """Vectors near one direction (``base``), some of them equal, one without a weight."""
+    import pandas as pd
+    keys, ws = [], []
+    for i in range(n):
+        own = np.sort(rng.choice(kinds, rng.integers(1, 6), replace=False)) if i else np.zeros(0, int)
+        keys.append(np.concatenate([[0], own + 1]).astype(np.int64) if i else np.zeros(0, np.int64))
+        ws.append(np.concatenate([[base + rng.integers(0, 3)], np.ones(len(own))]) if i else np.zeros(0))
+    return pd.DataFrame({"id": first + np.arange(n), "keys": keys, "ws": ws,
+                         "norm": [float(np.sqrt((w * w).sum())) for w in ws]})
+
+
+@pytest.mark.parametrize("base,digits,shared", [(0.5, 9, True), (1.0, 9, False), (2000.0, 12, False)])
+def test_screened_pairs_equal_all_pairs_in_full(monkeypatch, base, digits, shared):
+    rng = np.random.default_rng(3)
+    c = _cell(rng, 700, base, 12, 0).rename(columns={"id": "cv"})
+    c["ids"], c["n_ids"] = [np.array([i, 5000 + i]) for i in c["cv"]], 2
+    q = _cell(rng, 90, base, 14, 100).rename(columns={"id": "query_id"})
+    q["top_n"] = rng.integers(1, 9, len(q))
+    q["excluded"] = [np.sort(rng.choice(700, rng.integers(0, 4), replace=False)) for _ in range(len(q))]
+    q["fkeys"] = [np.zeros(0, np.int64)] * len(q)
+    q["worst"] = np.where(np.arange(len(q)) % 2, 4.0, 2e-7 if base > 9 else 0.3) * 10.0 ** digits
+    mat = [np.zeros((len(f), 16)) for f in (q, c)]
+    for m, f in zip(mat, (q, c), strict=True):
+        for i, (k, w, n) in enumerate(zip(f["keys"], f["ws"], f["norm"], strict=True)):
+            m[i, k] = w / n if n else w
+    dots = mat[0] @ mat[1].T
+    want = {}
+    for i, x in enumerate(q["query_id"]):
+        rk = np.maximum(nearest.rank_keys(np.maximum(1 - dots[i], 0.0), digits), 0)
+        own = [(r, a) for j, r in enumerate(rk) if r <= q["worst"][i] and (dots[i, j] > 0 or not shared)
+               for a in c["ids"][j] if a not in q["excluded"][i]]
+        want[x] = sorted(own)[:q["top_n"][i]]
+    monkeypatch.setattr(nearest, "_dots", None)      # no table of all products in full is made
+    monkeypatch.setattr(nearest, "TILE", 64, raising=False)
+    monkeypatch.setattr(nearest, "BLOCK", 100)
+    hits = nearest._score(q, c, digits, shared)
+    got = {x: sorted((r, a) for y, r, a in zip(hits["query_id"], hits["rk"], hits["cand_id"], strict=True)
+                     if y == x) for x in q["query_id"]}
+    for x in want:
+        assert [a for _, a in got[x]] == [a for _, a in want[x]]
+        assert np.allclose([r for r, _ in got[x]], [r for r, _ in want[x]], atol=1)
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    vecs = {i: {f"t{i % 7}": 1.0, f"u{i % 3}": 2.0} for i in range(420)}      # 21 vectors of 20 ids
+    base = spark.createDataFrame([(i, t, w) for i, v in vecs.items() for t, w in v.items()],
+                                 "id long, token string, w double")
+    c = base.select(F.col("id").alias("cand_id"), F.col("token").alias("key"), "w")
+    ex = spark.createDataFrame([(i, j) for i in vecs for j in ([i] if i % 2 else range(i % 9, 400, 2))],
+                               "query_id long, cand_id long")
+    asked = []
+    met = nearest._met
+    monkeypatch.setattr(nearest, "_met", lambda a, *x, **k: asked.append(a.count()) or met(a, *x, **k))
+    boxes = nearest.box_index(c, "u0", ["u1", "u2"])
+    for index in (nearest.token_index(c), boxes):
+        got = _got(nearest.search(index, _asked(base, 4), exclusions=ex.where("query_id % 2 = 1")))
+        for i in range(1, 420, 2):
+            same = [j for j in range(420) if j % 21 == i % 21 and j != i]
+            assert got[i] == same[:4]
+        for i in range(0, 420, 2):
+            assert got[i] == [j for j in range(420) if j % 21 == i % 21][:4]
+    assert asked[0] < 60        # one home each: 21 that exclude an id, 21 that exclude none
+    long = _got(nearest.search(boxes, _asked(base, 4), exclusions=ex))
+    for i in range(0, 420, 2):
+        gone = set(range(i % 9, 400, 2))
+        assert not gone & set(long[i]) and len(long[i]) == 4
+        assert long[i][0] == min((j for j in range(420) if j % 21 == i % 21 and j not in gone), default=long[i][0])
